@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inspectra.llm import chat, exact_dedup, url_filter, warc
+from inspectra.llm import bpe, chat, decontam, exact_dedup, url_filter, warc
 from inspectra.llm.common import table
 
 
@@ -32,6 +32,20 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decide(table(spark, sf_dir, "documents")).drop("n_points", "digest")
 
 
+def word_bpe_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.mark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), word_bpe_path()))
+
+
 _ESCAPES = "".join(f" + (length(x) - length(replace(x, '{c}', ''))) // {len(c)}" for c in ["\\", *chat.CONTROLS])
 
 SQL = {
@@ -67,5 +81,5 @@ SQL = {
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op2_warc_archive, op3_url_filter, op4_exact_dedup)
+    f.__name__: f for f in (op1_chat_format, op2_warc_archive, op3_url_filter, op4_exact_dedup, op6_decontamination, op7_bpe)
 }

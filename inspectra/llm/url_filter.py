@@ -82,9 +82,10 @@ def train(spark: SparkSession, labelled: list[tuple[int, str]] = LABELLED, bucke
     by_example = cells.groupBy("ex").agg(F.collect_list(F.struct("bucket", "val")).alias("cells")).join(rows.select("ex", "y"), "ex")
     by_bucket = spark.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(cells, "bucket", "left")
     by_bucket = by_bucket.groupBy("bucket").agg(F.collect_list(F.when(F.col("ex").isNotNull(), F.struct("ex", "val"))).alias("cells"))
-    examples = by_example.agg(F.array_sort(F.collect_list(F.struct("ex", "y", "cells"))).alias("examples"))
-    columns = by_bucket.agg(F.array_sort(F.collect_list(F.struct("bucket", "cells"))).alias("columns"))
-    both = examples.withColumn("one", F.lit(1)).join(columns.withColumn("one", F.lit(1)), "one")
+    one = by_example.select(F.struct("ex", "y", "cells").alias("example"), F.lit(None).alias("column")).unionByName(
+        by_bucket.select(F.lit(None).alias("example"), F.struct("bucket", "cells").alias("column"))
+    )
+    both = one.agg(F.array_sort(F.collect_list("example")).alias("examples"), F.array_sort(F.collect_list("column")).alias("columns"))
 
     zero = F.lit(0.0)
     start = F.struct(F.array_repeat(zero, buckets).alias("w"), zero.alias("b"), F.array_repeat(zero, len(labelled)).alias("r"))
