@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inspectra.llm import bpe, chat, decontam, exact_dedup, simhash, url_filter, warc
+from inspectra.llm import bpe, chat, decontam, exact_dedup, quality, simhash, url_filter, warc
 from inspectra.llm.common import table
 
 
@@ -38,6 +38,11 @@ def word_bpe_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.mark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -85,5 +90,5 @@ SQL = {
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op2_warc_archive, op3_url_filter, op4_exact_dedup, op6_decontamination, op7_bpe, op9_simhash)
+    f.__name__: f for f in (op1_chat_format, op2_warc_archive, op3_url_filter, op4_exact_dedup, op5_quality, op6_decontamination, op7_bpe, op9_simhash)
 }
