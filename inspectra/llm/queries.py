@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inspectra.llm import bpe, chat, decontam, exact_dedup, quality, simhash, substring, url_filter, warc
+from inspectra.llm import bpe, chat, decontam, exact_dedup, lm, quality, simhash, substring, url_filter, warc
 from inspectra.llm.common import table
 
 
@@ -60,6 +60,13 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.group(table(spark, sf_dir, "documents")).select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    return lm.score(docs, lm.train(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
+
+
 _ESCAPES = "".join(f" + (length(x) - length(replace(x, '{c}', ''))) // {len(c)}" for c in ["\\", *chat.CONTROLS])
 
 SQL = {
@@ -95,5 +102,5 @@ SQL = {
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op2_warc_archive, op3_url_filter, op4_exact_dedup, op5_quality, op6_decontamination, op7_bpe, op8_substring_dedup, op9_simhash)
+    f.__name__: f for f in (op1_chat_format, op2_warc_archive, op3_url_filter, op4_exact_dedup, op5_quality, op6_decontamination, op7_bpe, op8_substring_dedup, op9_simhash, op10_lm_score)
 }
