@@ -126,10 +126,11 @@ def settle_anchors(anchor: np.ndarray, doc: np.ndarray, place: np.ndarray) -> pd
     shared = doc[starts] != doc[starts + sizes - 1] if len(starts) else np.zeros(0, dtype=bool)
     kind = np.repeat(shared, sizes).astype(np.int8)
     first = starts[shared]
-    return pd.DataFrame({
+    out = pd.DataFrame({
         "anchor": np.concatenate((anchor, anchor[first])).view(np.int64), "doc_id": np.concatenate((doc, doc[first])),
-        "place": np.concatenate((place, place[first])), "kind": np.concatenate((kind, np.full(len(first), 2, dtype=np.int8))),
+        "place": np.concatenate((place, place[first])).astype(np.int32), "kind": np.concatenate((kind, np.full(len(first), 2, dtype=np.int8))),
     })
+    return out.iloc[np.lexsort((out["place"], out["doc_id"]))]  # in this order the table packs well
 
 
 def find_anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -141,8 +142,7 @@ def find_anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             words, row, at, left = flat(split)
             hashes = window_hashes(word_hashes(words, 1), size)
             pick = np.flatnonzero((left >= size) & in_cover[at % PERIOD])
-            ids, mark = rows["doc_id"].to_numpy(np.int64), rows["mark"].to_numpy(np.int64)
-            held.append((hashes[pick], ids[row[pick]], mark[row[pick]] << 32 | at[pick]))
+            held.append((hashes[pick], rows["doc_id"].to_numpy(np.int64)[row[pick]], at[pick]))
             if sum(len(h[0]) for h in held) >= TASK_ANCHORS:
                 yield settle_anchors(*map(np.concatenate, zip(*held, strict=True)))
                 held = []
@@ -160,9 +160,9 @@ def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin[at], end[np.append(at[1:] - 1, len(begin) - 1)] if len(at) else end
 
 
-def by_document(rows: DataFrame, name: str) -> DataFrame:
-    """doc_id, mark, spans (packed pairs of 32-bit integers) from rows with
-    doc_id, place, below (words before the place) and above (words from it on)."""
+def by_document(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """keys, spans (packed pairs of 32-bit integers) from rows with keys, begin
+    and end."""
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -170,19 +170,16 @@ def by_document(rows: DataFrame, name: str) -> DataFrame:
             for begin, end in zip(batch["begins"], batch["ends"], strict=True):
                 a, b = merged(np.maximum(0, begin), np.asarray(end))
                 spans.append(np.stack((a, b), axis=1).astype("<i4").tobytes())
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "mark": batch["mark"], "spans": spans})
+            yield batch[keys].assign(spans=spans)
 
-    at = F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))
-    mark = F.shiftright(F.col("place"), 32)
-    found = rows.select("doc_id", mark.alias("mark"), (at - F.col("below")).alias("begin"), (at + F.col("above")).alias("end"))
-    lists = found.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("begin", "end")).alias("s")).select("doc_id", "mark", F.col("s.begin").alias("begins"), F.col("s.end").alias("ends"))
-    return stored(lists.mapInPandas(join, "doc_id long, mark long, spans binary"), name)
+    lists = rows.groupBy(*keys).agg(F.collect_list(F.struct("begin", "end")).alias("s")).select(*keys, F.col("s.begin").alias("begins"), F.col("s.end").alias("ends"))
+    return stored(lists.mapInPandas(join, ", ".join(f"{k} long" for k in keys) + ", spans binary"), name)
 
 
-def attach(docs: DataFrame, spans: DataFrame, how: str) -> DataFrame:
+def attach(docs: DataFrame, spans: DataFrame, keys: list[str], how: str) -> DataFrame:
     """Documents with their spans; broadcast where the spans are few bytes."""
     small = bytes_of(spans, F.octet_length("spans") + 48) <= BROADCAST_BYTES
-    return docs.join(F.broadcast(spans) if small else spans, ["doc_id", "mark"], how)
+    return docs.join(F.broadcast(spans) if small else spans, keys, how)
 
 
 def settle_windows(high: np.ndarray, low: np.ndarray, doc: np.ndarray, place: np.ndarray) -> pd.DataFrame:
@@ -234,16 +231,17 @@ def with_marks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def removals(docs: DataFrame) -> DataFrame:
     """doc_id, mark, spans of the word positions to remove; ``docs`` as with_marks."""
     named = docs.where("doc_id IS NOT NULL")
-    anchors = stored(named.mapInPandas(find_anchors, "anchor long, doc_id long, place long, kind byte"), "anchors")
+    anchors = stored(named.mapInPandas(find_anchors, "anchor long, doc_id long, place int, kind byte"), "anchors")
     same = Window.partitionBy("anchor")
     met = anchors.where("kind <> 1").withColumns({"least": F.min("doc_id").over(same), "most": F.max("doc_id").over(same), "top": F.max("kind").over(same)})
     matched = met.where("kind = 0 AND (least <> most OR top = 2)").select("doc_id", "place").unionByName(anchors.where("kind = 1").select("doc_id", "place"))
-    around = by_document(matched.withColumns({"below": F.lit(PERIOD - 1), "above": F.lit(1)}), "around-anchors")
-    windows = stored(attach(named, around, "inner").mapInPandas(find_windows, "high long, low long, doc_id long, place long, run int, kind byte"), "windows")
+    around = by_document(matched.select("doc_id", (F.col("place") - (PERIOD - 1)).alias("begin"), (F.col("place") + 1).alias("end")), ["doc_id"], "around-anchors")
+    windows = stored(attach(named, around, ["doc_id"], "inner").mapInPandas(find_windows, "high long, low long, doc_id long, place long, run int, kind byte"), "windows")
     equal = Window.partitionBy("high", "low")
     beaten = windows.where("kind = 0").withColumn("least", F.min("doc_id").over(equal)).where("doc_id > least").select("doc_id", "place", "run")
     gone = beaten.unionByName(windows.where("kind = 1").select("doc_id", "place", "run"))
-    return by_document(gone.withColumns({"below": F.lit(0), "above": F.col("run") + (WINDOW - 1)}), "removals")
+    mark, at = F.shiftright("place", 32), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))
+    return by_document(gone.select("doc_id", mark.alias("mark"), at.alias("begin"), (at + F.col("run") + (WINDOW - 1)).alias("end")), ["doc_id", "mark"], "removals")
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -263,4 +261,4 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                     out.append((total, total - len(words), b" ".join(words).decode()))
                 yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "n_words": [o[0] for o in out], "n_removed": [o[1] for o in out], "kept_text": [o[2] for o in out]})
 
-    return attach(docs, removals(docs), "left").select("doc_id", "text", "spans").mapInPandas(cut, "doc_id long, n_words long, n_removed long, kept_text string")
+    return attach(docs, removals(docs), ["doc_id", "mark"], "left").select("doc_id", "text", "spans").mapInPandas(cut, "doc_id long, n_words long, n_removed long, kept_text string")
