@@ -3,15 +3,47 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+from inspectra.plans.views import with_views
+
 Query = Callable[[SparkSession, str], DataFrame]
 
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+MODULES = ("joblog", "geometry", "calibration", "profiles", "boundary", "imagery", "streams")
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its function's name, with the SQL that gives
+    the same rows where there is one."""
+
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = with_views(sql)
+        return f
+
+    return add
+
+
+def _load() -> None:
+    for name in MODULES:
+        import_module(f"inspectra.plans.{name}")
+
 
 def queries() -> dict[str, Query]:
-    return {}
+    _load()
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(_SQL)
+
+
+def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: N802
+    _load()
+    return _QUERIES["slice_region_inspection"](spark, sf_dir)
