@@ -1 +1,188 @@
-"""."""
+"""Queries on annotations, boxes, grids, names and paths."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from inspectra.operators import geometry as op
+from inspectra.plans import views as v
+from inspectra.plans.registry import query
+
+BOX = """WITH b AS (SELECT image_id, idx, CAST(round_even(cx - w / 2, 0) AS INTEGER) - 2 AS x0, CAST(round_even(cy - h / 2, 0) AS INTEGER) - 2 AS y0,
+    CAST(round_even(cx + w / 2, 0) AS INTEGER) + 2 AS x1, CAST(round_even(cy + h / 2, 0) AS INTEGER) + 2 AS y1 FROM glyph_items WHERE ch <> '')"""
+
+
+@query(BOX + " SELECT image_id, idx, x0, y0, x1, y1 FROM b")
+def p1_centre_boxes(spark, sf_dir):
+    return v.glyph_items(spark, sf_dir).withColumns(op.box_from_centre()).select("image_id", "idx", "x0", "y0", "x1", "y1")
+
+
+@query(BOX + """, a AS (SELECT image_id, idx, greatest(0, least(x0, 299)) AS x0, greatest(0, least(x1, 300)) AS x1, greatest(0, least(y0, 19)) AS y0, greatest(0, least(y1, 20)) AS y1 FROM b)
+    SELECT image_id, idx, x0, CASE WHEN x1 <= x0 THEN least(300, x0 + 1) ELSE x1 END AS x1, y0, CASE WHEN y1 <= y0 THEN least(20, y0 + 1) ELSE y1 END AS y1 FROM a""")
+def p2_clipped_boxes(spark, sf_dir):
+    rows = v.glyph_items(spark, sf_dir).withColumns(op.box_from_centre())
+    return op.clip_boxes(rows, F.lit(300), F.lit(20)).select("image_id", "idx", "x0", "y0", "x1", "y1")
+
+
+@query(BOX + """, a AS (SELECT image_id, idx, greatest(0, x0) AS x0, least(300, x1) AS x1, greatest(0, y0) AS y0, least(20, y1) AS y1 FROM b)
+    SELECT * FROM a WHERE x1 > x0 AND y1 > y0""")
+def p3_plain_clip(spark, sf_dir):
+    rows = v.glyph_items(spark, sf_dir).withColumns(op.box_from_centre())
+    return op.clip_boxes(rows, F.lit(300), F.lit(20), plain=True).select("image_id", "idx", "x0", "y0", "x1", "y1")
+
+
+@query("""SELECT image_id, idx, x0, y0, x0 + CAST(trunc(w) AS INTEGER) + 4 AS x1, y0 + CAST(trunc(h) AS INTEGER) + 4 AS y1 FROM (SELECT *, CAST(trunc(cx) AS INTEGER) - CAST(floor(trunc(w) / 2) AS INTEGER) - 2 AS x0,
+    CAST(trunc(cy) AS INTEGER) - CAST(floor(trunc(h) / 2) AS INTEGER) - 2 AS y0 FROM glyph_items)""")
+def p4_integer_boxes(spark, sf_dir):
+    return v.glyph_items(spark, sf_dir).withColumns(op.integer_box()).select("image_id", "idx", "x0", "y0", "x1", "y1")
+
+
+def annotations(spark, sf_dir):
+    """The items packed into one JSON text per image, as they come in files."""
+    i = v.glyph_items(spark, sf_dir)
+    item = F.struct(F.when(F.col("idx") % 5 != 0, F.col("ch")).alias("ch"), "cx", "cy", F.when(F.col("idx") % 9 != 0, F.col("w")).otherwise(0.0).alias("w"), "h", F.when(F.col("idx") % 2 == 0, F.col("idx")).alias("i"), F.when(F.col("idx") % 3 == 0, F.col("idx")).alias("idx"), F.when(F.col("idx") % 5 == 0, F.concat(F.lit("L"), "ch")).alias("label"))
+    packed = i.groupBy("image_id").agg(F.collect_list(item).alias("items"))
+    return packed.select(F.concat(F.lit("﻿"), F.to_json(F.struct(F.concat("image_id", F.lit(".png")).alias("image_name"), "items"))).alias("json"))
+
+
+@query("""SELECT image_id || '.png' AS image_name, CASE WHEN idx % 2 = 0 OR idx % 3 = 0 THEN idx ELSE -1 END AS idx, CASE WHEN idx % 5 <> 0 THEN ch ELSE 'L' || ch END AS ch, cx, h
+    FROM glyph_items WHERE idx % 9 <> 0""")
+def s3_p5_m5_read_annotations(spark, sf_dir):
+    return op.valid_items(op.read_annotations(annotations(spark, sf_dir))).select("image_name", "idx", "ch", "cx", "h")
+
+
+@query("SELECT image_id, label, len(points) AS n FROM polygons WHERE lower(trim(label)) = 'panel' AND len(points) >= 3")
+def p6_panel_shapes(spark, sf_dir):
+    shape = F.array(F.struct("label", F.transform("points", lambda p: F.transform(p, lambda c: c.cast("double"))).alias("points")))
+    text = F.to_json(F.struct(F.col("image_id").cast("string").alias("imagePath"), F.col("h").alias("imageHeight"), F.col("w").alias("imageWidth"), shape.alias("shapes")))
+    read = v.polygons(spark, sf_dir).select(F.from_json(text, op.POLYGON).alias("a")).where("a.imageHeight > 0 AND a.imageWidth > 0")
+    fits = F.filter("a.shapes", lambda s: (F.lower(F.trim(s["label"])) == "panel") & (F.size(s["points"]) >= 3))
+    return read.select(F.col("a.imagePath").cast("long").alias("image_id"), F.explode(fits).alias("s")).select("image_id", "s.label", F.size("s.points").cast("long").alias("n"))
+
+
+@query("""SELECT ch, CASE WHEN ch IN ('/', '\\', ':', '*', '?', '"', '<', '>', '|', '.', ' ', '%') THEN
+    map {'/': 'slash', '\\': 'backslash', ':': 'colon', '*': 'asterisk', '?': 'question', '"': 'quote', '<': 'lt', '>': 'gt', '|': 'pipe', '.': 'dot', ' ': 'space', '%': 'percent'}[ch]
+    WHEN ascii(ch) < 32 THEN 'u' || lpad(to_hex(ascii(ch)), 4, '0') ELSE ch END AS cls, count(*) AS n FROM glyph_items GROUP BY ALL""")
+def m2_class_names(spark, sf_dir):
+    return v.glyph_items(spark, sf_dir).groupBy("ch").agg(F.count(F.lit(1)).alias("n")).withColumn("cls", op.safe_name(F.col("ch")))
+
+
+def _grid(length: str, tile: int, stride: int) -> str:
+    return f"CASE WHEN {length} > {tile} THEN list_distinct(list_append(range(0, {length} - {tile} + 1, {stride}), {length} - {tile})) ELSE [0] END"
+
+
+@query(f"""WITH x AS (SELECT image_id, w, h, unnest({_grid('w', 512, 384)}) AS x0 FROM image_index), y AS (SELECT *, unnest({_grid('h', 352, 352)}) AS y0 FROM x)
+    SELECT image_id, count(*) AS tiles, CAST(sum(x0) AS BIGINT) AS sum_x, CAST(sum(y0) AS BIGINT) AS sum_y, CAST(sum(least(w, x0 + 512)) AS BIGINT) AS sum_x1 FROM y GROUP BY image_id""")
+def m19_tiles(spark, sf_dir):
+    t = op.tiles(v.image_index(spark, sf_dir), 512, 352, 384, 352)
+    return t.groupBy("image_id").agg(F.count(F.lit(1)).alias("tiles"), F.sum("x0").alias("sum_x"), F.sum("y0").alias("sum_y"), F.sum("x1").alias("sum_x1"))
+
+
+STRIPS = f"""WITH s AS (SELECT *, h >= w AS vertical, greatest(h, w) AS n FROM image_index), p AS (SELECT *, unnest(list_sort({_grid('n', 256, 192)})) AS start FROM s),
+    t AS (SELECT image_id, w, h, vertical, row_number() OVER (PARTITION BY image_id ORDER BY start) - 1 AS strip_idx, count(*) OVER (PARTITION BY image_id) AS total, start, least(n, start + 256) AS stop FROM p)"""
+
+
+@query(STRIPS + """ SELECT image_id, strip_idx, CAST(CASE WHEN vertical THEN 0 ELSE start END AS INTEGER) AS x0, CAST(CASE WHEN vertical THEN start ELSE 0 END AS INTEGER) AS y0,
+    CAST(CASE WHEN vertical THEN w ELSE stop END AS INTEGER) AS x1, CAST(CASE WHEN vertical THEN stop ELSE h END AS INTEGER) AS y1 FROM t""")
+def m20_strips(spark, sf_dir):
+    return op.strips(v.image_index(spark, sf_dir), 256, 64).select("image_id", F.col("strip_idx").cast("long").alias("strip_idx"), "x0", "y0", "x1", "y1")
+
+
+@query(STRIPS + " SELECT image_id, strip_idx FROM t WHERE total <= 4 OR (strip_idx >= 2 AND strip_idx < total - 2)")
+def p16_skip_edges(spark, sf_dir):
+    return op.skip_edges(op.strips(v.image_index(spark, sf_dir), 256, 64), 2).select("image_id", F.col("strip_idx").cast("long").alias("strip_idx"))
+
+
+PARTS = """WITH f AS (SELECT file_id, path, regexp_extract(path, '([^/]*)$', 1) AS name FROM files),
+    g AS (SELECT file_id, path, name, CASE WHEN regexp_matches(name, '^.+\\.[^.]+$') THEN regexp_replace(name, '\\.[^.]*$', '') ELSE name END AS stem,
+        regexp_extract(name, '^.+(\\.[^.]+)$', 1) AS extension, regexp_extract(path, '^(.*)/[^/]*$', 1) AS parent FROM f)"""
+
+
+@query(PARTS + " SELECT file_id, name, stem, extension, parent FROM g")
+def m3_path_parts(spark, sf_dir):
+    return v.files(spark, sf_dir).withColumns(op.path_parts(F.col("path"))).drop("path")
+
+
+@query(PARTS + " SELECT lower(extension) AS extension, count(*) AS n, min(path) AS first_path FROM g GROUP BY ALL")
+def s1_files_by_extension(spark, sf_dir):
+    parts = op.path_parts(F.col("path"))
+    return v.files(spark, sf_dir).groupBy(F.lower(parts["extension"]).alias("extension")).agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("first_path"))
+
+
+@query(PARTS + " SELECT split_part(parent, '/', 1) AS cls, count(*) AS n FROM g GROUP BY ALL")
+def s5_class_of_folder(spark, sf_dir):
+    parts = op.path_parts(F.col("path"))
+    return v.files(spark, sf_dir).groupBy(F.element_at(F.split(parts["parent"], "/"), 1).alias("cls")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(PARTS + """, i AS (SELECT file_id AS image_id, path AS name FROM g WHERE file_id % 3 <> 0), a AS (SELECT file_id AS annotation_id, CASE WHEN file_id % 2 = 0 THEN path ELSE name END AS image_name FROM g),
+    n AS (SELECT name, min(image_id) AS image_id FROM i GROUP BY name), b AS (SELECT regexp_extract(name, '([^/]*)$', 1) AS base, min(image_id) AS image_id FROM i GROUP BY 1)
+    SELECT annotation_id, coalesce(n.image_id, b.image_id) AS image_id FROM a LEFT JOIN n ON a.image_name = n.name LEFT JOIN b ON regexp_extract(a.image_name, '([^/]*)$', 1) = b.base""")
+def j1_annotation_images(spark, sf_dir):
+    f = v.files(spark, sf_dir).withColumns(op.path_parts(F.col("path")))
+    images = f.where("file_id % 3 <> 0").groupBy(F.col("path").alias("name")).agg(F.min("file_id").alias("image_id"))
+    a = f.select(F.col("file_id").alias("annotation_id"), F.when(F.col("file_id") % 2 == 0, F.col("path")).otherwise(F.col("name")).alias("image_name"))
+    return op.join_images(a, images).select("annotation_id", "image_id")
+
+
+@query(PARTS + """, c AS (SELECT a.file_id AS annotation_id, b.file_id AS image_id, CASE WHEN a.path = b.path THEN 1 ELSE 2 END AS priority FROM g a JOIN g b ON a.stem = b.stem AND b.file_id % 2 = 0 AND a.file_id % 5 = 0)
+    SELECT a.file_id AS annotation_id, c.image_id FROM (SELECT file_id FROM g WHERE file_id % 5 = 0) a LEFT JOIN (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY annotation_id ORDER BY priority, image_id) = 1) c ON a.file_id = c.annotation_id""")
+def j2_polygon_images(spark, sf_dir):
+    f = v.files(spark, sf_dir).withColumns(op.path_parts(F.col("path")))
+    a = f.where("file_id % 5 = 0").select(F.col("file_id").alias("annotation_id"), "stem", F.col("path").alias("own"))
+    b = f.where("file_id % 2 = 0").select("stem", F.col("file_id").alias("image_id"), "path")
+    c = a.join(b, "stem").withColumn("priority", F.when(F.col("own") == F.col("path"), 1).otherwise(2))
+    return a.select("annotation_id").join(op.first_candidate(c, "annotation_id", "priority", "image_id").select("annotation_id", "image_id"), "annotation_id", "left")
+
+
+@query("""SELECT g.ch, count(*) AS n, count(m.ch) AS known, CASE WHEN count(m.ch) = 0 THEN 'UNKNOWN' ELSE 'MODEL' END AS state FROM glyph_items g
+    LEFT JOIN (SELECT ch FROM glyph_items GROUP BY ch HAVING count(*) >= 200) m USING (ch) GROUP BY g.ch""")
+def j3_model_of_class(spark, sf_dir):
+    g = v.glyph_items(spark, sf_dir)
+    models = g.groupBy("ch").agg(F.count(F.lit(1)).alias("_n")).where("_n >= 200").select("ch", F.lit(1).alias("m"))
+    out = g.groupBy("ch").agg(F.count(F.lit(1)).alias("n")).join(models, "ch", "left")
+    return out.select("ch", "n", F.when(F.col("m").isNotNull(), F.col("n")).otherwise(0).alias("known"), F.when(F.col("m").isNull(), "UNKNOWN").otherwise("MODEL").alias("state"))
+
+
+@query("SELECT ch FROM (SELECT ch FROM glyph_items GROUP BY ch EXCEPT SELECT ch FROM glyph_items GROUP BY ch HAVING count(*) >= 200)")
+def u1_classes_without_model(spark, sf_dir):
+    g = v.glyph_items(spark, sf_dir)
+    return g.select("ch").exceptAll(g.select("ch").limit(0)).distinct().subtract(g.groupBy("ch").agg(F.count(F.lit(1)).alias("n")).where("n >= 200").select("ch"))
+
+
+@query(PARTS + " SELECT stem, 'image' AS only_in FROM (SELECT stem FROM g WHERE file_id % 2 = 0 EXCEPT SELECT stem FROM g WHERE file_id % 2 = 1) UNION ALL SELECT stem, 'json' FROM (SELECT stem FROM g WHERE file_id % 2 = 1 EXCEPT SELECT stem FROM g WHERE file_id % 2 = 0)")
+def u2_unpaired_stems(spark, sf_dir):
+    f = v.files(spark, sf_dir).withColumns(op.path_parts(F.col("path")))
+    a, b = f.where("file_id % 2 = 0").select("stem"), f.where("file_id % 2 = 1").select("stem")
+    return a.subtract(b).withColumn("only_in", F.lit("image")).unionByName(b.subtract(a).withColumn("only_in", F.lit("json")))
+
+
+@query("""WITH c AS (SELECT ch AS cls, image_id, idx FROM glyph_items WHERE ch ~ '^[a-e]$'), e AS (SELECT cls, CAST(max(image_id) % 50 AS BIGINT) AS largest FROM c GROUP BY cls),
+    n AS (SELECT cls, image_id, idx, row_number() OVER (PARTITION BY cls ORDER BY image_id, idx) + largest AS crop_no FROM c JOIN e USING (cls))
+    SELECT cls, image_id, idx, crop_no, CASE WHEN length(CAST(crop_no AS VARCHAR)) < 4 THEN lpad(CAST(crop_no AS VARCHAR), 4, '0') ELSE CAST(crop_no AS VARCHAR) END || '.png' AS file FROM n""")
+def w2_crop_numbers(spark, sf_dir):
+    c = v.glyph_items(spark, sf_dir).where(F.col("ch").rlike("^[a-e]$")).select(F.col("ch").alias("cls"), "image_id", "idx")
+    existing = c.groupBy("cls").agg((F.max("image_id") % 50).alias("crop_no"))
+    return op.number_crops(c, existing, ["image_id", "idx"])
+
+
+@query("SELECT ch AS cls, count(*) AS n FROM glyph_items GROUP BY ROLLUP (ch)")
+def a3_class_totals(spark, sf_dir):
+    return v.glyph_items(spark, sf_dir).rollup(F.col("ch").alias("cls")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT count(*) AS crops, count(DISTINCT image_id) AS images, list_sort(list(DISTINCT CASE WHEN ch = ' ' THEN CAST(image_id AS VARCHAR) END))[1:20] AS first_errors FROM glyph_items")
+def a28_crop_report(spark, sf_dir):
+    errors = F.slice(F.array_sort(F.collect_set(F.col("err"))), 1, 20)
+    rows = v.glyph_items(spark, sf_dir).groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("ch") == " ", F.col("image_id").cast("string"))).alias("err"))
+    return rows.agg(F.sum("n").alias("crops"), F.count(F.lit(1)).alias("images"), errors.alias("first_errors"))
+
+
+@query("SELECT count(DISTINCT ch) AS classes, count(DISTINCT image_id) AS images, count(*) AS items FROM glyph_items")
+def a29_distinct_counts(spark, sf_dir):
+    return v.glyph_items(spark, sf_dir).agg(F.count_distinct("ch").alias("classes"), F.count_distinct("image_id").alias("images"), F.count(F.lit(1)).alias("items"))
+
+
+@query("SELECT p_partkey AS image_id, CAST(round_even(p_size / 10.0 / 0.05, 0) AS INTEGER) AS min_px FROM part")
+def m23_min_defect_px(spark, sf_dir):
+    return v.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("image_id"), F.bround(F.col("p_size") / 10.0 / 0.05).cast("int").alias("min_px"))
