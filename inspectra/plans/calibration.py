@@ -1 +1,224 @@
-"""."""
+"""Queries on nearest neighbours, scores, thresholds, samples and verdicts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from inspectra.operators import knn, scores
+from inspectra.plans import views as v
+from inspectra.plans.registry import query
+
+NEAREST = """WITH d AS (SELECT q.query_id, q.cls, b.bank_id, list_distance(q.emb, b.emb) AS d FROM queries q JOIN bank b USING (cls)),
+    n AS (SELECT query_id, cls, avg(d) AS d FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d) AS r FROM d) WHERE r <= %d GROUP BY ALL)"""
+
+
+def patch_distances(spark, sf_dir, k=1):
+    return knn.nearest(v.queries(spark, sf_dir), v.bank(spark, sf_dir), k)
+
+
+@query(NEAREST % 1 + " SELECT query_id, cls, round(d, 6) AS d FROM n")
+def j5_nearest_distance(spark, sf_dir):
+    return patch_distances(spark, sf_dir).select("query_id", "cls", F.round("d", 6).alias("d"))
+
+
+@query(NEAREST % 3 + " SELECT query_id, cls, round(d, 6) AS d FROM n")
+def j5_mean_of_three(spark, sf_dir):
+    return patch_distances(spark, sf_dir, 3).select("query_id", "cls", F.round("d", 6).alias("d"))
+
+
+@query("SELECT q.query_id, round(sqrt(greatest(min(pow(list_distance(q.emb, b.emb), 2)), 0) + 1e-12), 6) AS d FROM queries q JOIN bank b ON true GROUP BY q.query_id")
+def j6_global_bank(spark, sf_dir):
+    q, b = v.queries(spark, sf_dir).withColumn("cls", F.lit(0)), v.bank(spark, sf_dir).withColumn("cls", F.lit(0))
+    return knn.nearest(q, b).select("query_id", F.round(F.sqrt(F.col("d") * F.col("d") + 1e-12), 6).alias("d"))
+
+
+@query("SELECT a.bank_id AS query_id, a.cls, round(min(list_distance(a.emb, b.emb)), 6) AS d FROM bank a JOIN bank b ON a.cls = b.cls AND a.bank_id <> b.bank_id GROUP BY ALL")
+def j7_self_distance(spark, sf_dir):
+    return knn.self_distances(v.bank(spark, sf_dir), exclude_self=True).select("query_id", "cls", F.round("d", 6).alias("d"))
+
+
+@query(NEAREST % 1 + """, i AS (SELECT query_id // 40 AS image_id, max(d) AS score, count(*) AS patches FROM n GROUP BY 1), t AS (SELECT quantile_cont(score, 0.9) AS thr FROM i)
+    SELECT image_id, patches, round(score, 6) AS score, round(thr, 6) AS thr, CASE WHEN score > thr THEN 'NG' ELSE 'OK' END AS decision FROM i, t""")
+def slice_region_inspection(spark, sf_dir):
+    """Nearest distances, one score per image, the threshold, the verdict."""
+    d = patch_distances(spark, sf_dir).withColumn("image_id", F.floor(F.col("query_id") / 40))
+    images = d.groupBy("image_id").agg(F.max("d").alias("score"), F.count(F.lit(1)).alias("patches")).withColumn("all", F.lit(1))
+    thr = scores.quantile_threshold(images, "all", "score", 0.9)
+    out = images.join(F.broadcast(thr), "all")  # one row
+    return out.select("image_id", "patches", F.round("score", 6).alias("score"), F.round("thr", 6).alias("thr"), F.when(F.col("score") > F.col("thr"), "NG").otherwise("OK").alias("decision"))
+
+
+LISTS = """WITH p AS (SELECT image_id, patch_idx, sqrt(list_dot_product(emb[1:8], emb[1:8])) AS d FROM patches), l AS (SELECT image_id, list_reverse_sort(list(d)) AS ds FROM p GROUP BY image_id)"""
+
+
+def patch_scores(spark, sf_dir):
+    part = F.slice("emb", 1, 8)
+    return v.patches(spark, sf_dir).select("image_id", "patch_idx", knn.norm(part).alias("d"))
+
+
+def image_lists(spark, sf_dir):
+    return patch_scores(spark, sf_dir).groupBy("image_id").agg(F.collect_list("d").alias("ds"))
+
+
+@query(LISTS + " SELECT image_id, round(ds[1], 6) AS most, round(list_avg(ds[1:3]), 6) AS top FROM l")
+def a8_max_and_top_mean(spark, sf_dir):
+    return image_lists(spark, sf_dir).select("image_id", F.round(F.array_max("ds"), 6).alias("most"), F.round(scores.top_mean(F.col("ds"), 3), 6).alias("top"))
+
+
+@query(LISTS + " SELECT image_id, round(list_avg(ds[1:greatest(1, CAST(trunc(len(ds) * 0.4) AS BIGINT))]), 6) AS pct, round(0.3 * ds[1] + 0.7 * list_avg(ds[1:3]), 6) AS hyb FROM l")
+def a9_percentile_and_hybrid(spark, sf_dir):
+    d = F.col("ds")
+    return image_lists(spark, sf_dir).select("image_id", F.round(scores.percentile_mean(d, 60), 6).alias("pct"), F.round(scores.hybrid(d, 0.3, 3), 6).alias("hyb"))
+
+
+@query(LISTS + " SELECT image_id, round(list_avg(ds[1:3]) / (list_sort(ds)[(len(ds) + 1) // 2] + 1e-6), 6) AS score FROM l")
+def a10_contrast(spark, sf_dir):
+    return image_lists(spark, sf_dir).select("image_id", F.round(scores.contrast(F.col("ds"), 3), 6).alias("score"))
+
+
+@query(LISTS + """, g AS (SELECT *, count(*) OVER (PARTITION BY image_id) AS n, row_number() OVER (PARTITION BY image_id ORDER BY d DESC, patch_idx) AS rk FROM p),
+    h AS (SELECT *, greatest(1, CAST(round_even(sqrt(n), 0) AS BIGINT)) AS h FROM g), c AS (SELECT *, CAST(ceil(n / h) AS BIGINT) AS w FROM h WHERE rk <= 3),
+    s AS (SELECT image_id, avg(d) AS m, sqrt(var_pop(patch_idx // w) + var_pop(patch_idx % w)) AS spread, any_value(h) AS h, any_value(w) AS w FROM c GROUP BY image_id)
+    SELECT image_id, round(m * (2 - least(spread / (sqrt(pow(h / 2, 2) + pow(w / 2, 2)) + 1e-6), 1.0)), 6) AS score FROM s""")
+def a11_spatial(spark, sf_dir):
+    return scores.spatial(patch_scores(spark, sf_dir), 3).withColumn("score", F.round("score", 6))
+
+
+OKS = NEAREST % 1
+
+
+@query(OKS + " SELECT cls, round(quantile_cont(d, 0.995), 6) AS thr, round(greatest(quantile_cont(d, 0.9) * 1.15, 1.2), 6) AS safe FROM n GROUP BY cls")
+def a5_a6_thresholds(spark, sf_dir):
+    d = patch_distances(spark, sf_dir)
+    safe = scores.quantile_threshold(d, "cls", "d", 0.9, 1.15, 1.2).withColumnRenamed("thr", "safe")
+    out = scores.quantile_threshold(d, "cls", "d", 0.995).join(safe, "cls")
+    return out.select("cls", F.round("thr", 6).alias("thr"), F.round("safe", 6).alias("safe"))
+
+
+@query(OKS + " SELECT cls, count(*) AS n, round(avg(d), 6) AS mean, round(stddev_pop(d), 6) AS std, round(min(d), 6) AS least, round(max(d), 6) AS most, round(quantile_cont(d, 0.999), 6) AS q999 FROM n GROUP BY cls")
+def a7_ok_statistics(spark, sf_dir):
+    s = scores.ok_statistics(patch_distances(spark, sf_dir), "cls", "d")
+    return s.select("cls", "n", *[F.round(c, 6).alias(c) for c in ("mean", "std", "least", "most", "q999")])
+
+
+@query(OKS + ", t AS (SELECT cls, quantile_cont(d, 0.8) AS thr FROM n GROUP BY cls) SELECT cls, count(*) FILTER (d > thr) AS above, quantile_cont(d, 0.97) > 2 * quantile_cont(d, 0.90) AS bimodal FROM n JOIN t USING (cls) GROUP BY cls")
+def a25_suspicious_banks(spark, sf_dir):
+    d = patch_distances(spark, sf_dir)
+    return scores.bimodal(d.join(scores.quantile_threshold(d, "cls", "d", 0.8), "cls"), "cls", "d")
+
+
+@query(OKS + " SELECT cls, rank, query_id, round(d, 6) AS d FROM (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY round(d, 6) DESC, query_id) AS rank FROM n) WHERE rank <= 5")
+def w19_suspects(spark, sf_dir):
+    d = patch_distances(spark, sf_dir).withColumn("d", F.round("d", 6))
+    return knn.with_rank(d, "cls", "d", "query_id", 5).select("cls", F.col("rank").cast("long").alias("rank"), "query_id", "d")
+
+
+@query("SELECT cls, count(*) AS n FROM queries GROUP BY cls HAVING count(*) >= 10")
+def p7_min_per_class(spark, sf_dir):
+    return v.queries(spark, sf_dir).groupBy("cls").agg(F.count(F.lit(1)).alias("n")).where("n >= 10")
+
+
+@query("SELECT cls, count(*) AS n, least(count(*), 30) AS kept FROM bank GROUP BY cls")
+def a16_sample_bank(spark, sf_dir):
+    b = v.bank(spark, sf_dir).withColumn("tile", F.floor(F.col("bank_id") / 16))
+    twice = scores.sample_per_group(scores.sample_per_group(b, ["tile"], 16, "bank_id"), ["cls"], 30, "bank_id")
+    return b.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).join(twice.groupBy("cls").agg(F.count(F.lit(1)).alias("kept")), "cls")
+
+
+@query("SELECT cls, bank_id, n AS bank_before, greatest(5, least(25, n)) AS bank_after FROM (SELECT *, count(*) OVER (PARTITION BY cls) AS n, row_number() OVER (PARTITION BY cls ORDER BY bank_id) AS r FROM bank) WHERE r <= greatest(5, least(25, n))")
+def a17_shrink_bank(spark, sf_dir):
+    return scores.shrink_bank(v.bank(spark, sf_dir), 25, 5, first=True).select("cls", "bank_id", "bank_before", F.col("bank_after").cast("long").alias("bank_after"))
+
+
+@query("SELECT greatest(1, CAST(floor(count(*) * 0.15) AS BIGINT)) AS val, count(*) - greatest(1, CAST(floor(count(*) * 0.15) AS BIGINT)) AS train FROM truth")
+def a18_split(spark, sf_dir):
+    s = scores.split(v.truth(spark, sf_dir), "sample_id", 0.15)
+    return s.agg(F.count_if(F.col("split") == "val").alias("val"), F.count_if(F.col("split") == "train").alias("train"))
+
+
+@query("SELECT actual_ng, least(greatest(5, CAST(round_even(count(*) * 0.15, 0) AS BIGINT)), greatest(0, count(*) - 10)) AS val, count(*) AS n FROM truth GROUP BY actual_ng")
+def a18_split_per_class(spark, sf_dir):
+    s = scores.split(v.truth(spark, sf_dir), "sample_id", 0.15, "actual_ng", 10)
+    return s.groupBy("actual_ng").agg(F.count_if(F.col("split") == "val").alias("val"), F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH c AS (SELECT count(*) FILTER (actual_ng AND predicted_ng) AS tp, count(*) FILTER (NOT actual_ng AND predicted_ng) AS fp, count(*) FILTER (actual_ng AND NOT predicted_ng) AS fn, count(*) FILTER (NOT actual_ng AND NOT predicted_ng) AS tn FROM truth)
+    SELECT *, round((tp + tn) / greatest(tp + fp + fn + tn, 1e-6), 6) AS accuracy, round(tp / greatest(tp + fp, 1e-6), 6) AS precision, round(tp / greatest(tp + fn, 1e-6), 6) AS recall FROM c""")
+def a19_confusion(spark, sf_dir):
+    c = scores.confusion(v.truth(spark, sf_dir))
+    return c.select("tp", "fp", "fn", "tn", *[F.round(k, 6).alias(k) for k in ("accuracy", "precision", "recall")])
+
+
+@query("SELECT actual_ng, n, round(sum(n) OVER () / (count(*) OVER () * (n + 1e-6)), 6) AS weight FROM (SELECT actual_ng, count(*) AS n FROM truth GROUP BY actual_ng)")
+def a21_class_weights(spark, sf_dir):
+    return scores.class_weights(v.truth(spark, sf_dir), "actual_ng").withColumn("weight", F.round("weight", 6))
+
+
+@query("""WITH e AS (SELECT sample_id % 20 AS run, sample_id % 13 AS epoch, avg(CASE WHEN actual_ng = predicted_ng THEN 1.0 ELSE 0.0 END) AS metric FROM truth GROUP BY ALL)
+    SELECT run, epoch, round(metric, 6) AS metric FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY metric DESC, epoch) AS r FROM e) WHERE r = 1""")
+def a22_best_epoch(spark, sf_dir):
+    e = v.truth(spark, sf_dir).groupBy((F.col("sample_id") % 20).alias("run"), (F.col("sample_id") % 13).alias("epoch")).agg(F.avg((F.col("actual_ng") == F.col("predicted_ng")).cast("double")).alias("metric"))
+    return e.groupBy("run").agg(F.max_by("epoch", F.struct("metric", -F.col("epoch"))).alias("epoch"), F.round(F.max("metric"), 6).alias("metric"))
+
+
+LOGITS = "WITH s AS (SELECT *, exp(logit_ok - greatest(logit_ok, logit_ng)) AS a, exp(logit_ng - greatest(logit_ok, logit_ng)) AS b FROM logits), p AS (SELECT sample_id, cls, round(a / (a + b), 6) AS prob_ok, round(b / (a + b), 6) AS prob_ng FROM s)"
+
+
+def probabilities(spark, sf_dir):
+    z = F.array("logit_ok", "logit_ng")
+    e = F.transform(z, lambda x: F.exp(x - F.array_max(z)))
+    total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
+    index = F.transform_keys(F.create_map(F.lit("OK"), F.lit(1), F.lit("ng"), F.lit(2)), lambda k, _: F.lower(k))
+    p = F.transform(e, lambda x: F.round(x / total, 6))
+    return v.logits(spark, sf_dir).select("sample_id", "cls", F.element_at(p, F.element_at(index, "ok")).alias("prob_ok"), F.element_at(p, F.element_at(index, "ng")).alias("prob_ng"))
+
+
+@query(LOGITS + " SELECT sample_id, prob_ok, prob_ng, CASE WHEN prob_ng > prob_ok THEN 'NG' ELSE 'OK' END AS by_argmax, CASE WHEN prob_ng > 0.4 THEN 'NG' ELSE 'OK' END AS by_threshold FROM p")
+def p11_m11_m22_probabilities(spark, sf_dir):
+    ng = F.col("prob_ng")
+    return probabilities(spark, sf_dir).select("sample_id", "prob_ok", "prob_ng", F.when(ng > F.col("prob_ok"), "NG").otherwise("OK").alias("by_argmax"), F.when(ng > 0.4, "NG").otherwise("OK").alias("by_threshold"))
+
+
+SCORES2 = """WITH s AS (SELECT vec_id AS sample_id, label AS cls, abs(CAST(embedding[1] AS DOUBLE)) * 10 AS score, abs(CAST(embedding[3] AS DOUBLE)) * 10 AS dt FROM embeddings)"""
+
+
+def two_scores(spark, sf_dir):
+    e = v.table(spark, sf_dir, "embeddings")
+    return e.select(F.col("vec_id").alias("sample_id"), F.col("label").alias("cls"), (F.abs(F.element_at("embedding", 1).cast("double")) * 10).alias("score"), (F.abs(F.element_at("embedding", 3).cast("double")) * 10).alias("dt"))
+
+
+@query(SCORES2 + " SELECT sample_id, CASE WHEN score >= 1.0 THEN 'NG' ELSE 'OK' END AS inclusive, score > 0.8 AND (cls % 2 = 0 OR dt > 0.7) AS both_gates FROM s")
+def p10_p12_gates(spark, sf_dir):
+    dt_thr = F.when(F.col("cls") % 2 == 0, 0.0).otherwise(0.7)
+    gates = (F.col("score") > 0.8) & ((dt_thr == 0) | (F.col("dt") > dt_thr))
+    return two_scores(spark, sf_dir).select("sample_id", F.when(F.col("score") >= 1.0, "NG").otherwise("OK").alias("inclusive"), gates.alias("both_gates"))
+
+
+@query(SCORES2 + """, r AS (SELECT sample_id // 8 AS image_id, cls, score, CASE WHEN cls = 9 THEN 'UNKNOWN' WHEN score > 1.2 THEN 'NG' ELSE 'OK' END AS decision FROM s WHERE sample_id % 7 <> 0),
+    i AS (SELECT DISTINCT sample_id // 8 AS image_id FROM s)
+    SELECT i.image_id, count(r.decision) AS total, count(*) FILTER (decision = 'NG') AS ng_count, count(*) FILTER (decision = 'UNKNOWN') AS unk_count, round(coalesce(max(score) FILTER (decision <> 'UNKNOWN'), 0.0), 6) AS score,
+        CASE WHEN count(*) FILTER (decision = 'NG') > 0 THEN 'NG' ELSE 'OK' END AS verdict FROM i LEFT JOIN r USING (image_id) GROUP BY i.image_id""")
+def a4_image_verdict(spark, sf_dir):
+    s = two_scores(spark, sf_dir).withColumn("image_id", F.floor(F.col("sample_id") / 8))
+    d = F.when(F.col("cls") == 9, "UNKNOWN").when(F.col("score") > 1.2, "NG").otherwise("OK")
+    r = s.where("sample_id % 7 <> 0").select("image_id", "score", d.alias("decision"))
+    g = s.select("image_id").distinct().join(r, "image_id", "left").groupBy("image_id")
+    return g.agg(
+        F.count("decision").alias("total"), F.count_if(F.col("decision") == "NG").alias("ng_count"), F.count_if(F.col("decision") == "UNKNOWN").alias("unk_count"),
+        F.round(F.coalesce(F.max(F.when(F.col("decision") != "UNKNOWN", F.col("score"))), F.lit(0.0)), 6).alias("score"),
+        F.when(F.count_if(F.col("decision") == "NG") > 0, "NG").otherwise("OK").alias("verdict"),
+    )
+
+
+@query("SELECT vec_id, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 4) AS squared FROM embeddings")
+def m9_m10_projection(spark, sf_dir):
+    """The projected vectors have length 1, as the vectors themselves do."""
+    p = knn.projection(v.table(spark, sf_dir, "embeddings"), "embedding", 16)
+    return p.select("vec_id", F.round(knn.dot(F.col("embedding"), F.col("embedding")), 4).alias("squared"))
+
+
+@query("SELECT image_id, round(list_sum(list_transform(m, lambda x: x * x)), 6) AS squared, n FROM (SELECT image_id, list(avg ORDER BY dim) AS m, max(n) AS n FROM (SELECT image_id, dim, avg(e) AS avg, count(*) AS n FROM (SELECT image_id, unnest(emb) AS e, generate_subscripts(emb, 1) AS dim FROM patches) GROUP BY ALL) GROUP BY image_id)")
+def m24_pooled_patches(spark, sf_dir):
+    cells = v.patches(spark, sf_dir).select("image_id", F.posexplode("emb").alias("dim", "e")).groupBy("image_id", "dim").agg(F.avg(F.col("e").cast("double")).alias("m"), F.count(F.lit(1)).alias("n"))
+    pooled = cells.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("dim", "m"))).alias("c"), F.max("n").alias("n"))
+    return pooled.select("image_id", F.round(knn.dot(F.col("c.m"), F.col("c.m")), 6).alias("squared"), "n")
