@@ -1 +1,123 @@
-"""."""
+"""Queries on boundary curves and residual signals."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from inspectra.operators import boundary as op
+from inspectra.plans import views as v
+from inspectra.plans.registry import query
+
+RESIDUAL = "WITH r AS (SELECT image_id, side, y, x, x - median(x) OVER (PARTITION BY image_id, side) AS r FROM signal)"
+SIGMA = RESIDUAL + """, m AS (SELECT *, median(r) OVER (PARTITION BY image_id, side) AS mid FROM r),
+    s AS (SELECT image_id, side, y, x, r, 1.4826 * median(abs(r - mid)) OVER (PARTITION BY image_id, side) + 1e-6 AS sigma FROM m)"""
+PITCH = 10
+TEETH = RESIDUAL + f""", h AS (SELECT *, max(y) OVER (PARTITION BY image_id, side) + 1 AS h, y // {PITCH} AS tooth FROM r),
+    t AS (SELECT * FROM h WHERE tooth * {PITCH} + {PITCH // 2} < h - {PITCH // 2})"""
+
+
+def residuals(spark, sf_dir):
+    return op.residuals(v.signal(spark, sf_dir))
+
+
+@query("""WITH g AS (SELECT image_id, side, y, CASE WHEN y % 4 <> 1 AND y % 7 <> 0 THEN x END AS x FROM signal),
+    a AS (SELECT *, last_value(x IGNORE NULLS) OVER b AS v0, last_value(CASE WHEN x IS NOT NULL THEN y END IGNORE NULLS) OVER b AS y0, first_value(x IGNORE NULLS) OVER f AS v1, first_value(CASE WHEN x IS NOT NULL THEN y END IGNORE NULLS) OVER f AS y1
+        FROM g WINDOW b AS (PARTITION BY image_id, side ORDER BY y ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY image_id, side ORDER BY y ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+    SELECT image_id, side, CAST(y AS INTEGER) AS y, round(coalesce(x, v0 + (v1 - v0) * (y - y0) / nullif(y1 - y0, 0), v0, v1), 6) AS x FROM a""")
+def w7_filled(spark, sf_dir):
+    s = v.signal(spark, sf_dir).withColumn("x", F.when((F.col("y") % 4 != 1) & (F.col("y") % 7 != 0), F.col("x")))
+    return op.filled(s).select("image_id", "side", "y", F.round("x", 6).alias("x"))
+
+
+@query(SIGMA + " SELECT image_id, side, round(max(sigma), 6) AS sigma FROM s GROUP BY ALL")
+def w8_robust_sigma(spark, sf_dir):
+    return op.robust_sigma(residuals(spark, sf_dir)).groupBy("image_id", "side").agg(F.round(F.max("sigma"), 6).alias("sigma"))
+
+
+@query(RESIDUAL + """, f AS (SELECT *, CASE WHEN coalesce(y - lag(y) OVER (PARTITION BY image_id, side ORDER BY y) > 3, true) THEN 1 ELSE 0 END AS new FROM r WHERE r > 60),
+    g AS (SELECT *, sum(new) OVER (PARTITION BY image_id, side ORDER BY y) AS run FROM f) SELECT image_id, side, CAST(run AS BIGINT) AS run, CAST(min(y) AS INTEGER) AS y0, CAST(max(y) AS INTEGER) AS y1, count(*) AS n FROM g GROUP BY ALL""")
+def w6_runs(spark, sf_dir):
+    return op.runs(residuals(spark, sf_dir).where("r > 60"), 2).groupBy("image_id", "side", "run").agg(F.min("y").alias("y0"), F.max("y").alias("y1"), F.count(F.lit(1)).alias("n"))
+
+
+def _events(sign: int) -> str:
+    return f"""SELECT image_id, side, CAST(min(y) AS INTEGER) AS y0, CAST(max(y) AS INTEGER) AS y1, round(max(v), 6) AS peak, round(sum(v), 4) AS area, CAST(max(y) - min(y) + 1 AS INTEGER) AS height FROM (
+        SELECT *, sum(new) OVER (PARTITION BY image_id, side ORDER BY y) AS run FROM (
+        SELECT image_id, side, y, {sign} * r AS v, CASE WHEN coalesce(y - lag(y) OVER (PARTITION BY image_id, side ORDER BY y) > 4, true) THEN 1 ELSE 0 END AS new FROM s WHERE {sign} * r > greatest(2.0, 0.5 * sigma)))
+        GROUP BY image_id, side, run HAVING max(y) - min(y) + 1 >= 6"""
+
+
+@query(SIGMA + f", e AS ({_events(1)} UNION ALL {_events(-1)}) SELECT *, CASE WHEN (peak >= 4 AND height >= 8) OR (area >= 35 AND height >= 8) THEN 'NG' WHEN peak >= 2.5 AND height >= 6 THEN 'WARN' ELSE 'OK' END AS level FROM e")
+def w9_u3_events(spark, sf_dir):
+    r = residuals(spark, sf_dir)
+    both = op.events(r, PITCH, 1, sigmas=0.5).unionByName(op.events(r, PITCH, -1, sigmas=0.5))
+    return both.select("image_id", "side", "y0", "y1", F.round("peak", 6).alias("peak"), F.round("area", 4).alias("area"), "height", "level")
+
+
+@query(TEETH + f""", g AS (SELECT image_id, side, tooth, greatest(max(r), 0) AS up, greatest(-min(r), 0) AS down, sum(greatest(r, 0)) AS au, sum(greatest(-r, 0)) AS ad, arg_max(y, r) AS yu, arg_min(y, r) AS yd, count(*) AS n FROM t GROUP BY ALL),
+    s AS (SELECT *, CASE WHEN abs(yu - yd) <= {0.6 * PITCH} THEN least(up, down) + 0.03 * least(au, ad) / n ELSE 0.0 END AS score FROM g)
+    SELECT image_id, side, tooth, round(score, 6) AS score, CASE WHEN score >= 5.5 THEN 'NG' WHEN score >= 4 THEN 'WARN' ELSE 'OK' END AS level FROM s""")
+def w10_dipoles(spark, sf_dir):
+    return op.dipoles(residuals(spark, sf_dir), PITCH).select("image_id", "side", "tooth", F.round("score", 6).alias("score"), "level")
+
+
+@query(TEETH + """, p AS (SELECT image_id, side, tooth, max(x) AS peak, arg_max(y, x) AS y FROM t GROUP BY ALL), f AS (SELECT image_id, side, regr_slope(peak, y) AS a, regr_intercept(peak, y) AS b FROM p GROUP BY ALL)
+    SELECT p.image_id, p.side, tooth, round(peak, 6) AS peak, CAST(y AS INTEGER) AS y, round(peak - coalesce(b + a * y, peak), 4) AS residual, round(peak - lag(peak) OVER (PARTITION BY p.image_id, p.side ORDER BY tooth), 6) AS step FROM p JOIN f USING (image_id, side)""")
+def w11_tooth_peaks(spark, sf_dir):
+    t = op.tooth_peaks(v.signal(spark, sf_dir), PITCH)
+    return t.select("image_id", "side", "tooth", F.round("peak", 6).alias("peak"), "y", F.round("residual", 4).alias("residual"), F.round("step", 6).alias("step"))
+
+
+@query(RESIDUAL + """, d AS (SELECT image_id, side, sign, y, sign * r AS v FROM r, (VALUES (1), (-1)) s(sign) WHERE sign * r > 15),
+    n AS (SELECT *, sum(new) OVER (PARTITION BY image_id, side, sign ORDER BY y) AS run FROM (SELECT *, CASE WHEN coalesce(y - lag(y) OVER (PARTITION BY image_id, side, sign ORDER BY y) > 1, true) THEN 1 ELSE 0 END AS new FROM d)),
+    g AS (SELECT image_id, side, sign, run, sum(v - 15) AS area, arg_max(y, v) AS y FROM n GROUP BY ALL)
+    SELECT image_id, side, CAST(sign AS INTEGER) AS sign, round(max(area), 4) AS area, CAST(arg_max(y, area) AS INTEGER) AS y FROM g GROUP BY ALL""")
+def w12_largest_excursion(spark, sf_dir):
+    return op.largest_excursion(residuals(spark, sf_dir), 15).withColumn("area", F.round("area", 4))
+
+
+@query(RESIDUAL + """, l AS (SELECT image_id, side, lag, round(sum(a.r * b.r), 6) AS c FROM (SELECT *, unnest(range(5, 16)) AS lag FROM r) a JOIN r b USING (image_id, side) WHERE b.y = a.y + a.lag GROUP BY ALL)
+    SELECT image_id, side, CAST(lag AS INTEGER) AS pitch FROM (SELECT *, row_number() OVER (PARTITION BY image_id, side ORDER BY c DESC, lag) AS k FROM l) WHERE k = 1""")
+def w16_pitch(spark, sf_dir):
+    return op.pitch_estimate(residuals(spark, sf_dir), 5, 15)
+
+
+@query(RESIDUAL + """, p AS (SELECT *, unnest(range(greatest(0, CAST(floor((y - 10) / 6) AS BIGINT) + 1), y // 6 + 1)) AS strip_idx FROM r),
+    s AS (SELECT image_id, side, strip_idx, max(abs(r)) AS bump, CASE WHEN count(*) < 2 THEN 0.0 ELSE abs(regr_slope(r, y)) * (max(y) - min(y)) END AS skew FROM p GROUP BY ALL)
+    SELECT image_id, side, CAST(strip_idx AS INTEGER) AS strip_idx, round(bump, 6) AS bump, round(skew, 4) AS skew, round(greatest(abs(bump - lead(bump) OVER w), 2 * abs(skew - lead(skew) OVER w)), 4) AS pair FROM s WINDOW w AS (PARTITION BY image_id, side ORDER BY strip_idx)""")
+def w17_j8_strip_scores(spark, sf_dir):
+    s = op.strip_scores(residuals(spark, sf_dir), 10, 4)
+    return s.select("image_id", "side", "strip_idx", F.round("bump", 6).alias("bump"), F.round("skew", 4).alias("skew"), F.round("pair", 4).alias("pair"))
+
+
+@query("WITH f AS (SELECT image_id, regr_slope(x, y) AS a, regr_intercept(x, y) AS b FROM signal WHERE side = 'L' GROUP BY image_id) SELECT image_id, CAST(y AS INTEGER) AS y, round(x - (b + a * y + 16), 4) AS gap FROM signal JOIN f USING (image_id) WHERE side = 'R'")
+def j12_right_against_left(spark, sf_dir):
+    return op.against_left(v.signal(spark, sf_dir), 16).select("image_id", "y", F.round("gap", 4).alias("gap"))
+
+
+@query(RESIDUAL + """, z AS (SELECT image_id, side, CASE WHEN y < floor((max(y) OVER (PARTITION BY image_id, side) + 1) * 0.2) THEN 0.0 ELSE r END AS r FROM r)
+    SELECT image_id, round(max(r) FILTER (side = 'L'), 6) AS most_left, round(min(r) FILTER (side = 'L'), 6) AS least_left, round(max(r) FILTER (side = 'R'), 6) AS most_right, round(min(r) FILTER (side = 'R'), 6) AS least_right FROM z GROUP BY image_id""")
+def a27_p17_extremes(spark, sf_dir):
+    z = op.ignored_top(residuals(spark, sf_dir), 0.2)
+    side = lambda f, s: F.round(f(F.when(F.col("side") == s, F.col("r"))), 6)
+    return z.groupBy("image_id").agg(side(F.max, "L").alias("most_left"), side(F.min, "L").alias("least_left"), side(F.max, "R").alias("most_right"), side(F.min, "R").alias("least_right"))
+
+
+@query()
+def w13_phase_template(spark, sf_dir):
+    return op.phase_template(residuals(spark, sf_dir), PITCH)
+
+
+@query()
+def w14_smoothed(spark, sf_dir):
+    return op.per_curve(v.signal(spark, sf_dir), lambda y, x: op.smoothed(x), "smooth")
+
+
+@query()
+def w15_robust_reference(spark, sf_dir):
+    return op.per_curve(v.signal(spark, sf_dir), op.robust_reference, "reference")
+
+
+@query("""SELECT image_id, side, CAST(y AS INTEGER) AS y, max(x) OVER (PARTITION BY image_id, side ORDER BY y ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS tip FROM signal""")
+def w5_envelope(spark, sf_dir):
+    return v.signal(spark, sf_dir).select("image_id", "side", "y", F.max("x").over(op.curve().rowsBetween(-4, 4)).alias("tip"))

@@ -1 +1,225 @@
-"""."""
+"""Queries on maps, masks and rasters."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from inspectra.functions import images as im
+from inspectra.operators import imagery as op
+from inspectra.operators import knn, scores
+from inspectra.plans import views as v
+from inspectra.plans.registry import query
+
+
+def rasters(spark, sf_dir):
+    """The bytes of a text as gray rows of 64; texts of less than a row have none."""
+    data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    d = v.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("image_id"), data.alias("data"))
+    h = F.least(F.lit(64), F.floor(F.octet_length("data") / 64)).cast("int")
+    return d.withColumn("h", h).where("h >= 8").select("image_id", "h", F.lit(64).alias("w"), F.substring("data", F.lit(1), F.col("h") * 64).alias("data"))
+
+
+@query("SELECT image_id, round(quantile_cont(v, 0.999), 6) AS score, round(max(v), 6) AS most FROM heatmap GROUP BY image_id")
+def a12_map_score(spark, sf_dir):
+    h = v.heatmap(spark, sf_dir)
+    return op.map_score(h).join(op.map_score(h, None).withColumnRenamed("score", "most"), "image_id").select("image_id", F.round("score", 6).alias("score"), F.round("most", 6).alias("most"))
+
+
+TILES = "WITH t AS (SELECT image_id // 8 AS image_id, y + 4 * (image_id % 8) AS y, x, v FROM heatmap)"
+
+
+def tile_cells(spark, sf_dir):
+    """Eight maps per image, each four rows below the one before."""
+    h, i = v.heatmap(spark, sf_dir), F.col("image_id")
+    return h.select(F.floor(i / 8).alias("image_id"), (F.col("y") + 4 * (i % 8)).alias("y"), "x", "v")
+
+
+@query(TILES + " SELECT image_id, y, x, round(max(v), 6) AS v FROM t GROUP BY ALL")
+def a13_stitched(spark, sf_dir):
+    return op.stitched(tile_cells(spark, sf_dir)).withColumn("v", F.round("v", 6))
+
+
+@query(TILES + ", m AS (SELECT image_id, y, x, avg(abs(v)) AS v FROM t GROUP BY ALL) SELECT image_id, y, x, round(v / max(v) OVER (PARTITION BY image_id), 6) AS v FROM m")
+def a14_stitched_mean(spark, sf_dir):
+    cells = tile_cells(spark, sf_dir).withColumn("v", F.abs("v"))
+    return op.scaled_by_maximum(op.stitched(cells, "mean")).withColumn("v", F.round("v", 6))
+
+
+@query("""WITH c AS (SELECT e.label AS cls, h.y, h.x, h.v FROM heatmap h JOIN embeddings e ON h.image_id = e.vec_id), t AS (SELECT cls, y, x, avg(v) AS mean, avg(CASE WHEN v > 0 THEN 1.0 ELSE 0.0 END) > 0.5 AS mask FROM c GROUP BY ALL)
+    SELECT cls, count(*) FILTER (mask) AS fg_pixels, round(avg(mean) FILTER (mask), 6) AS fg_mean, round(avg(mean) FILTER (NOT mask), 6) AS bg_mean FROM t GROUP BY cls""")
+def a15_templates(spark, sf_dir):
+    cls = v.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.col("label").alias("cls"))
+    cells = v.heatmap(spark, sf_dir).join(cls, "image_id").withColumn("fg", F.col("v") > 0)
+    return op.templates(cells)[1].select("cls", "fg_pixels", F.round("fg_mean", 6).alias("fg_mean"), F.round("bg_mean", 6).alias("bg_mean"))
+
+
+@query("""WITH m AS (SELECT a.image_id, a.v > 0 AS gt, b.v > 0 AS pred FROM heatmap a JOIN heatmap b ON b.image_id = a.image_id + 1 AND a.y = b.y AND a.x = b.x)
+    SELECT image_id, round(CASE WHEN count(*) FILTER (gt OR pred) = 0 THEN 1.0 ELSE count(*) FILTER (gt AND pred) / count(*) FILTER (gt OR pred) END, 6) AS iou, round((2 * count(*) FILTER (gt AND pred) + 1) / (count(*) FILTER (gt) + count(*) FILTER (pred) + 1), 6) AS dice FROM m GROUP BY image_id""")
+def a20_j4_iou(spark, sf_dir):
+    h = v.heatmap(spark, sf_dir)
+    gt, pred = h.select("image_id", "y", "x", (F.col("v") > 0).alias("gt")), h.select((F.col("image_id") - 1).alias("image_id"), "y", "x", (F.col("v") > 0).alias("pred"))
+    return op.iou(gt.join(pred, ["image_id", "y", "x"])).select("image_id", F.round("iou", 6).alias("iou"), F.round("dice", 6).alias("dice"))
+
+
+@query("SELECT image_id, round(avg(CASE WHEN gray > 127 THEN 1.0 ELSE 0.0 END), 6) AS share, CASE WHEN avg(CASE WHEN gray > 127 THEN 1.0 ELSE 0.0 END) < 0.45 THEN 'NG' ELSE 'OK' END AS verdict FROM pixels GROUP BY image_id")
+def a23_p14_coverage(spark, sf_dir):
+    share = F.avg((F.col("gray") > 127).cast("double"))
+    return v.pixels(spark, sf_dir).groupBy("image_id").agg(F.round(share, 6).alias("share"), F.when(share < 0.45, "NG").otherwise("OK").alias("verdict"))
+
+
+@query("""WITH h AS (SELECT image_id, gray AS bin, count(*) AS c FROM pixels GROUP BY ALL), w AS (SELECT *, sum(c) OVER o AS low, sum(c * bin) OVER o AS mass, sum(c) OVER (PARTITION BY image_id) AS n, sum(c * bin) OVER (PARTITION BY image_id) AS total FROM h WINDOW o AS (PARTITION BY image_id ORDER BY bin)),
+    b AS (SELECT image_id, bin, round(coalesce(low * (n - low) * pow(mass / low - (total - mass) / nullif(n - low, 0), 2), 0), 6) AS b FROM w)
+    SELECT image_id, bin AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY b DESC, bin) AS r FROM b) WHERE r = 1""")
+def a24_otsu(spark, sf_dir):
+    return op.otsu_threshold(v.pixels(spark, sf_dir))
+
+
+@query("SELECT image_id, y, x, CAST(round(greatest(0.0, least(1.0, (v + 0.3) / 0.6)) * 65535) AS INTEGER) AS u16, v >= 0.85 * 0.2 AS masked FROM heatmap")
+def m21_u16_and_mask(spark, sf_dir):
+    return v.heatmap(spark, sf_dir).select("image_id", "y", "x", op.as_u16(F.col("v"), -0.3, 0.3).alias("u16"), (F.col("v") >= 0.85 * 0.2).alias("masked"))
+
+
+@query("SELECT image_id, y, x, round((0.2989 * gray + 0.5870 * ((gray + 40) % 256) + 0.1140 * ((gray + 90) % 256)) / 255, 6) AS lum FROM pixels")
+def m1_luminance(spark, sf_dir):
+    g = F.col("gray")
+    return v.pixels(spark, sf_dir).select("image_id", "y", "x", F.round((0.2989 * g + 0.5870 * ((g + 40) % 256) + 0.1140 * ((g + 90) % 256)) / 255, 6).alias("lum"))
+
+
+@query("WITH p AS (SELECT image_id, y, quantile_cont(gray, 0.1) AS lo, quantile_cont(gray, 0.9) AS hi FROM pixels GROUP BY ALL) SELECT image_id, y, x, round(greatest(0, least(1, (gray - lo) / greatest(hi - lo, 1e-6))), 8) AS s FROM pixels JOIN p USING (image_id, y)")
+def w18_row_stretch(spark, sf_dir):
+    p = v.pixels(spark, sf_dir)
+    r = p.groupBy("image_id", "y").agg(F.percentile("gray", F.lit(0.1)).alias("lo"), F.percentile("gray", F.lit(0.9)).alias("hi"))
+    return p.join(r, ["image_id", "y"]).select("image_id", "y", "x", F.round(op.scaled(F.col("gray"), F.col("lo"), F.greatest(F.col("hi"), F.col("lo") + 1e-6)), 8).alias("s"))
+
+
+@query("SELECT image_id, y, max(x) AS x FROM heatmap WHERE x < 4 AND v > 0.1 GROUP BY ALL")
+def i15_inner_boundary(spark, sf_dir):
+    return op.inner_boundary(v.heatmap(spark, sf_dir).where("x < 4 AND v > 0.1"), "L")
+
+
+@query("""SELECT a.image_id, a.y, a.x, bool_or(b.v > 0.2) AS dilated, bool_and(b.v > -0.2) AS eroded FROM heatmap a JOIN heatmap b ON a.image_id = b.image_id AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 GROUP BY ALL""")
+def i8_morphology(spark, sf_dir):
+    h = v.heatmap(spark, sf_dir)
+    on = lambda limit: h.select("image_id", "y", "x", (F.col("v") > limit).alias("on"))
+    grown = op.neighbours(on(0.2), 3, True).withColumnRenamed("on", "dilated")
+    return grown.join(op.neighbours(on(-0.2), 3, False).withColumnRenamed("on", "eroded"), ["image_id", "y", "x"])
+
+
+@query("SELECT image_id, round(avg(CASE WHEN x = 3 THEN v END), 6) AS column_3 FROM heatmap GROUP BY image_id")
+def i12_column_mean(spark, sf_dir):
+    return v.heatmap(spark, sf_dir).where("x = 3").groupBy("image_id").agg(F.round(F.avg("v"), 6).alias("column_3"))
+
+
+@query("""WITH r AS (SELECT image_id, points[3][1] - points[1][1] AS pw, points[3][2] - points[1][2] AS ph, w, h, points[1][1] AS x0, points[1][2] AS y0 FROM polygons WHERE len(points) >= 3 AND lower(trim(label)) = 'panel')
+    SELECT image_id, greatest(0, least(x0 + pw, w) - x0) * greatest(0, least(y0 + ph, h) - y0) AS area FROM r""")
+def i16_polygon_area(spark, sf_dir):
+    """Pixels of the scan-line filled mask of each panel."""
+    p = v.polygons(spark, sf_dir).where((F.size("points") >= 3) & (F.lower(F.trim("label")) == "panel"))
+
+    def run(batches):
+        for batch in batches:
+            area = [int(im.polygon_mask([[list(c) for c in p]], h, w).sum()) for p, h, w in zip(batch["points"], batch["h"], batch["w"], strict=True)]
+            yield batch[["image_id"]].assign(area=area)
+
+    return p.mapInPandas(run, "image_id long, area long")
+
+
+@query()
+def i9_t1_regions(spark, sf_dir):
+    def run(image, gray):
+        return [(image, k, r["x"], r["y"], r["w"], r["h"], r["score"], r["area_px"]) for k, r in enumerate(im.regions(gray > 110, gray.astype(float), 3))]
+
+    return op.per_image(rasters(spark, sf_dir), run, "image_id long, rank int, x int, y int, w int, h int, score double, area_px int")
+
+
+@query()
+def i2_i3_i11_features(spark, sf_dir):
+    """Resized, equalised, edge and texture means of each raster."""
+
+    def run(image, gray):
+        return [(image, float(im.resize(gray, 16, 16).mean()), float(im.resize_padded(gray, 32).mean()), float(im.equalised(gray).mean()), float(im.edges(gray).mean()), float(im.local_std(gray, 5).mean()))]
+
+    return op.per_image(rasters(spark, sf_dir), run, "image_id long, resized double, padded double, equalised double, edges double, texture double")
+
+
+@query()
+def i4_i7_shape(spark, sf_dir):
+    """Foreground share, and the shape score against the raster's own centred mask."""
+
+    def run(image, gray):
+        mask = im.foreground(gray)
+        return [(image, float(mask.mean()), im.otsu(gray), im.shape_score(im.centred(gray), mask))]
+
+    return op.per_image(rasters(spark, sf_dir), run, "image_id long, share double, otsu int, shape_score double")
+
+
+@query()
+def i5_i6_structure(spark, sf_dir):
+    """Found shift of a moved copy, and its structural score once moved back."""
+
+    def run(image, gray):
+        dy, dx = im.best_shift(im.shifted(gray[:16, :32], 1, 2), gray[:16, :32], 3)
+        back = im.shifted(im.shifted(gray[:16, :32], 1, 2), dy, dx)
+        return [(image, dy, dx, im.structural_score(back, gray[:16, :32], np.ones(back.shape, bool)))]
+
+    return op.per_image(rasters(spark, sf_dir), run, "image_id long, dy int, dx int, score double")
+
+
+@query()
+def i10_i13_i14_boundaries(spark, sf_dir):
+    def run(image, gray):
+        m = im.metal_score(gray)
+        side = im.hysteresis(m > 0.3, m > 0.6, "L")
+        return [(image, float(m.mean()), int(side.sum()), int((im.left_boundary(gray) >= 0).sum()), float(im.column_profile(gray).mean()))]
+
+    return op.per_image(rasters(spark, sf_dir), run, "image_id long, metal double, side_pixels int, found_rows int, profile_mean double")
+
+
+@query()
+def i18_i19_synthetic(spark, sf_dir):
+    """Kind and mask size of a seeded defect on each raster, after augmentation."""
+
+    def run(image, gray):
+        rng = np.random.default_rng(image)
+        a, mask = im.augmented(gray, np.zeros(gray.shape, bool), rng)
+        _, mask, kind = im.with_defect(np.ascontiguousarray(a), rng)
+        return [(image, kind, int(mask.sum()))]
+
+    return op.per_image(rasters(spark, sf_dir), run, "image_id long, kind string, mask_px int")
+
+
+@query("""WITH x AS (SELECT image_id, w, unnest(CASE WHEN w > 512 THEN list_distinct(list_append(range(0, w - 511, 384), w - 512)) ELSE [0] END) AS start FROM image_index)
+    SELECT image_id, CAST(start AS INTEGER) AS start, CAST(least(w, start + 512) AS INTEGER) AS stop FROM x""")
+def x4_tile_function(spark, sf_dir):
+    op.position_udtf(spark)
+    v.image_index(spark, sf_dir).createOrReplaceTempView("image_index_rows")
+    return spark.sql("SELECT image_id, t.start, t.stop FROM image_index_rows, LATERAL tile_positions(w, 512, 384) t")
+
+
+@query("WITH p AS (SELECT image_id, sqrt(list_dot_product(emb[1:8], emb[1:8])) AS d FROM patches) SELECT image_id, round(list_avg(list_reverse_sort(list(d))[1:10]), 6) AS score FROM p GROUP BY image_id")
+def x3_score_aggregate(spark, sf_dir):
+    d = v.patches(spark, sf_dir).select("image_id", knn.norm(F.slice("emb", 1, 8)).alias("d"))
+    return d.groupBy("image_id").agg(F.round(op.topk_mean("d"), 6).alias("score"))
+
+
+@query("SELECT image_id, round(list_max(list(d)), 6) AS score FROM (SELECT image_id, sqrt(list_dot_product(emb[1:8], emb[1:8])) AS d FROM patches) GROUP BY image_id")
+def x1_registered_algorithm(spark, sf_dir):
+    registry = op.Registry()
+    for name, mode in scores.MODES.items():
+        registry.register(name, lambda df, mode=mode: df.groupBy("image_id").agg(F.round(mode(F.collect_list("d")), 6).alias("score")))
+    score, _ = registry.get("max")
+    return score(v.patches(spark, sf_dir).select("image_id", knn.norm(F.slice("emb", 1, 8)).alias("d")))
+
+
+@query()
+def x2_patch_embedding(spark, sf_dir):
+    """Default embedder: 8 x 8 pixel patches, projected and normalised."""
+
+    def run(image, gray):
+        h, w = gray.shape[0] // 8, gray.shape[1] // 8
+        p = gray[: h * 8, : w * 8].reshape(h, 8, w, 8).transpose(0, 2, 1, 3).reshape(-1, 64).astype(float) / 255
+        return [(image, k, row) for k, row in enumerate(p)]
+
+    patches = op.per_image(rasters(spark, sf_dir), run, "image_id long, patch_idx int, emb array<double>")
+    return knn.projection(patches, "emb", 16).select("image_id", "patch_idx", F.round(F.element_at("emb", 1), 9).alias("first"))

@@ -1 +1,102 @@
-"""."""
+"""Queries on strip profiles."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from inspectra.operators import knn
+from inspectra.operators import profiles as op
+from inspectra.plans import views as v
+from inspectra.plans.registry import query
+
+PAIRS = "WITH q AS (SELECT image_id, CAST(strip_idx AS INTEGER) AS strip_idx, profile AS a, lead(profile) OVER (PARTITION BY image_id ORDER BY strip_idx) AS b FROM profiles), p AS (SELECT * FROM q WHERE b IS NOT NULL)"
+
+
+def pairs(spark, sf_dir):
+    return op.pairs(v.profiles(spark, sf_dir))
+
+
+def rounded(column, name):
+    return F.round(column, 6).alias(name)
+
+
+@query(PAIRS + " SELECT image_id, strip_idx, round(list_distance(a, b), 6) AS l2, round(1 - list_cosine_similarity(a, b), 6) AS cosine FROM p")
+def w1_pair_distances(spark, sf_dir):
+    a, b = F.col("a"), F.col("b")
+    return pairs(spark, sf_dir).select("image_id", "strip_idx", rounded(knn.l2(a, b), "l2"), rounded(knn.cosine_distance(a, b), "cosine"))
+
+
+@query(PAIRS + " SELECT image_id, max(d) AS worst, arg_max(strip_idx, d) AS strip_idx, CASE WHEN max(d) >= 1.5 THEN 'NG' ELSE 'OK' END AS verdict FROM (SELECT image_id, strip_idx, round(list_distance(a, b), 6) AS d FROM p) GROUP BY image_id")
+def t2_worst_pair(spark, sf_dir):
+    d = pairs(spark, sf_dir).select("image_id", "strip_idx", rounded(knn.l2(F.col("a"), F.col("b")), "d"))
+    return d.groupBy("image_id").agg(F.max("d").alias("worst"), F.max_by("strip_idx", F.struct("d", -F.col("strip_idx"))).alias("strip_idx")).withColumn("verdict", F.when(F.col("worst") >= 1.5, "NG").otherwise("OK"))
+
+
+@query("""WITH m AS (SELECT image_id, CAST(strip_idx AS INTEGER) AS strip_idx, profile, list_avg(profile) AS m FROM profiles), s AS (SELECT *, sqrt(list_avg(list_transform(profile, lambda x: (x - m) * (x - m)))) AS sd FROM m)
+    SELECT image_id, strip_idx, round((profile[1] - m) / sd, 6) AS first, round((profile[64] - m) / sd, 6) AS last FROM s""")
+def m12_z_normalised(spark, sf_dir):
+    z = v.profiles(spark, sf_dir).select("image_id", "strip_idx", op.z_normalised(F.col("profile")).alias("z"))
+    return z.select("image_id", "strip_idx", rounded(F.element_at("z", 1), "first"), rounded(F.element_at("z", -1), "last"))
+
+
+@query(PAIRS + """, r AS (SELECT image_id, strip_idx, b, list_transform(range(0, 64), lambda i: a[1 + CAST(floor(i * 47 / 63) AS BIGINT)] + (a[least(48, 2 + CAST(floor(i * 47 / 63) AS BIGINT))] - a[1 + CAST(floor(i * 47 / 63) AS BIGINT)]) * (i * 47 / 63 - floor(i * 47 / 63))) AS a FROM p)
+    SELECT image_id, strip_idx, round(list_distance(a, b) / 8, 6) AS d FROM r""")
+def m13_m14_resampled_rms(spark, sf_dir):
+    short = op.resampled(F.slice("a", 1, 48), F.size("b"))
+    return pairs(spark, sf_dir).select("image_id", "strip_idx", rounded(op.rms(short, F.col("b")), "d"))
+
+
+@query(PAIRS + ", m AS (SELECT *, list_avg(a) AS ma, list_avg(b) AS mb FROM p), c AS (SELECT *, list_transform(a, lambda x: x - ma) AS ca, list_transform(b, lambda x: x - mb) AS cb FROM m) SELECT image_id, strip_idx, round(1 - list_cosine_similarity(ca, cb), 6) AS d FROM c")
+def m14_correlation_distance(spark, sf_dir):
+    return pairs(spark, sf_dir).select("image_id", "strip_idx", rounded(op.correlation_distance(F.col("a"), F.col("b")), "d"))
+
+
+@query(PAIRS + """, s AS (SELECT image_id, strip_idx, list_transform(range(0, 4), lambda i: list_distance(a[16 * i + 1:16 * i + 16], b[16 * i + 1:16 * i + 16]) / 4) AS d FROM p)
+    SELECT image_id, strip_idx, round(list_max(d), 6) AS distance, round(list_max(d) - list_min(d), 6) AS skew FROM s""")
+def m17_segment_distance(spark, sf_dir):
+    d = pairs(spark, sf_dir).select("image_id", "strip_idx", op.segment_distances(F.col("a"), F.col("b"), 4).alias("d"))
+    return d.select("image_id", "strip_idx", rounded(F.array_max("d"), "distance"), rounded(F.array_max("d") - F.array_min("d"), "skew"))
+
+
+@query(PAIRS + ", c AS (SELECT image_id, strip_idx, list_transform(list_zip(a, b), lambda z: abs(z[1] - z[2])) AS c FROM p) SELECT image_id, strip_idx, round(list_max(c), 6) AS most, round(list_avg(c), 6) AS mean FROM c")
+def m18_difference_curve(spark, sf_dir):
+    c = pairs(spark, sf_dir).select("image_id", "strip_idx", op.difference_curve(F.col("a"), F.col("b")).alias("c"))
+    return c.select("image_id", "strip_idx", rounded(F.array_max("c"), "most"), rounded(op.mean(F.col("c")), "mean"))
+
+
+@query(PAIRS + """, m AS (SELECT image_id, strip_idx, a, b, list_avg(a) AS ma, list_avg(b) AS mb FROM p), s AS (SELECT *, unnest(range(-5, 6)) AS s FROM m),
+    c AS (SELECT image_id, strip_idx, s, round(list_dot_product(list_transform(a[greatest(0, -s) + 1:64 - greatest(0, s)], lambda x: x - ma), list_transform(b[greatest(0, s) + 1:64 - greatest(0, -s)], lambda x: x - mb)), 9) AS v FROM s)
+    SELECT image_id, strip_idx, s AS shift FROM (SELECT *, row_number() OVER (PARTITION BY image_id, strip_idx ORDER BY v DESC, abs(s), s) AS r FROM c) WHERE r = 1""")
+def m15_profile_shift(spark, sf_dir):
+    return op.shifts(pairs(spark, sf_dir), 5).select("image_id", "strip_idx", "shift")
+
+
+@query()
+def w3_j9_m16_peak_matches(spark, sf_dir):
+    return op.peak_matches(pairs(spark, sf_dir))
+
+
+CELLS = "WITH c AS (SELECT image_id, CAST(strip_idx AS INTEGER) AS strip_idx, unnest(profile) AS v, CAST(generate_subscripts(profile, 1) - 1 AS INTEGER) AS pos FROM profiles)"
+
+
+def cells(spark, sf_dir):
+    return v.profiles(spark, sf_dir).select("image_id", "strip_idx", F.posexplode("profile").alias("pos", "v"))
+
+
+@query(CELLS + " SELECT image_id, strip_idx, pos, round(sum(v) OVER (PARTITION BY image_id, strip_idx ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5, 6) AS smooth FROM c")
+def w4_boxcar(spark, sf_dir):
+    return op.boxcar(cells(spark, sf_dir), ["image_id", "strip_idx"], "pos", "v", 5).select("image_id", "strip_idx", "pos", F.round("smooth", 6).alias("smooth"))
+
+
+_W = [float(x) for x in op.gaussian_weights(5)]
+
+
+@query(CELLS + f" SELECT image_id, strip_idx, pos, round({' + '.join(f'coalesce(lag(v, {2 - k}) OVER w, 0.0) * {_W[k]!r}::DOUBLE' for k in range(5))}, 6) AS smooth FROM c WINDOW w AS (PARTITION BY image_id, strip_idx ORDER BY pos)")
+def w4_gaussian(spark, sf_dir):
+    return op.gaussian(cells(spark, sf_dir), ["image_id", "strip_idx"], "pos", "v", 5).select("image_id", "strip_idx", "pos", F.round("smooth", 6).alias("smooth"))
+
+
+@query(PAIRS + " SELECT round(greatest(quantile_cont(list_distance(a, b) / 8, 0.999) * 1.5, 0.1), 6) AS thr, count(*) AS n_pairs, count(DISTINCT image_id) AS n_images FROM p")
+def a6_pair_threshold(spark, sf_dir):
+    d = pairs(spark, sf_dir).select("image_id", op.rms(F.col("a"), F.col("b")).alias("d"))
+    return d.agg(F.round(F.greatest(F.percentile("d", F.lit(0.999)) * 1.5, F.lit(0.1)), 6).alias("thr"), F.count(F.lit(1)).alias("n_pairs"), F.count_distinct("image_id").alias("n_images"))
