@@ -86,11 +86,11 @@ def m1_luminance(spark, sf_dir):
     return v.pixels(spark, sf_dir).select("image_id", "y", "x", F.round((0.2989 * g + 0.5870 * ((g + 40) % 256) + 0.1140 * ((g + 90) % 256)) / 255, 6).alias("lum"))
 
 
-@query("WITH p AS (SELECT image_id, y, quantile_cont(gray, 0.1) AS lo, quantile_cont(gray, 0.9) AS hi FROM pixels GROUP BY ALL) SELECT image_id, y, x, round(greatest(0, least(1, (gray - lo) / greatest(hi - lo, 1e-6))), 8) AS s FROM pixels JOIN p USING (image_id, y)")
+@query("WITH p AS (SELECT image_id, y, quantile_cont(gray, 0.1) AS lo, quantile_cont(gray, 0.9) AS hi FROM pixels GROUP BY ALL) SELECT image_id, y, x, round(greatest(0, least(1, (gray - lo) / greatest(hi - lo, 1e-6))), 12) AS s FROM pixels JOIN p USING (image_id, y)")
 def w18_row_stretch(spark, sf_dir):
     p = v.pixels(spark, sf_dir)
     r = p.groupBy("image_id", "y").agg(F.percentile("gray", F.lit(0.1)).alias("lo"), F.percentile("gray", F.lit(0.9)).alias("hi"))
-    return p.join(r, ["image_id", "y"]).select("image_id", "y", "x", F.round(op.scaled(F.col("gray"), F.col("lo"), F.greatest(F.col("hi"), F.col("lo") + 1e-6)), 8).alias("s"))
+    return p.join(r, ["image_id", "y"]).select("image_id", "y", "x", F.round(op.scaled(F.col("gray"), F.col("lo"), F.greatest(F.col("hi"), F.col("lo") + 1e-6)), 12).alias("s"))
 
 
 @query("SELECT image_id, y, max(x) AS x FROM heatmap WHERE x < 4 AND v > 0.1 GROUP BY ALL")
