@@ -1 +1,90 @@
-"""."""
+"""Streaming queries over the event table, drained to a table, and round trips."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from inspectra.plans import views as v
+from inspectra.plans.registry import query
+from inspectra.sources import files
+from inspectra.sources.folders import shared_path
+from inspectra.streaming import streams as op
+
+
+def job_stream(spark, sf_dir):
+    e = op.read_table(spark, f"{sf_dir}/events.parquet")
+    pred = F.when(F.col("event_type") == "signup", "NG").when(F.col("event_type") == "error", "ERROR").when(F.col("event_type") == "click", "WARN").otherwise("OK")
+    return e.select(F.col("event_id").alias("job_id"), F.concat(F.lit("p"), F.col("user_id") % 8).alias("project_id"), "user_id", pred.alias("pred"), F.col("value").alias("infer_ms"), F.col("ts").cast("timestamp").alias("ts"))
+
+
+@query("""WITH w AS (SELECT date_trunc('minute', ts) AS start, project_id, count(*) AS jobs, round(avg(CASE WHEN pred = 'OK' THEN 1.0 ELSE 0.0 END), 6) AS yield, round(avg(infer_ms), 4) AS mean_ms FROM jobs GROUP BY ALL)
+    SELECT * FROM w WHERE start + INTERVAL 1 MINUTE <= (SELECT max(ts) FROM jobs) - INTERVAL 10 MINUTE""")
+def r5_monitor_stream(spark, sf_dir):
+    return op.drain(op.minute_monitor(job_stream(spark, sf_dir)), "monitor").select("start", "project_id", "jobs", F.round("yield", 6).alias("yield"), F.round("mean_ms", 4).alias("mean_ms"))
+
+
+@query("""WITH a AS (SELECT user_id, CAST(ts AS TIMESTAMP) AS ts, event_id FROM events), b AS (SELECT *, CASE WHEN coalesce(ts - lag(ts) OVER w >= INTERVAL 6 HOUR, true) THEN 1 ELSE 0 END AS new FROM a WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    c AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM b), d AS (SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS requests FROM c GROUP BY user_id, s)
+    SELECT * FROM d WHERE "end" <= (SELECT max(ts) FROM a) - INTERVAL 10 MINUTE""")
+def r6_session_stream(spark, sf_dir):
+    return op.drain(op.sessions(job_stream(spark, sf_dir).select("user_id", "ts"), "user_id", "6 hours"), "sessions")
+
+
+@query("""SELECT project_id, count(*) AS total, count(*) FILTER (pred = 'OK') AS ok, count(*) FILTER (pred = 'NG') AS ng, count(*) FILTER (pred NOT IN ('OK', 'NG')) AS error, max(ts) AS last_ts,
+    round(sum(pow(0.9, age) * (CASE WHEN age = n - 1 THEN 1.0 ELSE 0.1 END) * infer_ms), 4) AS avg_ms FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY ts DESC, job_id DESC) - 1 AS age, count(*) OVER (PARTITION BY project_id) AS n FROM jobs) GROUP BY project_id""")
+def r4_live_stats_stream(spark, sf_dir):
+    live = op.drain(op.live_stats(job_stream(spark, sf_dir)), "live-stats", "update")
+    return live.groupBy("project_id").agg(F.max_by(F.struct(*[c for c in live.columns if c not in ("project_id", "epoch")]), "epoch").alias("s")).select("project_id", "s.total", "s.ok", "s.ng", "s.error", "s.last_ts", F.round("s.avg_ms", 4).alias("avg_ms"))
+
+
+@query("""SELECT a.stem, a.ts AS image_ts, b.ts AS json_ts FROM arrivals a JOIN arrivals b ON a.stem = b.stem AND a.kind = 'image' AND b.kind = 'json' AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 240000000""")
+def r1_pair_stream(spark, sf_dir):
+    e = lambda: op.read_table(spark, f"{sf_dir}/events.parquet").select(F.floor(F.col("event_id") / 2).alias("stem"), (F.col("event_id") % 2 == 0).alias("image"), F.col("ts").cast("timestamp").alias("ts"))
+    return op.drain(op.pairs(e().where("image"), e().where("NOT image"), "240 seconds", outer=False), "pairs")
+
+
+@query("SELECT CAST(job_id AS VARCHAR) AS job_id, project_id, pred, round(infer_ms, 3) AS score, date FROM jobs")
+def s6_log_round_trip(spark, sf_dir):
+    folder = shared_path(spark, "job-log")
+    files.append_log(v.jobs(spark, sf_dir).select(F.col("job_id").cast("string").alias("job_id"), "project_id", "pred", F.col("infer_ms").alias("score"), "date"), folder)
+    return files.read_log(spark, folder).select("job_id", "project_id", "pred", F.round("score", 3).alias("score"), "date")
+
+
+@query("SELECT cls, bank_id FROM bank WHERE cls % 3 <> 0")
+def s8_model_round_trip(spark, sf_dir):
+    folder = shared_path(spark, "models")
+    bank = v.bank(spark, sf_dir)
+    models = bank.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).withColumn("algo_method", F.when(F.col("cls") % 3 == 0, "structural").otherwise("patch"))
+    files.write_models(models, bank, folder)
+    return files.read_models(spark, folder, "patch")[1].select("cls", "bank_id")
+
+
+@query("SELECT vec_id AS sample_id, CASE WHEN embedding[1] > 0 THEN 'OK' ELSE 'NG' END AS result, round(abs(CAST(embedding[1] AS DOUBLE)), 4) AS prob_ok FROM embeddings")
+def s12_result_text(spark, sf_dir):
+    first = F.element_at("embedding", 1).cast("double")
+    text = files.result_text(F.when(first > 0, "OK").otherwise("NG"), F.abs(first))
+    m = v.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sample_id"), files.parsed_result_text(text).alias("m"))
+    return m.select("sample_id", F.col("m")["result"].alias("result"), F.col("m")["prob_OK"].cast("double").alias("prob_ok"))
+
+
+@query("SELECT image_id, idx, ch, round(cx, 3) AS cx FROM glyph_items WHERE ch ~ '^[a-z]$'")
+def s7_csv_round_trip(spark, sf_dir):
+    folder = shared_path(spark, "details")
+    files.write_csv(v.glyph_items(spark, sf_dir).where(F.col("ch").rlike("^[a-z]$")).select("image_id", "idx", "ch", "cx"), folder)
+    return spark.read.option("header", True).schema("image_id long, idx int, ch string, cx double").csv(folder).withColumn("cx", F.round("cx", 3))
+
+
+@query("SELECT pred, count(*) AS n FROM jobs GROUP BY pred")
+def s13_sorted_folders(spark, sf_dir):
+    folder = shared_path(spark, "sorted")
+    v.jobs(spark, sf_dir).select("job_id", "pred").write.partitionBy("pred").parquet(folder)
+    return spark.read.schema("job_id long, pred string").parquet(folder).groupBy("pred").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT CAST(cls AS VARCHAR) AS cls, count(*) AS n FROM bank GROUP BY ALL")
+def s9_s10_report_and_suspects(spark, sf_dir):
+    folder = shared_path(spark, "suspects")
+    rows = v.bank(spark, sf_dir).select("cls", F.element_at("emb", 1).cast("double").alias("score"), F.lit("train").alias("split"), F.concat("bank_id", F.lit(".png")).alias("path"))
+    files.write_suspects(rows, folder)
+    read = spark.read.schema("value string, cls string").text(folder)
+    return read.where(F.size(F.split("value", "\t")) == 3).groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
