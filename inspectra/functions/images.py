@@ -205,8 +205,8 @@ def labelled(mask: np.ndarray, diagonal: bool = False) -> np.ndarray:
             a = label[: h - dy, max(0, -dx) : w - max(0, dx)]
             b = label[dy:, max(0, dx) : w + min(0, dx)]
             low = np.where((a > 0) & (b > 0), np.minimum(a, b), 0)
-            np.copyto(a, low, where=low > 0)
-            np.copyto(b, low, where=low > 0)
+            np.minimum(a, low, out=a, where=low > 0)
+            np.minimum(b, low, out=b, where=low > 0)
         if (label == before).all():
             break
     return np.searchsorted(np.unique(label[label > 0]), label) * (label > 0) + (label > 0)

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
+from pyspark.sql.types import DoubleType
 
 
 def per_image(rasters: DataFrame, function: Callable[[int, np.ndarray], list[tuple]], schema: str) -> DataFrame:
@@ -112,7 +113,7 @@ def position_udtf(spark):
     return TilePositions
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def topk_mean(d: pd.Series) -> float:
     """Grouped aggregate: mean of the ten largest."""
     return float(np.sort(d.to_numpy())[::-1][:10].mean())
