@@ -114,8 +114,11 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", co
     """The rows of df that stay, with all their columns."""
     kept = decide(df, id_col, text_col, counters).where("kept").select(F.col("doc_id").alias("_id"), F.col("n_points").alias("_points"), F.col("digest").alias("_digest"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    named = df.withColumns({"_id": F.col(id_col).cast("long"), "_points": F.length(text).cast("long"), "_digest": F.unhex(F.sha2(normalised(F.col(text_col)), 256))})
+    named = df.select(
+        F.struct("*").alias("row"), F.col(id_col).cast("long").alias("_id"), F.length(text).cast("long").alias("_points"),
+        F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("_digest"),
+    )
     k = kept.select(*[F.col(c).alias(c + "k") for c in kept.columns])
     same = named._digest.eqNullSafe(k._digestk) & named._id.eqNullSafe(k._idk) & (named._points == k._pointsk)
     once = Window.partitionBy("_digest", "_id", "_points").orderBy("_digest")
-    return named.join(k, same, "left_semi").withColumn("_n", F.row_number().over(once)).where("_n = 1").drop("_id", "_points", "_digest", "_n")
+    return named.join(k, same, "left_semi").withColumn("_n", F.row_number().over(once)).where("_n = 1").select("row.*")

@@ -252,7 +252,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **se
     marked = group(df, id_col, text_col, **settings)
     kept = marked.where(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")))
     kept = kept.select(F.col("doc_id").alias("_kept"), F.col("text_hash").alias("_hash")).distinct()
-    named = df.withColumns({"_id": F.col(id_col).cast("long"), "_text": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    named = df.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_text"))
     once = Window.partitionBy("_text", "_id").orderBy("_text")
     same = (F.col("_text") == F.col("_hash")) & F.col("_id").eqNullSafe(F.col("_kept"))
-    return named.join(kept, same, "left_semi").withColumn("_n", F.row_number().over(once)).where("_n = 1").drop("_n", "_id", "_text")
+    return named.join(kept, same, "left_semi").withColumn("_n", F.row_number().over(once)).where("_n = 1").select("row.*")
