@@ -173,9 +173,12 @@ def a3_class_totals(spark, sf_dir):
 
 @query("SELECT count(*) AS crops, count(DISTINCT image_id) AS images, list_sort(list(DISTINCT CASE WHEN ch = ' ' THEN CAST(image_id AS VARCHAR) END))[1:20] AS first_errors FROM glyph_items")
 def a28_crop_report(spark, sf_dir):
-    errors = F.slice(F.array_sort(F.collect_set(F.col("err"))), 1, 20)
+    """Totals and the first 20 errors; the errors are cut to 20 before they meet."""
     rows = v.glyph_items(spark, sf_dir).groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("ch") == " ", F.col("image_id").cast("string"))).alias("err"))
-    return rows.agg(F.sum("n").alias("crops"), F.count(F.lit(1)).alias("images"), errors.alias("first_errors"))
+    totals = rows.agg(F.sum("n").alias("crops"), F.count(F.lit(1)).alias("images")).withColumn("err", F.lit(None).cast("string"))
+    none = F.lit(None).cast("long")
+    errors = rows.where("err IS NOT NULL").select("err").distinct().orderBy("err").limit(20).select(none.alias("crops"), none.alias("images"), "err")
+    return totals.unionByName(errors).agg(F.max("crops").alias("crops"), F.max("images").alias("images"), F.array_sort(F.collect_list("err")).alias("first_errors"))
 
 
 @query("SELECT count(DISTINCT ch) AS classes, count(DISTINCT image_id) AS images, count(*) AS items FROM glyph_items")
