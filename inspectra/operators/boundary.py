@@ -134,11 +134,14 @@ def savgol_weights(size: int, degree: int) -> np.ndarray:
     return np.linalg.pinv(np.vander(x, degree + 1, increasing=True))[0]
 
 
+def median_filtered(values: np.ndarray, size: int = 5) -> np.ndarray:
+    mirrored = np.pad(values, size // 2, mode="symmetric")
+    return np.median(np.lib.stride_tricks.sliding_window_view(mirrored, size), axis=1)
+
+
 def smoothed(values: np.ndarray, median: int = 5, size: int = 7, degree: int = 2) -> np.ndarray:
     """Median filter with mirrored ends, then the polynomial's."""
-    mirrored = np.pad(values, median // 2, mode="symmetric")
-    middle = np.median(np.lib.stride_tricks.sliding_window_view(mirrored, median), axis=1)
-    mirrored = np.pad(middle, size // 2, mode="symmetric")
+    mirrored = np.pad(median_filtered(values, median), size // 2, mode="symmetric")
     return np.lib.stride_tricks.sliding_window_view(mirrored, size) @ savgol_weights(size, degree)
 
 

@@ -124,6 +124,20 @@ def class_weights(rows: DataFrame, label: str) -> DataFrame:
     return counts.withColumn("weight", F.sum("n").over(everything) / (F.count(F.lit(1)).over(everything) * (F.col("n") + 1e-6)))
 
 
+def weighted_draws(rows: DataFrame, key: str, label: str, draws: int, seed: int = 42) -> DataFrame:
+    """Draws with replacement, each class as likely as any other. A draw picks
+    a class, then a place among its rows, both from a hash of its number; rows
+    are numbered per class, and the draw joins the row with its number."""
+    sizes = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_size"))
+    classes = sizes.withColumns({"_class": F.row_number().over(Window.orderBy(label)) - 1, "_classes": F.count(F.lit(1)).over(Window.partitionBy())})  # a row per class
+    share = lambda salt: F.pmod(F.xxhash64("draw", F.lit(seed), F.lit(salt)), F.lit(1 << 30)) / float(1 << 30)
+    numbered = rows.withColumn("_place", F.row_number().over(Window.partitionBy(label).orderBy(hash_order(F.col(key), seed), key)) - 1)
+    many = classes.select("_classes").limit(1).withColumn("_one", F.lit(1))
+    drawn = rows.sparkSession.range(draws).withColumnRenamed("id", "draw").withColumn("_one", F.lit(1)).join(F.broadcast(many), "_one").withColumn("_class", F.floor(share(1) * F.col("_classes")).cast("int"))
+    placed = drawn.drop("_classes").join(F.broadcast(classes.drop("_classes")), "_class").withColumn("_place", F.floor(share(2) * F.col("_size")).cast("int"))
+    return placed.select("draw", label, "_place").join(numbered, [label, "_place"]).select("draw", label, key)
+
+
 def confusion(rows: DataFrame) -> DataFrame:
     """Counts, accuracy, precision and recall of NG."""
     a, p = F.col("actual_ng"), F.col("predicted_ng")

@@ -121,3 +121,10 @@ def w15_robust_reference(spark, sf_dir):
 @query("""SELECT image_id, side, CAST(y AS INTEGER) AS y, max(x) OVER (PARTITION BY image_id, side ORDER BY y ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS tip FROM signal""")
 def w5_envelope(spark, sf_dir):
     return v.signal(spark, sf_dir).select("image_id", "side", "y", F.max("x").over(op.curve().rowsBetween(-4, 4)).alias("tip"))
+
+
+@query()
+def w5_smooth_envelope(spark, sf_dir):
+    """The envelope's median filter, with mirrored ends."""
+    tips = w5_envelope(spark, sf_dir).withColumnRenamed("tip", "x")
+    return op.per_curve(tips, lambda y, x: op.median_filtered(x, 5), "smooth")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from inspectra.operators import knn, scores
 from inspectra.plans import views as v
 from inspectra.plans.registry import query
+from inspectra.sources.folders import shared_path
 
 NEAREST = """WITH d AS (SELECT q.query_id, q.cls, b.bank_id, list_distance(q.emb, b.emb) AS d FROM queries q JOIN bank b USING (cls)),
     n AS (SELECT query_id, cls, avg(d) AS d FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d) AS r FROM d) WHERE r <= %d GROUP BY ALL)"""
@@ -222,3 +223,19 @@ def m24_pooled_patches(spark, sf_dir):
     cells = v.patches(spark, sf_dir).select("image_id", F.posexplode("emb").alias("dim", "e")).groupBy("image_id", "dim").agg(F.avg(F.col("e").cast("double")).alias("m"), F.count(F.lit(1)).alias("n"))
     pooled = cells.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("dim", "m"))).alias("c"), F.max("n").alias("n"))
     return pooled.select("image_id", F.round(knn.dot(F.col("c.m"), F.col("c.m")), 6).alias("squared"), "n")
+
+
+@query("SELECT actual_ng, true AS near_half, 20000 AS draws FROM truth GROUP BY actual_ng")
+def a21_weighted_draws(spark, sf_dir):
+    """Each class gets about half of 20,000 draws, whatever its share of rows."""
+    d = scores.weighted_draws(v.truth(spark, sf_dir), "sample_id", "actual_ng", 20_000)
+    total = d.groupBy("actual_ng").agg(F.count(F.lit(1)).alias("n"))
+    return total.select("actual_ng", F.col("n").between(9_500, 10_500).alias("near_half"), F.lit(20_000).alias("draws"))
+
+
+@query(NEAREST % 1 + " SELECT query_id || '.png' AS file, round(d, 6) AS score, 1.2::DOUBLE AS threshold, CASE WHEN d >= 1.2 THEN 'NG' ELSE 'OK' END AS pred FROM n")
+def s11_batch_results(spark, sf_dir):
+    folder = shared_path(spark, "batch-results")
+    rows = patch_distances(spark, sf_dir).select(F.concat("query_id", F.lit(".png")).alias("file"), F.round("d", 6).alias("score"), F.lit(1.2).alias("threshold"), F.when(F.col("d") >= 1.2, "NG").otherwise("OK").alias("pred"))
+    rows.write.json(folder)
+    return spark.read.schema(rows.schema).json(folder)

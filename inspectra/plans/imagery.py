@@ -223,3 +223,26 @@ def x2_patch_embedding(spark, sf_dir):
 
     patches = op.per_image(rasters(spark, sf_dir), run, "image_id long, patch_idx int, emb array<double>")
     return knn.projection(patches, "emb", 16).select("image_id", "patch_idx", F.round(F.element_at("emb", 1), 9).alias("first"))
+
+
+@query()
+def i1_cropped_tiles(spark, sf_dir):
+    """Tiles of each raster, padded by their edges to full size."""
+
+    def run(image, gray):
+        out = []
+        for k, y in enumerate(range(0, gray.shape[0], 24)):
+            tile = im.crop(gray, (40, y, 72, y + 24), (24, 32))
+            out.append((image, k, tile.shape[0], tile.shape[1], float(tile.mean())))
+        return out
+
+    return op.per_image(rasters(spark, sf_dir), run, "image_id long, tile int, h int, w int, mean double")
+
+
+@query()
+def i17_probability_mask(spark, sf_dir):
+    def run(image, gray):
+        mask = im.probability_mask(gray / 255, gray.shape[0] * 2, 128, 0.4)
+        return [(image, int(mask.sum()), float(mask.mean()))]
+
+    return op.per_image(rasters(spark, sf_dir), run, "image_id long, pixels int, share double")
