@@ -207,10 +207,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: s
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             text, meta = features_of(batch)
-            yield pd.DataFrame({"_id": batch["_id"], "y": batch["y"], "text": [t.tobytes() for t in text], "meta": [m.tobytes() for m in meta]})
+            yield pd.DataFrame({"_id": batch["_id"], "y": batch["y"], "text": [t.tobytes() for t in text], "meta": [m.tobytes() for m in meta], "mark": batch["mark"], "tie": batch["tie"]})
 
+    names = ["text", "lang", "source", "n_chars"]
     rows = docs.withColumn("_id", F.col(id_col).cast("long")).select("_id", *columns_of(docs)).join(sample, "_id")
-    got = rows.mapInPandas(run, "_id long, y double, text binary, meta binary").toPandas().drop_duplicates("_id").sort_values("_id")
+    rows = rows.withColumns({"mark": F.xxhash64(*names), "tie": F.xxhash64(F.lit("tie"), *names)})
+    rows = rows.mapInPandas(run, "_id long, y double, text binary, meta binary, mark long, tie long")
+    one = F.min_by(F.struct("y", "text", "meta"), F.struct("mark", "tie"))  # an id's rows, however many, come to one in each task
+    got = rows.groupBy("_id").agg(one.alias("row")).select("_id", "row.*").toPandas().sort_values("_id")
     got = got.iloc[np.argsort([zlib.crc32(str(i).encode()) for i in got["_id"]], kind="stable")]
     part = lambda rows: tuple(np.frombuffer(b"".join(rows[c]), dtype=np.float32).reshape(len(rows), -1 if len(rows) else size).astype(np.float64) for c, size in (("text", TEXT_SIZE), ("meta", META_BUCKETS + 3)))
     has = got["y"].notna()
