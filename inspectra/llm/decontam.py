@@ -13,9 +13,12 @@ of them is passed over, in any other Myers' bit-parallel distance decides.
 Items go out in blocks of bounded size (``BLOCK_CHARS``), each of which is
 matched against all documents where they are read: documents aren't shuffled.
 
-Defined cases: null counts as empty; an item whose normalised text is shorter
-than ``MIN_ITEM`` characters is too short to tell and matches nothing; items
-that repeat are matched under each of their ids; an empty table gives an empty
+An item of fewer than ``SHORT`` characters is held only by a stretch that begins
+and ends between words, so that "art" isn't found in "party". Scripts without
+case may write no spaces; next to their letters every place counts as such.
+
+Defined cases: null counts as empty; an empty item matches nothing; items that
+repeat are matched under each of their ids; an empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -31,7 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RATE = 0.1
-MIN_ITEM = 40
+MIN_ITEM = 1
+SHORT = 40
 BLOCK_CHARS = 4 << 20
 
 
@@ -50,6 +54,28 @@ def trigrams(text: str) -> set[str]:
     return {text[k : k + 3] for k in range(len(text) - 2)}
 
 
+def between_words(text: str, at: int) -> bool:
+    return not (0 < at < len(text) and all(c.isdecimal() or c.upper() != c for c in text[at - 1 : at + 1]))
+
+
+def held_whole(item: str, text: str, low: int, high: int, budget: int) -> int | None:
+    """The least edit distance, within the budget, of the item to a stretch of
+    text[low:high] that begins and ends between words."""
+    best = None
+    for start in range(low, high):
+        if not between_words(text, start):
+            continue
+        row = list(range(len(item) + 1))
+        for end in range(start, min(high, start + len(item) + budget)):
+            new = [row[0] + 1]
+            for j, c in enumerate(item):
+                new.append(min(new[-1] + 1, row[j + 1] + 1, row[j] + (c != text[end])))
+            row = new
+            if row[-1] <= (budget if best is None else best - 1) and between_words(text, end + 1):
+                best = row[-1]
+    return best
+
+
 class Pattern:
     """Myers' bit-parallel approximate search for one item."""
 
@@ -121,7 +147,9 @@ class Matcher:
                 if len(self.grams[n] - trigrams(window)) > 3 * budget:
                     continue
                 distance = self.patterns[n].least_distance(window)
-                if distance <= budget:
+                if distance <= budget and size < SHORT:
+                    distance = held_whole(whole, text, low, min(high, len(text)), budget)
+                if distance is not None and distance <= budget:
                     out.append((item, distance, low))
                     break
         return sorted(out)
