@@ -49,6 +49,8 @@ BLOCKS = ((0, 22), (22, 21), (43, 21))
 #: Fixed value: generator polynomial of the binary Golay code of length 23.
 GOLAY = 0b110001110101
 COMPARED = 1 << 21
+#: Bits beyond the covering radius to which ``covering`` replicates.
+REPLICA_BITS = 1
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -178,6 +180,8 @@ def forest(fp: np.ndarray, home: np.ndarray, threshold: int = THRESHOLD) -> tupl
 
 def links(fps: DataFrame, threshold: int = THRESHOLD, anchor_rows: int = ANCHOR_ROWS) -> DataFrame:
     """u > v: links between distinct fingerprints that connect all components."""
+    if threshold // len(BLOCKS) > REPLICA_BITS:
+        raise ValueError(f"{len(BLOCKS)} blocks with replicas {REPLICA_BITS} bit beyond the radius cover fewer than {threshold} bits")
     reached = replicate(fps)
     sizes = reached.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))  # at most 3 x 4096 rows
     chunks = F.ceil(F.col("n") / anchor_rows).cast("int")
@@ -251,7 +255,11 @@ def hexadecimal(fp: str = "fp"):
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings: int) -> DataFrame:
     """The row with the smallest id of each group, with all its columns."""
-    marked = group(df, id_col, text_col, **settings)
+    return keep_first(df, group(df, id_col, text_col, **settings), id_col, text_col)
+
+
+def keep_first(df: DataFrame, marked: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df that ``marked`` names as first of their group, once each."""
     kept = marked.where(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")))
     kept = kept.select(F.col("doc_id").alias("_kept"), F.col("text_hash").alias("_hash")).distinct()
     named = df.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_text"))
