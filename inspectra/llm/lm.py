@@ -1,19 +1,22 @@
 """LM scoring: a causal self-attention model on subword ids, trained in numpy.
 
-Corpus counts over all training documents come first: how often each word
-occurs and, from the words' subword ids, counts of ids and of id pairs inside
-words and across their ends. Ids are gathered into 1024 units (frequent ids
-are a unit each) in 32 groups; an id's probability is that of its group, of
-its unit in the group and its share of the unit's count. The counts give each
-of these given the id before.
-
-The model corrects those log-probabilities from context: embeddings of units
-and positions, one causal self-attention layer, and a tanh layer. It is
-trained by Adam in at most ``TRAINERS`` tasks over a share of the training
-documents, in rounds; after each the tasks' weights are averaged. The share is
-1 / ``SHARE`` of all, or what gives ``LEAST_IDS`` ids if that is more. So what
-the counts and the training take in grows with the corpus, and what the driver
-holds does not.
+One pass over the documents turns each text into subword ids, which are written
+as a table, and counts words and ids over all training documents. Ids are
+numbered by falling count: each of the first 992 is a unit of its own, the rest
+are dealt to 32 further units; units stand in 32 groups. A second pass over the
+ids of all training documents counts pairs of neighbouring units. An id's
+probability is that of its group, of its unit in the group and, beyond the
+first 992, of the id in its unit; pair counts give the first two given the id
+before, counts the third.
+
+The model corrects all three log-probabilities from context: an embedding of
+every id and of its place, one causal self-attention layer, and a tanh layer.
+(Key and value projections are left to the matrices they are multiplied with.)
+Adam trains it on windows of all training documents, each of which is in one
+of ``ROUNDS`` rounds. A task is a trainer and reads at most about
+``TRAINER_IDS`` ids, so that trainers grow with the corpus; after a round their
+weights are averaged in Spark. Of a document's windows its first one and every
+``SPACING``-th after it are trained on.
 
 A document is scored in windows of 32 ids that overlap by 8, in batches with a
 causal mask; every id is scored once, in the first window it is in unless that
@@ -30,12 +33,12 @@ from __future__ import annotations
 
 import base64
 import pickle
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -45,16 +48,19 @@ from inspectra.llm.common import stored
 
 GROUPS, MEMBERS = 32, 32
 UNITS = GROUPS * MEMBERS
+OWN = UNITS - MEMBERS
 WIDTH = 16
 WINDOW, OVERLAP = 32, 8
 STRIDE = WINDOW - OVERLAP
-TRAINERS, ROUNDS, SHARE, LEAST_IDS, TRAINER_IDS = 12, 2, 48, 3_000_000, 300_000
-BATCH, RATE = 32, 8e-3
+ROUNDS, TRAINER_IDS, SPACING = 2, 8_000_000, 1
+BATCH, RATE, TAIL_BATCHES, TAIL_RATE = 128, 8e-3, 16, 0.05
 PRIOR = 4.0
 FREQUENT, FREQUENT_BYTES = 150_000, 64
-COUNTED_WORDS = 250_000
-BLOCK = 1024
+BLOCK = 256
 KNOWN_WORDS = 250_000
+PAIR_IDS = 1 << 25
+#: Numbers of a weight array that go into one row when trainers are averaged.
+PIECE = 4096
 
 
 def held_out(id_col: str) -> Column:
@@ -67,17 +73,56 @@ def words_of(text: str | None) -> list[bytes]:
 
 class Subwords:
     """Ids by the ranks of a byte-level vocabulary; a word stands with a space
-    before it. The end id comes after the last rank."""
+    before it. The end id comes after the last rank. As words hold no space, a
+    word's first id and no other begins with one."""
 
     def __init__(self, path: str, pattern: str) -> None:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encode = tiktoken.Encoding("subwords", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.size = max(ranks.values()) + 1
+        self.bytes_of = {i: b for b, i in ranks.items()}
+        self.begins = np.zeros(self.size + 1, dtype=bool)
+        self.begins[[i for b, i in ranks.items() if b.startswith(b" ")]] = True
+        self.begins[self.size] = True
+        self.dtype = np.dtype("<u2" if self.size < 1 << 16 else "<u4")
 
     def of(self, word: bytes) -> list[int]:
         return self.encode(" " + word.decode())
 
+    def spell(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words laid end to end, and how many each has. Words of
+        printable ASCII go to the tokenizer in one string, which it cuts at
+        each space."""
+        plain = np.array([w.isascii() and w.decode().isprintable() for w in words], dtype=bool)
+        ids = [np.array(self.of(w), dtype=np.int32) for w, p in zip(words, plain, strict=True) if not p]
+        sizes = np.zeros(len(words), dtype=np.int64)
+        sizes[~plain] = [len(i) for i in ids]
+        if plain.any():
+            joined = np.array(self.encode(" " + b" ".join([w for w, p in zip(words, plain, strict=True) if p]).decode()), dtype=np.int32)
+            cuts = np.flatnonzero(self.begins[joined])
+            sizes[plain] = np.diff(np.append(cuts, len(joined)))
+            other, ids = iter(ids), []
+            runs = np.flatnonzero(np.r_[True, plain[1:] != plain[:-1]])
+            at = 0
+            for a, b in zip(runs, [*runs[1:], len(plain)], strict=True):
+                if plain[a]:
+                    n = int(sizes[a:b].sum())
+                    ids.append(joined[at : at + n])
+                    at += n
+                else:
+                    ids += [next(other) for _ in range(b - a)]
+        return np.concatenate(ids) if ids else np.zeros(0, np.int32), sizes
+
+    def words(self, ids: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+        """Of ids laid end to end: each word's ids as bytes, and where it begins."""
+        begins = np.flatnonzero(self.begins.take(ids))
+        raw, cuts = ids.astype(self.dtype).tobytes(), (begins * self.dtype.itemsize).tolist()
+        return [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)], strict=True)], begins
+
+    def word(self, key: bytes) -> str:
+        return b"".join([self.bytes_of[i] for i in np.frombuffer(key, self.dtype).tolist()])[1:].decode()
+
 
 _subwords: dict[str, Subwords] = {}
 
@@ -99,18 +144,18 @@ class Laid:
 
 
 class Lexicon:
-    """Ids and logarithms of the counts of words, in arrays; of bounded size."""
+    """Ids of words and how often they were counted, in arrays."""
 
-    def __init__(self, encode: Subwords, frequent: dict[bytes, float] | None = None) -> None:
-        self.encode, self.frequent = encode, frequent or {}
+    def __init__(self, encode: Subwords) -> None:
+        self.encode = encode
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[bytes, int] = {}
         self.ids, self.used = np.zeros(1 << 16, np.int32), 0
-        self.begin, self.number, self.logs = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), np.zeros(1 << 14)
+        self.begin, self.number, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def _put(self, name: str, at: int, values: list) -> None:
+    def _put(self, name: str, at: int, values: np.ndarray) -> None:
         array = getattr(self, name)
         while at + len(values) > len(array):
             array = np.concatenate((array, np.zeros_like(array)))
@@ -119,18 +164,16 @@ class Lexicon:
 
     def find(self, words: list[bytes]) -> np.ndarray:
         """Positions of words in the arrays."""
-        if len(self.index) > KNOWN_WORDS:
-            self.clear()
         found = list(map(self.index.get, words))
         if None in found:
-            new = list({w for w, at in zip(words, found, strict=True) if at is None})
-            spelled = [self.encode.of(w) for w in new]
-            sizes, at = [len(i) for i in spelled], len(self.index)
-            self._put("begin", at, (np.cumsum(sizes) - sizes + self.used).tolist())
+            new = list(dict.fromkeys(w for w, at in zip(words, found, strict=True) if at is None))
+            ids, sizes = self.encode.spell(new)
+            at = len(self.index)
+            self._put("begin", at, np.cumsum(sizes) - sizes + self.used)
             self._put("number", at, sizes)
-            self._put("logs", at, [self.frequent.get(w, np.nan) for w in new])
-            self._put("ids", self.used, [i for w in spelled for i in w])
-            self.used += sum(sizes)
+            self._put("count", at, np.zeros(len(new), np.int64))
+            self._put("ids", self.used, ids)
+            self.used += len(ids)
             self.index |= {w: at + k for k, w in enumerate(new)}
             found = [self.index[w] if at is None else at for w, at in zip(words, found, strict=True)]
         return np.array(found, dtype=np.int64)
@@ -138,231 +181,347 @@ class Lexicon:
     def lay_out(self, docs: list[list[bytes]]) -> Laid:
         per_doc = np.array([len(d) for d in docs], dtype=np.int64)
         found = self.find([w for d in docs for w in d])
-        number = self.number[found]
+        number = self.number.take(found)
         doc = np.repeat(np.arange(len(docs)), per_doc)
         sizes = np.bincount(doc, number, minlength=len(docs)).astype(np.int64) + 1
         count = np.arange(number.sum())
         ids = np.full(int(sizes.sum()), self.encode.size, np.int32)
-        ids[count + np.repeat(doc, number)] = self.ids[count + np.repeat(self.begin[found] - (np.cumsum(number) - number), number)]
+        ids[count + np.repeat(doc, number)] = self.ids.take(count + np.repeat(self.begin.take(found) - (np.cumsum(number) - number), number))
         return Laid(ids, sizes, found)
 
+    def counted(self) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Words with a count, their counts, and the count of each id."""
+        at = np.flatnonzero(self.count[: len(self.index)])
+        words = list(self.index)
+        n = len(self.index)
+        ids = np.bincount(self.ids[: self.used], np.repeat(self.count[:n], self.number[:n]), minlength=self.encode.size + 1)
+        return [words[i].decode() for i in at.tolist()], self.count[at], ids.astype(np.int64)
+
 
 @dataclass
 class Tables:
-    """unit_of, share: of each id (the end id is the last one), its unit and
-    the logarithm of its share. group, member: logarithms given the unit before."""
+    """slot_of: of each id (the end id is the last one), its slot. group,
+    member: logarithms given the unit before; tail: for each of the last 32
+    units a column of logarithms of its ids' shares."""
 
-    unit_of: np.ndarray
-    share: np.ndarray
+    slot_of: np.ndarray
     group: np.ndarray
     member: np.ndarray
+    tail: np.ndarray
 
 
-def unit_table(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Units by falling count; the ids beyond share the units of the last group."""
+def slots_by_count(counts: np.ndarray) -> np.ndarray:
+    """Slots by falling count: below ``OWN`` they are units, from ``UNITS`` on
+    they go to the last 32 units in turn."""
     rank = np.empty(len(counts), dtype=np.int64)
     rank[np.lexsort((np.arange(len(counts)), -counts))] = np.arange(len(counts))
-    own = UNITS - MEMBERS
-    unit = np.where(rank < own, rank, own + (rank - own) % MEMBERS)
-    smooth = counts + 0.1
+    return np.where(rank < OWN, rank, rank - OWN + UNITS).astype(np.int32)
+
+
+def unit_of(slots: np.ndarray) -> np.ndarray:
+    return np.where(slots < UNITS, slots, OWN + slots % MEMBERS)
+
+
+def unit_table(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each id, its unit and the logarithm of its share of the unit's count."""
+    unit, smooth = unit_of(slots_by_count(counts)), counts + 0.1
     return unit, np.log(smooth / np.bincount(unit, smooth, minlength=UNITS)[unit])
 
 
-def prior_tables(unit_of: np.ndarray, share: np.ndarray, pairs: np.ndarray, first: np.ndarray, last: np.ndarray, documents: float) -> Tables:
-    """From counts of unit pairs inside words, of first and last units."""
-    end = unit_of[-1]
-    after_word = first.copy()
-    after_word[end] += documents
-    total = max(1.0, after_word.sum())
-    both = pairs + np.outer(last, after_word / total)
-    both[end] += documents * first / max(1.0, first.sum())
-    alone = both.sum(axis=0) + 0.5
+def prior_tables(counts: np.ndarray, pairs: np.ndarray) -> Tables:
+    """From the counts of ids and of unit pairs (the unit before, the next)."""
+    slots, (_, share) = slots_by_count(counts), unit_table(counts)
+    alone = pairs.sum(axis=0) + 0.5
     alone /= alone.sum()
-    p = (both + PRIOR * alone) / (both.sum(axis=1, keepdims=True) + PRIOR)
+    p = (pairs + PRIOR * alone) / (pairs.sum(axis=1, keepdims=True) + PRIOR)
     p = p.reshape(UNITS, GROUPS, MEMBERS)
     group = p.sum(axis=2)
-    return Tables(unit_of.astype(np.int32), share, np.log(group).astype(np.float32), np.log(p / group[:, :, None]).astype(np.float32))
+    rows = max(0, -(-(len(counts) - OWN) // MEMBERS))
+    tail = np.full((rows * MEMBERS), -1e9)
+    beyond = slots >= UNITS
+    tail[slots[beyond] - UNITS] = share[beyond]
+    return Tables(slots, np.log(group).astype(np.float32), np.log(p / group[:, :, None]).astype(np.float32), tail.reshape(rows, MEMBERS).T.astype(np.float32).copy())
 
 
-def new_weights(seed: int = 7) -> dict[str, np.ndarray]:
+def new_weights(rows: int = 0, seed: int = 7) -> dict[str, np.ndarray]:
+    """rows: ids in each of the last units. Embeddings beyond the units begin at zero."""
     rng = np.random.default_rng(seed)
     small = lambda *shape: (rng.standard_normal(shape) / np.sqrt(WIDTH)).astype(np.float32)
     return {
-        "unit": small(UNITS, WIDTH), "place": small(WINDOW, WIDTH) * np.float32(0.3),
-        **{k: small(WIDTH, WIDTH) for k in ("query", "key", "value", "direct", "mixed")},
+        "slot": np.concatenate((small(UNITS, WIDTH), np.zeros((rows * MEMBERS, WIDTH), np.float32))), "place": small(WINDOW, WIDTH) * np.float32(0.3),
+        **{k: small(WIDTH, WIDTH) for k in ("query", "direct", "mixed")},
         "to_group": np.zeros((WIDTH, GROUPS), np.float32), "group_bias": np.zeros(GROUPS, np.float32),
         "to_member": np.zeros((GROUPS, WIDTH, MEMBERS), np.float32), "member_bias": np.zeros((GROUPS, MEMBERS), np.float32),
+        "to_tail": np.zeros((MEMBERS, rows, WIDTH), np.float32),
     }
 
 
-_MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, dtype=np.float32), 1)
+_CAUSAL = np.tril(np.ones((WINDOW, WINDOW), dtype=np.float32))
 _SCALE = np.float32(1 / np.sqrt(WIDTH))
 
 
-def attend(w: dict[str, np.ndarray], units: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Batched masked attention over windows of units."""
-    shape = (*units.shape, WIDTH)
-    x = w["unit"][units] + w["place"]
-    flat = x.reshape(-1, WIDTH)
-    q, k, v = ((flat @ w[name]).reshape(shape) for name in ("query", "key", "value"))
-    a = q @ k.transpose(0, 2, 1)
-    a *= _SCALE
-    a += _MASK
-    np.exp(np.minimum(a, 40, out=a), out=a)
-    a /= a.sum(axis=2, keepdims=True)
-    c = a @ v
-    h = flat @ w["direct"]
-    h += c.reshape(-1, WIDTH) @ w["mixed"]
-    return x, q, k, v, a, c, np.tanh(h, out=h).reshape(shape)
-
-
-def hidden(w: dict[str, np.ndarray], units: np.ndarray) -> np.ndarray:
-    """What attend ends with, for scoring: the softmax is divided out after
-    the values are summed, and its sums come from a column of ones."""
-    x = w["unit"][units]
+def two(m: np.ndarray) -> np.ndarray:
+    return m.reshape(-1, m.shape[-1])
+
+
+def attend(w: dict[str, np.ndarray], slots: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Batched masked attention over windows of slots: embeddings, queries,
+    weights with their sums, context. The weights aren't divided by their sums."""
+    x = w["slot"].take(slots, axis=0)
     x += w["place"]
-    flat = x.reshape(-1, WIDTH)
-    shape = (*units.shape, WIDTH)
-    q, k = (flat @ (w["query"] * _SCALE)).reshape(shape), (flat @ w["key"]).reshape(shape)
-    v = np.ones((*units.shape, WIDTH + 1), np.float32)
-    v[..., :WIDTH] = (flat @ w["value"]).reshape(shape)
-    a = q @ k.transpose(0, 2, 1)
-    a += _MASK
-    if a.max() > 40:
+    q = (two(x) @ (w["query"] * _SCALE)).reshape(x.shape)
+    a = q @ x.transpose(0, 2, 1)
+    if a.max(initial=0) > 40:
         np.minimum(a, 40, out=a)
     np.exp(a, out=a)
-    c = (a @ v).reshape(-1, WIDTH + 1)
-    h = (c[:, :WIDTH] / c[:, WIDTH:]) @ w["mixed"]
-    h += flat @ w["direct"]
-    return np.tanh(h, out=h).reshape(shape)
-
+    a *= _CAUSAL
+    total = a @ np.ones((WINDOW, 1), np.float32)
+    c = a @ x
+    c /= total
+    return x, q, a, total, c
 
-def log_softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return z
 
+def hidden(w: dict[str, np.ndarray], x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    h = x @ w["direct"]
+    h += c @ w["mixed"]
+    return np.tanh(h, out=h)
 
-def by_group(groups: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(groups.astype(np.uint8), kind="stable")
-    ends = np.cumsum(np.bincount(groups, minlength=GROUPS))
-    for g, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
-        if b > a:
-            yield g, order[a:b]
 
-
-def picked(z: np.ndarray, column: np.ndarray) -> np.ndarray:
-    """The logarithm of a softmax at one column of each row; z is used up."""
+def exponentials(z: np.ndarray, column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The logarithm of a softmax at one column of each row, and the sums of
+    exponentials, by which z is replaced."""
     if z.max(initial=0) > 80:
         np.minimum(z, 80, out=z)
-    at = z[np.arange(len(z)), column]
+    at = z.ravel().take(np.arange(0, z.size, z.shape[1]) + column)
     np.exp(z, out=z)
-    return at - np.log(z @ np.ones(z.shape[1], np.float32))
+    total = z @ np.ones((z.shape[1], 1), np.float32)
+    return at - np.log(total[:, 0]), total
 
 
-def log_probabilities(w: dict[str, np.ndarray], t: Tables, h: np.ndarray, before: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Natural logarithms for the units that come next."""
-    groups, members = target // MEMBERS, target % MEMBERS
+def log_probabilities(w: dict[str, np.ndarray], t: Tables, h: np.ndarray, before: np.ndarray, target: np.ndarray, back: dict | None = None) -> np.ndarray:
+    """Natural logarithms for the units that come next. With ``back``, also the
+    gradients of their negative sum: in back by weight, for h as "hidden"."""
+    unit, unit_before = unit_of(target), unit_of(before)
+    groups, members = unit // MEMBERS, unit % MEMBERS
     z = h @ w["to_group"]
     z += w["group_bias"]
-    z += t.group[before]
-    out = picked(z, groups)
+    z += t.group.take(unit_before, axis=0)
+    out, total = exponentials(z, groups)
+    if back is not None:
+        z /= total
+        z.ravel()[np.arange(0, z.size, GROUPS) + groups] -= 1
+        back["to_group"], back["group_bias"], dh = h.T @ z, z.sum(axis=0), z @ w["to_group"].T
     order = np.argsort(groups.astype(np.uint8), kind="stable")
-    h, before, groups, members = h[order], before[order], groups[order], members[order]
-    z = t.member[before, groups]
-    ends = np.cumsum(np.bincount(groups, minlength=GROUPS))
-    for g, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
-        if b > a:
-            z[a:b] += h[a:b] @ w["to_member"][g] + w["member_bias"][g]
-    out[order] += picked(z, members)
+    h, groups, members = h.take(order, axis=0), groups[order], members[order]
+    z = t.member.reshape(-1, MEMBERS).take(unit_before[order] * GROUPS + groups, axis=0)
+    z += w["member_bias"].take(groups, axis=0)
+    ends = np.cumsum(np.bincount(groups, minlength=GROUPS)).tolist()
+    runs = [(g, a, b) for g, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if b > a]
+    for g, a, b in runs:
+        z[a:b] += h[a:b] @ w["to_member"][g]
+    inner, total = exponentials(z, members)
+    if back is not None:
+        z /= total
+        z.ravel()[np.arange(0, z.size, MEMBERS) + members] -= 1
+        back["to_member"], back["member_bias"], more = np.zeros_like(w["to_member"]), np.zeros_like(w["member_bias"]), np.empty_like(h)
+        for g, a, b in runs:
+            back["to_member"][g], back["member_bias"][g] = h[a:b].T @ z[a:b], z[a:b].sum(axis=0)
+            np.matmul(z[a:b], w["to_member"][g].T, out=more[a:b])
+    out[order] += inner
+    if back is not None:
+        dh[order] += more
+        back["hidden"] = dh
+    return out
+
+
+def tail_runs(slots: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of slots beyond the units: each unit, its rows, and their places in it."""
+    column, place = slots % MEMBERS, (slots - UNITS) // MEMBERS
+    for k in np.unique(column).tolist():
+        rows = np.flatnonzero(column == k)
+        yield k, rows, place[rows]
+
+
+def tail_log_probabilities(w: dict[str, np.ndarray], t: Tables, h: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Natural logarithms of slots beyond the units, given their units."""
+    out = np.zeros(len(h), np.float32)
+    for k, rows, place in tail_runs(target):
+        for a in range(0, len(rows), 256):
+            part = rows[a : a + 256]
+            z = h[part] @ w["to_tail"][k].T
+            z += t.tail[k]
+            out[part] = exponentials(z, place[a : a + 256])[0]
     return out
 
 
-def gradients(w: dict[str, np.ndarray], t: Tables, units: np.ndarray, target: np.ndarray, used: np.ndarray) -> dict[str, np.ndarray]:
-    """Of the mean negative log-probability of the used targets."""
-    x, q, k, v, a, c, h = attend(w, units)
+def tail_gradients(w: dict[str, np.ndarray], t: Tables, h: np.ndarray, target: np.ndarray) -> dict[int, np.ndarray]:
+    """Of their negative sum, for the weights of each unit met."""
+    out = {}
+    for k, rows, place in tail_runs(target):
+        z = h[rows] @ w["to_tail"][k].T
+        z += t.tail[k]
+        z /= exponentials(z, place)[1]
+        z[np.arange(len(rows)), place] -= 1
+        out[k] = z.T @ h[rows]
+    return out
+
+
+def gradients(w: dict[str, np.ndarray], t: Tables, before: np.ndarray, target: np.ndarray, used: np.ndarray) -> tuple[dict, np.ndarray, np.ndarray]:
+    """Of the mean negative log-probability of the used targets' units ("slot":
+    a pair of slots and their gradients); hidden rows and targets of the tail."""
+    x, q, a, total, c = attend(w, before)
     at = np.flatnonzero(used.ravel())
-    flat, before, goal = h.reshape(-1, WIDTH)[at], units.ravel()[at], target.ravel()[at]
-    groups, members = goal // MEMBERS, goal % MEMBERS
-    d = {k: np.zeros_like(p) for k, p in w.items()}
-    p = np.exp(log_softmax(t.group[before] + flat @ w["to_group"] + w["group_bias"]))
-    p[np.arange(len(p)), groups] -= 1
-    d["to_group"], d["group_bias"] = flat.T @ p, p.sum(axis=0)
-    dflat = p @ w["to_group"].T
-    for g, rows in by_group(groups):
-        p = np.exp(log_softmax(t.member[before[rows], g] + flat[rows] @ w["to_member"][g] + w["member_bias"][g]))
-        p[np.arange(len(p)), members[rows]] -= 1
-        d["to_member"][g], d["member_bias"][g] = flat[rows].T @ p, p.sum(axis=0)
-        dflat[rows] += p @ w["to_member"][g].T
-    dh = np.zeros((units.size, WIDTH), np.float32)
-    dh[at] = dflat
-    dpre = dh.reshape(h.shape) * (1 - h * h)
-    two = lambda m: m.reshape(-1, WIDTH)
-    d["direct"], d["mixed"] = two(x).T @ two(dpre), two(c).T @ two(dpre)
-    dc = dpre @ w["mixed"].T
-    da = dc @ v.transpose(0, 2, 1)
-    ds = a * (da - (a * da).sum(axis=2, keepdims=True)) * _SCALE
-    dq, dk, dv = ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dc
-    dx = dpre @ w["direct"].T
-    for name, g in (("query", dq), ("key", dk), ("value", dv)):
-        d[name] = two(x).T @ two(g)
-        dx = dx + g @ w[name].T
-    d["place"] = dx.sum(axis=0)
-    np.add.at(d["unit"], units.ravel(), two(dx))
-    return {k: g / max(1, len(at)) for k, g in d.items()}
+    h = hidden(w, two(x), two(c))
+    d: dict = {}
+    goal = target.ravel()[at]
+    seen = h.take(at, axis=0)
+    log_probabilities(w, t, seen, before.ravel()[at], goal, d)
+    beyond = np.flatnonzero(goal >= UNITS)
+    dpre = np.zeros_like(h)
+    dpre[at] = d.pop("hidden")
+    h *= h
+    dpre *= np.subtract(1, h, out=h)
+    d["direct"], d["mixed"] = two(x).T @ dpre, two(c).T @ dpre
+    dc = (dpre @ w["mixed"].T).reshape(x.shape)
+    a /= total
+    ds = dc @ x.transpose(0, 2, 1)
+    ds -= np.einsum("nwd,nwd->nw", dc, c)[..., None]
+    ds *= a
+    dq = ds @ x
+    dx = a.transpose(0, 2, 1) @ dc
+    dx += ds.transpose(0, 2, 1) @ q
+    dx = two(dx)
+    dx += dpre @ w["direct"].T
+    dx += two(dq) @ (w["query"] * _SCALE).T
+    d["query"] = two(x).T @ two(dq) * _SCALE
+    d["place"] = dx.reshape(x.shape).sum(axis=0)
+    flat = before.ravel()
+    order = np.argsort(flat.astype(np.uint16) if flat.max(initial=0) < 1 << 16 else flat, kind="stable")
+    flat = flat[order]
+    starts = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, np.int64)
+    d["slot"] = (flat[starts], np.add.reduceat(dx.take(order, axis=0), starts, axis=0))
+    n = np.float32(1 / max(1, len(at)))
+    for g in d.values():
+        np.multiply(g[1] if isinstance(g, tuple) else g, n, out=g[1] if isinstance(g, tuple) else g)
+    return d, seen[beyond], goal[beyond]
 
 
 @dataclass
 class Adam:
+    """Moments of the embeddings move only for slots that are met."""
+
     rate: float = RATE
     steps: int = 0
     mean: dict[str, np.ndarray] = field(default_factory=dict)
     square: dict[str, np.ndarray] = field(default_factory=dict)
 
-    def move(self, w: dict[str, np.ndarray], d: dict[str, np.ndarray]) -> None:
+    def move(self, w: dict[str, np.ndarray], d: dict) -> None:
         self.steps += 1
-        rate = self.rate * min(1.0, self.steps / 20)
+        first, second = 1 - 0.9**self.steps, 1 - 0.99**self.steps
+        rate = np.float32(self.rate * min(1.0, self.steps / 20) / first * np.sqrt(second))
         for k, g in d.items():
-            m = self.mean[k] = 0.9 * self.mean.get(k, np.float32(0)) + 0.1 * g
-            s = self.square[k] = 0.99 * self.square.get(k, np.float32(0)) + 0.01 * g * g
-            w[k] -= (rate * (m / (1 - 0.9**self.steps)) / (np.sqrt(s / (1 - 0.99**self.steps)) + 1e-6)).astype(np.float32)
-
-
-def windows(units: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Over documents laid end to end: the units before, the units that come
-    next, and their places in the sequence, as windows; which of them count."""
-    begins = np.cumsum(sizes) - sizes
-    before = np.empty_like(units)
-    before[1:] = units[:-1]
-    before[begins] = end
-    number = 1 + np.maximum(0, -(-(sizes - WINDOW) // STRIDE))
-    doc = np.repeat(np.arange(len(sizes)), number)
-    turn = np.arange(len(doc)) - np.repeat(np.cumsum(number) - number, number)
-    start = begins[doc] + turn * STRIDE
-    place = start.astype(np.int32)[:, None] + np.arange(WINDOW, dtype=np.int32)
-    used = (place < (begins + sizes).astype(np.int32)[doc][:, None]) & ((turn == 0)[:, None] | (np.arange(WINDOW) >= OVERLAP))
-    place = np.minimum(place, len(units) - 1)
-    return before[place], units[place], place, used
-
-
-def score_sequences(w: dict[str, np.ndarray], t: Tables, laid: Laid) -> np.ndarray:
+            if k not in self.mean:
+                self.mean[k], self.square[k] = np.zeros_like(w[k]), np.zeros_like(w[k])
+            m, s = self.mean[k], self.square[k]
+            if k == "slot":
+                rows, g = g
+                a, b = m.take(rows, axis=0) * np.float32(0.9), s.take(rows, axis=0) * np.float32(0.99)
+                a += np.float32(0.1) * g
+                b += np.float32(0.01) * g * g
+                m[rows], s[rows] = a, b
+                w[k][rows] -= rate * a / (np.sqrt(b) + np.float32(1e-6))
+            else:
+                m *= np.float32(0.9)
+                m += np.float32(0.1) * g
+                s *= np.float32(0.99)
+                s += np.float32(0.01) * g * g
+                w[k] -= rate * m / (np.sqrt(s) + np.float32(1e-6))
+
+
+class Windows:
+    """Of documents laid end to end as slots: their windows, made when asked for."""
+
+    def __init__(self, slots: np.ndarray, sizes: np.ndarray, end: int, stride: int = STRIDE) -> None:
+        begins = np.cumsum(sizes) - sizes
+        self.slots, self.stride, self.before = slots, stride, np.empty_like(slots)
+        self.before[1:] = slots[:-1]
+        self.before[begins] = end
+        number = 1 + np.maximum(0, -(-(sizes - WINDOW) // stride))
+        doc = np.repeat(np.arange(len(sizes)), number)
+        self.turn = np.arange(len(doc)) - np.repeat(np.cumsum(number) - number, number)
+        self.start = begins[doc] + self.turn * stride
+        self.left = (begins + sizes)[doc] - self.start
+
+    def take(self, at: np.ndarray | slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The slots before, the slots that come next, their places in the
+        sequence, and which of them count in their window."""
+        column = np.arange(WINDOW)
+        place = self.start[at][:, None] + column
+        used = (column < self.left[at][:, None]) & ((self.turn[at] == 0)[:, None] | (column >= WINDOW - self.stride))
+        np.minimum(place, len(self.slots) - 1, out=place)
+        return self.before.take(place), self.slots.take(place), place, used
+
+
+def score_sequences(w: dict[str, np.ndarray], t: Tables, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """log10 of each document's probability; every id is scored once."""
-    sizes, units = laid.sizes, t.unit_of[laid.ids]
-    before, target, place, used = windows(units, sizes, int(t.unit_of[-1]))
-    out = t.share[laid.ids]
-    for k in range(0, len(before), BLOCK):
-        b, mark = before[k : k + BLOCK], used[k : k + BLOCK]
-        h = np.concatenate([hidden(w, b[j : j + 256]) for j in range(0, len(b), 256)])
-        out[place[k : k + BLOCK][mark]] += log_probabilities(w, t, h[mark], b[mark], target[k : k + BLOCK][mark])
+    all_, tail = Windows(t.slot_of.take(ids), sizes, int(t.slot_of[-1])), []
+    out = np.zeros(len(ids), np.float32)
+    for k in range(0, len(all_.start), BLOCK):
+        before, target, place, used = all_.take(slice(k, k + BLOCK))
+        mark = np.flatnonzero(used.ravel())
+        parts = [attend(w, before[j : j + 64]) for j in range(0, len(before), 64)]
+        x, c = (np.concatenate([two(p[i]) for p in parts]).take(mark, axis=0) for i in (0, 4))
+        h, goal, at = hidden(w, x, c), target.ravel().take(mark), place.ravel().take(mark)
+        out[at] = log_probabilities(w, t, h, before.ravel().take(mark), goal)
+        beyond = np.flatnonzero(goal >= UNITS)
+        tail.append((at[beyond], h[beyond], goal[beyond]))
+    if tail:
+        at, h, goal = map(np.concatenate, zip(*tail, strict=True))
+        out[at] += tail_log_probabilities(w, t, h, goal)
     return np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=out, minlength=len(sizes)) / np.log(10)
 
 
+@dataclass
+class Trainer:
+    """Weights that learn from ids of documents. What lies beyond the units is
+    gathered over some batches, as its weights take a step per unit."""
+
+    tables: Tables
+    weights: dict[str, np.ndarray]
+    adam: Adam = field(default_factory=Adam)
+    seen: int = 0
+    tail: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
+    rng: np.random.Generator = field(default_factory=lambda: np.random.default_rng(11))
+
+    def learn(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        t, w = self.tables, self.weights
+        all_ = Windows(t.slot_of.take(ids), sizes, int(t.slot_of[-1]), WINDOW)
+        order = self.rng.permutation(np.flatnonzero(all_.turn % SPACING == 0))
+        for k in range(0, len(order), BATCH):
+            before, target, _, used = all_.take(order[k : k + BATCH])
+            d, h, goal = gradients(w, t, before, target, used)
+            self.adam.move(w, d)
+            self.tail.append((h, goal))
+            if len(self.tail) == TAIL_BATCHES:
+                self.learn_tail()
+        self.seen += len(ids)
+
+    def learn_tail(self) -> None:
+        if self.tail:
+            h, goal = map(np.concatenate, zip(*self.tail, strict=True))
+            for k, g in tail_gradients(self.weights, self.tables, h, goal).items():
+                self.weights["to_tail"][k] -= np.float32(TAIL_RATE) * g
+            self.tail = []
+
+
 @dataclass
 class Trained:
-    """counts: table (word, n, ids) over the training documents, the end token
-    as the empty word; tokens, distinct: their sum and number."""
+    """counts: table (word, n) over the training documents, the end token as
+    the empty word; tokens, distinct: their sum and number. laid: what
+    lay_documents made of all documents."""
 
     counts: DataFrame
+    laid: DataFrame
     tokens: int
     distinct: int
     tables: Tables
@@ -371,111 +530,157 @@ class Trained:
     pattern: str
 
 
-def count_words(texts: DataFrame) -> DataFrame:
-    """word, n over all rows; each task sends what it has counted."""
+LAID = "row long, doc_id long, held_out boolean, ids binary, word string, id int, n long"
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: Counter[bytes] = Counter()
 
-        def out() -> Iterator[pd.DataFrame]:
-            rows = list(found.items())
-            for k in range(0, len(rows), 20_000):
-                part = rows[k : k + 20_000]
-                yield pd.DataFrame({"word": [w.decode() for w, _ in part], "n": [n for _, n in part]})
+def lay_documents(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str) -> DataFrame:
+    """Three kinds of rows in one pass: documents as ids (row, doc_id, held_out,
+    ids); counts of words (word, n) and of ids (id, n) that a task met in
+    training documents."""
 
-        for batch in batches:
-            for text in batch["text"]:
-                found.update(words_of(text))
-                found[b""] += 1
-            if len(found) > COUNTED_WORDS:
-                yield from out()
-                found = Counter()
-        yield from out()
+    kinds = {"row": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "ids": pa.binary(), "word": pa.string(), "id": pa.int32(), "n": pa.int64()}
 
-    return texts.mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    def rows(size: int, **columns) -> pa.RecordBatch:
+        values = [columns[c] if isinstance(columns.get(c), pa.Array) else pa.array(columns[c], k) if c in columns else pa.nulls(size, k) for c, k in kinds.items()]
+        return pa.RecordBatch.from_arrays(values, names=list(kinds))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sw = subwords(path, pattern)
+        lexicon, row, ends = Lexicon(sw), TaskContext.get().partitionId() << 33, 0
 
-def pair_counts(counts: DataFrame, unit_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Unit pairs inside words, first and last units, weighted by the words'
-    counts. At most UNITS x (UNITS + 2) sums reach the driver."""
+        def counts() -> Iterator[pa.RecordBatch]:
+            words, n, ids = lexicon.counted()
+            for k in range(0, len(words), 20_000):
+                yield rows(len(words[k : k + 20_000]), word=words[k : k + 20_000], n=n[k : k + 20_000])
+            at = np.flatnonzero(ids)
+            yield rows(len(at), id=at, n=ids[at])
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(UNITS * (UNITS + 2))
         for batch in batches:
-            sizes = np.array([len(i) for i in batch["ids"]])
-            if not sizes.sum():
-                continue
-            flat, n = unit_of[np.concatenate(list(batch["ids"]))], np.repeat(batch["n"].to_numpy(float), sizes)
-            ends = np.cumsum(sizes)
-            is_first, is_last = np.zeros(len(flat), bool), np.zeros(len(flat), bool)
-            is_first[(ends - sizes)[sizes > 0]], is_last[ends[sizes > 0] - 1] = True, True
-            inside = np.flatnonzero(~is_last)
-            keys = np.concatenate((flat[inside].astype(np.int64) * UNITS + flat[inside + 1], UNITS * UNITS + flat[is_first], UNITS * (UNITS + 1) + flat[is_last]))
-            total += np.bincount(keys, np.concatenate((n[inside], n[is_first], n[is_last])), minlength=len(total))
+            for k in range(0, batch.num_rows, 128):
+                part = batch.slice(k, 128)
+                if len(lexicon.index) > KNOWN_WORDS:
+                    yield from counts()
+                    lexicon.clear()
+                split = [words_of(x) for x in part.column(2).to_pylist()]
+                laid, size = lexicon.lay_out(split), part.num_rows
+                learn = ~part.column(1).to_numpy(zero_copy_only=False).astype(bool)
+                taken = laid.words[np.repeat(learn, [len(w) for w in split])]
+                lexicon.count[: len(lexicon.index)] += np.bincount(taken, minlength=len(lexicon.index))
+                ends += int(learn.sum())
+                raw, cuts = laid.ids.astype(sw.dtype).tobytes(), np.append(0, np.cumsum(laid.sizes)) * sw.dtype.itemsize
+                ids = [raw[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+                yield rows(size, row=np.arange(row, row + size), doc_id=part.column(0), held_out=part.column(1), ids=ids)
+                row += size
+        yield from counts()
+        if ends:
+            yield rows(1, word=[""], n=[ends])
+            yield rows(1, id=[sw.size], n=[ends])
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), text.alias("text"))
+    return stored(texts.mapInArrow(run, LAID), "laid")
+
+
+def documents_of(batches: Iterator[pa.RecordBatch], dtype: np.dtype, most: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray, pa.RecordBatch]]:
+    """ids and sizes of documents laid end to end, some ten thousand ids at a
+    time, with their rows; the first column has the ids."""
+    for batch in batches:
+        sizes = np.array([len(v) for v in batch.column(0).to_pylist()], dtype=np.int64) // dtype.itemsize
+        turn = np.cumsum(sizes) // most
+        cuts = [0, *(np.flatnonzero(np.diff(turn)) + 1).tolist(), len(sizes)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if b > a:
+                part = batch.slice(a, b - a)
+                yield np.frombuffer(b"".join(part.column(0).to_pylist()), dtype).astype(np.int32), sizes[a:b], part
+
+
+def pair_counts(ids: DataFrame, units: np.ndarray, dtype: np.dtype) -> np.ndarray:
+    """How often a unit follows another in ids (the end before each document).
+    At most UNITS x UNITS sums reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(UNITS * UNITS, np.int64)
+        for flat, sizes, _ in documents_of(batches, dtype, 1 << 20):
+            now = units.take(flat)
+            before = np.empty_like(now)
+            before[1:] = now[:-1]
+            before[np.cumsum(sizes) - sizes] = units[-1]
+            total += np.bincount(before * UNITS + now, minlength=len(total))
         at = np.flatnonzero(total)
-        yield pd.DataFrame({"cell": at, "n": total[at]})
+        for k in range(0, len(at), 1 << 16):
+            part = at[k : k + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["cell", "n"])
 
-    got = counts.select("ids", "n").mapInPandas(count, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    total = np.zeros(UNITS * (UNITS + 2))
+    got = ids.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    total = np.zeros(UNITS * UNITS)
     total[got["cell"].to_numpy(int)] = got["n"]
-    return total[: UNITS * UNITS].reshape(UNITS, UNITS), total[UNITS * UNITS : UNITS * (UNITS + 1)], total[UNITS * (UNITS + 1) :]
+    return total.reshape(UNITS, UNITS)
+
+
+PART = "piece int, salt int, seen long, numbers binary"
+
 
+def averaged(parts: DataFrame, like: dict[str, np.ndarray]) -> dict[str, np.ndarray] | None:
+    """The mean of trainers' weights by what each has seen. A task adds up the
+    rows of some pieces as they pass, first by piece and salt, then by piece."""
 
-def train_weights(texts: DataFrame, ids: int, tables: Tables, path: str, pattern: str, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
-    """texts: text and key (a hash); ids: how many ids they have. Each round
-    takes the next range of keys, from the first again after the last."""
-    spark, weights = texts.sparkSession, new_weights()
-    part = min(1.0, max(1 / SHARE, LEAST_IDS / rounds / max(1, ids)))
-    trainers, keys = max(1, min(TRAINERS, int(part * ids / TRAINER_IDS))), 1 << 20
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, tuple[int, np.ndarray]] = {}
+        for batch in batches:
+            for piece, seen, numbers in zip(batch["piece"], batch["seen"], batch["numbers"], strict=True):
+                had, mean = sums.get(piece, (0, 0.0))
+                new = np.frombuffer(numbers, np.float32).astype(np.float64)
+                sums[piece] = (had + seen, mean + (new - mean) * (seen / (had + seen)))
+        yield pd.DataFrame([(p, 0, n, m.astype(np.float32).tobytes()) for p, (n, m) in sums.items()], columns=["piece", "salt", "seen", "numbers"])
+
+    got = parts.repartition("piece", "salt").mapInPandas(run, PART).repartition("piece").mapInPandas(run, PART).collect()
+    if not got:
+        return None
+    flat, out, at = np.concatenate([np.frombuffer(r["numbers"], np.float32) for r in sorted(got, key=lambda r: r["piece"])]), {}, 0
+    for k, w in like.items():
+        out[k] = flat[at : at + w.size].reshape(w.shape).copy()
+        at += w.size
+    return out
+
+
+def train_weights(laid: DataFrame, ids: int, tables: Tables, dtype: np.dtype, rounds: int = ROUNDS, trainer_ids: int = TRAINER_IDS) -> dict[str, np.ndarray]:
+    """laid: row and ids of the training documents, each of which is in one round."""
+    spark, weights = laid.sparkSession, new_weights(tables.tail.shape[1])
     for turn in range(rounds):
         sent = spark.sparkContext.broadcast(pickle.dumps((tables, weights)))
 
-        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            t, w = pickle.loads(sent.value)
-            lexicon, adam, seen = Lexicon(subwords(path, pattern)), Adam(), 0
-            rng = np.random.default_rng(11)
-            for batch in batches:
-                for k in range(0, len(batch), 64):
-                    laid = lexicon.lay_out([words_of(x) for x in batch["text"].iloc[k : k + 64]])
-                    before, target, _, used = windows(t.unit_of[laid.ids], laid.sizes, int(t.unit_of[-1]))
-                    order = rng.permutation(len(before))
-                    for j in range(0, len(order), BATCH):
-                        part = order[j : j + BATCH]
-                        adam.move(w, gradients(w, t, before[part], target[part], used[part]))
-                    seen += len(laid.ids)
-            if seen:
-                yield pd.DataFrame({"seen": [seen], "weights": [pickle.dumps(w)]})
-
-        from_start = F.pmod(F.col("key") - int(turn * part * keys), F.lit(keys))
-        chosen = texts.where(from_start < part * keys)
-        got = chosen.repartition(trainers, "key").select("text").mapInPandas(run, "seen long, weights binary").collect()
-        if got:
-            total = sum(r["seen"] for r in got)
-            parts = [(r["seen"] / total, pickle.loads(r["weights"])) for r in got]
-            weights = {k: sum(f * p[k] for f, p in parts).astype(np.float32) for k in weights}
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pd.DataFrame]:
+            trainer = Trainer(*pickle.loads(sent.value))
+            for flat, sizes, _ in documents_of(batches, dtype):
+                trainer.learn(flat, sizes)
+            if not trainer.seen:
+                return
+            trainer.learn_tail()
+            numbers = np.concatenate([w.ravel() for w in trainer.weights.values()])
+            cuts = range(0, len(numbers), PIECE)
+            yield pa.RecordBatch.from_pydict({
+                "piece": pa.array(range(len(cuts)), pa.int32()), "salt": pa.array([TaskContext.get().partitionId() % 64] * len(cuts), pa.int32()),
+                "seen": [trainer.seen] * len(cuts), "numbers": [numbers[k : k + PIECE].tobytes() for k in cuts],
+            })
+
+        chosen = laid.where(F.pmod(F.xxhash64("row"), F.lit(rounds)) == turn).select("ids")
+        parts = chosen.coalesce(max(1, ids // rounds // trainer_ids)).mapInArrow(run, PART)
+        weights = averaged(parts, weights) or weights
     return weights
 
 
 def train(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> Trained:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    texts = docs.where(~held_out(id_col)).select(text.alias("text"))
-
-    def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids_of = subwords(path, pattern)
-        for batch in batches:
-            yield batch.assign(ids=[ids_of.of(w.encode()) if w else [] for w in batch["word"]])
-
-    counts = stored(count_words(texts).mapInPandas(spell, "word string, n long, ids array<int>"), "word-counts")
-    tokens, distinct, documents = counts.agg(F.sum("n"), F.count(F.lit(1)), F.sum(F.when(F.col("word") == "", F.col("n")))).first()
-    size = subwords(path, pattern).size
-    by_id = np.zeros(size + 1)
-    for row in counts.select(F.explode("ids").alias("id"), "n").groupBy("id").agg(F.sum("n").alias("n")).toLocalIterator():
+    sw = subwords(path, pattern)
+    laid = lay_documents(docs, path, pattern, id_col, text_col)
+    counts = stored(laid.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+    tokens, distinct = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
+    by_id = np.zeros(sw.size + 1)
+    for row in laid.where("id IS NOT NULL").groupBy("id").agg(F.sum("n").alias("n")).toLocalIterator():  # a row per subword at most
         by_id[row["id"]] = row["n"]
-    by_id[size] = documents or 0
-    unit_of, share = unit_table(by_id)
-    tables = prior_tables(unit_of, share, *pair_counts(counts, unit_of), float(documents or 0))
-    weights = train_weights(texts.select("text", F.xxhash64("text").alias("key")), int(by_id.sum()), tables, path, pattern)
-    return Trained(counts, int(tokens or 0), int(distinct or 0), tables, weights, path, pattern)
+    rows, ids = laid.where("NOT held_out").select("row", "ids"), int(by_id.sum())
+    tables = prior_tables(by_id, pair_counts(rows.select("ids").coalesce(max(1, ids // PAIR_IDS)), unit_of(slots_by_count(by_id)), sw.dtype))
+    weights = train_weights(rows, ids, tables, sw.dtype)
+    return Trained(counts, laid, int(tokens or 0), int(distinct or 0), tables, weights, path, pattern)
 
 
 def at_least(counts: DataFrame, most: int) -> int | None:
@@ -501,41 +706,44 @@ def frequent_words(counts: DataFrame, most: int = FREQUENT) -> dict[bytes, int]:
 SCORED = "row_id long, doc_id long, held_out boolean, n_tokens long, known long, logs double, score double, rare array<string>"
 
 
-def score(docs: DataFrame, model: Trained, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Trained, id_col: str = "doc_id", text_col: str = "text", laid: DataFrame | None = None) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens,
-    base_score, score."""
-    spark = docs.sparkSession
+    base_score, score. laid: the documents as ids, where they are at hand."""
+    spark, path, pattern = docs.sparkSession, model.path, model.pattern
+    laid = lay_documents(docs, path, pattern, id_col, text_col) if laid is None else laid
+    laid = laid.where("row IS NOT NULL").select("ids", "row", "doc_id", "held_out")
+    sw = subwords(path, pattern)
+    frequent = frequent_words(model.counts)
+    ids, sizes = sw.spell(list(frequent))
+    raw, cuts = ids.astype(sw.dtype).tobytes(), (np.append(0, np.cumsum(sizes)) * sw.dtype.itemsize).tolist()
+    logs = {raw[a:b]: float(np.log10(n + 1)) for a, b, n in zip(cuts, cuts[1:], frequent.values(), strict=False)}
     ends = model.counts.where("word = ''").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    sent = spark.sparkContext.broadcast(pickle.dumps((model.tables, model.weights, {w: float(np.log10(n + 1)) for w, n in frequent_words(model.counts).items()}, float(np.log10(ends + 1)), ends > 0)))
-    path, pattern = model.path, model.pattern
+    sent = spark.sparkContext.broadcast(pickle.dumps((model.tables, model.weights, logs, float(np.log10(ends + 1)), ends > 0)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, w, frequent, end_log, end_known = pickle.loads(sent.value)
-        lexicon, row_id = Lexicon(subwords(path, pattern), frequent), TaskContext.get().partitionId() << 33
-        for batch in batches:
-            for k in range(0, len(batch), 128):
-                part = batch.iloc[k : k + 128]
-                split = [words_of(x) for x in part["text"]]
-                laid = lexicon.lay_out(split)
-                scores = score_sequences(w, t, laid)
-                rows, at = [], 0
-                logs = lexicon.logs[laid.words]
-                for words in split:
-                    found = logs[at : at + len(words)]
-                    unknown = np.isnan(found)
-                    rare = [words[i].decode() for i in np.flatnonzero(unknown)]
-                    rows.append((len(words) + 1, len(words) - len(rare) + end_known, float(found[~unknown].sum()) + end_log, rare))
-                    at += len(words)
-                yield pd.DataFrame({
-                    "row_id": np.arange(row_id, row_id + len(part)), "doc_id": part["doc_id"].astype("Int64"), "held_out": part["held_out"],
-                    "n_tokens": [r[0] for r in rows], "known": [r[1] for r in rows], "logs": [r[2] for r in rows], "score": scores, "rare": [r[3] for r in rows],
-                })
-                row_id += len(part)
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    scored = stored(rows.mapInPandas(run, SCORED), "scored")
-    seen = model.counts.select("word", "n")
-    rare = scored.select("row_id", F.explode("rare").alias("word")).join(seen, "word").groupBy("row_id").agg(F.count(F.lit(1)).alias("more"), F.sum(F.log10(F.col("n") + 1.0)).alias("more_logs"))
+        sw = subwords(path, pattern)
+        frequent[np.array([sw.size], sw.dtype).tobytes()] = end_log
+        for flat, sizes, part in documents_of(batches, sw.dtype):
+            scores = score_sequences(w, t, flat, sizes)
+            keys, begins = sw.words(flat)
+            logs = np.array([frequent.get(k, np.nan) for k in keys])
+            doc = np.searchsorted(np.cumsum(sizes), begins, side="right")
+            unknown = np.isnan(logs)
+            rare: list[list[str]] = [[] for _ in sizes]
+            for i in np.flatnonzero(unknown).tolist():
+                rare[doc[i]].append(sw.word(keys[i]))
+            per = lambda values: np.bincount(doc, values, minlength=len(sizes))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(1), part.column(2), part.column(3), pa.array(per(None).astype(np.int64)), pa.array(per(~unknown).astype(np.int64) - (0 if end_known else 1)),
+                    pa.array(per(np.where(unknown, 0.0, logs))), pa.array(scores), pa.array(rare, pa.list_(pa.string())),
+                ],
+                names=["row_id", "doc_id", "held_out", "n_tokens", "known", "logs", "score", "rare"],
+            )
+
+    scored = stored(laid.mapInArrow(run, SCORED), "scored")
+    rare = scored.select("row_id", F.explode("rare").alias("word")).join(model.counts, "word").groupBy("row_id").agg(F.count(F.lit(1)).alias("more"), F.sum(F.log10(F.col("n") + 1.0)).alias("more_logs"))
     spread = float(np.log10(model.tokens + model.distinct + 1))
     return scored.drop("rare").join(rare, "row_id", "left").select(
         "doc_id", "held_out", "n_tokens",

@@ -406,51 +406,118 @@ def test_lm_counts_and_base(docs, nothing):
     assert lm.score(docs, lm.train(nothing, path, pattern)).where("n_known = 0 AND train_tokens = 0").count() == len(DOCS)
 
 
+def small_model(rng, scale=0.2):
+    counts = rng.integers(0, 50, 3000).astype(float)
+    t = lm.prior_tables(counts, rng.integers(0, 9, (lm.UNITS, lm.UNITS)).astype(float))
+    return counts, t, {k: (p + rng.normal(0, scale, p.shape)).astype(np.float32) for k, p in lm.new_weights(t.tail.shape[1]).items()}
+
+
 def test_lm_is_a_distribution_and_windows_cover_once():
     rng = np.random.default_rng(0)
-    unit, share = lm.unit_table(rng.integers(0, 50, 3000).astype(float))
+    counts, t, w = small_model(rng)
+    unit, share = lm.unit_table(counts)
     assert np.allclose(np.bincount(unit, np.exp(share), minlength=lm.UNITS), 1)
-    t = lm.prior_tables(unit, share, rng.random((lm.UNITS, lm.UNITS)), rng.random(lm.UNITS), rng.random(lm.UNITS), 9.0)
-    w = lm.new_weights()
-    w["to_group"] += rng.normal(0, 0.1, w["to_group"].shape).astype(np.float32)
-    w["to_member"] += rng.normal(0, 0.1, w["to_member"].shape).astype(np.float32)
-    h, before = rng.normal(size=(2, lm.WIDTH)).astype(np.float32), np.array([3, 77])
+    h, before = rng.normal(size=(2, lm.WIDTH)).astype(np.float32), np.array([3, 1500])
     total = sum(np.exp(lm.log_probabilities(w, t, h, before, np.full(2, u))) for u in range(lm.UNITS))
     assert np.allclose(total, 1, atol=1e-3)
+    slots = np.sort(t.slot_of[t.slot_of >= lm.UNITS])
+    for k in (0, 31):
+        mine = slots[slots % lm.MEMBERS == k]
+        assert sum(np.exp(lm.tail_log_probabilities(w, t, h[:1], np.array([s]))[0]) for s in mine) == pytest.approx(1, abs=1e-3)
     sizes = np.array([1, 31, 32, 33, 56, 57, 200])
-    _, _, place, used = lm.windows(np.arange(sizes.sum()) % lm.UNITS, sizes, 0)
-    assert sorted(place[used].tolist()) == list(range(sizes.sum()))
+    for stride in (lm.STRIDE, lm.WINDOW):
+        all_ = lm.Windows(np.arange(sizes.sum()) % lm.UNITS, sizes, 0, stride)
+        _, _, place, used = all_.take(slice(None))
+        assert sorted(place[used].tolist()) == list(range(sizes.sum()))
 
 
 def test_lm_gradients():
     rng = np.random.default_rng(0)
-    unit, share = lm.unit_table(np.ones(2000))
-    t = lm.prior_tables(unit, share, rng.random((lm.UNITS, lm.UNITS)), rng.random(lm.UNITS), rng.random(lm.UNITS), 2.0)
-    w = {k: (p + rng.normal(0, 0.2, p.shape)).astype(np.float32) for k, p in lm.new_weights().items()}
-    units, target, used = rng.integers(0, lm.UNITS, (4, lm.WINDOW)), rng.integers(0, lm.UNITS, (4, lm.WINDOW)), rng.random((4, lm.WINDOW)) < 0.8
-
-    def loss():
-        h = lm.attend(w, units)[-1]
-        return -lm.log_probabilities(w, t, h[used], units[used], target[used]).astype(float).mean()
-
-    d = lm.gradients(w, t, units, target, used)
+    _, t, w = small_model(rng)
+    before, target, used = rng.integers(0, 3000, (4, lm.WINDOW)), rng.integers(0, 3000, (4, lm.WINDOW)), rng.random((4, lm.WINDOW)) < 0.8
+
+    def loss(tail):
+        x, _, _, _, c = lm.attend(w, before)
+        h = lm.hidden(w, lm.two(x), lm.two(c)).reshape(x.shape)[used]
+        if tail:
+            far = target[used] >= lm.UNITS
+            return -lm.tail_log_probabilities(w, t, h[far], target[used][far]).astype(float).sum()
+        return -lm.log_probabilities(w, t, h, before[used], target[used]).astype(float).mean()
+
+    d, h, goal = lm.gradients(w, t, before, target, used)
+    rows, g = d["slot"]
+    d["slot"] = np.zeros_like(w["slot"])
+    d["slot"][rows] = g
+    d["to_tail"] = np.zeros_like(w["to_tail"])
+    for k, part in lm.tail_gradients(w, t, h, goal).items():
+        d["to_tail"][k] = part
+    assert set(d) == set(w)
     for name, g in d.items():
         at = np.unravel_index(np.argmax(np.abs(g)), g.shape)
         old, step = w[name][at], 1e-2
         w[name][at] = old + step
-        up = loss()
+        up = loss(name == "to_tail")
         w[name][at] = old - step
-        down = loss()
+        down = loss(name == "to_tail")
         w[name][at] = old
         assert (up - down) / (2 * step) == pytest.approx(float(g[at]), rel=0.08, abs=2e-4), name
 
 
+def test_lm_scores_equal_a_plain_loop():
+    """One document's score in float64, position by position."""
+    rng = np.random.default_rng(5)
+    counts, t, w = small_model(rng)
+    ids = rng.integers(0, 3000, 90)
+    w64 = {k: p.astype(float) for k, p in w.items()}
+    slots, end, total = t.slot_of[ids], int(t.slot_of[-1]), 0.0
+    before = np.r_[end, slots[:-1]]
+
+    def log_softmax(z):
+        return z - z.max() - math.log(np.exp(z - z.max()).sum())
+
+    for p in range(len(ids)):
+        start = 0 if p < lm.WINDOW else (p - lm.OVERLAP) // lm.STRIDE * lm.STRIDE
+        x = w64["slot"][before[start : p + 1]] + w64["place"][: p + 1 - start]
+        a = np.exp((x[-1] @ w64["query"]) @ x.T / math.sqrt(lm.WIDTH))
+        h = np.tanh(x[-1] @ w64["direct"] + (a / a.sum()) @ x @ w64["mixed"])
+        b, u = int(lm.unit_of(before[p])), int(lm.unit_of(slots[p]))
+        g, m = divmod(u, lm.MEMBERS)
+        total += log_softmax(h @ w64["to_group"] + w64["group_bias"] + t.group[b])[g] + log_softmax(h @ w64["to_member"][g] + w64["member_bias"][g] + t.member[b, g])[m]
+        if slots[p] >= lm.UNITS:
+            k, row = slots[p] % lm.MEMBERS, (slots[p] - lm.UNITS) // lm.MEMBERS
+            total += log_softmax(w64["to_tail"][k] @ h + t.tail[k])[row]
+    assert lm.score_sequences(w, t, ids, np.array([90]))[0] == pytest.approx(total / math.log(10), rel=1e-4)
+
+
 def test_lm_masks_the_future():
     w = {k: p + 0.1 for k, p in lm.new_weights().items()}
-    units = np.arange(lm.WINDOW)[None, :] % 7
-    other = units.copy()
+    slots = np.arange(lm.WINDOW)[None, :] % 7
+    other = slots.copy()
     other[0, 20:] = 500
-    assert np.allclose(lm.attend(w, units)[-1][0, :20], lm.attend(w, other)[-1][0, :20], atol=1e-6)
+    assert np.allclose(lm.attend(w, slots)[-1][0, :20], lm.attend(w, other)[-1][0, :20], atol=1e-6)
+
+
+def test_lm_trains_on_every_training_document(spark, monkeypatch):
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    rows = [(k, "w" + str(k % 9) + " the and of " * (k % 40)) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    seen = []
+    real = lm.averaged
+    monkeypatch.setattr(lm, "averaged", lambda parts, like: seen.append(parts.where("piece = 0").agg(F.sum("seen"), F.count(F.lit(1))).first()) or real(parts, like))
+    monkeypatch.setattr(lm.train_weights, "__defaults__", (lm.ROUNDS, 500))
+    model = lm.train(docs, path, pattern)
+    laid = model.laid.where("NOT held_out").select(F.octet_length("ids").alias("n")).agg(F.sum("n")).first()[0] // 2
+    assert len(seen) == lm.ROUNDS and sum(s[0] for s in seen) == laid and max(s[1] for s in seen) > 1
+
+
+def test_words_are_spelled_together_as_alone():
+    sw = lm.subwords(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    words = [w.encode() for w in ["the", "don't", "x1y2", "été", "a\u00a0b", "ABC", "!!!'s", "\x1cq", "日本", "end", "it's,ok", "\u3000", "z"]]
+    ids, sizes = sw.spell(words)
+    cuts = np.append(0, np.cumsum(sizes))
+    assert [ids[a:b].tolist() for a, b in zip(cuts, cuts[1:])] == [sw.of(w) for w in words]
+    keys, _ = sw.words(ids)
+    assert [sw.word(k) for k in keys] == [w.decode() for w in words]
 
 
 def test_subwords_are_the_public_encoding():
