@@ -3,22 +3,23 @@
 One pass over the documents turns each text into subword ids, which are written
 as a table, and counts words and ids over all training documents. Ids are
 numbered by falling count: each of the first 992 is a unit of its own, the rest
-are dealt to 32 further units; units stand in 32 groups. A second pass over the
-ids of all training documents counts pairs of neighbouring units. An id's
-probability is that of its group, of its unit in the group and, beyond the
-first 992, of the id in its unit; pair counts give the first two given the id
-before, counts the third.
-
-The model corrects all three log-probabilities from context: an embedding of
-every id and of its place, one causal self-attention layer, and a tanh layer.
-(Key and value projections are left to the matrices they are multiplied with.)
-Adam trains it on windows of all training documents, each of which is in one
-of ``ROUNDS`` rounds. A task is a trainer and reads at most about
+are dealt to 32 further units. Two passes over the ids of all training documents
+count pairs of neighbouring units, and what follows the ``PAIRS`` most frequent
+pairs; a context is such a pair, or else the last unit. Units that follow the
+same units are gathered in ``GROUPS`` groups.
+
+An id's probability is that of its group, times that of its unit in the group
+given the context (from the counts, discounted), times its share of the unit's
+count. The group's is what the model learns: an embedding of every id and of its
+place, one causal self-attention layer and a tanh layer correct what the counts
+say of it. (Key and value projections are left to the matrices that they would
+be multiplied with.) Adam trains it on windows of all training documents, each
+of which is in one of ``ROUNDS`` rounds: of a document's windows the first one
+and every ``SPACING``-th after it. A task is a trainer and reads about
 ``TRAINER_IDS`` ids, so that trainers grow with the corpus; after a round their
-weights are averaged in Spark. Of a document's windows its first one and every
-``SPACING``-th after it are trained on.
+weights are averaged in Spark.
 
-A document is scored in windows of 32 ids that overlap by 8, in batches with a
+A document is scored in windows of 32 ids that overlap by 6, in batches with a
 causal mask; every id is scored once, in the first window it is in unless that
 is its start. The unigram base score looks frequent words up in a table of
 bounded size; the others go through a join with the counts.
@@ -46,19 +47,20 @@ from pyspark.sql import functions as F
 
 from inspectra.llm.common import stored
 
-GROUPS, MEMBERS = 32, 32
-UNITS = GROUPS * MEMBERS
-OWN = UNITS - MEMBERS
+UNITS, SHARED = 1024, 32
+OWN = UNITS - SHARED
+GROUPS, PAIRS = 32, 3072
+DIRECTIONS, GROUPING_STEPS = 24, 15
+DISCOUNT = 0.75
 WIDTH = 16
-WINDOW, OVERLAP = 32, 8
+WINDOW, OVERLAP = 32, 6
 STRIDE = WINDOW - OVERLAP
-ROUNDS, TRAINER_IDS, SPACING = 2, 8_000_000, 1
-BATCH, RATE, TAIL_BATCHES, TAIL_RATE = 128, 8e-3, 16, 0.05
-PRIOR = 4.0
+ROUNDS, TRAINER_IDS, SPACING = 2, 8_000_000, 2
+BATCH, RATE = 128, 8e-3
 FREQUENT, FREQUENT_BYTES = 150_000, 64
-BLOCK = 256
+BLOCK = 64
 KNOWN_WORDS = 250_000
-PAIR_IDS = 1 << 25
+COUNTED_IDS = 1 << 25
 #: Numbers of a weight array that go into one row when trainers are averaged.
 PIECE = 4096
 
@@ -198,61 +200,115 @@ class Lexicon:
         return [words[i].decode() for i in at.tolist()], self.count[at], ids.astype(np.int64)
 
 
-@dataclass
-class Tables:
-    """slot_of: of each id (the end id is the last one), its slot. group,
-    member: logarithms given the unit before; tail: for each of the last 32
-    units a column of logarithms of its ids' shares."""
-
-    slot_of: np.ndarray
-    group: np.ndarray
-    member: np.ndarray
-    tail: np.ndarray
-
-
 def slots_by_count(counts: np.ndarray) -> np.ndarray:
     """Slots by falling count: below ``OWN`` they are units, from ``UNITS`` on
-    they go to the last 32 units in turn."""
+    they go to the last units in turn."""
     rank = np.empty(len(counts), dtype=np.int64)
     rank[np.lexsort((np.arange(len(counts)), -counts))] = np.arange(len(counts))
     return np.where(rank < OWN, rank, rank - OWN + UNITS).astype(np.int32)
 
 
-def unit_of(slots: np.ndarray) -> np.ndarray:
-    return np.where(slots < UNITS, slots, OWN + slots % MEMBERS)
-
-
 def unit_table(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each id, its unit and the logarithm of its share of the unit's count."""
-    unit, smooth = unit_of(slots_by_count(counts)), counts + 0.1
+    slots, smooth = slots_by_count(counts), counts + 0.1
+    unit = np.where(slots < UNITS, slots, OWN + slots % SHARED)
     return unit, np.log(smooth / np.bincount(unit, smooth, minlength=UNITS)[unit])
 
 
-def prior_tables(counts: np.ndarray, pairs: np.ndarray) -> Tables:
-    """From the counts of ids and of unit pairs (the unit before, the next)."""
-    slots, (_, share) = slots_by_count(counts), unit_table(counts)
+def discounted(counts: np.ndarray, back: np.ndarray) -> np.ndarray:
+    """Probabilities of rows of counts; what the discount takes goes to ``back``."""
+    n, kinds = counts.sum(axis=1, keepdims=True), (counts > 0).sum(axis=1, keepdims=True)
+    return np.where(n > 0, (np.maximum(counts - DISCOUNT, 0) + DISCOUNT * kinds * back) / np.maximum(n, 1), back)
+
+
+def frequent_pairs(pairs: np.ndarray) -> np.ndarray:
+    return np.argsort(-pairs.ravel(), kind="stable")[:PAIRS]
+
+
+def groups_of(pairs: np.ndarray) -> np.ndarray:
+    """A group for each unit, by what comes before it: spherical k-means on the
+    main directions of the positive mutual information of pairs."""
+    joint = (pairs + 0.1) / (pairs + 0.1).sum()
+    above = np.log(joint / (joint.sum(axis=1, keepdims=True) * joint.sum(axis=0, keepdims=True))).clip(0)
+    _, size, directions = np.linalg.svd(above, full_matrices=False)
+    x = directions[:DIRECTIONS].T * np.sqrt(size[:DIRECTIONS])
+    x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-9
+    often = pairs.sum(axis=0)
+    centres, weight = x[np.argsort(-often, kind="stable")[:GROUPS]], np.sqrt(often + 1)
+    for _ in range(GROUPING_STEPS):
+        group = np.argmax(x @ centres.T, axis=1)
+        for g in range(GROUPS):
+            if (group == g).any():
+                middle = np.average(x[group == g], axis=0, weights=weight[group == g])
+                centres[g] = middle / (np.linalg.norm(middle) + 1e-9)
+    return group
+
+
+@dataclass
+class Tables:
+    """slot, unit, share: of each id (the end id is the last one). context: of
+    each pair of units. groups: of each unit. group: logarithms for each context
+    and group; inside: for each context and unit, given its group."""
+
+    slot: np.ndarray
+    unit: np.ndarray
+    share: np.ndarray
+    context: np.ndarray
+    groups: np.ndarray
+    group: np.ndarray
+    inside: np.ndarray
+
+    def prepare(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of ids laid end to end: slots, contexts, groups, and the part of the
+        logarithm of the probability that the counts alone give."""
+        unit = self.unit.take(ids)
+        context = self.context.take(pairs_before(unit, sizes, int(self.unit[-1])))
+        return self.slot.take(ids), context, self.groups.take(unit), self.inside.ravel().take(context.astype(np.int64) * UNITS + unit).astype(np.float32) + self.share.take(ids)
+
+
+def pairs_before(unit: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
+    """For each place the two units before it as one number; the end stands
+    before each document."""
+    last, second, begins = np.empty_like(unit), np.empty_like(unit), np.cumsum(sizes) - sizes
+    last[1:], second[2:] = unit[:-1], unit[:-2]
+    last[begins] = second[begins] = end
+    second[begins[sizes > 1] + 1] = end
+    return second.astype(np.int64) * UNITS + last
+
+
+def context_table(top: np.ndarray) -> np.ndarray:
+    """A context for each pair of units: its own, or that of the last unit."""
+    out = np.tile(np.arange(UNITS, dtype=np.int16), UNITS)
+    out[top] = UNITS + np.arange(len(top))
+    return out
+
+
+def tables_from(counts: np.ndarray, pairs: np.ndarray, top: np.ndarray, after: np.ndarray) -> Tables:
+    """From counts of ids, of unit pairs (rows: the unit before) and of what
+    follows the frequent pairs ``top``."""
+    unit, share = unit_table(counts)
     alone = pairs.sum(axis=0) + 0.5
-    alone /= alone.sum()
-    p = (pairs + PRIOR * alone) / (pairs.sum(axis=1, keepdims=True) + PRIOR)
-    p = p.reshape(UNITS, GROUPS, MEMBERS)
-    group = p.sum(axis=2)
-    rows = max(0, -(-(len(counts) - OWN) // MEMBERS))
-    tail = np.full((rows * MEMBERS), -1e9)
-    beyond = slots >= UNITS
-    tail[slots[beyond] - UNITS] = share[beyond]
-    return Tables(slots, np.log(group).astype(np.float32), np.log(p / group[:, :, None]).astype(np.float32), tail.reshape(rows, MEMBERS).T.astype(np.float32).copy())
-
-
-def new_weights(rows: int = 0, seed: int = 7) -> dict[str, np.ndarray]:
-    """rows: ids in each of the last units. Embeddings beyond the units begin at zero."""
+    two_ = discounted(pairs, alone / alone.sum())
+    p = np.concatenate((two_, discounted(after, two_[top % UNITS])))
+    groups = groups_of(pairs)
+    member = np.zeros((UNITS, GROUPS))
+    member[np.arange(UNITS), groups] = 1
+    group = p @ member
+    inside = np.log(p / group[:, groups])
+    return Tables(
+        slots_by_count(counts), unit.astype(np.int32), share.astype(np.float32), context_table(top), groups.astype(np.int32),
+        np.log(np.maximum(group, 1e-30)).astype(np.float32), inside.astype(np.float16),
+    )
+
+
+def new_weights(slots: int = UNITS, seed: int = 7) -> dict[str, np.ndarray]:
+    """Embeddings of slots beyond the units begin at zero."""
     rng = np.random.default_rng(seed)
     small = lambda *shape: (rng.standard_normal(shape) / np.sqrt(WIDTH)).astype(np.float32)
     return {
-        "slot": np.concatenate((small(UNITS, WIDTH), np.zeros((rows * MEMBERS, WIDTH), np.float32))), "place": small(WINDOW, WIDTH) * np.float32(0.3),
+        "slot": np.concatenate((small(UNITS, WIDTH), np.zeros((max(0, slots - UNITS), WIDTH), np.float32))), "place": small(WINDOW, WIDTH) * np.float32(0.3),
         **{k: small(WIDTH, WIDTH) for k in ("query", "direct", "mixed")},
         "to_group": np.zeros((WIDTH, GROUPS), np.float32), "group_bias": np.zeros(GROUPS, np.float32),
-        "to_member": np.zeros((GROUPS, WIDTH, MEMBERS), np.float32), "member_bias": np.zeros((GROUPS, MEMBERS), np.float32),
-        "to_tail": np.zeros((MEMBERS, rows, WIDTH), np.float32),
     }
 
 
@@ -287,96 +343,33 @@ def hidden(w: dict[str, np.ndarray], x: np.ndarray, c: np.ndarray) -> np.ndarray
     return np.tanh(h, out=h)
 
 
-def exponentials(z: np.ndarray, column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The logarithm of a softmax at one column of each row, and the sums of
-    exponentials, by which z is replaced."""
-    if z.max(initial=0) > 80:
-        np.minimum(z, 80, out=z)
-    at = z.ravel().take(np.arange(0, z.size, z.shape[1]) + column)
-    np.exp(z, out=z)
-    total = z @ np.ones((z.shape[1], 1), np.float32)
-    return at - np.log(total[:, 0]), total
-
-
-def log_probabilities(w: dict[str, np.ndarray], t: Tables, h: np.ndarray, before: np.ndarray, target: np.ndarray, back: dict | None = None) -> np.ndarray:
-    """Natural logarithms for the units that come next. With ``back``, also the
+def log_probabilities(w: dict[str, np.ndarray], t: Tables, h: np.ndarray, context: np.ndarray, group: np.ndarray, back: dict | None = None) -> np.ndarray:
+    """Natural logarithms for the groups that come next. With ``back``, also the
     gradients of their negative sum: in back by weight, for h as "hidden"."""
-    unit, unit_before = unit_of(target), unit_of(before)
-    groups, members = unit // MEMBERS, unit % MEMBERS
     z = h @ w["to_group"]
     z += w["group_bias"]
-    z += t.group.take(unit_before, axis=0)
-    out, total = exponentials(z, groups)
-    if back is not None:
-        z /= total
-        z.ravel()[np.arange(0, z.size, GROUPS) + groups] -= 1
-        back["to_group"], back["group_bias"], dh = h.T @ z, z.sum(axis=0), z @ w["to_group"].T
-    order = np.argsort(groups.astype(np.uint8), kind="stable")
-    h, groups, members = h.take(order, axis=0), groups[order], members[order]
-    z = t.member.reshape(-1, MEMBERS).take(unit_before[order] * GROUPS + groups, axis=0)
-    z += w["member_bias"].take(groups, axis=0)
-    ends = np.cumsum(np.bincount(groups, minlength=GROUPS)).tolist()
-    runs = [(g, a, b) for g, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if b > a]
-    for g, a, b in runs:
-        z[a:b] += h[a:b] @ w["to_member"][g]
-    inner, total = exponentials(z, members)
+    z += t.group.take(context, axis=0)
+    if z.max(initial=0) > 80:
+        np.minimum(z, 80, out=z)
+    cells = np.arange(0, z.size, GROUPS) + group
+    at = z.ravel().take(cells)
+    np.exp(z, out=z)
+    total = z @ np.ones((GROUPS, 1), np.float32)
     if back is not None:
         z /= total
-        z.ravel()[np.arange(0, z.size, MEMBERS) + members] -= 1
-        back["to_member"], back["member_bias"], more = np.zeros_like(w["to_member"]), np.zeros_like(w["member_bias"]), np.empty_like(h)
-        for g, a, b in runs:
-            back["to_member"][g], back["member_bias"][g] = h[a:b].T @ z[a:b], z[a:b].sum(axis=0)
-            np.matmul(z[a:b], w["to_member"][g].T, out=more[a:b])
-    out[order] += inner
-    if back is not None:
-        dh[order] += more
-        back["hidden"] = dh
-    return out
-
-
-def tail_runs(slots: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Of slots beyond the units: each unit, its rows, and their places in it."""
-    column, place = slots % MEMBERS, (slots - UNITS) // MEMBERS
-    for k in np.unique(column).tolist():
-        rows = np.flatnonzero(column == k)
-        yield k, rows, place[rows]
-
-
-def tail_log_probabilities(w: dict[str, np.ndarray], t: Tables, h: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Natural logarithms of slots beyond the units, given their units."""
-    out = np.zeros(len(h), np.float32)
-    for k, rows, place in tail_runs(target):
-        for a in range(0, len(rows), 256):
-            part = rows[a : a + 256]
-            z = h[part] @ w["to_tail"][k].T
-            z += t.tail[k]
-            out[part] = exponentials(z, place[a : a + 256])[0]
-    return out
+        z.ravel()[cells] -= 1
+        back["to_group"], back["group_bias"], back["hidden"] = h.T @ z, z.sum(axis=0), z @ w["to_group"].T
+    return at - np.log(total[:, 0])
 
 
-def tail_gradients(w: dict[str, np.ndarray], t: Tables, h: np.ndarray, target: np.ndarray) -> dict[int, np.ndarray]:
-    """Of their negative sum, for the weights of each unit met."""
-    out = {}
-    for k, rows, place in tail_runs(target):
-        z = h[rows] @ w["to_tail"][k].T
-        z += t.tail[k]
-        z /= exponentials(z, place)[1]
-        z[np.arange(len(rows)), place] -= 1
-        out[k] = z.T @ h[rows]
-    return out
-
-
-def gradients(w: dict[str, np.ndarray], t: Tables, before: np.ndarray, target: np.ndarray, used: np.ndarray) -> tuple[dict, np.ndarray, np.ndarray]:
-    """Of the mean negative log-probability of the used targets' units ("slot":
-    a pair of slots and their gradients); hidden rows and targets of the tail."""
+def gradients(w: dict[str, np.ndarray], t: Tables, before: np.ndarray, context: np.ndarray, group: np.ndarray, used: np.ndarray) -> dict:
+    """Of the mean negative log-probability of the groups at used places, for
+    windows of slots; "slot": a pair of slots and their gradients."""
     x, q, a, total, c = attend(w, before)
     at = np.flatnonzero(used.ravel())
     h = hidden(w, two(x), two(c))
     d: dict = {}
-    goal = target.ravel()[at]
-    seen = h.take(at, axis=0)
-    log_probabilities(w, t, seen, before.ravel()[at], goal, d)
-    beyond = np.flatnonzero(goal >= UNITS)
+    log_probabilities(w, t, h.take(at, axis=0), context.ravel().take(at), group.ravel().take(at), d)
     dpre = np.zeros_like(h)
     dpre[at] = d.pop("hidden")
     h *= h
@@ -399,11 +392,8 @@ def gradients(w: dict[str, np.ndarray], t: Tables, before: np.ndarray, target: n
     order = np.argsort(flat.astype(np.uint16) if flat.max(initial=0) < 1 << 16 else flat, kind="stable")
     flat = flat[order]
     starts = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, np.int64)
-    d["slot"] = (flat[starts], np.add.reduceat(dx.take(order, axis=0), starts, axis=0))
     n = np.float32(1 / max(1, len(at)))
-    for g in d.values():
-        np.multiply(g[1] if isinstance(g, tuple) else g, n, out=g[1] if isinstance(g, tuple) else g)
-    return d, seen[beyond], goal[beyond]
+    return {k: g * n for k, g in d.items()} | {"slot": (flat[starts], np.add.reduceat(dx.take(order, axis=0), starts, axis=0) * n)}
 
 
 @dataclass
@@ -443,7 +433,7 @@ class Windows:
 
     def __init__(self, slots: np.ndarray, sizes: np.ndarray, end: int, stride: int = STRIDE) -> None:
         begins = np.cumsum(sizes) - sizes
-        self.slots, self.stride, self.before = slots, stride, np.empty_like(slots)
+        self.stride, self.before = stride, np.empty_like(slots)
         self.before[1:] = slots[:-1]
         self.before[begins] = end
         number = 1 + np.maximum(0, -(-(sizes - WINDOW) // stride))
@@ -452,67 +442,48 @@ class Windows:
         self.start = begins[doc] + self.turn * stride
         self.left = (begins + sizes)[doc] - self.start
 
-    def take(self, at: np.ndarray | slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The slots before, the slots that come next, their places in the
-        sequence, and which of them count in their window."""
+    def take(self, at: np.ndarray | slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The slots before, the places of those that come next, and which of
+        them count in their window."""
         column = np.arange(WINDOW)
         place = self.start[at][:, None] + column
         used = (column < self.left[at][:, None]) & ((self.turn[at] == 0)[:, None] | (column >= WINDOW - self.stride))
-        np.minimum(place, len(self.slots) - 1, out=place)
-        return self.before.take(place), self.slots.take(place), place, used
+        np.minimum(place, len(self.before) - 1, out=place)
+        return self.before.take(place), place, used
 
 
 def score_sequences(w: dict[str, np.ndarray], t: Tables, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """log10 of each document's probability; every id is scored once."""
-    all_, tail = Windows(t.slot_of.take(ids), sizes, int(t.slot_of[-1])), []
-    out = np.zeros(len(ids), np.float32)
+    slots, context, group, out = t.prepare(ids, sizes)
+    all_ = Windows(slots, sizes, int(t.slot[-1]))
     for k in range(0, len(all_.start), BLOCK):
-        before, target, place, used = all_.take(slice(k, k + BLOCK))
+        before, place, used = all_.take(slice(k, k + BLOCK))
         mark = np.flatnonzero(used.ravel())
-        parts = [attend(w, before[j : j + 64]) for j in range(0, len(before), 64)]
-        x, c = (np.concatenate([two(p[i]) for p in parts]).take(mark, axis=0) for i in (0, 4))
-        h, goal, at = hidden(w, x, c), target.ravel().take(mark), place.ravel().take(mark)
-        out[at] = log_probabilities(w, t, h, before.ravel().take(mark), goal)
-        beyond = np.flatnonzero(goal >= UNITS)
-        tail.append((at[beyond], h[beyond], goal[beyond]))
-    if tail:
-        at, h, goal = map(np.concatenate, zip(*tail, strict=True))
-        out[at] += tail_log_probabilities(w, t, h, goal)
+        x, _, _, _, c = attend(w, before)
+        h, at = hidden(w, two(x).take(mark, axis=0), two(c).take(mark, axis=0)), place.ravel().take(mark)
+        out[at] += log_probabilities(w, t, h, context.take(at), group.take(at))
     return np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=out, minlength=len(sizes)) / np.log(10)
 
 
 @dataclass
 class Trainer:
-    """Weights that learn from ids of documents. What lies beyond the units is
-    gathered over some batches, as its weights take a step per unit."""
+    """Weights that learn from ids of documents."""
 
     tables: Tables
     weights: dict[str, np.ndarray]
     adam: Adam = field(default_factory=Adam)
     seen: int = 0
-    tail: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
     rng: np.random.Generator = field(default_factory=lambda: np.random.default_rng(11))
 
     def learn(self, ids: np.ndarray, sizes: np.ndarray) -> None:
-        t, w = self.tables, self.weights
-        all_ = Windows(t.slot_of.take(ids), sizes, int(t.slot_of[-1]), WINDOW)
+        slots, context, group, _ = self.tables.prepare(ids, sizes)
+        all_ = Windows(slots, sizes, int(self.tables.slot[-1]), WINDOW)
         order = self.rng.permutation(np.flatnonzero(all_.turn % SPACING == 0))
         for k in range(0, len(order), BATCH):
-            before, target, _, used = all_.take(order[k : k + BATCH])
-            d, h, goal = gradients(w, t, before, target, used)
-            self.adam.move(w, d)
-            self.tail.append((h, goal))
-            if len(self.tail) == TAIL_BATCHES:
-                self.learn_tail()
+            before, place, used = all_.take(order[k : k + BATCH])
+            self.adam.move(self.weights, gradients(self.weights, self.tables, before, context.take(place), group.take(place), used))
         self.seen += len(ids)
 
-    def learn_tail(self) -> None:
-        if self.tail:
-            h, goal = map(np.concatenate, zip(*self.tail, strict=True))
-            for k, g in tail_gradients(self.weights, self.tables, h, goal).items():
-                self.weights["to_tail"][k] -= np.float32(TAIL_RATE) * g
-            self.tail = []
-
 
 @dataclass
 class Trained:
@@ -594,27 +565,33 @@ def documents_of(batches: Iterator[pa.RecordBatch], dtype: np.dtype, most: int =
                 yield np.frombuffer(b"".join(part.column(0).to_pylist()), dtype).astype(np.int32), sizes[a:b], part
 
 
-def pair_counts(ids: DataFrame, units: np.ndarray, dtype: np.dtype) -> np.ndarray:
-    """How often a unit follows another in ids (the end before each document).
-    At most UNITS x UNITS sums reach the driver."""
+def cell_counts(ids: DataFrame, units: np.ndarray, dtype: np.dtype, top: np.ndarray | None = None) -> np.ndarray:
+    """How often a unit follows another (rows: the unit before, the end before
+    each document), or follows each of the pairs ``top``, in ids. So many sums
+    reach the driver at most as there are rows and units."""
+    row_of = None if top is None else context_table(top)
+    size = (UNITS if top is None else len(top)) * UNITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(UNITS * UNITS, np.int64)
+        total = np.zeros(size, np.int64)
         for flat, sizes, _ in documents_of(batches, dtype, 1 << 20):
             now = units.take(flat)
-            before = np.empty_like(now)
-            before[1:] = now[:-1]
-            before[np.cumsum(sizes) - sizes] = units[-1]
-            total += np.bincount(before * UNITS + now, minlength=len(total))
+            row = pairs_before(now, sizes, int(units[-1]))
+            if top is None:
+                row %= UNITS
+            else:
+                row = row_of.take(row).astype(np.int64) - UNITS
+                now, row = now[row >= 0], row[row >= 0]
+            total += np.bincount(row * UNITS + now, minlength=size)
         at = np.flatnonzero(total)
         for k in range(0, len(at), 1 << 16):
             part = at[k : k + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["cell", "n"])
 
     got = ids.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    total = np.zeros(UNITS * UNITS)
+    total = np.zeros(size)
     total[got["cell"].to_numpy(int)] = got["n"]
-    return total.reshape(UNITS, UNITS)
+    return total.reshape(-1, UNITS)
 
 
 PART = "piece int, salt int, seen long, numbers binary"
@@ -645,7 +622,7 @@ def averaged(parts: DataFrame, like: dict[str, np.ndarray]) -> dict[str, np.ndar
 
 def train_weights(laid: DataFrame, ids: int, tables: Tables, dtype: np.dtype, rounds: int = ROUNDS, trainer_ids: int = TRAINER_IDS) -> dict[str, np.ndarray]:
     """laid: row and ids of the training documents, each of which is in one round."""
-    spark, weights = laid.sparkSession, new_weights(tables.tail.shape[1])
+    spark, weights = laid.sparkSession, new_weights(int(tables.slot.max()) + 1)
     for turn in range(rounds):
         sent = spark.sparkContext.broadcast(pickle.dumps((tables, weights)))
 
@@ -655,7 +632,6 @@ def train_weights(laid: DataFrame, ids: int, tables: Tables, dtype: np.dtype, ro
                 trainer.learn(flat, sizes)
             if not trainer.seen:
                 return
-            trainer.learn_tail()
             numbers = np.concatenate([w.ravel() for w in trainer.weights.values()])
             cuts = range(0, len(numbers), PIECE)
             yield pa.RecordBatch.from_pydict({
@@ -678,7 +654,11 @@ def train(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text
     for row in laid.where("id IS NOT NULL").groupBy("id").agg(F.sum("n").alias("n")).toLocalIterator():  # a row per subword at most
         by_id[row["id"]] = row["n"]
     rows, ids = laid.where("NOT held_out").select("row", "ids"), int(by_id.sum())
-    tables = prior_tables(by_id, pair_counts(rows.select("ids").coalesce(max(1, ids // PAIR_IDS)), unit_of(slots_by_count(by_id)), sw.dtype))
+    few = rows.select("ids").coalesce(max(1, ids // COUNTED_IDS))
+    units, _ = unit_table(by_id)
+    pairs = cell_counts(few, units, sw.dtype)
+    top = frequent_pairs(pairs)
+    tables = tables_from(by_id, pairs, top, cell_counts(few, units, sw.dtype, top))
     weights = train_weights(rows, ids, tables, sw.dtype)
     return Trained(counts, laid, int(tokens or 0), int(distinct or 0), tables, weights, path, pattern)
 

@@ -407,9 +407,10 @@ def test_lm_counts_and_base(docs, nothing):
 
 
 def small_model(rng, scale=0.2):
-    counts = rng.integers(0, 50, 3000).astype(float)
-    t = lm.prior_tables(counts, rng.integers(0, 9, (lm.UNITS, lm.UNITS)).astype(float))
-    return counts, t, {k: (p + rng.normal(0, scale, p.shape)).astype(np.float32) for k, p in lm.new_weights(t.tail.shape[1]).items()}
+    counts, pairs = rng.integers(0, 50, 3000).astype(float), rng.integers(0, 9, (lm.UNITS, lm.UNITS)).astype(float)
+    top = lm.frequent_pairs(pairs)
+    t = lm.tables_from(counts, pairs, top, rng.integers(0, 3, (len(top), lm.UNITS)).astype(float))
+    return counts, t, {k: (p + rng.normal(0, scale, p.shape)).astype(np.float32) for k, p in lm.new_weights(int(t.slot.max()) + 1).items()}
 
 
 def test_lm_is_a_distribution_and_windows_cover_once():
@@ -417,48 +418,39 @@ def test_lm_is_a_distribution_and_windows_cover_once():
     counts, t, w = small_model(rng)
     unit, share = lm.unit_table(counts)
     assert np.allclose(np.bincount(unit, np.exp(share), minlength=lm.UNITS), 1)
-    h, before = rng.normal(size=(2, lm.WIDTH)).astype(np.float32), np.array([3, 1500])
-    total = sum(np.exp(lm.log_probabilities(w, t, h, before, np.full(2, u))) for u in range(lm.UNITS))
-    assert np.allclose(total, 1, atol=1e-3)
-    slots = np.sort(t.slot_of[t.slot_of >= lm.UNITS])
-    for k in (0, 31):
-        mine = slots[slots % lm.MEMBERS == k]
-        assert sum(np.exp(lm.tail_log_probabilities(w, t, h[:1], np.array([s]))[0]) for s in mine) == pytest.approx(1, abs=1e-3)
+    for c in (0, 1023, 1500, lm.UNITS + lm.PAIRS - 1):
+        assert np.allclose(np.bincount(t.groups, np.exp(t.inside[c].astype(float)), minlength=lm.GROUPS)[np.unique(t.groups)], 1, atol=0.01)
+    h, context = rng.normal(size=(2, lm.WIDTH)).astype(np.float32), np.array([3, 1500])
+    assert np.allclose(sum(np.exp(lm.log_probabilities(w, t, h, context, np.full(2, g))) for g in range(lm.GROUPS)), 1, atol=1e-3)
     sizes = np.array([1, 31, 32, 33, 56, 57, 200])
     for stride in (lm.STRIDE, lm.WINDOW):
-        all_ = lm.Windows(np.arange(sizes.sum()) % lm.UNITS, sizes, 0, stride)
-        _, _, place, used = all_.take(slice(None))
+        _, place, used = lm.Windows(np.arange(sizes.sum()) % lm.UNITS, sizes, 0, stride).take(slice(None))
         assert sorted(place[used].tolist()) == list(range(sizes.sum()))
 
 
 def test_lm_gradients():
     rng = np.random.default_rng(0)
     _, t, w = small_model(rng)
-    before, target, used = rng.integers(0, 3000, (4, lm.WINDOW)), rng.integers(0, 3000, (4, lm.WINDOW)), rng.random((4, lm.WINDOW)) < 0.8
+    before, context, group = rng.integers(0, 3000, (4, lm.WINDOW)), rng.integers(0, lm.UNITS + lm.PAIRS, (4, lm.WINDOW)), rng.integers(0, lm.GROUPS, (4, lm.WINDOW))
+    used = rng.random((4, lm.WINDOW)) < 0.8
 
-    def loss(tail):
+    def loss():
         x, _, _, _, c = lm.attend(w, before)
         h = lm.hidden(w, lm.two(x), lm.two(c)).reshape(x.shape)[used]
-        if tail:
-            far = target[used] >= lm.UNITS
-            return -lm.tail_log_probabilities(w, t, h[far], target[used][far]).astype(float).sum()
-        return -lm.log_probabilities(w, t, h, before[used], target[used]).astype(float).mean()
+        return -lm.log_probabilities(w, t, h, context[used], group[used]).astype(float).mean()
 
-    d, h, goal = lm.gradients(w, t, before, target, used)
+    d = lm.gradients(w, t, before, context, group, used)
     rows, g = d["slot"]
     d["slot"] = np.zeros_like(w["slot"])
     d["slot"][rows] = g
-    d["to_tail"] = np.zeros_like(w["to_tail"])
-    for k, part in lm.tail_gradients(w, t, h, goal).items():
-        d["to_tail"][k] = part
     assert set(d) == set(w)
     for name, g in d.items():
         at = np.unravel_index(np.argmax(np.abs(g)), g.shape)
         old, step = w[name][at], 1e-2
         w[name][at] = old + step
-        up = loss(name == "to_tail")
+        up = loss()
         w[name][at] = old - step
-        down = loss(name == "to_tail")
+        down = loss()
         w[name][at] = old
         assert (up - down) / (2 * step) == pytest.approx(float(g[at]), rel=0.08, abs=2e-4), name
 
@@ -469,26 +461,34 @@ def test_lm_scores_equal_a_plain_loop():
     counts, t, w = small_model(rng)
     ids = rng.integers(0, 3000, 90)
     w64 = {k: p.astype(float) for k, p in w.items()}
-    slots, end, total = t.slot_of[ids], int(t.slot_of[-1]), 0.0
-    before = np.r_[end, slots[:-1]]
-
-    def log_softmax(z):
-        return z - z.max() - math.log(np.exp(z - z.max()).sum())
-
+    slots, total = t.slot[ids], 0.0
+    before = np.r_[int(t.slot[-1]), slots[:-1]]
+    units = [int(t.unit[-1])] * 2 + t.unit[ids].tolist()
     for p in range(len(ids)):
         start = 0 if p < lm.WINDOW else (p - lm.OVERLAP) // lm.STRIDE * lm.STRIDE
         x = w64["slot"][before[start : p + 1]] + w64["place"][: p + 1 - start]
         a = np.exp((x[-1] @ w64["query"]) @ x.T / math.sqrt(lm.WIDTH))
         h = np.tanh(x[-1] @ w64["direct"] + (a / a.sum()) @ x @ w64["mixed"])
-        b, u = int(lm.unit_of(before[p])), int(lm.unit_of(slots[p]))
-        g, m = divmod(u, lm.MEMBERS)
-        total += log_softmax(h @ w64["to_group"] + w64["group_bias"] + t.group[b])[g] + log_softmax(h @ w64["to_member"][g] + w64["member_bias"][g] + t.member[b, g])[m]
-        if slots[p] >= lm.UNITS:
-            k, row = slots[p] % lm.MEMBERS, (slots[p] - lm.UNITS) // lm.MEMBERS
-            total += log_softmax(w64["to_tail"][k] @ h + t.tail[k])[row]
+        c, u = int(t.context[units[p] * lm.UNITS + units[p + 1]]), units[p + 2]
+        z = h @ w64["to_group"] + w64["group_bias"] + t.group[c]
+        total += z[t.groups[u]] - math.log(np.exp(z).sum()) + float(t.inside[c, u]) + float(t.share[ids[p]])
     assert lm.score_sequences(w, t, ids, np.array([90]))[0] == pytest.approx(total / math.log(10), rel=1e-4)
 
 
+def test_lm_counts_pairs_and_what_follows_them(spark):
+    rng = np.random.default_rng(2)
+    docs = [rng.integers(0, 6, n).tolist() + [6] for n in (0, 1, 2, 30, 50)]
+    rows = spark.createDataFrame([(bytearray(np.array(d, "<u2").tobytes()),) for d in docs], "ids binary").repartition(2)
+    units, top = np.arange(7), np.array([3 * lm.UNITS + 2, 6 * lm.UNITS + 6, 6 * lm.UNITS + 1])
+    pairs, after = np.zeros((lm.UNITS, lm.UNITS)), np.zeros((3, lm.UNITS))
+    for d in docs:
+        full = [6, 6, *d]
+        for x, y, z in zip(full, full[1:], full[2:], strict=False):
+            pairs[y, z] += 1
+            after[:, z] += top == x * lm.UNITS + y
+    assert (lm.cell_counts(rows, units, np.dtype("<u2")) == pairs).all() and (lm.cell_counts(rows, units, np.dtype("<u2"), top) == after).all()
+
+
 def test_lm_masks_the_future():
     w = {k: p + 0.1 for k, p in lm.new_weights().items()}
     slots = np.arange(lm.WINDOW)[None, :] % 7
