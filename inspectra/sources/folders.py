@@ -11,10 +11,12 @@ _own: dict[str, str] = {}
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder of spark.checkpoint.dir, or in a temporary
-    one of our own where that isn't set."""
+    """A fresh path in the folder of spark.checkpoint.dir. In local mode (as in
+    tests) one in a temporary folder of our own where that isn't set."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         folder = _own.setdefault(app, _own.get(app) or "file://" + tempfile.mkdtemp(prefix="shared-"))
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
