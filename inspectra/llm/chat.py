@@ -1,10 +1,13 @@
 """Chat formatting with schema fingerprints.
 
 Raw records come as JSON of several layouts. The nested field paths of a
-record (``schema_of_variant`` without its types) are hashed; the fingerprint
-selects a declarative mapping - a schema and one expression - that yields the
-canonical turns (conv_id, turn, role, text). A record of unknown layout yields
-no turns and is reported by ``unknown_layouts``.
+record (``schema_of_variant`` without its types, and without the paths that no
+mapping names, so that further fields change nothing) are hashed; the
+fingerprint selects a declarative mapping - a schema and one expression - that
+yields the canonical turns (conv_id, turn, role, text). Rows of a table take the
+mapping that the fingerprint of their schema selects, without passing through
+JSON. A record of unknown layout yields no turns and is reported by
+``unknown_layouts``.
 
 The template writes one segment per turn; a formatted conversation is its
 segments joined in turn order. Control strings inside roles and texts get a
@@ -14,7 +17,9 @@ exact. The loss mask covers the texts of assistant turns.
 Defined cases: null role or text counts as empty; turns that tie on their
 number are ordered by role and text; a null conv_id or turn is a value of its
 own and sorts first; an empty table gives an empty result; other columns are
-ignored.
+ignored; an empty list of messages is a conversation without turns; a JSON
+string may be as long as Spark lets it be (20 million characters by default: a
+record with a longer one counts as unknown), a table's texts of any length.
 """
 
 from __future__ import annotations
@@ -27,6 +32,10 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
+
+#: Levels of unknown fields that a fingerprint leaves out.
+NESTED = 4
 
 TURN = "struct<conv_id: bigint, turn: bigint, role: string, text: string>"
 
@@ -78,27 +87,66 @@ def shape(layout: Layout) -> str:
     return f"OBJECT<{show(tree)}>"
 
 
-def fingerprint(record: Column) -> Column:
+_TYPES = r"\b(STRING|BIGINT|DOUBLE|FLOAT|BOOLEAN|VOID|DECIMAL\(\d+,\d+\)|TIMESTAMP|TIMESTAMP_NTZ|DATE|BINARY|INT|SMALLINT|TINYINT)(?=[,>]|$)"
+
+
+def known_shape(said: Column, layouts: list[Layout] = LAYOUTS) -> Column:
+    """A nested schema as text, without types and without the fields that no
+    layout names. What is left of an unknown field's own fields goes with it."""
+    names = sorted({part.removesuffix("[]") for layout in layouts for path in layout.paths for part in path.split(".")})
+    out = F.regexp_replace(said, _TYPES, "*")
+    field = r"(?<=[<, ])(?!(?:" + "|".join(names) + r"):)(?:`[^`]*`|[^\s:<>,`]+): (?:\*|ARRAY<\*?>|OBJECT<[^<>]*>|ARRAY<OBJECT<[^<>]*>>|ARRAY<ARRAY<\*?>>)(?:, )?"
+    for _ in range(NESTED):
+        out = F.regexp_replace(out, field, "")
+    return F.regexp_replace(out, ", >", ">")
+
+
+def fingerprint(record: Column, layouts: list[Layout] = LAYOUTS) -> Column:
     """Hash of the nested field paths of a JSON record; null if it isn't JSON."""
-    said = F.schema_of_variant(F.try_parse_json(record))
-    return F.xxhash64(F.regexp_replace(said, r"\b(STRING|BIGINT|DOUBLE|FLOAT|BOOLEAN|VOID|DECIMAL\(\d+,\d+\)|TIMESTAMP|DATE)(?=[,>]|$)", "*"))
+    return F.xxhash64(known_shape(F.schema_of_variant(F.try_parse_json(record)), layouts))
+
+
+def _marks(layout: Layout) -> list[str]:
+    """The shapes under which a layout is met: also with its lists empty."""
+    full = shape(layout)
+    return [full, re.sub(r"ARRAY<OBJECT<.*?>>", "ARRAY<*>", full)] if "ARRAY<" in full else [full]
 
 
 def canonical_turns(records: DataFrame, json_col: str = "record", layouts: list[Layout] = LAYOUTS) -> DataFrame:
     """conv_id, turn, role, text of every record of a known layout."""
-    mark = fingerprint(F.col(json_col))
-    none = F.lit(None).cast(f"array<{TURN}>")
-    turns = none
+    mark = fingerprint(F.col(json_col), layouts)
+    turns = F.lit(None).cast(f"array<{TURN}>")
     for layout in layouts:
-        known = F.xxhash64(F.lit(shape(layout)))
-        turns = F.when(F.col("_mark") == known, layout.turns(F.from_json(json_col, layout.schema))).otherwise(turns)
+        known = F.col("_mark").isin(*[F.xxhash64(F.lit(m)) for m in _marks(layout)])
+        turns = F.when(known, layout.turns(F.from_json(json_col, layout.schema))).otherwise(turns)
     return records.select(F.col(json_col), mark.alias("_mark")).select(F.explode(turns).alias("t")).select("t.*")
 
 
+def _paths(kind: DataType, before: str = "") -> set[str]:
+    """Nested field paths of a table's column."""
+    if isinstance(kind, ArrayType):
+        return _paths(kind.elementType, before + "[]")
+    if isinstance(kind, StructType):
+        return set().union(*[_paths(f.dataType, (before + "." if before else "") + f.name) for f in kind]) if kind.fields else set()
+    return {before}
+
+
+def table_turns(rows: DataFrame, layouts: list[Layout] = LAYOUTS) -> DataFrame:
+    """conv_id, turn, role, text of a table's rows, by the layout with the most
+    field paths of those whose paths the table has all."""
+    have = _paths(rows.schema)
+    fits = [layout for layout in layouts if set(layout.paths) <= have]
+    if not fits:
+        raise ValueError(f"no layout has its paths among {sorted(have)}")
+    layout = max(fits, key=lambda each: len(each.paths))
+    needed = sorted({p.split(".")[0].removesuffix("[]") for p in layout.paths})
+    return rows.select(F.struct(*needed).alias("_row")).select(F.explode(layout.turns(F.col("_row"))).alias("t")).select("t.*")
+
+
 def unknown_layouts(records: DataFrame, json_col: str = "record", layouts: list[Layout] = LAYOUTS) -> DataFrame:
     """Fingerprints without a mapping, and how many records have them."""
-    known = [F.xxhash64(F.lit(shape(layout))) for layout in layouts]
-    marks = records.select(fingerprint(F.col(json_col)).alias("fingerprint"), F.col(json_col).alias("example"))
+    known = [F.xxhash64(F.lit(m)) for layout in layouts for m in _marks(layout)]
+    marks = records.select(fingerprint(F.col(json_col), layouts).alias("fingerprint"), F.col(json_col).alias("example"))
     return marks.where(F.col("fingerprint").isNull() | ~F.col("fingerprint").isin(*known)).groupBy("fingerprint").agg(F.count(F.lit(1)).alias("records"), F.min("example").alias("example"))
 
 

@@ -10,8 +10,10 @@ a known offset leaves a window of item length plus twice the budget. An edit
 destroys at most three of an item's distinct trigrams; a window that lacks more
 of them is passed over, in any other Myers' bit-parallel distance decides.
 
-Items go out in blocks of bounded size (``BLOCK_CHARS``), each of which is
-matched against all documents where they are read: documents aren't shuffled.
+Items go out in blocks of bounded size (``BLOCK_CHARS``). A task matches each of
+its documents against one block after another, with one automaton in memory at a
+time, so that a document has one row however many blocks there are, and documents
+aren't shuffled.
 
 An item of fewer than ``SHORT`` characters is held only by a stretch that begins
 and ends between words, so that "art" isn't found in "party". Scripts without
@@ -30,6 +32,7 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -171,23 +174,48 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, block_chars: int)
     yield block
 
 
+class Blocks:
+    """Blocks of items as broadcasts. A task holds the automaton of one block,
+    built when it turns to that block; with a single block that is once."""
+
+    def __init__(self, docs: DataFrame, items: DataFrame, item_id: str, item_text: str, rate: float, block_chars: int) -> None:
+        context = docs.sparkSession.sparkContext
+        order = lambda b: (b[0] is None, b[0] or 0, b[1])
+        self.sent = [context.broadcast(pickle.dumps(sorted(b, key=order))) for b in item_blocks(items, item_id, item_text, block_chars)]
+        self.rate = rate
+
+    def matches(self, batches: Iterator[list[str | None]]) -> Iterator[list[list[tuple[int, int, int]]]]:
+        """For each batch of texts, what each text holds of all blocks."""
+        at, matcher = None, None
+        for texts in batches:
+            plain = [normalised(t) for t in texts]
+            found: list[list[tuple[int, int, int]]] = [[] for _ in plain]
+            turns = range(len(self.sent))
+            for k in turns if at in (None, 0) else reversed(turns):  # begins with the block at hand
+                if k != at:
+                    at, matcher = k, Matcher(pickle.loads(self.sent[k].value), self.rate)
+                for held, text in zip(found, plain, strict=True):
+                    held += matcher.match(text)
+            yield [sorted(f, key=lambda m: (m[0] is None, m)) for f in found]
+
+
 def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Per document and block of items with a match: doc_id, item_ids,
-    distances, positions. One row per document and block, matched or not."""
+    """One row per document, matched or not: doc_id, item_ids, distances, positions."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    out = None
-    for block in item_blocks(items, item_id, item_text, block_chars):
-        sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(sorted(block, key=lambda b: (b[0] is None, b[0] or 0, b[1]))))
+    blocks = Blocks(docs, items, item_id, item_text, rate, block_chars)
 
-        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            matcher = Matcher(pickle.loads(sent.value), rate)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids = []
+
+        def texts() -> Iterator[list[str]]:
             for batch in batches:
-                rows = [matcher.match(normalised(t)) for t in batch["text"]]
-                yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "item_ids": [[r[0] for r in m] for m in rows], "distances": [[r[1] for r in m] for m in rows], "positions": [[r[2] for r in m] for m in rows]})
+                ids.append(batch["doc_id"].astype("Int64"))
+                yield batch["text"].tolist()
+
+        for rows in blocks.matches(texts()):
+            yield pd.DataFrame({"doc_id": ids.pop(), "item_ids": [[r[0] for r in m] for m in rows], "distances": [[r[1] for r in m] for m in rows], "positions": [[r[2] for r in m] for m in rows]})
 
-        found = texts.mapInPandas(run, MATCHES)
-        out = found if out is None else out.unionByName(found)
-    return out
+    return texts.mapInPandas(run, MATCHES)
 
 
 def mark(docs: DataFrame, items: DataFrame, **columns: str) -> DataFrame:
@@ -196,19 +224,19 @@ def mark(docs: DataFrame, items: DataFrame, **columns: str) -> DataFrame:
     return found.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids", F.size("item_ids").cast("long").alias("n_items"))
 
 
-def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The documents that hold no item, with all their columns, unshuffled."""
-    out, schema = docs, docs.schema
-    for block in item_blocks(items, "item_id", "text", block_chars):
-        sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(block))
+    blocks = Blocks(docs, items, item_id, item_text, rate, block_chars)
 
-        def run(batches, sent=sent):
-            import pyarrow as pa
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
 
-            matcher = Matcher(pickle.loads(sent.value), rate)
+        def texts() -> Iterator[list[str]]:
             for batch in batches:
-                texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-                yield batch.filter(pa.array([not matcher.match(normalised(t)) for t in texts], pa.bool_()))
+                held.append(batch)
+                yield batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+
+        for rows in blocks.matches(texts()):
+            yield held.pop().filter(pa.array([not m for m in rows], pa.bool_()))
 
-        out = out.mapInArrow(run, schema)
-    return out
+    return docs.mapInArrow(run, docs.schema)

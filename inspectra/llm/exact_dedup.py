@@ -7,8 +7,9 @@ smallest id (a null id counts as larger than any), then the first row read.
 A Misra-Gries summary finds the digests that may hold a large share of the
 rows. Their exact counts and winners are taken in a second pass that combines
 map-side, and are broadcast (at most ``counters`` rows), so that rows of large
-groups are decided where they are read. The other digests, each at most
-2 / (counters + 1) of all rows, go through an ordinary shuffle.
+groups are decided, and the losers among them removed, where they are read. The
+other digests, each at most 2 / (counters + 1) of all rows, go through an
+ordinary shuffle of slim rows, also combined map-side.
 
 Defined cases: a null text equals the empty text; an empty table gives an
 empty result; of rows that repeat both id and text one is kept; other columns
@@ -20,10 +21,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inspectra.llm.common import SPACES, stored
+from inspectra.llm.common import SPACES, keep_decided, stored
 
 COUNTERS = 1024
 
@@ -84,22 +85,20 @@ def _rank() -> Column:
     return F.struct((-F.col("n_points")).alias("longest"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id")
 
 
+def grouped(df: DataFrame, id_col: str, text_col: str, counters: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Slim rows; the winners and sizes of frequent digests; those of the others."""
+    rows = stored(digests(df, id_col, text_col), "digests")
+    best = (F.min(_rank()).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    hot = stored(rows.join(F.broadcast(frequent_digests(rows, counters)), "digest").groupBy("digest").agg(*best), "winners")
+    cold = stored(rows.join(F.broadcast(hot), "digest", "left_anti").groupBy("digest").agg(*best), "others")
+    return rows, hot, cold
+
+
 def decide(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, n_points."""
-    rows = stored(digests(df, id_col, text_col), "digests")
-    hot = F.broadcast(frequent_digests(rows, counters))
-    winners = stored(
-        rows.join(hot, "digest").groupBy("digest").agg(F.min(_rank()).alias("best"), F.count(F.lit(1)).alias("group_size")),
-        "winners",
-    )
-    marked = rows.join(F.broadcast(winners), "digest", "left")
-    group = Window.partitionBy("digest")
-    cold = (
-        marked.where("best IS NULL")
-        .withColumn("best", F.min(_rank()).over(group))
-        .withColumn("group_size", F.count(F.lit(1)).over(group))
-    )
-    return marked.where("best IS NOT NULL").unionByName(cold).select(
+    rows, hot, cold = grouped(df, id_col, text_col, counters)
+    marked = rows.join(F.broadcast(hot), "digest").unionByName(rows.join(F.broadcast(hot), "digest", "left_anti").join(cold, "digest"))
+    return marked.select(
         "doc_id",
         F.col("best.doc_id").alias("keep_id"),
         F.col("group_size").cast("long").alias("group_size"),
@@ -111,14 +110,23 @@ def decide(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", counte
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
-    """The rows of df that stay, with all their columns."""
-    kept = decide(df, id_col, text_col, counters).where("kept").select(F.col("doc_id").alias("_id"), F.col("n_points").alias("_points"), F.col("digest").alias("_digest"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    """The rows of df that stay, with all their columns. Losers of frequent
+    digests go where they are read, by their broadcast winners; those of the
+    others by their keys, which are few next to the rows that stay."""
+    rows, hot, cold = grouped(df, id_col, text_col, counters)
+    best = hot.select(F.col("digest").alias("_hot"), F.col("best.doc_id").alias("_best"), F.col("best.longest").alias("_longest"))
+    won = F.col("_hot").isNull() | (F.col("doc_id").eqNullSafe(F.col("_best")) & (F.col("n_points") == -F.col("_longest")))
+
+    def left(some: DataFrame) -> DataFrame:
+        return some.join(F.broadcast(best), F.col("digest") == F.col("_hot"), "left").where(won)
+
+    slim = left(rows)
+    shared = slim.where("_hot IS NULL").join(cold.where("group_size > 1"), "digest")
+    kept = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("n_points") == -F.col("best.longest"))
+    keys = ["digest", "doc_id", "n_points"]
+    decided = slim.where("_hot IS NOT NULL").select(*keys, F.lit(True).alias("kept")).unionByName(shared.select(*keys, kept.alias("kept")))
     named = df.select(
-        F.struct("*").alias("row"), F.col(id_col).cast("long").alias("_id"), F.length(text).cast("long").alias("_points"),
-        F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("_digest"),
+        F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_points"),
+        F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("digest"),
     )
-    k = kept.select(*[F.col(c).alias(c + "k") for c in kept.columns])
-    same = named._digest.eqNullSafe(k._digestk) & named._id.eqNullSafe(k._idk) & (named._points == k._pointsk)
-    once = Window.partitionBy("_digest", "_id", "_points").orderBy("_digest")
-    return named.join(k, same, "left_semi").withColumn("_n", F.row_number().over(once)).where("_n = 1").select("row.*")
+    return keep_decided(left(named).select("row", *keys), keys, decided)

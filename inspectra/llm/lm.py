@@ -36,6 +36,7 @@ import base64
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby, repeat
 
 import numpy as np
 import pandas as pd
@@ -55,11 +56,11 @@ DISCOUNT = 0.75
 WIDTH = 16
 WINDOW, OVERLAP = 32, 6
 STRIDE = WINDOW - OVERLAP
-ROUNDS, TRAINER_IDS, SPACING = 2, 8_000_000, 2
+ROUNDS, TRAINER_IDS, SPACING = 2, 8_000_000, 4
 BATCH, RATE = 128, 8e-3
 FREQUENT, FREQUENT_BYTES = 150_000, 64
 BLOCK = 64
-KNOWN_WORDS = 250_000
+KNOWN_WORDS = 300_000
 COUNTED_IDS = 1 << 25
 #: Numbers of a weight array that go into one row when trainers are averaged.
 PIECE = 4096
@@ -93,28 +94,25 @@ class Subwords:
         return self.encode(" " + word.decode())
 
     def spell(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words laid end to end, and how many each has. Words of
-        printable ASCII go to the tokenizer in one string, which it cuts at
-        each space."""
-        plain = np.array([w.isascii() and w.decode().isprintable() for w in words], dtype=bool)
-        ids = [np.array(self.of(w), dtype=np.int32) for w, p in zip(words, plain, strict=True) if not p]
-        sizes = np.zeros(len(words), dtype=np.int64)
-        sizes[~plain] = [len(i) for i in ids]
-        if plain.any():
-            joined = np.array(self.encode(" " + b" ".join([w for w, p in zip(words, plain, strict=True) if p]).decode()), dtype=np.int32)
-            cuts = np.flatnonzero(self.begins[joined])
-            sizes[plain] = np.diff(np.append(cuts, len(joined)))
-            other, ids = iter(ids), []
-            runs = np.flatnonzero(np.r_[True, plain[1:] != plain[:-1]])
-            at = 0
-            for a, b in zip(runs, [*runs[1:], len(plain)], strict=True):
-                if plain[a]:
-                    n = int(sizes[a:b].sum())
-                    ids.append(joined[at : at + n])
-                    at += n
-                else:
-                    ids += [next(other) for _ in range(b - a)]
-        return np.concatenate(ids) if ids else np.zeros(0, np.int32), sizes
+        """Ids of words laid end to end, and how many each has. The tokenizer
+        gets the words as one string, which it cuts at each space, unless some
+        hold white space beyond ASCII's."""
+        joined = b" ".join(words).decode()
+        if joined and joined.split() == joined.split(" "):
+            ids = np.array(self.encode(" " + joined), dtype=np.int32)
+            return ids, np.diff(np.append(np.flatnonzero(self.begins.take(ids)), len(ids)))
+        ids, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for alone, run in groupby(words, key=lambda w: w.decode().split() != [w.decode()]):
+            part = list(run)
+            if alone:
+                each = [self.of(w) for w in part]
+                ids.append(np.array([i for e in each for i in e], dtype=np.int32))
+                sizes.append(np.array([len(e) for e in each], dtype=np.int64))
+            else:
+                more, n = self.spell(part)
+                ids.append(more)
+                sizes.append(n)
+        return np.concatenate(ids), np.concatenate(sizes)
 
     def words(self, ids: np.ndarray) -> tuple[list[bytes], np.ndarray]:
         """Of ids laid end to end: each word's ids as bytes, and where it begins."""
@@ -166,9 +164,11 @@ class Lexicon:
 
     def find(self, words: list[bytes]) -> np.ndarray:
         """Positions of words in the arrays."""
-        found = list(map(self.index.get, words))
-        if None in found:
-            new = list(dict.fromkeys(w for w, at in zip(words, found, strict=True) if at is None))
+        found = np.fromiter(map(self.index.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            unknown = [words[i] for i in missing.tolist()]
+            new = list(dict.fromkeys(unknown))
             ids, sizes = self.encode.spell(new)
             at = len(self.index)
             self._put("begin", at, np.cumsum(sizes) - sizes + self.used)
@@ -176,9 +176,9 @@ class Lexicon:
             self._put("count", at, np.zeros(len(new), np.int64))
             self._put("ids", self.used, ids)
             self.used += len(ids)
-            self.index |= {w: at + k for k, w in enumerate(new)}
-            found = [self.index[w] if at is None else at for w, at in zip(words, found, strict=True)]
-        return np.array(found, dtype=np.int64)
+            self.index.update(zip(new, range(at, at + len(new)), strict=True))
+            found[missing] = np.fromiter(map(self.index.__getitem__, unknown), dtype=np.int64, count=len(unknown))
+        return found
 
     def lay_out(self, docs: list[list[bytes]]) -> Laid:
         per_doc = np.array([len(d) for d in docs], dtype=np.int64)
@@ -218,7 +218,9 @@ def unit_table(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def discounted(counts: np.ndarray, back: np.ndarray) -> np.ndarray:
     """Probabilities of rows of counts; what the discount takes goes to ``back``."""
     n, kinds = counts.sum(axis=1, keepdims=True), (counts > 0).sum(axis=1, keepdims=True)
-    return np.where(n > 0, (np.maximum(counts - DISCOUNT, 0) + DISCOUNT * kinds * back) / np.maximum(n, 1), back)
+    p = np.maximum(counts.astype(np.float32) - np.float32(DISCOUNT), 0) / np.maximum(n, 1).astype(np.float32)
+    p += np.where(n > 0, DISCOUNT * kinds / np.maximum(n, 1), 1).astype(np.float32) * back
+    return p
 
 
 def frequent_pairs(pairs: np.ndarray) -> np.ndarray:
@@ -288,13 +290,14 @@ def tables_from(counts: np.ndarray, pairs: np.ndarray, top: np.ndarray, after: n
     follows the frequent pairs ``top``."""
     unit, share = unit_table(counts)
     alone = pairs.sum(axis=0) + 0.5
-    two_ = discounted(pairs, alone / alone.sum())
+    two_ = discounted(pairs, (alone / alone.sum()).astype(np.float32))
     p = np.concatenate((two_, discounted(after, two_[top % UNITS])))
     groups = groups_of(pairs)
-    member = np.zeros((UNITS, GROUPS))
+    member = np.zeros((UNITS, GROUPS), np.float32)
     member[np.arange(UNITS), groups] = 1
     group = p @ member
-    inside = np.log(p / group[:, groups])
+    p /= group[:, groups]
+    inside = np.log(p, out=p)
     return Tables(
         slots_by_count(counts), unit.astype(np.int32), share.astype(np.float32), context_table(top), groups.astype(np.int32),
         np.log(np.maximum(group, 1e-30)).astype(np.float32), inside.astype(np.float16),
@@ -517,14 +520,13 @@ def lay_documents(docs: DataFrame, path: str, pattern: str, id_col: str, text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sw = subwords(path, pattern)
-        lexicon, row, ends = Lexicon(sw), TaskContext.get().partitionId() << 33, 0
+        lexicon, row, by_id = Lexicon(sw), TaskContext.get().partitionId() << 33, np.zeros(sw.size + 1, np.int64)
 
         def counts() -> Iterator[pa.RecordBatch]:
             words, n, ids = lexicon.counted()
+            by_id[:] += ids
             for k in range(0, len(words), 20_000):
                 yield rows(len(words[k : k + 20_000]), word=words[k : k + 20_000], n=n[k : k + 20_000])
-            at = np.flatnonzero(ids)
-            yield rows(len(at), id=at, n=ids[at])
 
         for batch in batches:
             for k in range(0, batch.num_rows, 128):
@@ -537,15 +539,16 @@ def lay_documents(docs: DataFrame, path: str, pattern: str, id_col: str, text_co
                 learn = ~part.column(1).to_numpy(zero_copy_only=False).astype(bool)
                 taken = laid.words[np.repeat(learn, [len(w) for w in split])]
                 lexicon.count[: len(lexicon.index)] += np.bincount(taken, minlength=len(lexicon.index))
-                ends += int(learn.sum())
+                by_id[sw.size] += int(learn.sum())
                 raw, cuts = laid.ids.astype(sw.dtype).tobytes(), np.append(0, np.cumsum(laid.sizes)) * sw.dtype.itemsize
                 ids = [raw[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
                 yield rows(size, row=np.arange(row, row + size), doc_id=part.column(0), held_out=part.column(1), ids=ids)
                 row += size
         yield from counts()
-        if ends:
-            yield rows(1, word=[""], n=[ends])
-            yield rows(1, id=[sw.size], n=[ends])
+        at = np.flatnonzero(by_id)
+        yield rows(len(at), id=at, n=by_id[at])
+        if by_id[sw.size]:
+            yield rows(1, word=[""], n=by_id[sw.size :])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), text.alias("text"))
@@ -588,9 +591,10 @@ def cell_counts(ids: DataFrame, units: np.ndarray, dtype: np.dtype, top: np.ndar
             part = at[k : k + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["cell", "n"])
 
-    got = ids.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    total = np.zeros(size)
-    total[got["cell"].to_numpy(int)] = got["n"]
+    got = ids.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").cast("float").alias("n"))
+    cells = got.select(F.col("cell").cast("int").alias("cell"), "n").toArrow()
+    total = np.zeros(size, np.float32)
+    total[cells["cell"].to_numpy()] = cells["n"].to_numpy()
     return total.reshape(-1, UNITS)
 
 

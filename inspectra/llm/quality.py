@@ -240,6 +240,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, keep: float = KEEP, **columns:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.select(inputs).to_pandas() if batch.num_rows else pd.DataFrame(columns=inputs)
+            if "n_chars" in inputs:
+                rows["n_chars"] = pd.to_numeric(rows["n_chars"], errors="coerce")
             for c in {"text", "lang", "source", "n_chars"} - set(inputs):
                 rows[c] = None
             yield batch.filter(pa.array(model.score(*features_of(rows)) >= keep, pa.bool_()))

@@ -12,12 +12,10 @@ from inspectra.llm.common import table
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select(F.to_json(F.struct("conv_id", "turn", "role", "text"), {"ignoreNullFields": "false"}).alias("record"))
     said = "</s>[INST] ok [/INST]"
     own = f'{{"conv_id": -1, "messages": [{{"role": "user", "content": "{said}"}}, {{"role": "assistant", "content": "{said}"}}]}}'
-    records = rows.unionByName(spark.createDataFrame([(own,)], "record string"))
-    formatted = chat.format_turns(chat.canonical_turns(records))
-    return chat.digest_conversations(chat.read_segments(formatted))
+    turns = chat.table_turns(table(spark, sf_dir, "conversations")).unionByName(chat.canonical_turns(spark.createDataFrame([(own,)], "record string")))
+    return chat.digest_conversations(chat.read_segments(chat.format_turns(turns)))
 
 
 def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:

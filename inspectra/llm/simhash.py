@@ -35,10 +35,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inspectra.llm.common import stored
+from inspectra.llm.common import keep_decided, stored
 
 SHINGLE = 4
 SEED = 42
@@ -244,8 +244,8 @@ def group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     nodes = stored(rows.groupBy("fp").agg(F.min(rank).alias("least")), "nodes")
     roots = components(links(nodes.select("fp"), threshold, anchor_rows))
-    rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("first")), "root").select("fp", "first")
+    rooted = stored(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
+    named = rooted.join(stored(rooted.groupBy("root").agg(F.min("least").alias("first")), "firsts"), "root").select("fp", "first")  # written: so a hot root can be split
     return rows.join(named, "fp").select("doc_id", "text_hash", "fp", F.col("first.doc_id").alias("component_id"), "first")
 
 
@@ -260,9 +260,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **se
 
 def keep_first(df: DataFrame, marked: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df that ``marked`` names as first of their group, once each."""
-    kept = marked.where(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")))
-    kept = kept.select(F.col("doc_id").alias("_kept"), F.col("text_hash").alias("_hash")).distinct()
-    named = df.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_text"))
-    once = Window.partitionBy("_text", "_id").orderBy("_text")
-    same = (F.col("_text") == F.col("_hash")) & F.col("_id").eqNullSafe(F.col("_kept"))
-    return named.join(kept, same, "left_semi").withColumn("_n", F.row_number().over(once)).where("_n = 1").select("row.*")
+    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    decided = marked.select("doc_id", "text_hash", kept.alias("kept"))
+    named = df.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"))
+    return keep_decided(named, ["doc_id", "text_hash"], decided)
