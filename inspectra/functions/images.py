@@ -43,7 +43,7 @@ def resize_padded(image: np.ndarray, size: int) -> np.ndarray:
     """Aspect kept, centred on black."""
     h, w = image.shape[:2]
     scale = size / max(h, w)
-    part = resize(image, max(1, int(round(h * scale))), max(1, int(round(w * scale))))
+    part = resize(image, max(1, int(h * scale)), max(1, int(w * scale)))
     out = np.zeros((size, size, *image.shape[2:]), dtype=image.dtype)
     top, left = (size - part.shape[0]) // 2, (size - part.shape[1]) // 2
     out[top : top + part.shape[0], left : left + part.shape[1]] = part
@@ -114,11 +114,13 @@ def shifted(image: np.ndarray, dy: int, dx: int, fill: float = 0) -> np.ndarray:
 
 
 def centred(gray: np.ndarray) -> np.ndarray:
-    """Shifted so that the foreground's centroid is in the middle."""
+    """Moved so that the foreground's centroid is in the middle; edges repeat."""
     y, x = np.nonzero(foreground(gray))
     if not len(y):
         return gray
-    return shifted(gray, int(round((gray.shape[0] - 1) / 2 - y.mean())), int(round((gray.shape[1] - 1) / 2 - x.mean())))
+    h, w = gray.shape[:2]
+    dy, dx = int(round(h / 2 - y.mean())), int(round(w / 2 - x.mean()))
+    return gray[(np.arange(h) - dy).clip(0, h - 1)][:, (np.arange(w) - dx).clip(0, w - 1)]
 
 
 def best_shift(gray: np.ndarray, template: np.ndarray, most: int = 10) -> tuple[int, int]:
@@ -187,48 +189,69 @@ def opened(mask: np.ndarray, size: int) -> np.ndarray:
 
 
 def shape_score(gray: np.ndarray, template_mask: np.ndarray) -> float:
-    """p99 of the difference of distance transforms inside the grown template."""
-    a, b = distance_transform(foreground(gray)), distance_transform(template_mask)
+    """p99 of the difference of the distances to the nearest foreground pixel,
+    inside the grown template."""
+    a, b = distance_transform(~foreground(gray)), distance_transform(~template_mask)
     area = morphology(template_mask, 9, True)
     d = np.abs(a - b)[area]
     return float(np.percentile(d[np.isfinite(d)], 99)) if np.isfinite(d).any() else 0.0
 
 
 def labelled(mask: np.ndarray, diagonal: bool = False) -> np.ndarray:
-    """Component numbers from 1 in scan order of their first pixel, 0 outside."""
+    """Component numbers from 1 in scan order of their first pixel, 0 outside.
+    Runs of each row are linked to those that they touch in the next row."""
     h, w = mask.shape
-    label = np.where(mask, np.arange(1, h * w + 1).reshape(h, w), 0)
-    steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if diagonal else [])
-    while True:
-        before = label.copy()
-        for dy, dx in steps:
-            a = label[: h - dy, max(0, -dx) : w - max(0, dx)]
-            b = label[dy:, max(0, dx) : w + min(0, dx)]
-            low = np.where((a > 0) & (b > 0), np.minimum(a, b), 0)
-            np.minimum(a, low, out=a, where=low > 0)
-            np.minimum(b, low, out=b, where=low > 0)
-        if (label == before).all():
-            break
-    return np.searchsorted(np.unique(label[label > 0]), label) * (label > 0) + (label > 0)
+    edge = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    row, begin = np.nonzero(edge == 1)
+    end = np.nonzero(edge == -1)[1]
+    width, reach = w + 2, int(diagonal)
+    first = np.searchsorted(row * width + end, (row + 1) * width + begin - reach, side="right")
+    last = np.searchsorted(row * width + begin, (row + 1) * width + end + reach, side="left")
+    number = np.maximum(0, last - first)
+    a = np.repeat(np.arange(len(row)), number)
+    b = np.arange(len(a)) - np.repeat(np.cumsum(number) - number, number) + np.repeat(first, number)
+    root = np.arange(len(row))
+    while len(a):
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root != root[root]).any():
+            root = root[root]
+        a, b = root[a], root[b]
+        a, b = a[a != b], b[a != b]
+    out = np.zeros(mask.shape, dtype=np.int64)
+    out[mask.astype(bool)] = np.repeat(np.unique(root, return_inverse=True)[1] + 1, end - begin)
+    return out
 
 
 def regions(mask: np.ndarray, heat: np.ndarray, least: int, most: int = 10) -> list[dict]:
     """Four-neighbour regions of at least an area, by falling score."""
-    label, out = labelled(mask), []
-    for k in range(1, label.max(initial=0) + 1):
-        y, x = np.nonzero(label == k)
-        if len(y) >= least:
-            out.append({"x": int(x.min()), "y": int(y.min()), "w": int(np.ptp(x)) + 1, "h": int(np.ptp(y)) + 1, "score": float(heat[y, x].max()), "area_px": len(y)})
+    label = labelled(mask)
+    y, x = np.nonzero(label)
+    if not len(y):
+        return []
+    order = np.argsort(label[y, x], kind="stable")
+    y, x = y[order], x[order]
+    starts = np.flatnonzero(np.diff(label[y, x], prepend=0))
+    area = np.diff(np.append(starts, len(y)))
+    low = lambda v: np.minimum.reduceat(v, starts)
+    high = lambda v: np.maximum.reduceat(v, starts)
+    rows = zip(low(x), low(y), high(x), high(y), high(heat[y, x]), area, strict=True)
+    out = [{"x": int(a), "y": int(b), "w": int(c - a) + 1, "h": int(d - b) + 1, "score": float(s), "area_px": int(n)} for a, b, c, d, s, n in rows if n >= least]
     return sorted(out, key=lambda r: (-r["score"], r["y"], r["x"]))[:most]
 
 
-def hysteresis(low: np.ndarray, high: np.ndarray, side: str) -> np.ndarray:
-    """Eight-neighbour components of the low mask that hold a high pixel and
-    touch the left or right border."""
+def border_connected(mask: np.ndarray, side: str, border: int = 8) -> np.ndarray:
+    """Eight-neighbour components that reach a band along the left or right border."""
+    label = labelled(mask, diagonal=True)
+    band = label[:, :border] if side == "L" else label[:, -border:]
+    return np.isin(label, np.unique(band[band > 0])) & (label > 0)
+
+
+def hysteresis(low: np.ndarray, high: np.ndarray, side: str, border: int = 8) -> np.ndarray:
+    """Eight-neighbour components of the low mask that hold a seed: a pixel of
+    a component of the high mask that reaches the border's band."""
     label = labelled(low, diagonal=True)
-    border = label[:, 0] if side == "L" else label[:, -1]
-    keep = np.intersect1d(np.unique(border[border > 0]), np.unique(label[high & low]))
-    return np.isin(label, keep) & (label > 0)
+    held = np.unique(label[border_connected(high, side, border)])
+    return np.isin(label, held[held > 0]) & (label > 0)
 
 
 def box_mean(image: np.ndarray, size: int) -> np.ndarray:
@@ -257,36 +280,76 @@ def row_stretched(gray: np.ndarray) -> np.ndarray:
     return ((gray - low) / np.maximum(high - low, 1e-6)).clip(0, 1)
 
 
-def left_boundary(gray: np.ndarray, block: int = 8, threshold: float = 0.55, run: int = 3) -> np.ndarray:
-    """Per block of rows: the x, scanning left from the centre, at which the
-    slot score stays above a threshold for a run of pixels; -1 where none."""
-    dark = 1 - row_stretched(gray)
-    texture = local_std(gray, 5)
-    slot = 0.7 * dark + 0.3 * (1 - texture / max(1e-6, texture.max()))
-    out = []
-    for y in range(0, len(gray), block):
-        hit = slot[y : y + block].mean(axis=0) >= threshold
-        found, length = -1, 0
-        for x in range(gray.shape[1] // 2, -1, -1):
-            length = length + 1 if hit[x] else 0
-            if length == run:
-                found = x
-                break
-        out.append(found)
-    return np.array(out)
-
-
-def percentile_scaled(image: np.ndarray, low: float = 1, high: float = 99, stride: int = 2) -> np.ndarray:
-    """To 0..1 by percentiles of every stride-th row and column."""
-    a, b = np.percentile(image[::stride, ::stride], [low, high])
-    return ((image - a) / max(b - a, 1e-6)).clip(0, 1)
-
-
-def metal_score(gray: np.ndarray, weights=(0.42, 0.33, 0.25), penalty: float = 0.18) -> np.ndarray:
-    g = gray.astype(float)
-    parts = (local_std(g, 5), np.abs(filtered(g, LAPLACE)), np.abs(filtered(g, SOBEL.T)))
-    score = sum(w * percentile_scaled(p) for w, p in zip(weights, parts, strict=True)) - penalty * percentile_scaled(np.abs(filtered(g, SOBEL)))
-    return percentile_scaled(score)
+#: Shares of darkness and smoothness in the slot score.
+SLOT = (0.7, 0.3)
+
+
+def slot_score(image: np.ndarray) -> tuple[np.ndarray, int]:
+    """How much each pixel looks like a groove, dark and smooth, and the column
+    of the groove's centre. Brightness is the largest channel, row by row from
+    its 10th to its 90th percentile."""
+    bright = (image.max(axis=2) if image.ndim == 3 else image).astype(float)
+    low, high = np.percentile(bright, 10, axis=1, keepdims=True), np.percentile(bright, 90, axis=1, keepdims=True)
+    level = ((bright - low) / (high - low + 1e-6)).clip(0, 1)
+    texture = local_std(level, 5)
+    slot = SLOT[0] * (1 - level) + SLOT[1] * (1 - (texture / (np.percentile(texture, 99) + 1e-6)).clip(0, 1))
+    size = min(21, image.shape[1] // 4 * 2 + 1)
+    x = np.arange(size) - (size - 1) / 2
+    weights = np.exp(-x * x / (2 * (0.3 * ((size - 1) / 2 - 1) + 0.8) ** 2))
+    return slot, int(np.argmin(np.convolve(np.median(level, axis=0), weights / weights.sum(), mode="same")))
+
+
+def left_boundary(image: np.ndarray, block: int = 8, threshold: float = 0.55, run: int = 3, envelope: int = 9, median: int = 5) -> np.ndarray:
+    """Per block of rows the x at which, seen from the groove's centre to the
+    left, the slot score first stays below a threshold for a run of pixels.
+    Blocks without one are interpolated; then the innermost x of neighbouring
+    blocks (the teeth's tips), and a median, with mirrored ends."""
+    slot, centre = slot_score(image)
+    n = len(slot) // block
+    if not n:
+        return np.zeros(0, dtype=np.int64)
+    below = slot[: n * block].reshape(n, block, -1).mean(axis=1)[:, centre::-1] < threshold
+    starts = np.lib.stride_tricks.sliding_window_view(np.pad(below, ((0, 0), (0, max(0, run - below.shape[1])))), run, axis=1).all(axis=2)
+    found = np.where(starts.any(axis=1), centre - np.argmax(starts, axis=1) + 1, 0)
+    valid = np.flatnonzero(found > 0)
+    if len(valid) < 2:
+        found[:] = centre // 2
+    else:
+        missing = np.flatnonzero(found <= 0)
+        found[missing] = np.interp(missing, valid, found[valid]).astype(np.int64)
+    view = lambda v, size: np.lib.stride_tricks.sliding_window_view(np.pad(v, size // 2, mode="symmetric"), size)
+    return np.median(view(view(found, envelope).max(axis=1), median), axis=1).astype(np.int64)
+
+
+def percentile_scaled(image: np.ndarray, low: float = 1, high: float = 99, stride: int = 4) -> np.ndarray:
+    """To 0..1 between two order statistics of every stride-th pixel."""
+    sample = np.sort(image.ravel()[::stride])
+    a, b = (float(sample[int(q / 100 * (len(sample) - 1))]) for q in (low, high))
+    return ((image - a) / (b - a + 1e-6)).clip(0, 1)
+
+
+#: Weights of texture, curvature and vertical gradient, and of
+#: horizontal gradient beyond the vertical; shares of the way from the groove's
+#: level to the border's at which a side's thresholds lie (high, low).
+METAL, PENALTY = (0.42, 0.33, 0.25), 0.18
+SIDES = {"L": (0.55, 0.35), "R": (0.62, 0.40)}
+
+
+def metal_score(gray: np.ndarray, weights=METAL, penalty: float = PENALTY) -> np.ndarray:
+    g = filtered(gray.astype(float) / 255, gaussian_kernel(3, 0.6))
+    texture, curvature, across, along = (percentile_scaled(p) for p in (local_std(g, 5), np.abs(filtered(g, LAPLACE)), np.abs(filtered(g, SOBEL)), np.abs(filtered(g, SOBEL.T))))
+    score = weights[0] * texture + weights[1] * curvature + weights[2] * along - penalty * np.maximum(0, across - along)
+    return score.clip(0, 1)
+
+
+def side_thresholds(score: np.ndarray, border_share: float = 0.03, groove_share: float = 0.10) -> dict[str, tuple[float, float]]:
+    """(high, low) per side, from the 95th percentile of the middle columns and
+    the median of the side's border columns."""
+    w = score.shape[1]
+    border, groove = max(6, int(round(w * border_share))), max(14, int(round(w * groove_share)))
+    middle = float(np.percentile(score[:, max(0, w // 2 - groove // 2) : w // 2 + groove // 2], 95))
+    at = {"L": float(np.median(score[:, :border])), "R": float(np.median(score[:, w - border :]))}
+    return {side: tuple(middle + share * (at[side] - middle) for share in shares) for side, shares in SIDES.items()}
 
 
 def polygon_mask(polygons: list[list[list[float]]], height: int, width: int) -> np.ndarray:

@@ -112,10 +112,11 @@ def largest_excursion(rows: DataFrame, depth: float) -> DataFrame:
 
 
 def phase_template(rows: DataFrame, pitch: int, smooth: int = 7) -> DataFrame:
-    """Median residual per y modulo pitch over rows within 2.5 sigma, smoothed
-    around the circle by a quadratic fit, with mean zero."""
-    r = robust_sigma(rows).where(F.abs("r") <= 2.5 * F.col("sigma"))
-    medians = r.groupBy(*CURVE, (F.col("y") % pitch).cast("int").alias("phase")).agg(F.percentile("r", F.lit(0.5)).alias("m"))
+    """Median residual per y modulo pitch over rows within 2.5 sigma (over all
+    rows of a phase that has none such), smoothed around the circle by a
+    quadratic fit, with mean zero."""
+    near = F.when(F.abs("r") <= 2.5 * F.col("sigma"), F.col("r"))
+    medians = robust_sigma(rows).groupBy(*CURVE, (F.col("y") % pitch).cast("int").alias("phase")).agg(F.coalesce(F.percentile(near, F.lit(0.5)), F.percentile("r", F.lit(0.5))).alias("m"))
     weights = savgol_weights(smooth, 2)
 
     def finish(group: pd.DataFrame) -> pd.DataFrame:
@@ -139,10 +140,21 @@ def median_filtered(values: np.ndarray, size: int = 5) -> np.ndarray:
     return np.median(np.lib.stride_tricks.sliding_window_view(mirrored, size), axis=1)
 
 
-def smoothed(values: np.ndarray, median: int = 5, size: int = 7, degree: int = 2) -> np.ndarray:
-    """Median filter with mirrored ends, then the polynomial's."""
-    mirrored = np.pad(median_filtered(values, median), size // 2, mode="symmetric")
-    return np.lib.stride_tricks.sliding_window_view(mirrored, size) @ savgol_weights(size, degree)
+def smoothed(values: np.ndarray, median: int = 5, size: int = 7, degree: int = 3) -> np.ndarray:
+    """Median filter with its ends held, then a sliding polynomial; the first
+    and last half windows are read off the polynomials of the end windows."""
+    held = np.pad(values.astype(float), median // 2, mode="edge")
+    calm = np.median(np.lib.stride_tricks.sliding_window_view(held, median), axis=1)
+    size = min(size, len(calm) - 1 + len(calm) % 2)
+    size = size if size > degree else degree + 3 + degree % 2
+    if size > len(calm):
+        return calm
+    half, x = size // 2, np.arange(size)
+    out = calm.copy()
+    out[half : len(calm) - half] = np.lib.stride_tricks.sliding_window_view(calm, size) @ savgol_weights(size, degree)
+    out[:half] = np.polyval(np.polyfit(x, calm[:size], degree), x[:half])
+    out[len(calm) - half :] = np.polyval(np.polyfit(x, calm[-size:], degree), x[size - half :])
+    return out
 
 
 def robust_reference(y: np.ndarray, x: np.ndarray, degree: int = 3, rounds: int = 3) -> np.ndarray:
@@ -152,7 +164,7 @@ def robust_reference(y: np.ndarray, x: np.ndarray, degree: int = 3, rounds: int
     for _ in range(rounds):
         c = np.linalg.lstsq(basis * w[:, None], x * w, rcond=None)[0]
         r = np.abs(x - basis @ c)
-        mad = np.median(np.abs(r - np.median(r))) + 1e-9
+        mad = np.median(r) + 1e-8
         w = np.where(r > 3 * mad, w * 0.1, np.minimum(w * 1.5, 1))
     return basis @ np.linalg.lstsq(basis * w[:, None], x * w, rcond=None)[0]
 
@@ -168,7 +180,9 @@ def per_curve(rows: DataFrame, function, name: str, value: str = "x") -> DataFra
 
 
 def pitch_estimate(rows: DataFrame, low: int, high: int, value: str = "r") -> DataFrame:
-    """The lag with the largest autocorrelation; the smallest where several."""
+    """The lag with the largest autocorrelation about the mean; the smallest
+    where several."""
+    rows = rows.withColumn(value, F.col(value) - F.avg(value).over(Window.partitionBy(*CURVE)))
     lags = rows.select(*CURVE, (F.col("y")).alias("y1"), F.col(value).alias("a"), F.explode(F.sequence(F.lit(low), F.lit(high))).alias("lag"))
     other = rows.select(*CURVE, F.col("y").alias("y2"), F.col(value).alias("b"))
     moved = lags.withColumn("y2", (F.col("y1") + F.col("lag")).cast("int")).join(other, [*CURVE, "y2"])

@@ -63,14 +63,14 @@ def valid_items(rows: DataFrame) -> DataFrame:
 
 
 #: Characters that file systems forbid, and the names they get.
-SAFE_NAMES = {"/": "slash", "\\": "backslash", ":": "colon", "*": "asterisk", "?": "question", '"': "quote", "<": "lt", ">": "gt", "|": "pipe", ".": "dot", " ": "space", "%": "percent"}
+SAFE_NAMES = {"/": "slash", "\\": "backslash", ":": "colon", "*": "asterisk", "?": "question", '"': "quote", "<": "lt", ">": "gt", "|": "pipe", ".": "dot", " ": "space", "\t": "tab"}
 
 
 def safe_name(ch: Column) -> Column:
     """Class folder name of a character."""
     table = F.create_map(*[F.lit(x) for kv in SAFE_NAMES.items() for x in kv])
     code = F.concat(F.lit("u"), F.lpad(F.hex(F.ascii(ch)), 4, "0"))
-    odd = ch.rlike(r"[\x00-\x1f]") | ch.rlike(r"[. ]$")
+    odd = ch.rlike(r"[. ]$")
     return F.when(ch == "", "empty").otherwise(F.coalesce(F.try_element_at(table, ch), F.when(odd, code).otherwise(ch)))
 
 
@@ -128,11 +128,16 @@ def first_candidate(rows: DataFrame, key: str, priority: str, tie: str) -> DataF
     return rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
-def number_crops(crops: DataFrame, existing: DataFrame, order: list[str]) -> DataFrame:
+def number_crops(crops: DataFrame, existing: DataFrame, order: list[str], block: int = 256) -> DataFrame:
     """Running number per class after the class's largest existing one; the
-    file name has four digits, or more where the number does."""
+    file name has four digits, or more where the number does. Rows are numbered
+    in blocks of the first order column, a whole number, after the rows of the
+    blocks before, so that no task sorts a whole class."""
     largest = existing.groupBy("cls").agg(F.max("crop_no").alias("largest"))
-    n = F.row_number().over(Window.partitionBy("cls").orderBy(*order)) + F.coalesce("largest", F.lit(0))
-    rows = crops.join(largest, "cls", "left").withColumn("crop_no", n).drop("largest")
+    rows = crops.withColumn("_block", F.floor(F.col(order[0]) / block))
+    sizes = rows.groupBy("cls", "_block").agg(F.count(F.lit(1)).alias("_size"))
+    before = sizes.withColumn("_before", F.sum("_size").over(Window.partitionBy("cls").orderBy("_block")) - F.col("_size")).drop("_size")
+    n = F.row_number().over(Window.partitionBy("cls", "_block").orderBy(*order)) + F.col("_before") + F.coalesce("largest", F.lit(0))
+    rows = rows.join(before, ["cls", "_block"]).join(largest, "cls", "left").withColumn("crop_no", n).drop("largest", "_block", "_before")
     digits = F.col("crop_no").cast("string")
     return rows.withColumn("file", F.concat(F.when(F.length(digits) < 4, F.lpad(digits, 4, "0")).otherwise(digits), F.lit(".png")))

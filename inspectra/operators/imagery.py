@@ -1,6 +1,6 @@
 """Images as rows: maps over cells in SQL form, and helpers per image.
 
-A raster is one row (image_id, h, w, data). Helpers get one image at a time
+A raster is one row (image_id, tile, h, w, data). Helpers get one image at a time
 inside mapInPandas; the bytes never pass a shuffle.
 """
 
@@ -16,17 +16,23 @@ from pyspark.sql.functions import udtf
 from pyspark.sql.types import DoubleType
 
 
-def per_image(rasters: DataFrame, function: Callable[[int, np.ndarray], list[tuple]], schema: str) -> DataFrame:
-    """Rows that a function makes of each image."""
-    names = [c.split()[0] for c in schema.split(", ")]
+def per_image(rasters: DataFrame, function: Callable[[np.ndarray, int], list[tuple]], schema: str) -> DataFrame:
+    """image_id, tile, and the columns of ``schema`` from the rows that a
+    function makes of each raster and of a seed for it. Rasters are dealt out
+    evenly first, as a few large files would leave most tasks without any."""
+    keys = ["image_id", "tile"]
+    names = keys + [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for image, h, w, data in batch[["image_id", "h", "w", "data"]].itertuples(index=False, name=None):
-                gray = np.frombuffer(data, dtype=np.uint8).reshape(h, w)
-                yield pd.DataFrame(function(image, gray), columns=names)
-
-    return rasters.mapInPandas(run, schema)
+            rows = []
+            for image, tile, h, w, data in batch[[*keys, "h", "w", "data"]].itertuples(index=False, name=None):
+                made = function(np.frombuffer(data, dtype=np.uint8).reshape(h, w), image << 20 | tile)
+                rows += [(image, tile, *r) for r in made]
+            yield pd.DataFrame(rows, columns=names)
+
+    tasks = max(4 * rasters.sparkSession.sparkContext.defaultParallelism, rasters.rdd.getNumPartitions())
+    return rasters.repartition(tasks).mapInPandas(run, f"image_id long, tile int, {schema}")
 
 
 def stitched(cells: DataFrame, how: str = "max") -> DataFrame:

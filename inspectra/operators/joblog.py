@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,14 +20,16 @@ def project_stats(jobs: DataFrame) -> DataFrame:
 
 
 #: Beyond so many jobs a value's weight (0.9 ** 4000) is far below what a double can add.
-EMA_ROWS = 4000
+#: A row whose weight has fallen below this part of one no longer counts.
+EMA_REST = 1e-16
 
 
-def running_latency(jobs: DataFrame, keep: float = EMA_KEEP, rows: int = EMA_ROWS) -> DataFrame:
+def running_latency(jobs: DataFrame, keep: float = EMA_KEEP, rest: float = EMA_REST) -> DataFrame:
     """avg = first value, then keep * avg + (1 - keep) * x in order of arrival,
     as the weighted sum that it unrolls to. Only the last rows of a project
     weigh anything; the rank's limit is applied before the shuffle, so that a
     busy project isn't sorted as a whole."""
+    rows = max(1, math.ceil(math.log(rest) / math.log(keep))) if 0 < keep < 1 else 1
     order = Window.partitionBy("project_id").orderBy(F.desc("ts"), F.desc("job_id"))
     starts = jobs.groupBy("project_id").agg(F.min(F.struct("ts", "job_id")).alias("start"))
     last = jobs.select("project_id", "infer_ms", "ts", "job_id").withColumn("age", F.row_number().over(order)).where(F.col("age") <= rows)

@@ -111,22 +111,22 @@ def find_peaks(p: np.ndarray, height: float, distance: int) -> np.ndarray:
 
 
 def match_peaks(a: np.ndarray, b: np.ndarray, gap: int) -> list[tuple[int, int]]:
-    """One-to-one, nearest first, at most ``gap`` apart."""
-    near = sorted((abs(int(x) - int(y)), int(x), int(y)) for x in a for y in b if abs(int(x) - int(y)) <= gap)
-    out, left, right = [], set(), set()
-    for _, x, y in near:
-        if x not in left and y not in right:
-            out.append((x, y))
-            left.add(x)
-            right.add(y)
-    return sorted(out)
+    """For each peak of a in turn the nearest of b, at most ``gap`` apart, that
+    none before it has taken; the first where two are as near."""
+    free, out = [int(y) for y in b], []
+    for x in map(int, a):
+        near = min(free, key=lambda y: abs(y - x), default=None)
+        if near is not None and abs(near - x) <= gap:
+            out.append((x, near))
+            free.remove(near)
+    return out
 
 
 def edge_shift(a: np.ndarray, b: np.ndarray, distance: int = 3, gap: int = 15) -> int:
-    """Largest shift of matched peaks; the correlation's where none match."""
+    """Largest distance of matched peaks; the correlation's shift where none match."""
     height = min(0.3 * np.abs(a).max(), 0.3 * np.abs(b).max())
     matched = match_peaks(find_peaks(a, height, distance), find_peaks(b, height, distance), gap)
-    return max((y - x for x, y in matched), key=abs) if matched else shift_of(a, b, gap)
+    return max(abs(y - x) for x, y in matched) if matched else abs(shift_of(a, b, gap))
 
 
 def peak_matches(pair_rows: DataFrame, distance: int = 3, gap: int = 15) -> DataFrame:

@@ -76,7 +76,7 @@ def w12_largest_excursion(spark, sf_dir):
     return op.largest_excursion(residuals(spark, sf_dir), 15).withColumn("area", F.round("area", 4))
 
 
-@query(RESIDUAL + """, l AS (SELECT image_id, side, lag, round(sum(a.r * b.r), 6) AS c FROM (SELECT *, unnest(range(5, 16)) AS lag FROM r) a JOIN r b USING (image_id, side) WHERE b.y = a.y + a.lag GROUP BY ALL)
+@query(RESIDUAL + """, z AS (SELECT image_id, side, y, r - avg(r) OVER (PARTITION BY image_id, side) AS r FROM r), l AS (SELECT image_id, side, lag, round(sum(a.r * b.r), 6) AS c FROM (SELECT *, unnest(range(5, 16)) AS lag FROM z) a JOIN z b USING (image_id, side) WHERE b.y = a.y + a.lag GROUP BY ALL)
     SELECT image_id, side, CAST(lag AS INTEGER) AS pitch FROM (SELECT *, row_number() OVER (PARTITION BY image_id, side ORDER BY c DESC, lag) AS k FROM l) WHERE k = 1""")
 def w16_pitch(spark, sf_dir):
     return op.pitch_estimate(residuals(spark, sf_dir), 5, 15)

@@ -9,12 +9,12 @@ from inspectra.plans import views as v
 from inspectra.plans.registry import query
 from inspectra.sources.folders import shared_path
 
-NEAREST = """WITH d AS (SELECT q.query_id, q.cls, b.bank_id, list_distance(q.emb, b.emb) AS d FROM queries q JOIN bank b USING (cls)),
+NEAREST = """WITH d AS (SELECT q.query_id, q.cls, b.bank_id, list_distance(q.emb, b.emb) AS d FROM queries q JOIN bank b ON q.cls = b.cls AND q.query_id <> b.bank_id),
     n AS (SELECT query_id, cls, avg(d) AS d FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d) AS r FROM d) WHERE r <= %d GROUP BY ALL)"""
 
 
 def patch_distances(spark, sf_dir, k=1):
-    return knn.nearest(v.queries(spark, sf_dir), v.bank(spark, sf_dir), k)
+    return knn.nearest(v.queries(spark, sf_dir), v.bank(spark, sf_dir), k, exclude_self=True)
 
 
 @query(NEAREST % 1 + " SELECT query_id, cls, round(d, 6) AS d FROM n")
@@ -27,10 +27,10 @@ def j5_mean_of_three(spark, sf_dir):
     return patch_distances(spark, sf_dir, 3).select("query_id", "cls", F.round("d", 6).alias("d"))
 
 
-@query("SELECT q.query_id, round(sqrt(greatest(min(pow(list_distance(q.emb, b.emb), 2)), 0) + 1e-12), 6) AS d FROM queries q JOIN bank b ON true GROUP BY q.query_id")
+@query("SELECT q.query_id, round(sqrt(greatest(min(pow(list_distance(q.emb, b.emb), 2)), 0) + 1e-12), 6) AS d FROM queries q JOIN bank b ON q.query_id <> b.bank_id GROUP BY q.query_id")
 def j6_global_bank(spark, sf_dir):
     q, b = v.queries(spark, sf_dir).withColumn("cls", F.lit(0)), v.bank(spark, sf_dir).withColumn("cls", F.lit(0))
-    return knn.nearest(q, b).select("query_id", F.round(F.sqrt(F.col("d") * F.col("d") + 1e-12), 6).alias("d"))
+    return knn.nearest(q, b, exclude_self=True).select("query_id", F.round(F.sqrt(F.col("d") * F.col("d") + 1e-12), 6).alias("d"))
 
 
 @query("SELECT a.bank_id AS query_id, a.cls, round(min(list_distance(a.emb, b.emb)), 6) AS d FROM bank a JOIN bank b ON a.cls = b.cls AND a.bank_id <> b.bank_id GROUP BY ALL")
@@ -38,23 +38,27 @@ def j7_self_distance(spark, sf_dir):
     return knn.self_distances(v.bank(spark, sf_dir), exclude_self=True).select("query_id", "cls", F.round("d", 6).alias("d"))
 
 
-@query(NEAREST % 1 + """, i AS (SELECT query_id // 40 AS image_id, max(d) AS score, count(*) AS patches FROM n GROUP BY 1), t AS (SELECT quantile_cont(score, 0.9) AS thr FROM i)
+@query(NEAREST % 1 + """, i AS (SELECT query_id // 200 AS image_id, max(d) AS score, count(*) AS patches FROM n GROUP BY 1), t AS (SELECT quantile_cont(score, 0.9) AS thr FROM i)
     SELECT image_id, patches, round(score, 6) AS score, round(thr, 6) AS thr, CASE WHEN score > thr THEN 'NG' ELSE 'OK' END AS decision FROM i, t""")
 def slice_region_inspection(spark, sf_dir):
     """Nearest distances, one score per image, the threshold, the verdict."""
-    d = patch_distances(spark, sf_dir).withColumn("image_id", F.floor(F.col("query_id") / 40))
+    d = patch_distances(spark, sf_dir).withColumn("image_id", F.floor(F.col("query_id") / 200))
     images = d.groupBy("image_id").agg(F.max("d").alias("score"), F.count(F.lit(1)).alias("patches")).withColumn("all", F.lit(1))
     thr = scores.quantile_threshold(images, "all", "score", 0.9)
     out = images.join(F.broadcast(thr), "all")  # one row
     return out.select("image_id", "patches", F.round("score", 6).alias("score"), F.round("thr", 6).alias("thr"), F.when(F.col("score") > F.col("thr"), "NG").otherwise("OK").alias("decision"))
 
 
-LISTS = """WITH p AS (SELECT image_id, patch_idx, sqrt(list_dot_product(emb[1:8], emb[1:8])) AS d FROM patches), l AS (SELECT image_id, list_reverse_sort(list(d)) AS ds FROM p GROUP BY image_id)"""
+LISTS = """WITH p AS (SELECT image_id, patch_idx, list_sum(list_transform(emb, lambda x: abs(x))) AS d FROM patches), l AS (SELECT image_id, list_reverse_sort(list(d)) AS ds FROM p GROUP BY image_id)"""
+
+
+def absolute_sum(vector):
+    return F.aggregate(vector, F.lit(0.0), lambda a, x: a + F.abs(x.cast("double")))
 
 
 def patch_scores(spark, sf_dir):
-    part = F.slice("emb", 1, 8)
-    return v.patches(spark, sf_dir).select("image_id", "patch_idx", knn.norm(part).alias("d"))
+    """A patch's score: the sum of its vector's absolute values (its length is 1)."""
+    return v.patches(spark, sf_dir).select("image_id", "patch_idx", absolute_sum("emb").alias("d"))
 
 
 def image_lists(spark, sf_dir):
@@ -114,9 +118,9 @@ def w19_suspects(spark, sf_dir):
     return knn.with_rank(d, "cls", "d", "query_id", 5).select("cls", F.col("rank").cast("long").alias("rank"), "query_id", "d")
 
 
-@query("SELECT cls, count(*) AS n FROM queries GROUP BY cls HAVING count(*) >= 10")
+@query("SELECT cls, count(*) AS n FROM bank GROUP BY cls HAVING count(*) >= 50")
 def p7_min_per_class(spark, sf_dir):
-    return v.queries(spark, sf_dir).groupBy("cls").agg(F.count(F.lit(1)).alias("n")).where("n >= 10")
+    return v.bank(spark, sf_dir).groupBy("cls").agg(F.count(F.lit(1)).alias("n")).where("n >= 50")
 
 
 @query("SELECT cls, count(*) AS n, least(count(*), 30) AS kept FROM bank GROUP BY cls")

@@ -8,47 +8,62 @@ from inspectra.operators import geometry as op
 from inspectra.plans import views as v
 from inspectra.plans.registry import query
 
+TOTALS = "image_id, count(*) AS n, CAST(sum(x0) AS BIGINT) AS x0, CAST(sum(y0) AS BIGINT) AS y0, CAST(sum(x1) AS BIGINT) AS x1, CAST(sum(y1) AS BIGINT) AS y1, CAST(sum((x0 + 3 * y0 + 5 * x1 + 7 * y1) * (idx % 101)) AS BIGINT) AS mixed"
+
+
+def box_totals(boxes):
+    """Per image: the boxes' number and sums, and a sum that tells which box is whose."""
+    mixed = (F.col("x0") + 3 * F.col("y0") + 5 * F.col("x1") + 7 * F.col("y1")).cast("long") * (F.col("idx") % 101)
+    return boxes.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(c).cast("long")).alias(c) for c in ("x0", "y0", "x1", "y1")], F.sum(mixed).alias("mixed"))
+
+
 BOX = """WITH b AS (SELECT image_id, idx, CAST(round_even(cx - w / 2, 0) AS INTEGER) - 2 AS x0, CAST(round_even(cy - h / 2, 0) AS INTEGER) - 2 AS y0,
     CAST(round_even(cx + w / 2, 0) AS INTEGER) + 2 AS x1, CAST(round_even(cy + h / 2, 0) AS INTEGER) + 2 AS y1 FROM glyph_items WHERE ch <> '')"""
 
 
-@query(BOX + " SELECT image_id, idx, x0, y0, x1, y1 FROM b")
+@query(BOX + f" SELECT {TOTALS} FROM b GROUP BY image_id")
 def p1_centre_boxes(spark, sf_dir):
-    return v.glyph_items(spark, sf_dir).withColumns(op.box_from_centre()).select("image_id", "idx", "x0", "y0", "x1", "y1")
+    return box_totals(v.glyph_items(spark, sf_dir).withColumns(op.box_from_centre()))
 
 
-@query(BOX + """, a AS (SELECT image_id, idx, greatest(0, least(x0, 299)) AS x0, greatest(0, least(x1, 300)) AS x1, greatest(0, least(y0, 19)) AS y0, greatest(0, least(y1, 20)) AS y1 FROM b)
-    SELECT image_id, idx, x0, CASE WHEN x1 <= x0 THEN least(300, x0 + 1) ELSE x1 END AS x1, y0, CASE WHEN y1 <= y0 THEN least(20, y0 + 1) ELSE y1 END AS y1 FROM a""")
+@query(BOX + f""", a AS (SELECT image_id, idx, greatest(0, least(x0, 299)) AS x0, greatest(0, least(x1, 300)) AS x1, greatest(0, least(y0, 1999)) AS y0, greatest(0, least(y1, 2000)) AS y1 FROM b),
+    c AS (SELECT image_id, idx, x0, CASE WHEN x1 <= x0 THEN least(300, x0 + 1) ELSE x1 END AS x1, y0, CASE WHEN y1 <= y0 THEN least(2000, y0 + 1) ELSE y1 END AS y1 FROM a) SELECT {TOTALS} FROM c GROUP BY image_id""")
 def p2_clipped_boxes(spark, sf_dir):
     rows = v.glyph_items(spark, sf_dir).withColumns(op.box_from_centre())
-    return op.clip_boxes(rows, F.lit(300), F.lit(20)).select("image_id", "idx", "x0", "y0", "x1", "y1")
+    return box_totals(op.clip_boxes(rows, F.lit(300), F.lit(2000)))
 
 
-@query(BOX + """, a AS (SELECT image_id, idx, greatest(0, x0) AS x0, least(300, x1) AS x1, greatest(0, y0) AS y0, least(20, y1) AS y1 FROM b)
-    SELECT * FROM a WHERE x1 > x0 AND y1 > y0""")
+@query(BOX + f""", a AS (SELECT image_id, idx, greatest(0, x0) AS x0, least(300, x1) AS x1, greatest(0, y0) AS y0, least(2000, y1) AS y1 FROM b)
+    SELECT {TOTALS} FROM a WHERE x1 > x0 AND y1 > y0 GROUP BY image_id""")
 def p3_plain_clip(spark, sf_dir):
     rows = v.glyph_items(spark, sf_dir).withColumns(op.box_from_centre())
-    return op.clip_boxes(rows, F.lit(300), F.lit(20), plain=True).select("image_id", "idx", "x0", "y0", "x1", "y1")
+    return box_totals(op.clip_boxes(rows, F.lit(300), F.lit(2000), plain=True))
 
 
-@query("""SELECT image_id, idx, x0, y0, x0 + CAST(trunc(w) AS INTEGER) + 4 AS x1, y0 + CAST(trunc(h) AS INTEGER) + 4 AS y1 FROM (SELECT *, CAST(trunc(cx) AS INTEGER) - CAST(floor(trunc(w) / 2) AS INTEGER) - 2 AS x0,
-    CAST(trunc(cy) AS INTEGER) - CAST(floor(trunc(h) / 2) AS INTEGER) - 2 AS y0 FROM glyph_items)""")
+@query(f"""SELECT {TOTALS} FROM (SELECT image_id, idx, x0, y0, x0 + CAST(trunc(w) AS INTEGER) + 4 AS x1, y0 + CAST(trunc(h) AS INTEGER) + 4 AS y1 FROM (SELECT *, CAST(trunc(cx) AS INTEGER) - CAST(floor(trunc(w) / 2) AS INTEGER) - 2 AS x0,
+    CAST(trunc(cy) AS INTEGER) - CAST(floor(trunc(h) / 2) AS INTEGER) - 2 AS y0 FROM glyph_items)) GROUP BY image_id""")
 def p4_integer_boxes(spark, sf_dir):
-    return v.glyph_items(spark, sf_dir).withColumns(op.integer_box()).select("image_id", "idx", "x0", "y0", "x1", "y1")
+    return box_totals(v.glyph_items(spark, sf_dir).withColumns(op.integer_box()))
 
 
 def annotations(spark, sf_dir):
-    """The items packed into one JSON text per image, as they come in files."""
+    """The items packed into JSON texts of at most 100 lines of an image, as they come in files."""
     i = v.glyph_items(spark, sf_dir)
     item = F.struct(F.when(F.col("idx") % 5 != 0, F.col("ch")).alias("ch"), "cx", "cy", F.when(F.col("idx") % 9 != 0, F.col("w")).otherwise(0.0).alias("w"), "h", F.when(F.col("idx") % 2 == 0, F.col("idx")).alias("i"), F.when(F.col("idx") % 3 == 0, F.col("idx")).alias("idx"), F.when(F.col("idx") % 5 == 0, F.concat(F.lit("L"), "ch")).alias("label"))
-    packed = i.groupBy("image_id").agg(F.collect_list(item).alias("items"))
+    packed = i.groupBy("image_id", F.floor(F.col("idx") / 4000)).agg(F.collect_list(item).alias("items"))
     return packed.select(F.concat(F.lit("﻿"), F.to_json(F.struct(F.concat("image_id", F.lit(".png")).alias("image_name"), "items"))).alias("json"))
 
 
-@query("""SELECT image_id || '.png' AS image_name, CASE WHEN idx % 2 = 0 OR idx % 3 = 0 THEN idx ELSE -1 END AS idx, CASE WHEN idx % 5 <> 0 THEN ch ELSE 'L' || ch END AS ch, cx, h
-    FROM glyph_items WHERE idx % 9 <> 0""")
+@query("""SELECT image_name, count(*) AS n, CAST(sum(idx) AS BIGINT) AS idx, min(ch) AS first_ch, max(ch) AS last_ch, count(DISTINCT ch) AS kinds, sum(cx) AS cx, sum(h) AS h FROM (
+    SELECT image_id || '.png' AS image_name, CASE WHEN idx % 2 = 0 OR idx % 3 = 0 THEN idx ELSE -1 END AS idx, CASE WHEN idx % 5 <> 0 THEN ch ELSE 'L' || ch END AS ch, cx, h
+    FROM glyph_items WHERE idx % 9 <> 0) GROUP BY image_name""")
 def s3_p5_m5_read_annotations(spark, sf_dir):
-    return op.valid_items(op.read_annotations(annotations(spark, sf_dir))).select("image_name", "idx", "ch", "cx", "h")
+    """Items of every character, read back from JSON, as totals per image."""
+    rows = op.valid_items(op.read_annotations(annotations(spark, sf_dir)))
+    return rows.groupBy("image_name").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("idx").cast("long")).alias("idx"), F.min("ch").alias("first_ch"), F.max("ch").alias("last_ch"),
+        F.count_distinct("ch").alias("kinds"), F.sum("cx").alias("cx"), F.sum("h").alias("h"),
+    )
 
 
 @query("SELECT image_id, label, len(points) AS n FROM polygons WHERE lower(trim(label)) = 'panel' AND len(points) >= 3")
@@ -60,9 +75,8 @@ def p6_panel_shapes(spark, sf_dir):
     return read.select(F.col("a.imagePath").cast("long").alias("image_id"), F.explode(fits).alias("s")).select("image_id", "s.label", F.size("s.points").cast("long").alias("n"))
 
 
-@query("""SELECT ch, CASE WHEN ch IN ('/', '\\', ':', '*', '?', '"', '<', '>', '|', '.', ' ', '%') THEN
-    map {'/': 'slash', '\\': 'backslash', ':': 'colon', '*': 'asterisk', '?': 'question', '"': 'quote', '<': 'lt', '>': 'gt', '|': 'pipe', '.': 'dot', ' ': 'space', '%': 'percent'}[ch]
-    WHEN ascii(ch) < 32 THEN 'u' || lpad(to_hex(ascii(ch)), 4, '0') ELSE ch END AS cls, count(*) AS n FROM glyph_items GROUP BY ALL""")
+@query("""SELECT ch, coalesce(map {'/': 'slash', '\\': 'backslash', ':': 'colon', '*': 'asterisk', '?': 'question', '"': 'quote', '<': 'lt', '>': 'gt', '|': 'pipe', '.': 'dot', ' ': 'space'}[ch],
+    CASE WHEN ch = chr(9) THEN 'tab' ELSE ch END) AS cls, count(*) AS n FROM glyph_items GROUP BY ALL""")
 def m2_class_names(spark, sf_dir):
     return v.glyph_items(spark, sf_dir).groupBy("ch").agg(F.count(F.lit(1)).alias("n")).withColumn("cls", op.safe_name(F.col("ch")))
 
@@ -115,22 +129,22 @@ def s5_class_of_folder(spark, sf_dir):
     return v.files(spark, sf_dir).groupBy(F.element_at(F.split(parts["parent"], "/"), 1).alias("cls")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(PARTS + """, i AS (SELECT file_id AS image_id, path AS name FROM g WHERE file_id % 3 <> 0), a AS (SELECT file_id AS annotation_id, CASE WHEN file_id % 2 = 0 THEN path ELSE name END AS image_name FROM g),
+@query(PARTS + """, i AS (SELECT file_id AS image_id, path AS name FROM g ), a AS (SELECT file_id AS annotation_id, CASE WHEN file_id % 2 = 0 THEN path ELSE name END AS image_name FROM g),
     n AS (SELECT name, min(image_id) AS image_id FROM i GROUP BY name), b AS (SELECT regexp_extract(name, '([^/]*)$', 1) AS base, min(image_id) AS image_id FROM i GROUP BY 1)
     SELECT annotation_id, coalesce(n.image_id, b.image_id) AS image_id FROM a LEFT JOIN n ON a.image_name = n.name LEFT JOIN b ON regexp_extract(a.image_name, '([^/]*)$', 1) = b.base""")
 def j1_annotation_images(spark, sf_dir):
     f = v.files(spark, sf_dir).withColumns(op.path_parts(F.col("path")))
-    images = f.where("file_id % 3 <> 0").groupBy(F.col("path").alias("name")).agg(F.min("file_id").alias("image_id"))
+    images = f.groupBy(F.col("path").alias("name")).agg(F.min("file_id").alias("image_id"))
     a = f.select(F.col("file_id").alias("annotation_id"), F.when(F.col("file_id") % 2 == 0, F.col("path")).otherwise(F.col("name")).alias("image_name"))
     return op.join_images(a, images).select("annotation_id", "image_id")
 
 
-@query(PARTS + """, c AS (SELECT a.file_id AS annotation_id, b.file_id AS image_id, CASE WHEN a.path = b.path THEN 1 ELSE 2 END AS priority FROM g a JOIN g b ON a.stem = b.stem AND b.file_id % 2 = 0 AND a.file_id % 5 = 0)
-    SELECT a.file_id AS annotation_id, c.image_id FROM (SELECT file_id FROM g WHERE file_id % 5 = 0) a LEFT JOIN (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY annotation_id ORDER BY priority, image_id) = 1) c ON a.file_id = c.annotation_id""")
+@query(PARTS + """, c AS (SELECT a.file_id AS annotation_id, b.file_id AS image_id, CASE WHEN a.path = b.path THEN 1 ELSE 2 END AS priority FROM g a JOIN g b ON a.stem = b.stem)
+    SELECT a.file_id AS annotation_id, c.image_id FROM g a LEFT JOIN (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY annotation_id ORDER BY priority, image_id) = 1) c ON a.file_id = c.annotation_id""")
 def j2_polygon_images(spark, sf_dir):
     f = v.files(spark, sf_dir).withColumns(op.path_parts(F.col("path")))
-    a = f.where("file_id % 5 = 0").select(F.col("file_id").alias("annotation_id"), "stem", F.col("path").alias("own"))
-    b = f.where("file_id % 2 = 0").select("stem", F.col("file_id").alias("image_id"), "path")
+    a = f.select(F.col("file_id").alias("annotation_id"), "stem", F.col("path").alias("own"))
+    b = f.select("stem", F.col("file_id").alias("image_id"), "path")
     c = a.join(b, "stem").withColumn("priority", F.when(F.col("own") == F.col("path"), 1).otherwise(2))
     return a.select("annotation_id").join(op.first_candidate(c, "annotation_id", "priority", "image_id").select("annotation_id", "image_id"), "annotation_id", "left")
 
@@ -157,13 +171,18 @@ def u2_unpaired_stems(spark, sf_dir):
     return a.subtract(b).withColumn("only_in", F.lit("image")).unionByName(b.subtract(a).withColumn("only_in", F.lit("json")))
 
 
-@query("""WITH c AS (SELECT ch AS cls, image_id, idx FROM glyph_items WHERE ch ~ '^[a-e]$'), e AS (SELECT cls, CAST(max(image_id) % 50 AS BIGINT) AS largest FROM c GROUP BY cls),
-    n AS (SELECT cls, image_id, idx, row_number() OVER (PARTITION BY cls ORDER BY image_id, idx) + largest AS crop_no FROM c JOIN e USING (cls))
-    SELECT cls, image_id, idx, crop_no, CASE WHEN length(CAST(crop_no AS VARCHAR)) < 4 THEN lpad(CAST(crop_no AS VARCHAR), 4, '0') ELSE CAST(crop_no AS VARCHAR) END || '.png' AS file FROM n""")
+@query("""WITH c AS (SELECT ch AS cls, image_id, idx FROM glyph_items), e AS (SELECT cls, CAST(max(image_id) % 50 AS BIGINT) AS largest FROM c GROUP BY cls),
+    n AS (SELECT cls, image_id, idx, row_number() OVER (PARTITION BY cls ORDER BY image_id, idx) + largest AS crop_no FROM c JOIN e USING (cls)),
+    f AS (SELECT *, CASE WHEN length(CAST(crop_no AS VARCHAR)) < 4 THEN lpad(CAST(crop_no AS VARCHAR), 4, '0') ELSE CAST(crop_no AS VARCHAR) END || '.png' AS file FROM n)
+    SELECT cls, image_id, count(*) AS n, min(crop_no) AS least, max(crop_no) AS most, CAST(sum(crop_no * (idx % 101)) AS BIGINT) AS mixed, min(file) AS first_file, max(file) AS last_file FROM f GROUP BY cls, image_id""")
 def w2_crop_numbers(spark, sf_dir):
-    c = v.glyph_items(spark, sf_dir).where(F.col("ch").rlike("^[a-e]$")).select(F.col("ch").alias("cls"), "image_id", "idx")
+    c = v.glyph_items(spark, sf_dir).select(F.col("ch").alias("cls"), "image_id", "idx")
     existing = c.groupBy("cls").agg((F.max("image_id") % 50).alias("crop_no"))
-    return op.number_crops(c, existing, ["image_id", "idx"])
+    n = op.number_crops(c, existing, ["image_id", "idx"])
+    return n.groupBy("cls", "image_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("crop_no").alias("least"), F.max("crop_no").alias("most"), F.sum(F.col("crop_no") * (F.col("idx") % 101)).alias("mixed"),
+        F.min("file").alias("first_file"), F.max("file").alias("last_file"),
+    )
 
 
 @query("SELECT ch AS cls, count(*) AS n FROM glyph_items GROUP BY ROLLUP (ch)")

@@ -9,15 +9,22 @@ from inspectra.functions import images as im
 from inspectra.operators import imagery as op
 from inspectra.operators import knn, scores
 from inspectra.plans import views as v
+from inspectra.plans.calibration import absolute_sum
 from inspectra.plans.registry import query
 
 
+SIDE = 64
+
+
 def rasters(spark, sf_dir):
-    """The bytes of a text as gray rows of 64; texts of less than a row have none."""
+    """The bytes of each text as gray tiles of 64 x 64; the last one is filled up
+    with zeros, a text without bytes has one of zeros."""
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     d = v.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("image_id"), data.alias("data"))
-    h = F.least(F.lit(64), F.floor(F.octet_length("data") / 64)).cast("int")
-    return d.withColumn("h", h).where("h >= 8").select("image_id", "h", F.lit(64).alias("w"), F.substring("data", F.lit(1), F.col("h") * 64).alias("data"))
+    last = F.greatest(F.lit(0), F.ceil(F.octet_length("data") / SIDE**2).cast("int") - 1)
+    d = d.select("image_id", "data", F.explode(F.sequence(F.lit(0), last)).alias("tile"))
+    part = F.substring("data", F.col("tile") * SIDE**2 + 1, F.lit(SIDE**2))
+    return d.select("image_id", "tile", F.lit(SIDE).alias("h"), F.lit(SIDE).alias("w"), F.rpad(part, F.lit(SIDE**2), F.lit(b"\0")).alias("data"))
 
 
 @query("SELECT image_id, round(quantile_cont(v, 0.999), 6) AS score, round(max(v), 6) AS most FROM heatmap GROUP BY image_id")
@@ -93,9 +100,12 @@ def w18_row_stretch(spark, sf_dir):
     return p.join(r, ["image_id", "y"]).select("image_id", "y", "x", F.round(op.scaled(F.col("gray"), F.col("lo"), F.greatest(F.col("hi"), F.col("lo") + 1e-6)), 12).alias("s"))
 
 
-@query("SELECT image_id, y, max(x) AS x FROM heatmap WHERE x < 4 AND v > 0.1 GROUP BY ALL")
+@query("SELECT image_id, 'L' AS side, y, max(x) AS x FROM heatmap WHERE x < 4 AND v > 0.1 GROUP BY ALL UNION ALL SELECT image_id, 'R', y, min(x) FROM heatmap WHERE x >= 4 AND v > 0.1 GROUP BY ALL")
 def i15_inner_boundary(spark, sf_dir):
-    return op.inner_boundary(v.heatmap(spark, sf_dir).where("x < 4 AND v > 0.1"), "L")
+    on = v.heatmap(spark, sf_dir).where("v > 0.1")
+    left, right = op.inner_boundary(on.where("x < 4"), "L"), op.inner_boundary(on.where("x >= 4"), "R")
+    sides = [d.select("image_id", F.lit(s).alias("side"), "y", "x") for d, s in ((left, "L"), (right, "R"))]
+    return sides[0].unionByName(sides[1])
 
 
 @query("""SELECT a.image_id, a.y, a.x, bool_or(b.v > 0.2) AS dilated, bool_and(b.v > -0.2) AS eroded FROM heatmap a JOIN heatmap b ON a.image_id = b.image_id AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 GROUP BY ALL""")
@@ -106,9 +116,9 @@ def i8_morphology(spark, sf_dir):
     return grown.join(op.neighbours(on(-0.2), 3, False).withColumnRenamed("on", "eroded"), ["image_id", "y", "x"])
 
 
-@query("SELECT image_id, round(avg(CASE WHEN x = 3 THEN v END), 6) AS column_3 FROM heatmap GROUP BY image_id")
+@query("SELECT image_id, x, round(avg(v), 6) AS mean FROM heatmap GROUP BY image_id, x")
 def i12_column_mean(spark, sf_dir):
-    return v.heatmap(spark, sf_dir).where("x = 3").groupBy("image_id").agg(F.round(F.avg("v"), 6).alias("column_3"))
+    return v.heatmap(spark, sf_dir).groupBy("image_id", "x").agg(F.round(F.avg("v"), 6).alias("mean"))
 
 
 @query("""WITH r AS (SELECT image_id, points[3][1] - points[1][1] AS pw, points[3][2] - points[1][2] AS ph, w, h, points[1][1] AS x0, points[1][2] AS y0 FROM polygons WHERE len(points) >= 3 AND lower(trim(label)) = 'panel')
@@ -127,66 +137,67 @@ def i16_polygon_area(spark, sf_dir):
 
 @query()
 def i9_t1_regions(spark, sf_dir):
-    def run(image, gray):
-        return [(image, k, r["x"], r["y"], r["w"], r["h"], r["score"], r["area_px"]) for k, r in enumerate(im.regions(gray > 110, gray.astype(float), 3))]
+    def run(gray, seed):
+        return [(k, r["x"], r["y"], r["w"], r["h"], r["score"], r["area_px"]) for k, r in enumerate(im.regions(gray > 110, gray.astype(float), 3))]
 
-    return op.per_image(rasters(spark, sf_dir), run, "image_id long, rank int, x int, y int, w int, h int, score double, area_px int")
+    return op.per_image(rasters(spark, sf_dir), run, "rank int, x int, y int, w int, h int, score double, area_px int")
 
 
 @query()
 def i2_i3_i11_features(spark, sf_dir):
     """Resized, equalised, edge and texture means of each raster."""
 
-    def run(image, gray):
-        return [(image, float(im.resize(gray, 16, 16).mean()), float(im.resize_padded(gray, 32).mean()), float(im.equalised(gray).mean()), float(im.edges(gray).mean()), float(im.local_std(gray, 5).mean()))]
+    def run(gray, seed):
+        return [(float(im.resize(gray, 16, 16).mean()), float(im.resize_padded(gray, 32).mean()), float(im.equalised(gray).mean()), float(im.edges(gray).mean()), float(im.local_std(gray, 5).mean()))]
 
-    return op.per_image(rasters(spark, sf_dir), run, "image_id long, resized double, padded double, equalised double, edges double, texture double")
+    return op.per_image(rasters(spark, sf_dir), run, "resized double, padded double, equalised double, edges double, texture double")
 
 
 @query()
 def i4_i7_shape(spark, sf_dir):
     """Foreground share, and the shape score against the raster's own centred mask."""
 
-    def run(image, gray):
+    def run(gray, seed):
         mask = im.foreground(gray)
-        return [(image, float(mask.mean()), im.otsu(gray), im.shape_score(im.centred(gray), mask))]
+        return [(float(mask.mean()), im.otsu(gray), im.shape_score(im.centred(gray), mask))]
 
-    return op.per_image(rasters(spark, sf_dir), run, "image_id long, share double, otsu int, shape_score double")
+    return op.per_image(rasters(spark, sf_dir), run, "share double, otsu int, shape_score double")
 
 
 @query()
 def i5_i6_structure(spark, sf_dir):
     """Found shift of a moved copy, and its structural score once moved back."""
 
-    def run(image, gray):
-        dy, dx = im.best_shift(im.shifted(gray[:16, :32], 1, 2), gray[:16, :32], 3)
-        back = im.shifted(im.shifted(gray[:16, :32], 1, 2), dy, dx)
-        return [(image, dy, dx, im.structural_score(back, gray[:16, :32], np.ones(back.shape, bool)))]
+    def run(gray, seed):
+        moved = im.shifted(gray, 1, 2)
+        dy, dx = im.best_shift(moved, gray, 3)
+        return [(dy, dx, im.structural_score(im.shifted(moved, dy, dx), gray, np.ones(gray.shape, bool)))]
 
-    return op.per_image(rasters(spark, sf_dir), run, "image_id long, dy int, dx int, score double")
+    return op.per_image(rasters(spark, sf_dir), run, "dy int, dx int, score double")
 
 
 @query()
 def i10_i13_i14_boundaries(spark, sf_dir):
-    def run(image, gray):
+    def run(gray, seed):
         m = im.metal_score(gray)
-        side = im.hysteresis(m > 0.3, m > 0.6, "L")
-        return [(image, float(m.mean()), int(side.sum()), int((im.left_boundary(gray) >= 0).sum()), float(im.column_profile(gray).mean()))]
+        limits = im.side_thresholds(m)
+        left, right = (int(im.hysteresis(m >= limits[s][1], m >= limits[s][0], s).sum()) for s in "LR")
+        return [(float(m.mean()), left, right, float(im.left_boundary(gray).mean()), float(im.column_profile(gray).mean()))]
 
-    return op.per_image(rasters(spark, sf_dir), run, "image_id long, metal double, side_pixels int, found_rows int, profile_mean double")
+    return op.per_image(rasters(spark, sf_dir), run, "metal double, left_pixels int, right_pixels int, boundary double, profile_mean double")
 
 
 @query()
 def i18_i19_synthetic(spark, sf_dir):
     """Kind and mask size of a seeded defect on each raster, after augmentation."""
 
-    def run(image, gray):
-        rng = np.random.default_rng(image)
+    def run(gray, seed):
+        rng = np.random.default_rng(seed)
         a, mask = im.augmented(gray, np.zeros(gray.shape, bool), rng)
         _, mask, kind = im.with_defect(np.ascontiguousarray(a), rng)
-        return [(image, kind, int(mask.sum()))]
+        return [(kind, int(mask.sum()))]
 
-    return op.per_image(rasters(spark, sf_dir), run, "image_id long, kind string, mask_px int")
+    return op.per_image(rasters(spark, sf_dir), run, "kind string, mask_px int")
 
 
 @query("""WITH x AS (SELECT image_id, w, unnest(CASE WHEN w > 512 THEN list_distinct(list_append(range(0, w - 511, 384), w - 512)) ELSE [0] END) AS start FROM image_index)
@@ -197,52 +208,52 @@ def x4_tile_function(spark, sf_dir):
     return spark.sql("SELECT image_id, t.start, t.stop FROM image_index_rows, LATERAL tile_positions(w, 512, 384) t")
 
 
-@query("WITH p AS (SELECT image_id, sqrt(list_dot_product(emb[1:8], emb[1:8])) AS d FROM patches) SELECT image_id, round(list_avg(list_reverse_sort(list(d))[1:10]), 6) AS score FROM p GROUP BY image_id")
+@query("WITH p AS (SELECT image_id, list_sum(list_transform(emb, lambda x: abs(x))) AS d FROM patches) SELECT image_id, round(list_avg(list_reverse_sort(list(d))[1:10]), 6) AS score FROM p GROUP BY image_id")
 def x3_score_aggregate(spark, sf_dir):
-    d = v.patches(spark, sf_dir).select("image_id", knn.norm(F.slice("emb", 1, 8)).alias("d"))
+    d = v.patches(spark, sf_dir).select("image_id", absolute_sum("emb").alias("d"))
     return d.groupBy("image_id").agg(F.round(op.topk_mean("d"), 6).alias("score"))
 
 
-@query("SELECT image_id, round(list_max(list(d)), 6) AS score FROM (SELECT image_id, sqrt(list_dot_product(emb[1:8], emb[1:8])) AS d FROM patches) GROUP BY image_id")
+@query("SELECT image_id, round(list_max(list(d)), 6) AS score FROM (SELECT image_id, list_sum(list_transform(emb, lambda x: abs(x))) AS d FROM patches) GROUP BY image_id")
 def x1_registered_algorithm(spark, sf_dir):
     registry = op.Registry()
     for name, mode in scores.MODES.items():
         registry.register(name, lambda df, mode=mode: df.groupBy("image_id").agg(F.round(mode(F.collect_list("d")), 6).alias("score")))
     score, _ = registry.get("max")
-    return score(v.patches(spark, sf_dir).select("image_id", knn.norm(F.slice("emb", 1, 8)).alias("d")))
+    return score(v.patches(spark, sf_dir).select("image_id", absolute_sum("emb").alias("d")))
 
 
 @query()
 def x2_patch_embedding(spark, sf_dir):
     """Default embedder: 8 x 8 pixel patches, projected and normalised."""
 
-    def run(image, gray):
+    def run(gray, seed):
         h, w = gray.shape[0] // 8, gray.shape[1] // 8
         p = gray[: h * 8, : w * 8].reshape(h, 8, w, 8).transpose(0, 2, 1, 3).reshape(-1, 64).astype(float) / 255
-        return [(image, k, row) for k, row in enumerate(p)]
+        return [(k, row) for k, row in enumerate(p)]
 
-    patches = op.per_image(rasters(spark, sf_dir), run, "image_id long, patch_idx int, emb array<double>")
-    return knn.projection(patches, "emb", 16).select("image_id", "patch_idx", F.round(F.element_at("emb", 1), 9).alias("first"))
+    patches = op.per_image(rasters(spark, sf_dir), run, "patch_idx int, emb array<double>")
+    return knn.projection(patches, "emb", 16).select("image_id", "tile", "patch_idx", F.round(F.element_at("emb", 1), 9).alias("first"))
 
 
 @query()
 def i1_cropped_tiles(spark, sf_dir):
     """Tiles of each raster, padded by their edges to full size."""
 
-    def run(image, gray):
+    def run(gray, seed):
         out = []
         for k, y in enumerate(range(0, gray.shape[0], 24)):
             tile = im.crop(gray, (40, y, 72, y + 24), (24, 32))
-            out.append((image, k, tile.shape[0], tile.shape[1], float(tile.mean())))
+            out.append((k, tile.shape[0], tile.shape[1], float(tile.mean())))
         return out
 
-    return op.per_image(rasters(spark, sf_dir), run, "image_id long, tile int, h int, w int, mean double")
+    return op.per_image(rasters(spark, sf_dir), run, "part int, h int, w int, mean double")
 
 
 @query()
 def i17_probability_mask(spark, sf_dir):
-    def run(image, gray):
+    def run(gray, seed):
         mask = im.probability_mask(gray / 255, gray.shape[0] * 2, 128, 0.4)
-        return [(image, int(mask.sum()), float(mask.mean()))]
+        return [(int(mask.sum()), float(mask.mean()))]
 
-    return op.per_image(rasters(spark, sf_dir), run, "image_id long, pixels int, share double")
+    return op.per_image(rasters(spark, sf_dir), run, "pixels int, share double")

@@ -67,11 +67,12 @@ def s12_result_text(spark, sf_dir):
     return m.select("sample_id", F.col("m")["result"].alias("result"), F.col("m")["prob_OK"].cast("double").alias("prob_ok"))
 
 
-@query("SELECT image_id, idx, ch, round(cx, 3) AS cx FROM glyph_items WHERE ch ~ '^[a-z]$'")
+@query("SELECT image_id, count(*) AS n, CAST(sum(idx) AS BIGINT) AS idx, min(ch) AS first_ch, max(ch) AS last_ch, count(DISTINCT ch) AS kinds, sum(cx) AS cx FROM glyph_items GROUP BY image_id")
 def s7_csv_round_trip(spark, sf_dir):
     folder = shared_path(spark, "details")
-    files.write_csv(v.glyph_items(spark, sf_dir).where(F.col("ch").rlike("^[a-z]$")).select("image_id", "idx", "ch", "cx"), folder)
-    return spark.read.option("header", True).schema("image_id long, idx int, ch string, cx double").csv(folder).withColumn("cx", F.round("cx", 3))
+    files.write_csv(v.glyph_items(spark, sf_dir).select("image_id", "idx", F.base64(F.col("ch").cast("binary")).alias("ch"), "cx"), folder)
+    read = spark.read.option("header", True).schema("image_id long, idx int, ch string, cx double").csv(folder).withColumn("ch", F.unbase64("ch").cast("string"))
+    return read.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("idx").cast("long")).alias("idx"), F.min("ch").alias("first_ch"), F.max("ch").alias("last_ch"), F.count_distinct("ch").alias("kinds"), F.sum("cx").alias("cx"))
 
 
 @query("SELECT pred, count(*) AS n FROM jobs GROUP BY pred")

@@ -16,6 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out to four tasks a core where a few large files would leave
+    most cores without any; else as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(4 * cores)
+
+
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     pred = F.when(F.col("event_type") == "signup", "NG").when(F.col("event_type") == "error", "ERROR").when(F.col("event_type") == "click", "WARN").otherwise("OK")
@@ -31,16 +38,17 @@ def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def model_pins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("event_type = 'purchase' AND event_id % 5 = 0")
+    e = table(spark, sf_dir, "events").where("event_type = 'purchase'")
     return e.select(F.concat(F.lit("p"), F.col("user_id") % 8).alias("project_id"), F.date_format("ts", "yyyyMMdd_HHmmss").alias("version"), F.col("ts").cast("timestamp").alias("updated_at"))
 
 
 def bank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").where("vec_id % 5 <> 0").select(F.col("vec_id").alias("bank_id"), F.col("label").alias("cls"), F.col("embedding").alias("emb"))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("bank_id"), F.col("label").alias("cls"), F.col("embedding").alias("emb"))
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").where("vec_id % 5 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("cls"), F.col("embedding").alias("emb"))
+    """Every 50th row, sought among all others."""
+    return table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("cls"), F.col("embedding").alias("emb"))
 
 
 def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,11 +83,11 @@ def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def glyph_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, 40).alias("t"))
-    at = F.when(F.length("t") > 0, F.sequence(F.lit(0), F.length("t") - 1)).otherwise(F.array().cast("array<int>"))
-    i = d.select(F.col("doc_id").alias("image_id"), "t", F.explode(at).alias("idx"))
+    """An item for each character of each text, in lines of 40."""
+    d = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("image_id"), F.coalesce("text", F.lit("")).alias("t")))
+    i = d.select("image_id", F.posexplode(F.split("t", "")).alias("idx", "ch")).where("ch <> ''")
     return i.select(
-        "image_id", "idx", F.substr("t", F.col("idx") + 1, F.lit(1)).alias("ch"), (F.col("idx") * 12.5).alias("cx"), F.lit(20.5).alias("cy"),
+        "image_id", "idx", "ch", (F.col("idx") % 40 * 12.5).alias("cx"), (F.floor(F.col("idx") / 40) * 30 + 20.5).alias("cy"),
         (F.col("idx") % 7 + 5).cast("double").alias("w"), (F.col("idx") % 4 + 9).cast("double").alias("h"),
     )
 
@@ -134,15 +142,15 @@ VIEWS = {
         CASE event_type WHEN 'signup' THEN 'NG' WHEN 'error' THEN 'ERROR' WHEN 'click' THEN 'WARN' ELSE 'OK' END AS pred,
         value AS infer_ms, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, CAST(ts AS TIMESTAMP) AS ts, CAST(ts AS DATE) AS date FROM events""",
     "projects": "SELECT 'p' || n AS project_id, n % 5 <> 0 AS enabled, CASE WHEN n % 2 = 1 THEN 150.0::DOUBLE END AS thr_global FROM (SELECT DISTINCT user_id % 8 AS n FROM events)",
-    "model_pins": "SELECT 'p' || (user_id % 8) AS project_id, strftime(ts, '%Y%m%d_%H%M%S') AS version, CAST(ts AS TIMESTAMP) AS updated_at FROM events WHERE event_type = 'purchase' AND event_id % 5 = 0",
-    "bank": "SELECT vec_id AS bank_id, label AS cls, CAST(embedding AS DOUBLE[]) AS emb FROM embeddings WHERE vec_id % 5 <> 0",
-    "queries": "SELECT vec_id AS query_id, label AS cls, CAST(embedding AS DOUBLE[]) AS emb FROM embeddings WHERE vec_id % 5 = 0",
+    "model_pins": "SELECT 'p' || (user_id % 8) AS project_id, strftime(ts, '%Y%m%d_%H%M%S') AS version, CAST(ts AS TIMESTAMP) AS updated_at FROM events WHERE event_type = 'purchase'",
+    "bank": "SELECT vec_id AS bank_id, label AS cls, CAST(embedding AS DOUBLE[]) AS emb FROM embeddings",
+    "queries": "SELECT vec_id AS query_id, label AS cls, CAST(embedding AS DOUBLE[]) AS emb FROM embeddings WHERE vec_id % 50 = 0",
     "patches": "SELECT vec_id // 8 AS image_id, vec_id % 8 AS patch_idx, first_value(label) OVER (PARTITION BY vec_id // 8 ORDER BY vec_id) AS cls, CAST(embedding AS DOUBLE[]) AS emb FROM embeddings",
     "heatmap": "SELECT vec_id AS image_id, (pos - 1) // 8 AS y, (pos - 1) % 8 AS x, CAST(v AS DOUBLE) AS v FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings)",
     "pixels": "SELECT image_id, y, x, CAST(round((v + 1) * 127.5) AS INTEGER) AS gray FROM heatmap",
     "profiles": "SELECT label AS image_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS strip_idx, CAST(embedding AS DOUBLE[]) AS profile FROM embeddings",
     "signal": "SELECT user_id // 2 AS image_id, CASE WHEN user_id % 2 = 0 THEN 'L' ELSE 'R' END AS side, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS y, value AS x FROM events",
-    "glyph_items": "SELECT doc_id AS image_id, CAST(i AS INTEGER) AS idx, substr(t, i + 1, 1) AS ch, i * 12.5::DOUBLE AS cx, 20.5::DOUBLE AS cy, (i % 7 + 5)::DOUBLE AS w, (i % 4 + 9)::DOUBLE AS h FROM (SELECT doc_id, t, unnest(range(0, length(t))) AS i FROM (SELECT doc_id, substr(coalesce(text, ''), 1, 40) AS t FROM documents))",
+    "glyph_items": "SELECT doc_id AS image_id, CAST(i - 1 AS INTEGER) AS idx, ch, (i - 1) % 40 * 12.5::DOUBLE AS cx, (i - 1) // 40 * 30 + 20.5::DOUBLE AS cy, ((i - 1) % 7 + 5)::DOUBLE AS w, ((i - 1) % 4 + 9)::DOUBLE AS h FROM (SELECT doc_id, unnest(t) AS ch, generate_subscripts(t, 1) AS i FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '(?s).') AS t FROM documents))",
     "image_index": "SELECT p_partkey AS image_id, CAST(p_partkey * 37 % 2000 + 200 AS INTEGER) AS w, CAST(p_partkey * 53 % 900 + 150 AS INTEGER) AS h FROM part",
     "files": "SELECT page_id AS file_id, regexp_extract(coalesce(url, ''), '://([^?#]*)', 1) AS path FROM pages",
     "truth": "SELECT doc_id AS sample_id, quality = 0 AS actual_ng, toxic = 1 AS predicted_ng FROM labels",

@@ -168,7 +168,7 @@ def test_thresholds_and_names(spark):
     got = one.select(joblog.threshold(F.lit(None).cast("double"), F.lit(0.0), F.lit(0.3)).alias("a"), joblog.threshold(F.lit(0.0), F.lit(0.4), F.lit(0.3)).alias("b")).first()
     assert (got.a, got.b) == (0.3, 0.0)
     names = spark.createDataFrame([("/",), ("A",), ("",), ("\t",)], "ch string").select(geometry.safe_name(F.col("ch")).alias("n")).toPandas()["n"].tolist()
-    assert names == ["slash", "A", "empty", "u0009"]
+    assert names == ["slash", "A", "empty", "tab"]
 
 
 def test_registry_names_unknown_algorithms():
@@ -202,11 +202,12 @@ def test_annotations_allow_a_mark_and_odd_items(spark, tmp_path):
 
 def test_live_fold_equals_the_weighted_sum():
     rows = pd.DataFrame({"ts": pd.date_range("2024-01-01", periods=50, freq="s"), "job_id": range(50), "pred": ["OK", "NG", "WARN", "ERROR", "OK"] * 10, "infer_ms": RNG.random(50)})
-    once = streams.fold((0, 0, 0, 0, 0.0, None), rows)
-    twice = streams.fold(streams.fold((0, 0, 0, 0, 0.0, None), rows[:20]), rows[20:])
+    once = streams.fold(streams.EMPTY, rows)
+    twice = streams.fold(streams.fold(streams.EMPTY, rows[20:]), rows[:20])
     x = rows["infer_ms"].to_numpy()
     weights = 0.9 ** np.arange(49, -1, -1.0) * np.where(np.arange(50) == 0, 1, 0.1)
-    assert once == twice and once[:4] == (50, 20, 10, 20) and once[4] == pytest.approx((weights * x).sum())
+    row = streams.live_row(once)
+    assert once == twice and row[:4] == (50, 20, 10, 20) and row[4] == pytest.approx((weights * x).sum()) and row[5] == rows["ts"].iloc[-1]
 
 
 def test_unpaired_images_come_out_after_the_watermark(spark, tmp_path):
@@ -216,3 +217,55 @@ def test_unpaired_images_come_out_after_the_watermark(spark, tmp_path):
     out = streams.drain(streams.pairs(e().where("kind = 'image'"), e().where("kind = 'json'")), "pairs-test")
     got = {r.stem: r.json_ts is not None for r in out.collect()}
     assert got == {"a": True, "b": False, "z": True}
+
+
+def test_seeds_are_high_components_at_the_border():
+    low, high = np.zeros((20, 40), bool), np.zeros((20, 40), bool)
+    low[2:6, 0:30] = True
+    high[3, 20:25] = True  # inside a low component at the border, but not itself there
+    assert not im.hysteresis(low, high, "L").any()
+    high[4, 5:9] = True
+    assert (im.hysteresis(low, high, "L") == low).all() and not im.hysteresis(low, high, "R").any()
+
+
+def test_boundary_is_where_the_groove_ends():
+    rng = np.random.default_rng(0)
+    g = rng.integers(120, 255, (64, 64)).astype(np.uint8)
+    g[:, 15:40] = 20
+    found = im.left_boundary(g)
+    assert len(found) == 8 and (abs(found - 15) <= 3).all()
+    assert (im.left_boundary(np.repeat(g[..., None], 3, axis=2)) == found).all() and len(im.left_boundary(g[:5])) == 0
+
+
+def test_metal_score_and_thresholds():
+    rng = np.random.default_rng(1)
+    g = np.full((40, 80), 30, np.uint8)
+    g[:, :20] = rng.integers(0, 255, (40, 20))
+    m = im.metal_score(g)
+    assert m[:, :16].mean() > 0.3 > m[:, 30:50].mean() and m.min() >= 0 and m.max() <= 1
+    (hi, lo), _ = (im.side_thresholds(m)[s] for s in "LR")
+    assert hi > lo > 0 and im.hysteresis(m >= lo, m >= hi, "L")[:, :16].mean() > 0.5
+
+
+def test_shape_score_is_the_distance_to_the_nearest_foreground():
+    g = np.zeros((30, 30), np.uint8)
+    g[10:20, 10:20] = 200
+    mask = im.foreground(g)
+    assert im.shape_score(g, mask) == 0
+    g[16:20, 16:20] = 0
+    near = lambda m, y, x: np.sqrt(((np.argwhere(m) - (y, x)) ** 2).sum(axis=1).min())
+    slow = [abs(near(im.foreground(g), y, x) - near(mask, y, x)) for y, x in np.argwhere(im.morphology(mask, 9, True))]
+    assert im.shape_score(g, mask) == pytest.approx(np.percentile(slow, 99)) and max(slow) > 1
+
+
+def test_peaks_are_matched_in_turn():
+    assert profiles.match_peaks(np.array([5, 8]), np.array([7, 30]), 5) == [(5, 7)]
+    p = np.zeros(40)
+    p[20] = 4
+    assert profiles.edge_shift(np.roll(p, 3), p) == 3
+
+
+def test_smoothing_follows_cubics_to_the_ends():
+    x = np.linspace(-1, 1, 41) ** 3
+    assert np.allclose(boundary.smoothed(x, median=1), x)
+    assert boundary.smoothed(np.array([1.0, 5.0, 2.0])).shape == (3,)
