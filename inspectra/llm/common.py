@@ -45,6 +45,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_in_small_batches(df: DataFrame, name: str, rows: int = 512) -> DataFrame:
+    """As stored, with fewer rows at a time between Spark and Python, for rows
+    that hold texts; the session's own setting is put back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    before = conf.get(key)
+    conf.set(key, str(rows))
+    try:
+        return stored(df, name)
+    finally:
+        conf.set(key, before)
+
+
 def bytes_of(df: DataFrame, size: Column) -> int:
     """Sum of a size expression, for the checks that precede a broadcast."""
     return int(df.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0])
