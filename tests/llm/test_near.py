@@ -81,3 +81,15 @@ def test_simhash_says_which_thresholds_it_covers(spark):
     assert simhash.group(docs, threshold=5).count() == 1
     with pytest.raises(ValueError):
         simhash.group(docs, threshold=6)
+
+
+def test_bitmaps_never_differ_more_than_sets():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    for n, m in ((3, 4), (60, 70), (500, 620), (900, 1100), (30_000, 36_000)):
+        base = rng.integers(0, 2**63, n, dtype=np.uint64)
+        other = np.unique(np.concatenate((base[: n * 9 // 10], rng.integers(0, 2**63, m - n * 9 // 10, dtype=np.uint64))))
+        base = np.unique(base)
+        apart = len(np.setxor1d(base, other))
+        assert near.differing(near.bitmap(base), near.bitmap(other)) <= apart and near.differing(near.bitmap(base), near.bitmap(base)) == 0
