@@ -58,6 +58,17 @@ def stored_in_small_batches(df: DataFrame, name: str, rows: int = 512) -> DataFr
         conf.set(key, before)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 2000, size: str = "8m") -> None:
+    """Bound, for the rest of the session, what passes at a time between Spark and
+    Python, for plans that the caller runs over whole texts; a bound that is
+    already lower stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def bytes_of(df: DataFrame, size: Column) -> int:
     """Sum of a size expression, for the checks that precede a broadcast."""
     return int(df.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0])
