@@ -13,11 +13,10 @@ given the context (from the counts, discounted), times its share of the unit's
 count. The group's is what the model learns: an embedding of every id and of its
 place, one causal self-attention layer and a tanh layer correct what the counts
 say of it. (Key and value projections are left to the matrices that they would
-be multiplied with.) Adam trains it on windows of all training documents, each
-of which is in one of ``ROUNDS`` rounds: of a document's windows the first one
-and every ``SPACING``-th after it. A task is a trainer and reads about
-``TRAINER_IDS`` ids, so that trainers grow with the corpus; after a round their
-weights are averaged in Spark.
+be multiplied with.) Adam trains it on every window of all training documents,
+each of which is in one of ``ROUNDS`` rounds. A task is a trainer and reads
+about ``TRAINER_IDS`` ids, so that trainers grow with the corpus; after a round
+their weights are averaged in Spark.
 
 A document is scored in windows of 32 ids that overlap by 6, in batches with a
 causal mask; every id is scored once, in the first window it is in unless that
@@ -56,7 +55,7 @@ DISCOUNT = 0.75
 WIDTH = 16
 WINDOW, OVERLAP = 32, 6
 STRIDE = WINDOW - OVERLAP
-ROUNDS, TRAINER_IDS, SPACING = 2, 8_000_000, 4
+ROUNDS, TRAINER_IDS = 2, 8_000_000
 BATCH, RATE = 128, 8e-3
 FREQUENT, FREQUENT_BYTES = 150_000, 64
 BLOCK = 64
@@ -481,7 +480,7 @@ class Trainer:
     def learn(self, ids: np.ndarray, sizes: np.ndarray) -> None:
         slots, context, group, _ = self.tables.prepare(ids, sizes)
         all_ = Windows(slots, sizes, int(self.tables.slot[-1]), WINDOW)
-        order = self.rng.permutation(np.flatnonzero(all_.turn % SPACING == 0))
+        order = self.rng.permutation(len(all_.turn))
         for k in range(0, len(order), BATCH):
             before, place, used = all_.take(order[k : k + BATCH])
             self.adam.move(self.weights, gradients(self.weights, self.tables, before, context.take(place), group.take(place), used))
