@@ -77,6 +77,11 @@ def normalised(a: Column) -> Column:
     return F.transform(a, lambda x: x.cast("double") / n)
 
 
+def projection_matrix(width: int, size: int, seed: int = 42) -> np.ndarray:
+    m = np.random.default_rng(seed).standard_normal((width, size))
+    return m / np.linalg.norm(m, axis=0)
+
+
 def projection(rows: DataFrame, column: str, size: int, seed: int = 42) -> DataFrame:
     """Random projection by a seeded Gaussian matrix with columns of length 1,
     then normalised; off where the size isn't smaller."""
@@ -85,8 +90,7 @@ def projection(rows: DataFrame, column: str, size: int, seed: int = 42) -> DataF
     def project(vectors: pd.Series) -> pd.Series:
         x = np.stack(vectors).astype(np.float64)
         if size < x.shape[1]:
-            m = np.random.default_rng(seed).standard_normal((x.shape[1], size))
-            x = x @ (m / np.linalg.norm(m, axis=0))
+            x = x @ projection_matrix(x.shape[1], size, seed)
         return pd.Series(list(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)))
 
     return rows.withColumn(column, project(column))

@@ -77,7 +77,8 @@ def bimodal(ok: DataFrame, key: str, score: str) -> DataFrame:
 
 
 def hash_order(key: Column, seed: int) -> Column:
-    return F.xxhash64(key, F.lit(seed))
+    """52 bits of a digest of the seed and the key, as SQL engines have it too."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), key.cast("string")).cast("binary")), 1, 13), 16, 10).cast("long")
 
 
 def sample_per_group(rows: DataFrame, group: list[str], most: int, key: str, seed: int = 42) -> DataFrame:
@@ -107,7 +108,7 @@ def split(rows: DataFrame, key: str, fraction: float, group: str | None = None,
         size = F.least(F.greatest(F.lit(least // 2), F.bround(n * fraction)), F.greatest(F.lit(0), n - least))
         rank = F.row_number().over(per.orderBy(hash_order(F.col(key), seed), key))
         return rows.withColumn("_size", size).withColumn("split", F.when(rank <= F.col("_size"), "val").otherwise("train")).drop("_size")
-    marked = rows.withColumn("_h", hash_order(F.col(key), seed)).withColumn("_bin", F.shiftright("_h", 52))
+    marked = rows.withColumn("_h", hash_order(F.col(key), seed)).withColumn("_bin", F.shiftright("_h", 40))
     bins = marked.groupBy("_bin").agg(F.count(F.lit(1)).alias("_c"))  # at most 4096 rows
     before = bins.withColumn("_before", F.sum("_c").over(Window.orderBy("_bin")) - F.col("_c"))
     total = F.sum("_c").over(Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
@@ -130,7 +131,7 @@ def weighted_draws(rows: DataFrame, key: str, label: str, draws: int, seed: int
     are numbered per class, and the draw joins the row with its number."""
     sizes = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_size"))
     classes = sizes.withColumns({"_class": F.row_number().over(Window.orderBy(label)) - 1, "_classes": F.count(F.lit(1)).over(Window.partitionBy())})  # a row per class
-    share = lambda salt: F.pmod(F.xxhash64("draw", F.lit(seed), F.lit(salt)), F.lit(1 << 30)) / float(1 << 30)
+    share = lambda salt: hash_order(F.concat_ws(":", F.col("draw").cast("string"), F.lit(salt)), seed) / float(1 << 52)
     numbered = rows.withColumn("_place", F.row_number().over(Window.partitionBy(label).orderBy(hash_order(F.col(key), seed), key)) - 1)
     many = classes.select("_classes").limit(1).withColumn("_one", F.lit(1))
     drawn = rows.sparkSession.range(draws).withColumnRenamed("id", "draw").withColumn("_one", F.lit(1)).join(F.broadcast(many), "_one").withColumn("_class", F.floor(share(1) * F.col("_classes")).cast("int"))

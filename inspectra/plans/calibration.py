@@ -123,11 +123,20 @@ def p7_min_per_class(spark, sf_dir):
     return v.bank(spark, sf_dir).groupBy("cls").agg(F.count(F.lit(1)).alias("n")).where("n >= 50")
 
 
-@query("SELECT cls, count(*) AS n, least(count(*), 30) AS kept FROM bank GROUP BY cls")
+def digest_order(key: str) -> str:
+    """SQL of the order in which scores.hash_order has the keys."""
+    return f"CAST('0x' || substr(md5('42:' || {key}), 1, 13) AS BIGINT)"
+
+
+ORDERED_BANK = f"WITH b AS (SELECT cls, bank_id, bank_id // 16 AS tile, {digest_order('bank_id')} AS o FROM bank)"
+
+
+@query(ORDERED_BANK + """, t AS (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY o, bank_id) AS r FROM b), c AS (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY o, bank_id) AS k FROM t WHERE r <= 8)
+    SELECT cls, bank_id, tile FROM c WHERE k <= 30""")
 def a16_sample_bank(spark, sf_dir):
-    b = v.bank(spark, sf_dir).withColumn("tile", F.floor(F.col("bank_id") / 16))
-    twice = scores.sample_per_group(scores.sample_per_group(b, ["tile"], 16, "bank_id"), ["cls"], 30, "bank_id")
-    return b.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).join(twice.groupBy("cls").agg(F.count(F.lit(1)).alias("kept")), "cls")
+    """At most 8 patches of a tile of 16, then at most 30 of a class."""
+    b = v.bank(spark, sf_dir).select("cls", "bank_id", F.floor(F.col("bank_id") / 16).alias("tile"))
+    return scores.sample_per_group(scores.sample_per_group(b, ["tile"], 8, "bank_id"), ["cls"], 30, "bank_id")
 
 
 @query("SELECT cls, bank_id, n AS bank_before, greatest(5, least(25, n)) AS bank_after FROM (SELECT *, count(*) OVER (PARTITION BY cls) AS n, row_number() OVER (PARTITION BY cls ORDER BY bank_id) AS r FROM bank) WHERE r <= greatest(5, least(25, n))")
@@ -135,16 +144,19 @@ def a17_shrink_bank(spark, sf_dir):
     return scores.shrink_bank(v.bank(spark, sf_dir), 25, 5, first=True).select("cls", "bank_id", "bank_before", F.col("bank_after").cast("long").alias("bank_after"))
 
 
-@query("SELECT greatest(1, CAST(floor(count(*) * 0.15) AS BIGINT)) AS val, count(*) - greatest(1, CAST(floor(count(*) * 0.15) AS BIGINT)) AS train FROM truth")
+ORDERED_TRUTH = f"WITH t AS (SELECT *, {digest_order('sample_id')} AS o FROM truth)"
+
+
+@query(ORDERED_TRUTH + """, r AS (SELECT *, row_number() OVER (ORDER BY o, sample_id) AS r, count(*) OVER () AS n FROM t)
+    SELECT sample_id, CASE WHEN r <= greatest(1, CAST(floor(n * 0.15) AS BIGINT)) THEN 'val' ELSE 'train' END AS split FROM r""")
 def a18_split(spark, sf_dir):
-    s = scores.split(v.truth(spark, sf_dir), "sample_id", 0.15)
-    return s.agg(F.count_if(F.col("split") == "val").alias("val"), F.count_if(F.col("split") == "train").alias("train"))
+    return scores.split(v.truth(spark, sf_dir), "sample_id", 0.15).select("sample_id", "split")
 
 
-@query("SELECT actual_ng, least(greatest(5, CAST(round_even(count(*) * 0.15, 0) AS BIGINT)), greatest(0, count(*) - 10)) AS val, count(*) AS n FROM truth GROUP BY actual_ng")
+@query(ORDERED_TRUTH + """, r AS (SELECT *, row_number() OVER (PARTITION BY actual_ng ORDER BY o, sample_id) AS r, count(*) OVER (PARTITION BY actual_ng) AS n FROM t)
+    SELECT sample_id, actual_ng, CASE WHEN r <= least(greatest(5, CAST(round_even(n * 0.15, 0) AS BIGINT)), greatest(0, n - 10)) THEN 'val' ELSE 'train' END AS split FROM r""")
 def a18_split_per_class(spark, sf_dir):
-    s = scores.split(v.truth(spark, sf_dir), "sample_id", 0.15, "actual_ng", 10)
-    return s.groupBy("actual_ng").agg(F.count_if(F.col("split") == "val").alias("val"), F.count(F.lit(1)).alias("n"))
+    return scores.split(v.truth(spark, sf_dir), "sample_id", 0.15, "actual_ng", 10).select("sample_id", "actual_ng", "split")
 
 
 @query("""WITH c AS (SELECT count(*) FILTER (actual_ng AND predicted_ng) AS tp, count(*) FILTER (NOT actual_ng AND predicted_ng) AS fp, count(*) FILTER (actual_ng AND NOT predicted_ng) AS fn, count(*) FILTER (NOT actual_ng AND NOT predicted_ng) AS tn FROM truth)
@@ -215,11 +227,15 @@ def a4_image_verdict(spark, sf_dir):
     )
 
 
-@query("SELECT vec_id, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 4) AS squared FROM embeddings")
+COLUMNS = knn.projection_matrix(64, 16).T.tolist()
+
+
+@query(f"""WITH p AS (SELECT vec_id, list_transform(CAST({COLUMNS} AS DOUBLE[][]), lambda c: list_dot_product(CAST(embedding AS DOUBLE[]), c)) AS z FROM embeddings),
+    n AS (SELECT vec_id, z, greatest(sqrt(list_dot_product(z, z)), 1e-12) AS length FROM p)
+    SELECT vec_id, dim, round(value / length, 6) AS value FROM (SELECT vec_id, length, generate_subscripts(z, 1) - 1 AS dim, unnest(z) AS value FROM n)""")
 def m9_m10_projection(spark, sf_dir):
-    """The projected vectors have length 1, as the vectors themselves do."""
     p = knn.projection(v.table(spark, sf_dir, "embeddings"), "embedding", 16)
-    return p.select("vec_id", F.round(knn.dot(F.col("embedding"), F.col("embedding")), 4).alias("squared"))
+    return p.select("vec_id", F.posexplode("embedding").alias("dim", "value")).select("vec_id", F.col("dim").cast("long").alias("dim"), F.round("value", 6).alias("value"))
 
 
 @query("SELECT image_id, round(list_sum(list_transform(m, lambda x: x * x)), 6) AS squared, n FROM (SELECT image_id, list(avg ORDER BY dim) AS m, max(n) AS n FROM (SELECT image_id, dim, avg(e) AS avg, count(*) AS n FROM (SELECT image_id, unnest(emb) AS e, generate_subscripts(emb, 1) AS dim FROM patches) GROUP BY ALL) GROUP BY image_id)")
@@ -229,12 +245,13 @@ def m24_pooled_patches(spark, sf_dir):
     return pooled.select("image_id", F.round(knn.dot(F.col("c.m"), F.col("c.m")), 6).alias("squared"), "n")
 
 
-@query("SELECT actual_ng, true AS near_half, 20000 AS draws FROM truth GROUP BY actual_ng")
+@query(ORDERED_TRUTH + f""", c AS (SELECT actual_ng, count(*) AS n, row_number() OVER (ORDER BY actual_ng) - 1 AS class, count(*) OVER () AS classes FROM truth GROUP BY actual_ng),
+    r AS (SELECT actual_ng, sample_id, row_number() OVER (PARTITION BY actual_ng ORDER BY o, sample_id) - 1 AS place FROM t),
+    d AS (SELECT range AS draw, {digest_order("range || ':1'")} / pow(2, 52) AS a, {digest_order("range || ':2'")} / pow(2, 52) AS b FROM range(20000))
+    SELECT draw, r.actual_ng, r.sample_id FROM d JOIN c ON c.class = CAST(floor(a * classes) AS BIGINT) JOIN r ON r.actual_ng = c.actual_ng AND r.place = CAST(floor(b * n) AS BIGINT)""")
 def a21_weighted_draws(spark, sf_dir):
-    """Each class gets about half of 20,000 draws, whatever its share of rows."""
-    d = scores.weighted_draws(v.truth(spark, sf_dir), "sample_id", "actual_ng", 20_000)
-    total = d.groupBy("actual_ng").agg(F.count(F.lit(1)).alias("n"))
-    return total.select("actual_ng", F.col("n").between(9_500, 10_500).alias("near_half"), F.lit(20_000).alias("draws"))
+    """20,000 draws, about half of them from each class whatever its share of rows."""
+    return scores.weighted_draws(v.truth(spark, sf_dir), "sample_id", "actual_ng", 20_000)
 
 
 @query(NEAREST % 1 + " SELECT query_id || '.png' AS file, round(d, 6) AS score, 1.2::DOUBLE AS threshold, CASE WHEN d >= 1.2 THEN 'NG' ELSE 'OK' END AS pred FROM n")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inspectra.functions import images as im
@@ -214,13 +217,20 @@ def x3_score_aggregate(spark, sf_dir):
     return d.groupBy("image_id").agg(F.round(op.topk_mean("d"), 6).alias("score"))
 
 
-@query("SELECT image_id, round(list_max(list(d)), 6) AS score FROM (SELECT image_id, list_sum(list_transform(emb, lambda x: abs(x))) AS d FROM patches) GROUP BY image_id")
+@query("""WITH p AS (SELECT image_id, list_sum(list_transform(emb, lambda x: abs(x))) AS d FROM patches), l AS (SELECT image_id, list_reverse_sort(list(d)) AS ds, list_sort(list(d)) AS up FROM p GROUP BY image_id),
+    s AS (SELECT *, list_avg(ds[1:10]) AS top FROM l)
+    SELECT 'max' AS algorithm, image_id, round(ds[1], 6) AS score FROM s UNION ALL SELECT 'topk', image_id, round(top, 6) FROM s
+    UNION ALL SELECT 'percentile', image_id, round(list_avg(ds[1:greatest(1, CAST(trunc(len(ds) * (1 - 0.99::DOUBLE)) AS BIGINT))]), 6) FROM s
+    UNION ALL SELECT 'hybrid', image_id, round(0.5 * ds[1] + 0.5 * top, 6) FROM s
+    UNION ALL SELECT 'contrast', image_id, round(top / (up[(len(up) + 1) // 2] + 1e-6), 6) FROM s""")
 def x1_registered_algorithm(spark, sf_dir):
+    """The scores of every registered algorithm, each found by its name."""
     registry = op.Registry()
     for name, mode in scores.MODES.items():
         registry.register(name, lambda df, mode=mode: df.groupBy("image_id").agg(F.round(mode(F.collect_list("d")), 6).alias("score")))
-    score, _ = registry.get("max")
-    return score(v.patches(spark, sf_dir).select("image_id", absolute_sum("emb").alias("d")))
+    distances = v.patches(spark, sf_dir).select("image_id", absolute_sum("emb").alias("d"))
+    found = [registry.get(name)[0](distances).select(F.lit(name).alias("algorithm"), "image_id", "score") for name in registry.names()]
+    return reduce(DataFrame.unionByName, found)
 
 
 @query()
