@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inspectra.llm import bpe, chat, decontam, exact_dedup, lm, quality, simhash, substring, url_filter, warc
+from inspectra.llm import bpe, chat, decontam, exact_dedup, lm, quality, runs, simhash, substring, url_filter, warc
 from inspectra.llm.common import table
 
 
@@ -66,6 +66,38 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(docs, model, laid=model.laid)
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Of one document in ten (by the CRC of its id) the words from one on repeat
+    those that follow it."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.array_remove(F.split(F.col("text"), r"[\x20\x09-\x0D]+"), "")
+    n, a, p = F.size("_words"), F.col("_a"), F.col("_p")
+    rows = docs.select("doc_id", "text", F.floor(h / 10).alias("_g"), F.when((h % 10 == 0) & F.col("text").isNotNull(), words).alias("_words"))
+    rows = rows.withColumn("_a", F.when(n > 0, F.col("_g") % n).cast("int"))
+    rows = rows.withColumn("_p", (1 + F.floor((n - a) / (3 + F.col("_g") % 8))).cast("int"))
+    again = F.flatten(F.array_repeat(F.slice("_words", a + 1, p), F.ceil((n - a) / p).cast("int")))
+    text = F.array_join(F.concat(F.slice("_words", F.lit(1), a), F.slice(again, F.lit(1), n - a)), " ")
+    return rows.select("doc_id", F.when(a.isNotNull(), text).otherwise(F.col("text")).alias("text"))
+
+
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.collapse(with_planted_runs(table(spark, sf_dir, "documents")))
+    longest = F.element_at(F.array_sort(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("s"), r["period"].alias("p")))), 1)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), F.when(F.size("runs") > 0, longest).alias("best"), lines.alias("lines"), "collapsed_text")
+    return found.select(
+        "doc_id", "n_runs", F.col("best.s").alias("start"), (-F.col("best.l")).alias("length"), F.col("best.p").alias("period"),
+        F.floor(-1000 * F.col("best.l") / F.col("best.p")).alias("exponent_milli"),
+        F.sha2(F.col("lines").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed_text").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def _crc32(text: str) -> str:
+    """SQL of the CRC of an ASCII text: of each byte an exclusive or, then eight shifts."""
+    steps = f"flatten(list_transform(range(1, length({text}) + 1), lambda k: list_prepend(CAST(ascii(substr({text}, CAST(k AS INTEGER), 1)) AS BIGINT), [-1, -1, -1, -1, -1, -1, -1, -1]::BIGINT[])))"
+    return f"xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, {steps}), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END))"
+
+
 _ESCAPES = "".join(f" + (length(x) - length(replace(x, '{c}', ''))) // {len(c)}" for c in ["\\", *chat.CONTROLS])
 
 SQL = {
@@ -98,8 +130,28 @@ SQL = {
         SELECT doc_id, first_value(doc_id) OVER g AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
             row_number() OVER g = 1 AS kept, h AS text_sha256
         FROM d WINDOW g AS (PARTITION BY h ORDER BY n DESC, doc_id)""",
+    "op11_runs": rf"""
+        WITH c AS (SELECT doc_id, {_crc32("CAST(doc_id AS VARCHAR)")} AS h, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        g AS (SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS planted, h // 10 AS g FROM c),
+        a AS (SELECT *, CASE WHEN planted THEN g % n END AS a FROM g),
+        p AS (SELECT *, CASE WHEN planted THEN 1 + (n - a) // (3 + g % 8) END AS p FROM a),
+        d AS (SELECT doc_id, n, CASE WHEN planted THEN list_transform(range(n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) ELSE w END AS w FROM p),
+        t AS (SELECT doc_id, n, unnest(w) AS word, unnest(range(n)) AS i FROM d),
+        m AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM t x JOIN t y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+        s AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM m),
+        e AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM s GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+        r AS (SELECT doc_id, start, length, min(q) AS period FROM e GROUP BY doc_id, start, length),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+        kept AS (SELECT t.doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM t ANTI JOIN gone USING (doc_id, i) GROUP BY t.doc_id),
+        per AS (
+            SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines,
+                first({{'s': start, 'l': length, 'p': period}} ORDER BY length DESC, start, period) AS best
+            FROM r GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.l AS length, best.p AS period, 1000 * best.l // best.p AS exponent_milli,
+            sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+        FROM d LEFT JOIN per USING (doc_id) LEFT JOIN kept USING (doc_id)""",
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op2_warc_archive, op3_url_filter, op4_exact_dedup, op5_quality, op6_decontamination, op7_bpe, op8_substring_dedup, op9_simhash, op10_lm_score)
+    f.__name__: f for f in (op1_chat_format, op2_warc_archive, op3_url_filter, op4_exact_dedup, op5_quality, op6_decontamination, op7_bpe, op8_substring_dedup, op9_simhash, op10_lm_score, op11_runs)
 }
