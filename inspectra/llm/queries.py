@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inspectra.llm import bpe, chat, decontam, exact_dedup, lm, quality, runs, simhash, substring, url_filter, warc
+from inspectra.llm import bpe, chat, decontam, exact_dedup, lm, quality, repair, runs, simhash, substring, topk, url_filter, warc
 from inspectra.llm.common import table
 
 
@@ -92,6 +92,31 @@ def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_damage(turns: DataFrame) -> DataFrame:
+    """Rows dropped, emptied, cut, repeated or given to the user, by a CRC."""
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.lit(":"), F.coalesce(F.col("turn").cast("string"), F.lit(" ")))
+    kind = F.crc32(key.cast("binary")) % 20
+    role, text = F.coalesce("role", F.lit(" ")), F.coalesce("text", F.lit(" "))
+    text = F.when(kind == 1, "").when(kind == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text)
+    copies = F.explode(F.array_repeat(F.lit(0), F.when(kind == 3, 2).otherwise(1)))
+    return turns.where(kind != 0).select("conv_id", "turn", F.when(kind == 4, "user").otherwise(role).alias("role"), text.alias("text"), copies.alias("_copy")).drop("_copy")
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    found = repair.repair(with_damage(turns)).conversations().withColumnRenamed("conv_id", "_found")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    all_ids = turns.select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
+    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    return all_ids.join(found, F.col("conv_id").eqNullSafe(F.col("_found")), "left").select(
+        "conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", nothing).alias("repaired_sha256")
+    )
+
+
+def op13_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def _crc32(text: str) -> str:
     """SQL of the CRC of an ASCII text: of each byte an exclusive or, then eight shifts."""
     steps = f"flatten(list_transform(range(1, length({text}) + 1), lambda k: list_prepend(CAST(ascii(substr({text}, CAST(k AS INTEGER), 1)) AS BIGINT), [-1, -1, -1, -1, -1, -1, -1, -1]::BIGINT[])))"
@@ -150,8 +175,15 @@ SQL = {
         SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.l AS length, best.p AS period, 1000 * best.l // best.p AS exponent_milli,
             sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
         FROM d LEFT JOIN per USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op13_topk": """
+        WITH e AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM e q JOIN e c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id)
+        SELECT query_id, CAST(row_number() OVER g AS INTEGER) AS rank, vec_id, score FROM s
+        WINDOW g AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER g <= 10""",
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op2_warc_archive, op3_url_filter, op4_exact_dedup, op5_quality, op6_decontamination, op7_bpe, op8_substring_dedup, op9_simhash, op10_lm_score, op11_runs)
+    f.__name__: f for f in (op1_chat_format, op2_warc_archive, op3_url_filter, op4_exact_dedup, op5_quality, op6_decontamination, op7_bpe, op8_substring_dedup, op9_simhash, op10_lm_score, op11_runs, op12_repair, op13_topk)
 }

@@ -97,7 +97,7 @@ def planted(doc_id, words):
 
 
 def test_query_on_odd_rows(spark, tmp_path):
-    texts = [None, "", " \n\t", "one", "a " * 6, "\x0ba b\r" * 9, "naïve\u00a0x y " * 4, "long words here " * 30_000, *[" ".join(t) for t in list(several())[:150]]]
+    texts = [None, "", " \n\t", "one", "a " * 6, "\x0ba b\r" * 9, "naïve\u00a0x y " * 4, "long words here " * 1_000, *[" ".join(t) for t in list(several())[:150]]]
     rows = [(k, t) for k, t in enumerate(texts)] + [(4, "a " * 6), (None, "x " * 8)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'clash' AS runs", "1 AS n_words", "2 AS _words", "3 AS start")
     df.write.parquet(f"{tmp_path}/documents.parquet")
