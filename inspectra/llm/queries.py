@@ -123,6 +123,26 @@ def _crc32(text: str) -> str:
     return f"xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, {steps}), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END))"
 
 
+def _repair_step() -> str:
+    """SQL of one step of the search: b holds the best of the states nothing, s, u,
+    a as nine digits of cost and the audit, so that the least text is the best; x is
+    the row's initial and fault, or the place for an insert."""
+
+    def then(state: int, cost: str, edit: str) -> str:
+        return f"lpad(CAST(CAST(substr(b[{state}], 1, 9) AS INTEGER) + {cost} AS VARCHAR), 9, '0') || substr(b[{state}], 10) || '{edit}'"
+
+    def row(to: int, initial: str, *before: int) -> str:
+        ways = [f"CASE WHEN x[1] = '{initial}' AND x[2] IN ('0', '3') THEN {then(s, more, 'K')} END" for s in before]
+        ways += [f"CASE WHEN x[2] IN ('0', '3') THEN {then(s, '1 + ' + more, 'R')} END" for s in before if initial != "s"]
+        return f"least({', '.join([then(to, '2', 'D'), *ways])})"
+
+    more = "(CASE x[2] WHEN '3' THEN 5 ELSE 0 END)"
+    return f"""CASE x[1]
+        WHEN '+u' THEN [b[1], b[2], least(b[3], {then(1, '5', 'I')}, {then(2, '5', 'I')}, {then(4, '5', 'I')}), b[4]]
+        WHEN '+a' THEN [b[1], b[2], b[3], least(b[4], {then(3, '5', 'I')})]
+        ELSE [{then(1, '2', 'D')}, {row(2, 's', 1)}, {row(3, 'u', 1, 2, 4)}, {row(4, 'a', 3)}] END"""
+
+
 _ESCAPES = "".join(f" + (length(x) - length(replace(x, '{c}', ''))) // {len(c)}" for c in ["\\", *chat.CONTROLS])
 
 SQL = {
@@ -175,6 +195,39 @@ SQL = {
         SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.l AS length, best.p AS period, 1000 * best.l // best.p AS exponent_milli,
             sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
         FROM d LEFT JOIN per USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op12_repair": rf"""
+        WITH k AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS k
+            FROM conversations),
+        d AS (
+            SELECT conv_id, turn, CASE k WHEN 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                unnest(range(CASE k WHEN 3 THEN 2 ELSE 1 END)) AS copy
+            FROM k WHERE k <> 0),
+        n AS (SELECT *, substr(role, 1, 1) AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM d),
+        f AS (
+            SELECT *, lag(c) OVER (PARTITION BY conv_id ORDER BY i) || c AS pair,
+                CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2
+                    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 3 ELSE 0 END AS fault
+            FROM n),
+        g AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+                count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal,
+                flatten(list([[c, CAST(fault AS VARCHAR)], ['+u', ''], ['+a', '']] ORDER BY i)) AS steps
+            FROM f GROUP BY conv_id),
+        b AS (
+            SELECT * EXCLUDE steps, list_reduce(list_concat([['000000000', NULL, NULL, NULL], ['+u', ''], ['+a', '']], steps), lambda b, x: {_repair_step()}) AS b FROM g),
+        a AS (SELECT * EXCLUDE b, CAST(substr(least(b[1], b[4]), 1, 9) AS BIGINT) AS cost, substr(least(b[1], b[4]), 10) AS audit FROM b),
+        e AS (
+            SELECT conv_id, audit, j, substr(audit, CAST(j AS INTEGER), 1) AS edit, length(replace(substr(audit, 1, CAST(j AS INTEGER)), 'I', '')) AS i,
+                length(replace(substr(audit, 1, CAST(j AS INTEGER)), 'D', '')) AS place, length(replace(audit, 'D', '')) AS m
+            FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS j FROM a)),
+        r AS (
+            SELECT e.conv_id, string_agg(CASE edit WHEN 'K' THEN n.role WHEN 'D' THEN '' ELSE CASE (place + m) % 2 WHEN 1 THEN 'user' ELSE 'assistant' END END
+                || ':' || CASE edit WHEN 'I' THEN '' ELSE n.text END, chr(10) ORDER BY j) AS repaired
+            FROM e LEFT JOIN n ON e.conv_id IS NOT DISTINCT FROM n.conv_id AND e.i = n.i AND edit <> 'I' WHERE edit <> 'D' GROUP BY e.conv_id)
+        SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+            coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN a ON o.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN r ON o.conv_id IS NOT DISTINCT FROM r.conv_id""",
     "op13_topk": """
         WITH e AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings

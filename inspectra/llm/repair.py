@@ -32,6 +32,7 @@ whole. Identical rows are duplicates of each other, so their order is no matter.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -218,7 +219,8 @@ FOUND = (
     "kind int, conv_id long, part int, block long, pos int, role string, text string, " + ", ".join(f"{c} long" for c in STATS) + ", first_turn long, last_turn long, "
     "first_initial string, last_initial string, cost long, audit string, result array<struct<role:string,text:string>>, ways array<struct<start:int,end:int,cost:long,steps:string>>"
 )
-COLUMNS = [c.split()[0] for c in FOUND.split(", ")]
+COLUMNS = re.findall(r"(?:^|, )(\w+)", FOUND)
+NUMBERS = set(re.findall(r"(?:^|, )(\w+) (?:int|long)\b", FOUND))
 WHOLE, BLOCK, ROW = range(3)
 
 
@@ -272,7 +274,8 @@ def audited(rows: DataFrame) -> DataFrame:
         block, key, part, number, conversations = Block(), None, 0, 0, 0
 
         def out(found: list[dict]) -> pd.DataFrame:
-            return pd.DataFrame([f | {"conv_id": key} for f in found], columns=COLUMNS).astype({c: "Int64" for c, t in zip(COLUMNS, FOUND.split(", "), strict=False) if t.endswith((" long", " int"))})
+            columns = {c: [(f | {"conv_id": key}).get(c) for f in found] for c in COLUMNS}
+            return pd.DataFrame({c: pd.array(x, dtype="Int64") if c in NUMBERS else pd.Series(x, dtype="object") for c, x in columns.items()})
 
         for batch in batches:
             convs, turns = (batch[c].astype("object").where(batch[c].notna(), None) for c in ("conv_id", "turn"))
