@@ -272,9 +272,14 @@ def audited(rows: DataFrame) -> DataFrame:
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         block, key, part, number, conversations = Block(), None, 0, 0, 0
+        ready: list[dict] = []
 
-        def out(found: list[dict]) -> pd.DataFrame:
-            columns = {c: [(f | {"conv_id": key}).get(c) for f in found] for c in COLUMNS}
+        def end(found: list[dict]) -> None:
+            ready.extend(f | {"conv_id": key} for f in found)
+
+        def out() -> pd.DataFrame:
+            columns = {c: [f.get(c) for f in ready] for c in COLUMNS}
+            ready.clear()
             return pd.DataFrame({c: pd.array(x, dtype="Int64") if c in NUMBERS else pd.Series(x, dtype="object") for c, x in columns.items()})
 
         for batch in batches:
@@ -283,14 +288,16 @@ def audited(rows: DataFrame) -> DataFrame:
                 conv, turn = (None if x is None else int(x) for x in (conv, turn))
                 if not conversations or conv != key:
                     if block.rows:
-                        yield out([block.settled()] if conversations > 1 and not number else block.open(part, number))
+                        end([block.settled()] if conversations > 1 and not number else block.open(part, number))
                     block, key, number, conversations = Block(), conv, 0, conversations + 1
                 elif block.full():
-                    yield out(block.open(part, number))
+                    end(block.open(part, number))
                     block, number = Block(), number + 1
                 block.add(turn, role, text, int(fault))
+            yield out()
         if block.rows:
-            yield out(block.open(int(part), number))
+            end(block.open(int(part), number))
+        yield out()
 
     order = ["conv_id", "turn", "role", "digest", "row"]
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
