@@ -11,6 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inspectra.operators import ranks
+from inspectra.operators.geometry import positions
+
 CURVE = ["image_id", "side"]
 
 
@@ -33,14 +36,19 @@ def filled(rows: DataFrame, value: str = "x") -> DataFrame:
 
 def residuals(rows: DataFrame, value: str = "x") -> DataFrame:
     """Difference to the median of the curve."""
-    return rows.withColumn("r", F.col(value) - F.percentile(value, F.lit(0.5)).over(curve(None)))
+    return with_median(rows, F.col(value), "_median").withColumn("r", F.col(value) - F.col("_median")).drop("_median")
 
 
 def robust_sigma(rows: DataFrame, value: str = "r") -> DataFrame:
     """1.4826 MAD + 1e-6 of each curve, as column sigma."""
-    middle = rows.withColumn("_m", F.percentile(value, F.lit(0.5)).over(curve(None)))
-    mad = F.percentile(F.abs(F.col(value) - F.col("_m")), F.lit(0.5)).over(curve(None))
-    return middle.withColumn("sigma", 1.4826 * mad + 1e-6).drop("_m")
+    middle = with_median(rows, F.col(value), "_m")
+    return with_median(middle, F.abs(F.col(value) - F.col("_m")), "_mad").withColumn("sigma", 1.4826 * F.col("_mad") + 1e-6).drop("_m", "_mad")
+
+
+def with_median(rows: DataFrame, value: Column, name: str) -> DataFrame:
+    """Rows with the exact median of a value over their curve."""
+    median = ranks.quantiles(rows.select(*CURVE, value.alias("_value")), CURVE, "_value", {name: 0.5}).drop("n")
+    return rows.join(median, CURVE)
 
 
 def runs(rows: DataFrame, gap: int) -> DataFrame:
@@ -52,19 +60,20 @@ def runs(rows: DataFrame, gap: int) -> DataFrame:
 
 def level(peak: Column, height: Column, area: Column, pitch: int) -> Column:
     """The pitch-scaled rules of an event."""
-    at_least = lambda fixed, share: max(fixed, share * pitch)
+    at_least = lambda fixed, share: max(fixed, round(share * pitch))
     ng = ((peak >= 4) & (height >= at_least(8, 0.30))) | ((area >= 35) & (height >= at_least(8, 0.25)))
     return F.when(ng, "NG").when((peak >= 2.5) & (height >= at_least(6, 0.20)), "WARN").otherwise("OK")
 
 
 def events(rows: DataFrame, pitch: int, sign: int = 1, min_px: float = 2.0, sigmas: float = 3.0) -> DataFrame:
-    """Runs of residuals beyond max(min_px, 3 sigma) with their measures."""
-    r = robust_sigma(rows)
+    """Runs of residuals beyond max(min_px, 3 sigma) with their measures. rows: with
+    sigma, or it is found here."""
+    r = rows if "sigma" in rows.columns else robust_sigma(rows)
     value = sign * F.col("r")
     hit = r.withColumn("v", value).where(value > F.greatest(F.lit(min_px), sigmas * F.col("sigma")))
-    found = runs(hit, int(max(3, 0.10 * pitch))).groupBy(*CURVE, "run").agg(
+    found = runs(hit, max(3, round(0.10 * pitch))).groupBy(*CURVE, "run").agg(
         F.min("y").alias("y0"), F.max("y").alias("y1"), F.max("v").alias("peak"), F.sum("v").alias("area"),
-    ).withColumn("height", F.col("y1") - F.col("y0") + 1).where(F.col("height") >= max(6, 0.25 * pitch))
+    ).withColumn("height", F.col("y1") - F.col("y0") + 1).where(F.col("height") >= max(6, round(0.25 * pitch)))
     return found.withColumn("level", level(F.col("peak"), F.col("height"), F.col("area"), pitch)).drop("run")
 
 
@@ -191,16 +200,24 @@ def pitch_estimate(rows: DataFrame, low: int, high: int, value: str = "r") -> Da
 
 
 def strip_scores(rows: DataFrame, size: int, overlap: int, weight: float = 2.0) -> DataFrame:
-    """Bump and skew of each strip of rows: a row falls into every strip that
-    covers it, found by arithmetic, not by comparing it with all strips."""
-    stride = size - overlap
+    """Bump and skew of each strip of a curve, and of each pair of neighbours the
+    larger of both strips' bumps and weighted skews. Strips lie at every stride,
+    the last one touches the end; one without rows scores 0. A row falls into
+    the strips that cover it, found by arithmetic, not by comparing it with all."""
+    stride = max(1, size - overlap)
+    length = rows.groupBy(*CURVE).agg((F.max("y") + 1).cast("int").alias("_length"))
+    grid = length.select(*CURVE, F.posexplode(positions(F.col("_length"), size, stride)).alias("strip_idx", "start"))
+    regular = F.greatest(F.lit(0), F.floor((F.col("_length") - size) / stride)).cast("int")
     first = F.greatest(F.lit(0), F.floor((F.col("y") - size) / stride).cast("int") + 1)
-    placed = rows.withColumn("strip_idx", F.explode(F.sequence(first, F.floor(F.col("y") / stride).cast("int"))))
+    covering = F.when(first <= regular, F.sequence(first, F.greatest(first, F.least(F.floor(F.col("y") / stride).cast("int"), regular)))).otherwise(F.array().cast("array<int>"))
+    last = (F.col("_length") > size) & ((F.col("_length") - size) % stride != 0) & (F.col("y") >= F.col("_length") - size)
+    placed = rows.join(length, CURVE).withColumn("strip_idx", F.explode(F.concat(covering, F.when(last, F.array(regular + 1)).otherwise(F.array().cast("array<int>")))))
     s = placed.groupBy(*CURVE, "strip_idx").agg(F.max(F.abs("r")).alias("bump"), F.abs(F.regr_slope("r", "y")).alias("slope"), (F.max("y") - F.min("y")).alias("range"))
-    s = s.withColumn("skew", F.coalesce("slope", F.lit(0.0)) * F.col("range"))
-    over = Window.partitionBy(*CURVE).orderBy("strip_idx")
-    pair = F.greatest(F.abs(F.col("bump") - F.lead("bump").over(over)), weight * F.abs(F.col("skew") - F.lead("skew").over(over)))
-    return s.withColumn("pair", pair).drop("slope", "range")
+    skew = F.coalesce(F.when(F.col("range") > 0, F.col("slope") * F.col("range")), F.lit(0.0))
+    s = grid.join(s, [*CURVE, "strip_idx"], "left").select(*CURVE, "strip_idx", "start", F.round(F.coalesce("bump", F.lit(0.0)), 4).alias("bump"), F.round(skew, 4).alias("skew"))
+    score = F.greatest(F.col("bump"), weight * F.col("skew"))
+    following = F.lead(score).over(curve("strip_idx"))
+    return s.withColumn("pair", F.when(following.isNotNull(), F.greatest(score, following)))
 
 
 def against_left(rows: DataFrame, offset: float) -> DataFrame:

@@ -18,15 +18,17 @@ def box_from_centre(pad: int = 2) -> dict[str, Column]:
 
 
 def integer_box(pad: int = 2) -> dict[str, Column]:
-    """The variant that truncates first and halves downwards."""
+    """The variant that truncates first and takes half the size, rounded down,
+    to either side: an odd size loses a pixel."""
     cx, cy, w, h = (F.col(c).cast("int") for c in ("cx", "cy", "w", "h"))
-    x0, y0 = cx - F.floor(w / 2).cast("int") - pad, cy - F.floor(h / 2).cast("int") - pad
-    return {"x0": x0, "y0": y0, "x1": x0 + w + 2 * pad, "y1": y0 + h + 2 * pad}
+    half_w, half_h = F.floor(w / 2).cast("int") + pad, F.floor(h / 2).cast("int") + pad
+    return {"x0": cx - half_w, "y0": cy - half_h, "x1": cx + half_w, "y1": cy + half_h}
 
 
 def clipped(low: Column, high: Column, size: Column) -> tuple[Column, Column]:
-    """An interval inside [0, size], at least one pixel long."""
-    a = F.greatest(F.lit(0), F.least(low, size - 1))
+    """An interval inside [0, size], at least one pixel long where it begins
+    before the end; one that begins at or beyond the end is empty."""
+    a = F.greatest(F.lit(0), F.least(low, size))
     b = F.greatest(F.lit(0), F.least(high, size))
     return a, F.when(b <= a, F.least(size, a + 1)).otherwise(b)
 

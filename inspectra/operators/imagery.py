@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
-from pyspark.sql.types import DoubleType
+
+from inspectra.operators import ranks
 
 
 def per_image(rasters: DataFrame, function: Callable[[np.ndarray, int], list[tuple]], schema: str) -> DataFrame:
@@ -46,7 +47,10 @@ def scaled_by_maximum(cells: DataFrame) -> DataFrame:
 
 
 def map_score(cells: DataFrame, q: float | None = 0.999) -> DataFrame:
-    return cells.groupBy("image_id").agg((F.max("v") if q is None else F.percentile("v", F.lit(q))).alias("score"))
+    """Per image the largest value, or an exact quantile."""
+    if q is None:
+        return cells.groupBy("image_id").agg(F.max("v").alias("score"))
+    return ranks.quantiles(cells, ["image_id"], "v", {"score": q}).drop("n")
 
 
 def scaled(v: Column, low: Column | float, high: Column | float) -> Column:
@@ -119,12 +123,6 @@ def position_udtf(spark):
     return TilePositions
 
 
-@F.pandas_udf(DoubleType())
-def topk_mean(d: pd.Series) -> float:
-    """Grouped aggregate: mean of the ten largest."""
-    return float(np.sort(d.to_numpy())[::-1][:10].mean())
-
-
 class Registry:
     """Named algorithms: score and train, from and to DataFrames."""
 

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inspectra.operators import ranks
+
 EMA_KEEP = 0.9
 
 
@@ -70,12 +72,19 @@ def three_levels(value: Column, warn: float, ng: float) -> Column:
     return F.when(value >= ng, "NG").when(value >= warn, "WARN").otherwise("OK")
 
 
+#: The commands of a request.
+COMMANDS = ["PING", "INFER", "STATUS", "SET_ACTIVE_MODEL"]
+
+
 def request_code(known: Column, enabled: Column, loaded: Column, job_id: Column, cmd: Column, path: Column) -> Column:
-    """The first check that fails, in order; OK if none does."""
+    """The first check that fails, in order; OK if none does. Commands match in
+    any case; only an inference names a job, an image and a project's model."""
+    cmd = F.upper(F.coalesce(cmd, F.lit("")))
+    missing = (F.coalesce(job_id, F.lit("")) == "") | (F.coalesce(path, F.lit("")) == "")
     return (
-        F.when(~F.coalesce(cmd, F.lit("")).isin("infer", "ping", "stop"), "INVALID_CMD")
-        .when(F.coalesce(job_id, F.lit("")) == "", "MISSING_JOB_ID")
-        .when(F.coalesce(path, F.lit("")) == "", "MISSING_IMAGE_PATH")
+        F.when(~cmd.isin(*COMMANDS), "INVALID_CMD")
+        .when(cmd != "INFER", "OK")
+        .when(missing, "INVALID_CMD")
         .when(~known, "PROJECT_NOT_FOUND")
         .when(~enabled, "PROJECT_DISABLED")
         .when(~loaded, "MODEL_NOT_LOADED")
@@ -83,9 +92,20 @@ def request_code(known: Column, enabled: Column, loaded: Column, job_id: Column,
     )
 
 
+REQUEST = "cmd string, job_id string, image_path string, options map<string,string>"
+BLANKS = " \t\r\n\x0b\x0c"
+
+
 def repaired_json(line: Column) -> Column:
-    """A line of JSON members without its braces gets them."""
-    return F.when(line.startswith('"'), F.concat(F.lit("{"), F.regexp_replace(line, r"\}+$", ""), F.lit("}"))).otherwise(line)
+    """A trimmed line of JSON members without its braces gets them."""
+    text = F.trim(line, F.lit(BLANKS))
+    return F.when(text.startswith('"'), F.concat(F.lit("{"), F.rtrim(text, F.lit("}")), F.lit("}"))).otherwise(text)
+
+
+def parsed_request(line: Column) -> Column:
+    """The request of a line once repaired, else of the line as it came; null if neither is an object."""
+    whole = lambda text: F.when(F.is_variant_null(F.try_parse_json(text)), None).when(F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT"), F.from_json(text, REQUEST))
+    return F.coalesce(whole(repaired_json(line)), whole(line))
 
 
 def log_tail(jobs: DataFrame, n: int) -> DataFrame:
@@ -99,11 +119,12 @@ def job_status(pred: Column, ms: Column, limit_ms: float) -> Column:
 
 
 def backlog(jobs: DataFrame, most: int) -> DataFrame:
-    """Jobs pending per project after every start; ``full`` where over ``most``."""
+    """Jobs pending per project after every start; ``full`` where over ``most``.
+    A busy project is counted by the day."""
     start = jobs.select("project_id", "job_id", "ts", F.lit(1).alias("step"))
     end = jobs.select("project_id", "job_id", (F.col("ts") + F.make_interval(secs=F.col("infer_ms"))).alias("ts"), F.lit(-1).alias("step"))
-    order = Window.partitionBy("project_id").orderBy("ts", "step", "job_id").rowsBetween(Window.unboundedPreceding, 0)
-    pending = start.unionByName(end).withColumn("pending", F.sum("step").over(order)).where("step = 1")
+    both = start.unionByName(end)
+    pending = ranks.running_sums(both, ["project_id"], F.unix_date(F.to_date("ts")), ["ts", "step", "job_id"], "step", "pending").where("step = 1")
     return pending.select("project_id", "job_id", "pending", (F.col("pending") > most).alias("full"))
 
 

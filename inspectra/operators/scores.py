@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inspectra.operators import ranks
+
 
 def ordered(distances: Column) -> Column:
     return F.sort_array(distances, asc=False)
@@ -44,7 +46,7 @@ def spatial(patches: DataFrame, k: int, image: str = "image_id", index: str = "p
     per = Window.partitionBy(image)
     n = F.count(F.lit(1)).over(per)
     rows = patches.withColumns({"n": n, "rank": F.row_number().over(per.orderBy(F.desc(distance), index))})
-    rows = rows.withColumn("h", F.greatest(F.lit(1), F.bround(F.sqrt("n")).cast("int"))).withColumn("w", F.ceil(F.col("n") / F.col("h")).cast("int"))
+    rows = rows.withColumn("h", F.greatest(F.lit(1), F.bround(F.sqrt("n")).cast("int"))).withColumn("w", F.when(F.col("h") * F.col("h") == F.col("n"), F.col("h")).otherwise(F.floor(F.col("n") / F.col("h"))).cast("int"))
     rows = rows.where(F.col("rank") <= k).withColumns({"r": F.floor(F.col(index) / F.col("w")), "c": F.col(index) % F.col("w")})
     top = rows.groupBy(image).agg(F.avg(distance).alias("mean"), F.sqrt(F.var_pop("r") + F.var_pop("c")).alias("spread"), F.first("h").alias("h"), F.first("w").alias("w"))
     most = F.sqrt(F.pow(F.col("h") / 2, F.lit(2)) + F.pow(F.col("w") / 2, F.lit(2)))
@@ -59,21 +61,26 @@ MODES = {
 
 def quantile_threshold(ok: DataFrame, key: str, score: str, p: float, scale: float = 1.0, floor: float | None = None, default: float = 0.5) -> DataFrame:
     """Per class: the quantile of OK scores, scaled, not below a floor."""
-    thr = F.percentile(score, F.lit(p)) * scale
-    thr = F.coalesce(thr, F.lit(default))
-    return ok.groupBy(key).agg((F.greatest(thr, F.lit(floor)) if floor is not None else thr).alias("thr"))
+    found = with_quantiles(ok.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")), ok, key, score, {"_q": p})
+    thr = F.coalesce(F.col("_q") * scale, F.lit(default))
+    return found.select(key, (F.greatest(thr, F.lit(floor)) if floor is not None else thr).alias("thr"))
+
+
+def with_quantiles(groups: DataFrame, rows: DataFrame, key: str, value: str, ps: dict[str, float]) -> DataFrame:
+    """A row per group, with quantiles of the group's values; null where it has none."""
+    q = ranks.quantiles(rows, [key], value, ps).drop("n").withColumnRenamed(key, "_key")
+    return groups.join(q, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
 
 
 def ok_statistics(ok: DataFrame, key: str, score: str) -> DataFrame:
-    return ok.groupBy(key).agg(
-        F.count(score).alias("n"), F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"),
-        F.min(score).alias("least"), F.max(score).alias("most"), F.percentile(score, F.lit(0.999)).alias("q999"),
-    )
+    plain = ok.groupBy(key).agg(F.count(score).alias("n"), F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"), F.min(score).alias("least"), F.max(score).alias("most"))
+    return with_quantiles(plain, ok, key, score, {"q999": 0.999})
 
 
 def bimodal(ok: DataFrame, key: str, score: str) -> DataFrame:
     """Scores above the threshold, and whether p97 is over twice p90."""
-    return ok.groupBy(key).agg(F.count_if(F.col(score) > F.col("thr")).alias("above"), (F.percentile(score, F.lit(0.97)) > 2 * F.percentile(score, F.lit(0.90))).alias("bimodal"))
+    above = ok.groupBy(key).agg(F.count_if(F.col(score) > F.col("thr")).alias("above"))
+    return with_quantiles(above, ok, key, score, {"_a": 0.90, "_b": 0.97}).select(key, "above", (F.col("_b") > 2 * F.col("_a")).alias("bimodal"))
 
 
 def hash_order(key: Column, seed: int) -> Column:
@@ -92,7 +99,9 @@ def shrink_bank(bank: DataFrame, most: int, least: int, key: str = "bank_id", se
     """Keeps max(least, min(most, n)) rows per class, with both sizes."""
     per = Window.partitionBy("cls")
     order = per.orderBy(key) if first else per.orderBy(hash_order(F.col(key), seed), key)
-    rows = bank.withColumns({"bank_before": F.count(F.lit(1)).over(per), "_n": F.row_number().over(order)})
+    sizes = bank.groupBy(F.col("cls").alias("_cls")).agg(F.count(F.lit(1)).alias("bank_before"))
+    # the rank's limit holds in each task before anything is shuffled
+    rows = bank.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max(most, least)).join(sizes, F.col("cls").eqNullSafe(F.col("_cls"))).drop("_cls")
     target = F.greatest(F.lit(least), F.least(F.lit(most), F.col("bank_before")))
     return rows.where(F.col("_n") <= target).withColumn("bank_after", F.least(target, F.col("bank_before"))).drop("_n")
 
@@ -100,22 +109,14 @@ def shrink_bank(bank: DataFrame, most: int, least: int, key: str = "bank_id", se
 def split(rows: DataFrame, key: str, fraction: float, group: str | None = None, least: int = 1, seed: int = 42) -> DataFrame:
     """Exact validation sizes: max(1, int(n f)) over all, or per class
     min(max(least // 2, round(n f)), max(0, n - least)). Over all rows the order
-    of hashes is cut at a threshold that two counts find, without one window
-    over the table."""
+    of hashes is cut in one of 4096 bins, and only that bin is ranked."""
     if group:
-        per = Window.partitionBy(group)
-        n = F.count(F.lit(1)).over(per)
-        size = F.least(F.greatest(F.lit(least // 2), F.bround(n * fraction)), F.greatest(F.lit(0), n - least))
-        rank = F.row_number().over(per.orderBy(hash_order(F.col(key), seed), key))
-        return rows.withColumn("_size", size).withColumn("split", F.when(rank <= F.col("_size"), "val").otherwise("train")).drop("_size")
-    marked = rows.withColumn("_h", hash_order(F.col(key), seed)).withColumn("_bin", F.shiftright("_h", 40))
-    bins = marked.groupBy("_bin").agg(F.count(F.lit(1)).alias("_c"))  # at most 4096 rows
-    before = bins.withColumn("_before", F.sum("_c").over(Window.orderBy("_bin")) - F.col("_c"))
-    total = F.sum("_c").over(Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    before = before.withColumn("_size", F.greatest(F.lit(1), F.floor(total * fraction)))
-    rank = F.row_number().over(Window.partitionBy("_bin").orderBy("_h", key)) + F.col("_before")
-    out = marked.join(F.broadcast(before.drop("_c")), "_bin").withColumn("split", F.when(rank <= F.col("_size"), "val").otherwise("train"))
-    return out.drop("_h", "_bin", "_before", "_size")
+        size = lambda n: F.least(F.greatest(F.lit(least // 2), F.bround(n * fraction)), F.greatest(F.lit(0), n - least))
+    else:
+        size = lambda n: F.greatest(F.lit(1), F.floor(n * fraction))
+        rows = rows.withColumn("_everything", F.lit(0))
+    marked = ranks.first_share(rows, [group or "_everything"], hash_order(F.col(key), seed), key, size)
+    return marked.withColumn("split", F.when(F.col("_in"), "val").otherwise("train")).drop("_in", "_everything")
 
 
 def class_weights(rows: DataFrame, label: str) -> DataFrame:
@@ -128,11 +129,11 @@ def class_weights(rows: DataFrame, label: str) -> DataFrame:
 def weighted_draws(rows: DataFrame, key: str, label: str, draws: int, seed: int = 42) -> DataFrame:
     """Draws with replacement, each class as likely as any other. A draw picks
     a class, then a place among its rows, both from a hash of its number; rows
-    are numbered per class, and the draw joins the row with its number."""
-    sizes = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_size"))
+    are numbered per class in bins, and the draw joins the row with its number."""
+    sizes = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_size"))  # a row per class
     classes = sizes.withColumns({"_class": F.row_number().over(Window.orderBy(label)) - 1, "_classes": F.count(F.lit(1)).over(Window.partitionBy())})  # a row per class
     share = lambda salt: hash_order(F.concat_ws(":", F.col("draw").cast("string"), F.lit(salt)), seed) / float(1 << 52)
-    numbered = rows.withColumn("_place", F.row_number().over(Window.partitionBy(label).orderBy(hash_order(F.col(key), seed), key)) - 1)
+    numbered = ranks.numbered(rows.select(key, label), [label], hash_order(F.col(key), seed), key)
     many = classes.select("_classes").limit(1).withColumn("_one", F.lit(1))
     drawn = rows.sparkSession.range(draws).withColumnRenamed("id", "draw").withColumn("_one", F.lit(1)).join(F.broadcast(many), "_one").withColumn("_class", F.floor(share(1) * F.col("_classes")).cast("int"))
     placed = drawn.drop("_classes").join(F.broadcast(classes.drop("_classes")), "_class").withColumn("_place", F.floor(share(2) * F.col("_size")).cast("int"))

@@ -49,7 +49,7 @@ def _events(sign: int) -> str:
 
 @query(SIGMA + f", e AS ({_events(1)} UNION ALL {_events(-1)}) SELECT *, CASE WHEN (peak >= 4 AND height >= 8) OR (area >= 35 AND height >= 8) THEN 'NG' WHEN peak >= 2.5 AND height >= 6 THEN 'WARN' ELSE 'OK' END AS level FROM e")
 def w9_u3_events(spark, sf_dir):
-    r = residuals(spark, sf_dir)
+    r = op.robust_sigma(residuals(spark, sf_dir))
     both = op.events(r, PITCH, 1, sigmas=0.5).unionByName(op.events(r, PITCH, -1, sigmas=0.5))
     return both.select("image_id", "side", "y0", "y1", F.round("peak", 6).alias("peak"), F.round("area", 4).alias("area"), "height", "level")
 
@@ -82,12 +82,17 @@ def w16_pitch(spark, sf_dir):
     return op.pitch_estimate(residuals(spark, sf_dir), 5, 15)
 
 
-@query(RESIDUAL + """, p AS (SELECT *, unnest(range(greatest(0, CAST(floor((y - 10) / 6) AS BIGINT) + 1), y // 6 + 1)) AS strip_idx FROM r),
-    s AS (SELECT image_id, side, strip_idx, max(abs(r)) AS bump, CASE WHEN count(*) < 2 THEN 0.0 ELSE abs(regr_slope(r, y)) * (max(y) - min(y)) END AS skew FROM p GROUP BY ALL)
-    SELECT image_id, side, CAST(strip_idx AS INTEGER) AS strip_idx, round(bump, 6) AS bump, round(skew, 4) AS skew, round(greatest(abs(bump - lead(bump) OVER w), 2 * abs(skew - lead(skew) OVER w)), 4) AS pair FROM s WINDOW w AS (PARTITION BY image_id, side ORDER BY strip_idx)""")
+@query("""WITH r AS (SELECT image_id, side, y, x - median(x) OVER (PARTITION BY image_id, side) AS r FROM signal WHERE y // 11 % 5 <> 3),
+    c AS (SELECT image_id, side, max(y) + 1 AS n FROM r GROUP BY ALL), g AS (SELECT image_id, side, n, unnest(CASE WHEN n > 10 THEN list_sort(list_distinct(list_append(range(0, n - 9, 6), n - 10))) ELSE [0] END) AS start FROM c),
+    i AS (SELECT *, row_number() OVER (PARTITION BY image_id, side ORDER BY start) - 1 AS strip_idx FROM g),
+    s AS (SELECT i.image_id, i.side, strip_idx, i.start, round(coalesce(max(abs(r)), 0.0), 4) AS bump, round(CASE WHEN count(r) < 2 THEN 0.0 ELSE abs(regr_slope(r, y)) * (max(y) - min(y)) END, 4) AS skew
+        FROM i LEFT JOIN r ON i.image_id = r.image_id AND i.side = r.side AND r.y >= i.start AND r.y < i.start + 10 GROUP BY ALL),
+    b AS (SELECT *, greatest(bump, 2 * skew) AS score FROM s), f AS (SELECT *, lead(score) OVER (PARTITION BY image_id, side ORDER BY strip_idx) AS following FROM b)
+    SELECT image_id, side, CAST(strip_idx AS INTEGER) AS strip_idx, CAST(start AS INTEGER) AS start, bump, skew, round(CASE WHEN following IS NOT NULL THEN greatest(score, following) END, 4) AS pair FROM f""")
 def w17_j8_strip_scores(spark, sf_dir):
-    s = op.strip_scores(residuals(spark, sf_dir), 10, 4)
-    return s.select("image_id", "side", "strip_idx", F.round("bump", 6).alias("bump"), F.round("skew", 4).alias("skew"), F.round("pair", 4).alias("pair"))
+    """Of curves with stretches missing, so that some strips are empty."""
+    s = op.strip_scores(op.residuals(v.signal(spark, sf_dir).where("floor(y / 11) % 5 <> 3")), 10, 4)
+    return s.select("image_id", "side", "strip_idx", "start", "bump", "skew", F.round("pair", 4).alias("pair"))
 
 
 @query("WITH f AS (SELECT image_id, regr_slope(x, y) AS a, regr_intercept(x, y) AS b FROM signal WHERE side = 'L' GROUP BY image_id) SELECT image_id, CAST(y AS INTEGER) AS y, round(x - (b + a * y + 16), 4) AS gap FROM signal JOIN f USING (image_id) WHERE side = 'R'")

@@ -82,7 +82,7 @@ def a10_contrast(spark, sf_dir):
 
 
 @query(LISTS + """, g AS (SELECT *, count(*) OVER (PARTITION BY image_id) AS n, row_number() OVER (PARTITION BY image_id ORDER BY d DESC, patch_idx) AS rk FROM p),
-    h AS (SELECT *, greatest(1, CAST(round_even(sqrt(n), 0) AS BIGINT)) AS h FROM g), c AS (SELECT *, CAST(ceil(n / h) AS BIGINT) AS w FROM h WHERE rk <= 3),
+    h AS (SELECT *, greatest(1, CAST(round_even(sqrt(n), 0) AS BIGINT)) AS h FROM g), c AS (SELECT *, CASE WHEN h * h = n THEN h ELSE n // h END AS w FROM h WHERE rk <= 3),
     s AS (SELECT image_id, avg(d) AS m, sqrt(var_pop(patch_idx // w) + var_pop(patch_idx % w)) AS spread, any_value(h) AS h, any_value(w) AS w FROM c GROUP BY image_id)
     SELECT image_id, round(m * (2 - least(spread / (sqrt(pow(h / 2, 2) + pow(w / 2, 2)) + 1e-6), 1.0)), 6) AS score FROM s""")
 def a11_spatial(spark, sf_dir):

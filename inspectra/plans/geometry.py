@@ -26,7 +26,7 @@ def p1_centre_boxes(spark, sf_dir):
     return box_totals(v.glyph_items(spark, sf_dir).withColumns(op.box_from_centre()))
 
 
-@query(BOX + f""", a AS (SELECT image_id, idx, greatest(0, least(x0, 299)) AS x0, greatest(0, least(x1, 300)) AS x1, greatest(0, least(y0, 1999)) AS y0, greatest(0, least(y1, 2000)) AS y1 FROM b),
+@query(BOX + f""", a AS (SELECT image_id, idx, greatest(0, least(x0, 300)) AS x0, greatest(0, least(x1, 300)) AS x1, greatest(0, least(y0, 2000)) AS y0, greatest(0, least(y1, 2000)) AS y1 FROM b),
     c AS (SELECT image_id, idx, x0, CASE WHEN x1 <= x0 THEN least(300, x0 + 1) ELSE x1 END AS x1, y0, CASE WHEN y1 <= y0 THEN least(2000, y0 + 1) ELSE y1 END AS y1 FROM a) SELECT {TOTALS} FROM c GROUP BY image_id""")
 def p2_clipped_boxes(spark, sf_dir):
     rows = v.glyph_items(spark, sf_dir).withColumns(op.box_from_centre())
@@ -40,8 +40,8 @@ def p3_plain_clip(spark, sf_dir):
     return box_totals(op.clip_boxes(rows, F.lit(300), F.lit(2000), plain=True))
 
 
-@query(f"""SELECT {TOTALS} FROM (SELECT image_id, idx, x0, y0, x0 + CAST(trunc(w) AS INTEGER) + 4 AS x1, y0 + CAST(trunc(h) AS INTEGER) + 4 AS y1 FROM (SELECT *, CAST(trunc(cx) AS INTEGER) - CAST(floor(trunc(w) / 2) AS INTEGER) - 2 AS x0,
-    CAST(trunc(cy) AS INTEGER) - CAST(floor(trunc(h) / 2) AS INTEGER) - 2 AS y0 FROM glyph_items)) GROUP BY image_id""")
+@query(f"""WITH i AS (SELECT image_id, idx, CAST(trunc(cx) AS INTEGER) AS cx, CAST(trunc(cy) AS INTEGER) AS cy, CAST(trunc(w) AS INTEGER) // 2 + 2 AS dx, CAST(trunc(h) AS INTEGER) // 2 + 2 AS dy FROM glyph_items),
+    b AS (SELECT image_id, idx, cx - dx AS x0, cy - dy AS y0, cx + dx AS x1, cy + dy AS y1 FROM i) SELECT {TOTALS} FROM b GROUP BY image_id""")
 def p4_integer_boxes(spark, sf_dir):
     return box_totals(v.glyph_items(spark, sf_dir).withColumns(op.integer_box()))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from inspectra.functions import images as im
 from inspectra.operators import imagery as op
-from inspectra.operators import knn, scores
+from inspectra.operators import knn, ranks, scores
 from inspectra.plans import views as v
 from inspectra.plans.calibration import absolute_sum
 from inspectra.plans.registry import query
@@ -211,10 +211,17 @@ def x4_tile_function(spark, sf_dir):
     return spark.sql("SELECT image_id, t.start, t.stop FROM image_index_rows, LATERAL tile_positions(w, 512, 384) t")
 
 
-@query("WITH p AS (SELECT image_id, list_sum(list_transform(emb, lambda x: abs(x))) AS d FROM patches) SELECT image_id, round(list_avg(list_reverse_sort(list(d))[1:10]), 6) AS score FROM p GROUP BY image_id")
+@query("""WITH p AS (SELECT image_id, patch_idx, list_sum(list_transform(emb, lambda x: abs(x))) AS d FROM patches), l AS (SELECT image_id, list_reverse_sort(list(d)) AS ds, list_sort(list(d)) AS up, count(*) AS n FROM p GROUP BY image_id),
+    k AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY d DESC, patch_idx) AS rk FROM p), g AS (SELECT image_id, n, ds, up, greatest(1, CAST(round_even(sqrt(n), 0) AS BIGINT)) AS h FROM l),
+    w AS (SELECT *, CASE WHEN h * h = n THEN h ELSE n // h END AS w FROM g), c AS (SELECT image_id, avg(d) AS top, sqrt(var_pop(patch_idx // w) + var_pop(patch_idx % w)) AS spread, any_value(h) AS h, any_value(w) AS w FROM k JOIN w USING (image_id) WHERE rk <= 3 GROUP BY image_id)
+    SELECT image_id, n, round(ds[1], 6) AS max, round(top, 6) AS topk, round(list_avg(ds[1:greatest(1, CAST(trunc(n * (1 - 60 / 100::DOUBLE)) AS BIGINT))]), 6) AS percentile, round(0.3 * ds[1] + 0.7 * top, 6) AS hybrid,
+        round(top / (up[(n + 1) // 2] + 1e-6), 6) AS contrast, round(top * (2 - least(spread / (sqrt(pow(c.h / 2, 2) + pow(c.w / 2, 2)) + 1e-6), 1.0)), 6) AS spatial
+    FROM l JOIN c USING (image_id)""")
 def x3_score_aggregate(spark, sf_dir):
-    d = v.patches(spark, sf_dir).select("image_id", absolute_sum("emb").alias("d"))
-    return d.groupBy("image_id").agg(F.round(op.topk_mean("d"), 6).alias("score"))
+    """All modes of a group's score from bounded summaries that tasks merge."""
+    d = v.patches(spark, sf_dir).select("image_id", "patch_idx", absolute_sum("emb").alias("d"))
+    s = ranks.group_scores(d, ["image_id"], "d", "patch_idx", 3, 60, 0.3)
+    return s.select("image_id", "n", *[F.round(c, 6).alias(c) for c in ("max", "topk", "percentile", "hybrid", "contrast", "spatial")])
 
 
 @query("""WITH p AS (SELECT image_id, list_sum(list_transform(emb, lambda x: abs(x))) AS d FROM patches), l AS (SELECT image_id, list_reverse_sort(list(d)) AS ds, list_sort(list(d)) AS up FROM p GROUP BY image_id),

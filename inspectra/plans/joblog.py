@@ -47,14 +47,13 @@ def p13_three_levels(spark, sf_dir):
     return v.jobs(spark, sf_dir).select("job_id", op.three_levels(F.col("infer_ms"), 90, 180).alias("level"))
 
 
-REQUESTS = """WITH f AS (SELECT *, CASE WHEN line LIKE '"%' THEN '{' || line || '}' ELSE line END AS fixed FROM requests),
-    q AS (SELECT request_id, n, client, json_valid(fixed) AS valid, CASE WHEN json_valid(fixed) THEN json_extract_string(fixed, '$.cmd') END AS cmd,
-        CASE WHEN json_valid(fixed) THEN json_extract_string(fixed, '$.job_id') END AS job_id, CASE WHEN json_valid(fixed) THEN json_extract_string(fixed, '$.image_path') END AS image_path FROM f)"""
+REQUESTS = """WITH f AS (SELECT *, trim(line, ' ' || chr(9) || chr(13) || chr(10)) AS text FROM requests), g AS (SELECT *, CASE WHEN text LIKE '"%' THEN '{' || rtrim(text, '}') || '}' ELSE text END AS fixed FROM f),
+    j AS (SELECT *, CASE WHEN json_valid(fixed) THEN fixed WHEN json_valid(line) THEN line END AS good FROM g), o AS (SELECT *, CASE WHEN json_type(good) = 'OBJECT' THEN good END AS obj FROM j),
+    q AS (SELECT request_id, n, client, obj IS NOT NULL AS valid, json_extract_string(obj, '$.cmd') AS cmd, json_extract_string(obj, '$.job_id') AS job_id, json_extract_string(obj, '$.image_path') AS image_path FROM o)"""
 
 
 def parsed_requests(spark, sf_dir):
-    line = op.repaired_json(F.col("line"))
-    return v.requests(spark, sf_dir).select("request_id", "client", "n", F.from_json(line, "cmd string, job_id string, image_path string").alias("r")).select("request_id", "client", "n", "r.*")
+    return v.requests(spark, sf_dir).select("request_id", "client", "n", op.parsed_request(F.col("line")).alias("r")).select("request_id", "client", "n", "r.cmd", "r.job_id", "r.image_path")
 
 
 @query(REQUESTS + " SELECT request_id, cmd, job_id, image_path FROM q")
@@ -62,17 +61,26 @@ def m4_repaired_requests(spark, sf_dir):
     return parsed_requests(spark, sf_dir).select("request_id", "cmd", "job_id", "image_path")
 
 
-@query(REQUESTS + """ SELECT request_id, CASE WHEN cmd IS NULL THEN 'INVALID_CMD' WHEN job_id = '' THEN 'MISSING_JOB_ID' WHEN p.project_id IS NULL THEN 'PROJECT_NOT_FOUND'
-    WHEN NOT enabled THEN 'PROJECT_DISABLED' WHEN n = 3 THEN 'MODEL_NOT_LOADED' ELSE 'OK' END AS code FROM q LEFT JOIN projects p ON p.project_id = 'p' || n""")
-def p15_request_codes(spark, sf_dir):
-    r = parsed_requests(spark, sf_dir).withColumn("project_id", F.concat(F.lit("p"), "n")).join(v.projects(spark, sf_dir).withColumn("known", F.lit(True)), "project_id", "left")
+CODES = """SELECT request_id, client, CASE WHEN upper(coalesce(cmd, '')) NOT IN ('PING', 'INFER', 'STATUS', 'SET_ACTIVE_MODEL') THEN 'INVALID_CMD' WHEN upper(cmd) <> 'INFER' THEN 'OK' WHEN job_id = '' OR image_path = '' THEN 'INVALID_CMD'
+    WHEN p.project_id IS NULL THEN 'PROJECT_NOT_FOUND' WHEN NOT enabled THEN 'PROJECT_DISABLED' WHEN n = 3 THEN 'MODEL_NOT_LOADED' ELSE 'OK' END AS code, upper(cmd) AS cmd, job_id FROM q LEFT JOIN projects p ON p.project_id = 'p' || n"""
+
+
+def checked_requests(requests, projects):
+    """Parsed requests with the code of the first check that they fail."""
+    r = requests.withColumn("project_id", F.concat(F.lit("p"), "n")).join(projects.withColumn("known", F.lit(True)), "project_id", "left")
     known = F.coalesce("known", F.lit(False))
-    return r.select("request_id", op.request_code(known, F.coalesce("enabled", F.lit(False)), F.col("n") != 3, F.col("job_id"), F.col("cmd"), F.col("image_path")).alias("code"))
+    return r.withColumn("code", op.request_code(known, F.coalesce("enabled", F.lit(False)), F.col("n") != 3, F.col("job_id"), F.col("cmd"), F.col("image_path")))
+
+
+@query(REQUESTS + f" SELECT request_id, code FROM ({CODES})")
+def p15_request_codes(spark, sf_dir):
+    return checked_requests(parsed_requests(spark, sf_dir), v.projects(spark, sf_dir)).select("request_id", "code")
 
 
-@query(REQUESTS + """ SELECT client, count(*) AS requests, count(*) FILTER (cmd IS NULL) AS broken, count(*) FILTER (cmd = 'infer') AS infers FROM q GROUP BY client""")
+@query(REQUESTS + """ SELECT client, count(*) AS requests, count(*) FILTER (cmd IS NULL) AS broken, count(*) FILTER (upper(cmd) = 'INFER') AS infers FROM q GROUP BY client""")
 def r8_request_summary(spark, sf_dir):
-    return parsed_requests(spark, sf_dir).groupBy("client").agg(F.count(F.lit(1)).alias("requests"), F.count_if(F.col("cmd").isNull()).alias("broken"), F.count_if(F.col("cmd") == "infer").alias("infers"))
+    infer = F.upper("cmd") == "INFER"
+    return parsed_requests(spark, sf_dir).groupBy("client").agg(F.count(F.lit(1)).alias("requests"), F.count_if(F.col("cmd").isNull()).alias("broken"), F.count_if(infer).alias("infers"))
 
 
 @query("""SELECT project_id, date_trunc('minute', ts) AS minute, count(*) AS jobs, round(avg(CASE WHEN pred = 'OK' THEN 1.0 ELSE 0.0 END), 6) AS yield, round(avg(infer_ms), 4) AS mean_ms FROM jobs GROUP BY ALL""")

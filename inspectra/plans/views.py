@@ -68,9 +68,15 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("label").orderBy("vec_id")
+    """Sixteen strips an image, each a profile of 64 samples."""
     e = table(spark, sf_dir, "embeddings")
-    return e.select(F.col("label").alias("image_id"), (F.row_number().over(order) - 1).alias("strip_idx"), F.transform("embedding", lambda v: v.cast("double")).alias("profile"))
+    return e.select(F.floor(F.col("vec_id") / 16).alias("image_id"), (F.col("vec_id") % 16).cast("int").alias("strip_idx"), F.transform("embedding", lambda v: v.cast("double")).alias("profile"))
+
+
+def strip_boxes(strips: DataFrame) -> DataFrame:
+    """Where the strips lie: rows of 8 that overlap by 2, as wide as their profile."""
+    top = F.col("strip_idx") * 6
+    return strips.withColumns({"x0": F.lit(0), "y0": top, "x1": F.lit(64), "y1": top + 8})
 
 
 def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,8 +124,9 @@ def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     n = F.col("conv_id") * 100 + F.col("turn")
-    body = F.format_string('"cmd":"%s","job_id":"%s","image_path":"%s"', F.when(F.col("role") == "system", "ping").when(F.col("turn") == 7, "stop").otherwise("infer"), F.when(n % 13 == 0, "").otherwise(n.cast("string")), F.concat(F.lit("/in/"), F.col("conv_id"), F.lit(".png")))
-    line = F.when(n % 11 == 0, F.concat(F.lit("{"), body)).when(n % 7 == 0, body).otherwise(F.concat(F.lit("{"), body, F.lit("}")))
+    cmd = F.when(F.col("role") == "system", "ping").when(F.col("turn") == 7, "stop").when(F.col("turn") == 6, "Status").when(F.col("turn") == 5, "set_active_model").when(n % 3 == 0, "infer").otherwise("INFER")
+    body = F.format_string('"cmd":"%s","job_id":"%s","image_path":"%s"', cmd, F.when(n % 13 == 0, "").otherwise(n.cast("string")), F.when(n % 17 != 0, F.concat(F.lit("/in/"), F.col("conv_id"), F.lit(".png"))).otherwise(""))
+    line = F.when(n % 11 == 0, F.concat(F.lit("{"), body)).when(n % 7 == 0, F.concat(F.lit(" \t"), body, F.lit("}} "))).when(n % 19 == 0, F.to_json(F.array(F.lit(1)))).when(n % 23 == 0, F.concat(F.lit('"'), F.col("role"), F.lit('"'))).otherwise(F.concat(F.lit("{"), body, F.lit("}")))
     return c.select(n.alias("request_id"), F.col("conv_id").alias("client"), line.alias("line"), (F.col("conv_id") % 9).alias("n"))
 
 
@@ -148,7 +155,7 @@ VIEWS = {
     "patches": "SELECT vec_id // 8 AS image_id, vec_id % 8 AS patch_idx, first_value(label) OVER (PARTITION BY vec_id // 8 ORDER BY vec_id) AS cls, CAST(embedding AS DOUBLE[]) AS emb FROM embeddings",
     "heatmap": "SELECT vec_id AS image_id, (pos - 1) // 8 AS y, (pos - 1) % 8 AS x, CAST(v AS DOUBLE) AS v FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings)",
     "pixels": "SELECT image_id, y, x, CAST(round((v + 1) * 127.5) AS INTEGER) AS gray FROM heatmap",
-    "profiles": "SELECT label AS image_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS strip_idx, CAST(embedding AS DOUBLE[]) AS profile FROM embeddings",
+    "profiles": "SELECT vec_id // 16 AS image_id, vec_id % 16 AS strip_idx, CAST(embedding AS DOUBLE[]) AS profile FROM embeddings",
     "signal": "SELECT user_id // 2 AS image_id, CASE WHEN user_id % 2 = 0 THEN 'L' ELSE 'R' END AS side, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS y, value AS x FROM events",
     "glyph_items": "SELECT doc_id AS image_id, CAST(i - 1 AS INTEGER) AS idx, ch, (i - 1) % 40 * 12.5::DOUBLE AS cx, (i - 1) // 40 * 30 + 20.5::DOUBLE AS cy, ((i - 1) % 7 + 5)::DOUBLE AS w, ((i - 1) % 4 + 9)::DOUBLE AS h FROM (SELECT doc_id, unnest(t) AS ch, generate_subscripts(t, 1) AS i FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '(?s).') AS t FROM documents))",
     "image_index": "SELECT p_partkey AS image_id, CAST(p_partkey * 37 % 2000 + 200 AS INTEGER) AS w, CAST(p_partkey * 53 % 900 + 150 AS INTEGER) AS h FROM part",
@@ -156,9 +163,9 @@ VIEWS = {
     "truth": "SELECT doc_id AS sample_id, quality = 0 AS actual_ng, toxic = 1 AS predicted_ng FROM labels",
     "polls": "SELECT user_id AS path, CAST(floor(value / 100) AS INTEGER) AS size, CAST(ts AS TIMESTAMP) AS ts, event_id FROM events",
     "arrivals": "SELECT event_id // 2 AS stem, CASE WHEN event_id % 2 = 0 THEN 'image' ELSE 'json' END AS kind, CAST(ts AS TIMESTAMP) AS ts FROM events",
-    "requests": """SELECT request_id, client, CASE WHEN request_id % 11 = 0 THEN '{' || body WHEN request_id % 7 = 0 THEN body ELSE '{' || body || '}' END AS line, n FROM (
-        SELECT conv_id * 100 + turn AS request_id, conv_id AS client, conv_id % 9 AS n, '"cmd":"' || CASE WHEN role = 'system' THEN 'ping' WHEN turn = 7 THEN 'stop' ELSE 'infer' END
-        || '","job_id":"' || CASE WHEN (conv_id * 100 + turn) % 13 = 0 THEN '' ELSE CAST(conv_id * 100 + turn AS VARCHAR) END || '","image_path":"/in/' || conv_id || '.png"' AS body FROM conversations)""",
+    "requests": """SELECT request_id, client, CASE WHEN request_id % 11 = 0 THEN '{' || body WHEN request_id % 7 = 0 THEN ' ' || chr(9) || body || '}} ' WHEN request_id % 19 = 0 THEN '[1]' WHEN request_id % 23 = 0 THEN '"' || role || '"' ELSE '{' || body || '}' END AS line, n FROM (
+        SELECT conv_id * 100 + turn AS request_id, role, conv_id AS client, conv_id % 9 AS n, '"cmd":"' || CASE WHEN role = 'system' THEN 'ping' WHEN turn = 7 THEN 'stop' WHEN turn = 6 THEN 'Status' WHEN turn = 5 THEN 'set_active_model' WHEN (conv_id * 100 + turn) % 3 = 0 THEN 'infer' ELSE 'INFER' END
+        || '","job_id":"' || CASE WHEN (conv_id * 100 + turn) % 13 = 0 THEN '' ELSE CAST(conv_id * 100 + turn AS VARCHAR) END || '","image_path":"' || CASE WHEN (conv_id * 100 + turn) % 17 <> 0 THEN '/in/' || conv_id || '.png' ELSE '' END || '"' AS body FROM conversations)""",
     "polygons": """SELECT image_id, w, h, CASE image_id % 3 WHEN 0 THEN 'Panel' WHEN 1 THEN 'panel ' ELSE 'other' END AS label,
         CASE WHEN image_id % 10 = 0 THEN p[1:2] ELSE p END AS points FROM (SELECT *, [[x0, y0], [x1, y0], [x1, y1], [x0, y1]] AS p FROM (
         SELECT *, image_id % 50 AS x0, image_id % 30 AS y0, image_id % 50 + image_id % 97 + 3 AS x1, image_id % 30 + image_id % 61 + 3 AS y1 FROM image_index))""",

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
@@ -20,3 +20,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
         app = spark.sparkContext.applicationId
         folder = _own.setdefault(app, _own.get(app) or "file://" + tempfile.mkdtemp(prefix="shared-"))
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: what it rests on isn't computed again,
+    also where an executor is lost."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
