@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from inspectra.operators import ranks
+from inspectra.operators.profiles import resampled
 
 
 def per_image(rasters: DataFrame, function: Callable[[np.ndarray, int], list[tuple]], schema: str) -> DataFrame:
@@ -46,6 +47,72 @@ def scaled_by_maximum(cells: DataFrame) -> DataFrame:
     return cells.withColumn("v", F.when(most > 0, F.col("v") / most).otherwise(0.0))
 
 
+def stretched(a: Column, n: Column) -> Column:
+    """An array stretched to n >= its size: pixel centres, straight lines between
+    them, the ends held."""
+
+    def at(i: Column) -> Column:
+        place = (i + 0.5) * F.size(a) / n - 0.5
+        low = F.floor(place).cast("int")
+        inside = lambda k: F.get(a, F.greatest(F.lit(0), F.least(k, F.size(a) - 1)))
+        return inside(low) + (inside(low + 1) - inside(low)) * (place - low)
+
+    return F.transform(F.sequence(F.lit(0), n - 1), at)
+
+
+def difference_maps(pair_rows: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
+    """Adds map, an array of rows: at each place of two feature maps (a and b, flat
+    arrays of channels, rows, columns) the length of their difference."""
+    channels, rows, columns = shape
+    plane = rows * columns
+
+    def place(y: Column, x: Column) -> Column:
+        terms = [F.get("a", y * columns + x + c * plane) - F.get("b", y * columns + x + c * plane) for c in range(channels)]
+        return F.sqrt(sum((t * t for t in terms[1:]), terms[0] * terms[0]) + 1e-8)
+
+    line = lambda k, f: F.transform(F.sequence(F.lit(0), F.lit(k - 1)), f)
+    return pair_rows.withColumn("map", line(rows, lambda y: line(columns, lambda x: place(y, x))))
+
+
+def region_cells(pair_rows: DataFrame) -> DataFrame:
+    """image_id, y, x, v: a pair's map (rows) or curve (one row for all) laid over
+    the area x0, y0, x1, y1 of both strips. Maps are stretched to the area, curves
+    are drawn from end to end along it: across where the strips lie above each
+    other, else down."""
+    w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    rows = pair_rows.where((w > 0) & (h > 0))
+    if "map" in pair_rows.columns:
+        wide = rows.withColumn("map", F.transform("map", lambda r: stretched(r, w)))
+        tall = wide.select("image_id", "x0", "y0", h.alias("_h"), F.size("map").alias("_n"), "map", F.explode(F.sequence(F.lit(0), h - 1)).alias("_y"))
+        place = (F.col("_y") + 0.5) * F.col("_n") / F.col("_h") - 0.5
+        low = F.floor(place).cast("int")
+        row = lambda k: F.get("map", F.greatest(F.lit(0), F.least(k, F.col("_n") - 1)))
+        lines = tall.select("image_id", "x0", (F.col("y0") + F.col("_y")).alias("y"), (place - low).alias("_t"), row(low).alias("_a"), row(low + 1).alias("_b"))
+        cells = lines.select("image_id", "x0", "y", F.posexplode(F.zip_with("_a", "_b", lambda p, q: p + (q - p) * F.col("_t"))).alias("_x", "v"))
+        return cells.select("image_id", "y", (F.col("x0") + F.col("_x")).alias("x"), "v")
+    along = F.when(F.col("vertical"), w).otherwise(h)
+    drawn = rows.withColumn("curve", resampled("curve", along)).select("image_id", "x0", "y0", "vertical", F.when(F.col("vertical"), h).otherwise(w).alias("_across"), F.posexplode("curve").alias("_i", "v"))
+    cells = drawn.select("image_id", "x0", "y0", "vertical", "_i", "v", F.explode(F.sequence(F.lit(0), F.col("_across") - 1)).alias("_j"))
+    pick = lambda a, b: F.when(F.col("vertical"), F.col(a)).otherwise(F.col(b))
+    return cells.select("image_id", (F.col("y0") + pick("_j", "_i")).alias("y"), (F.col("x0") + pick("_i", "_j")).alias("x"), "v")
+
+
+def weighted_curves(pair_rows: DataFrame) -> DataFrame:
+    """Curves of pairs with a small distance fade: times (d / the image's largest d) squared."""
+    most = pair_rows.groupBy("image_id").agg(F.max("d").alias("_most"))
+    share = F.col("d") / F.when(F.col("_most") < 1e-12, 1.0).otherwise(F.col("_most"))
+    return pair_rows.join(most, "image_id").withColumn("curve", F.transform("curve", lambda x: x * share * share)).drop("_most")
+
+
+def difference_heat(pair_rows: DataFrame) -> DataFrame:
+    """Heat of neighbouring strips' differences: the mean over all pairs that
+    cover a cell, over the image's largest. Sums and counts leave each task per
+    cell, the maximum per image; no image is one task's work."""
+    means = region_cells(pair_rows).groupBy("image_id", "y", "x").agg(F.avg("v").alias("v"))
+    most = means.groupBy("image_id").agg(F.max("v").alias("_most"))
+    return means.join(most, "image_id").select("image_id", "y", "x", F.when(F.col("_most") > 0, F.col("v") / F.col("_most")).otherwise(F.col("v")).alias("v"))
+
+
 def map_score(cells: DataFrame, q: float | None = 0.999) -> DataFrame:
     """Per image the largest value, or an exact quantile."""
     if q is None:

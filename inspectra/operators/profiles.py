@@ -35,18 +35,17 @@ def z_normalised(a: Column) -> Column:
     return bound(a, lambda a: bound(mean(a), lambda m: scaled(a, m)))
 
 
-def resampled(a: Column, n: Column) -> Column:
+def resampled(a: Column | str, n: Column) -> Column:
     """Linear interpolation at n evenly spaced places from end to end."""
-    size = F.size(a)
-    step = F.when(n > 1, (size - 1) / (n - 1)).otherwise(F.lit(0.0))
 
-    def at(i: Column) -> Column:
-        place = i * step
+    def at(a: Column, i: Column) -> Column:
+        size = F.size(a)
+        place = i * F.when(n > 1, (size - 1) / (n - 1)).otherwise(F.lit(0.0))
         low = F.least(F.floor(place).cast("int"), size - 1)
         high = F.least(low + 1, size - 1)
         return a[low] + (a[high] - a[low]) * (place - low)
 
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: at(i))
+    return bound(F.col(a) if isinstance(a, str) else a, lambda a: F.transform(F.sequence(F.lit(0), n - 1), lambda i: at(a, i)))
 
 
 def rms(a: Column, b: Column) -> Column:

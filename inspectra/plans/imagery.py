@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from inspectra.functions import images as im
 from inspectra.operators import imagery as op
-from inspectra.operators import knn, ranks, scores
+from inspectra.operators import knn, profiles, ranks, scores
 from inspectra.plans import views as v
 from inspectra.plans.calibration import absolute_sum
+from inspectra.plans.profiles import ZPAIRS
 from inspectra.plans.registry import query
 
 
@@ -56,6 +57,33 @@ def a14_stitched_mean(spark, sf_dir):
     return op.scaled_by_maximum(op.stitched(cells, "mean")).withColumn("v", F.round("v", 6))
 
 
+_AT = "m[greatest(0, least(3, {0})) * 4 + greatest(0, least(3, {1})) + 1]"
+
+
+@query(f"""WITH e AS (SELECT vec_id // 16 AS image_id, vec_id % 16 AS k, CAST(embedding AS DOUBLE[]) AS f FROM embeddings), s AS (SELECT image_id, k, f AS a, lead(f) OVER w AS b, lead(k) OVER w AS kb FROM e WINDOW w AS (PARTITION BY image_id ORDER BY k)),
+    d AS (SELECT image_id, k, kb, list_transform(range(0, 16), lambda i: sqrt(pow(a[i + 1] - b[i + 1], 2) + pow(a[i + 17] - b[i + 17], 2) + pow(a[i + 33] - b[i + 33], 2) + pow(a[i + 49] - b[i + 49], 2) + 1e-8)) AS m FROM s WHERE b IS NOT NULL),
+    p AS (SELECT *, unnest(range(0, 6 * (kb - k) + 8)) AS y FROM d), g AS (SELECT *, unnest(range(0, 64)) AS x, (y + 0.5) * 4 / (6 * (kb - k) + 8) - 0.5 AS py FROM p), t AS (SELECT *, (x + 0.5) / 16 - 0.5 AS px FROM g),
+    f AS (SELECT *, CAST(floor(py) AS BIGINT) AS iy, CAST(floor(px) AS BIGINT) AS ix FROM t),
+    v AS (SELECT image_id, 6 * k + y AS y, x, (1 - (py - iy)) * ((1 - (px - ix)) * {_AT.format('iy', 'ix')} + (px - ix) * {_AT.format('iy', 'ix + 1')}) + (py - iy) * ((1 - (px - ix)) * {_AT.format('iy + 1', 'ix')} + (px - ix) * {_AT.format('iy + 1', 'ix + 1')}) AS v FROM f),
+    h AS (SELECT image_id, y, x, avg(v) AS v FROM v GROUP BY ALL) SELECT image_id, y, x, round(v / max(v) OVER (PARTITION BY image_id), 6) AS v FROM h""")
+def a14_difference_map(spark, sf_dir):
+    """Strips' vectors as feature maps of 4 channels of 4 x 4 places."""
+    strips = v.strip_boxes(v.profiles(spark, sf_dir))
+    both = profiles.union_box(profiles.pairs(strips, "profile", "x0", "y0", "x1", "y1"))
+    return op.difference_heat(op.difference_maps(both, (4, 4, 4))).withColumn("v", F.round("v", 6))
+
+
+@query(ZPAIRS + """, d AS (SELECT image_id, strip_idx, list_distance(a, b) / 8 AS d, list_transform(list_zip(a, b), lambda z: abs(z[1] - z[2])) AS c FROM z), w AS (SELECT *, pow(d / max(d) OVER (PARTITION BY image_id), 2) AS w FROM d),
+    g AS (SELECT image_id, strip_idx, unnest(c) * w AS v, generate_subscripts(c, 1) - 1 AS x FROM w), r AS (SELECT image_id, 6 * strip_idx + y AS y, x, v FROM (SELECT *, unnest(range(0, 14)) AS y FROM g)),
+    h AS (SELECT image_id, y, x, avg(v) AS v FROM r GROUP BY ALL) SELECT image_id, y, x, round(v / max(v) OVER (PARTITION BY image_id), 6) AS v FROM h""")
+def a14_weighted_curves(spark, sf_dir):
+    """Difference curves of neighbouring profiles, weighted by their pairs' distances."""
+    strips = profiles.normalised(v.strip_boxes(v.profiles(spark, sf_dir)))
+    both = profiles.union_box(profiles.pairs(strips, "profile", "x0", "y0", "x1", "y1"))
+    curves = both.select("image_id", "x0", "y0", "x1", "y1", F.lit(True).alias("vertical"), profiles.rms(F.col("a"), F.col("b")).alias("d"), profiles.difference_curve(F.col("a"), F.col("b")).alias("curve"))
+    return op.difference_heat(op.weighted_curves(curves)).withColumn("v", F.round("v", 6))
+
+
 @query("""WITH c AS (SELECT e.label AS cls, h.y, h.x, h.v FROM heatmap h JOIN embeddings e ON h.image_id = e.vec_id), t AS (SELECT cls, y, x, avg(v) AS mean, avg(CASE WHEN v > 0 THEN 1.0 ELSE 0.0 END) > 0.5 AS mask FROM c GROUP BY ALL)
     SELECT cls, count(*) FILTER (mask) AS fg_pixels, round(avg(mean) FILTER (mask), 6) AS fg_mean, round(avg(mean) FILTER (NOT mask), 6) AS bg_mean FROM t GROUP BY cls""")
 def a15_templates(spark, sf_dir):
