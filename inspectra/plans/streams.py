@@ -8,6 +8,9 @@ from inspectra.plans import views as v
 from inspectra.plans.registry import query
 from inspectra.sources import files
 from inspectra.sources.folders import shared_path
+from inspectra.operators import joblog
+from inspectra.plans import joblog as requests
+from inspectra.streaming import service
 from inspectra.streaming import streams as op
 
 
@@ -43,6 +46,68 @@ def r1_pair_stream(spark, sf_dir):
     return op.drain(op.pairs(e().where("image"), e().where("NOT image"), "240 seconds", outer=False), "pairs")
 
 
+WAIT_US = 12 * 3_600_000_000
+
+
+def file_arrivals(spark, sf_dir):
+    """A user's events as arrivals of one stem: images, annotations, and attempts at
+    what they make, of which views succeed."""
+    e = op.read_table(spark, f"{sf_dir}/events.parquet")
+    kind = F.when(F.col("event_type") == "click", "image").when(F.col("event_type") == "signup", "json").otherwise("attempt")
+    return e.select(F.col("user_id").alias("stem"), kind.alias("kind"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "view").alias("ok"))
+
+
+def _pending_sql() -> str:
+    """One arrival (e) after the other on the state so far (a): i and j the pending
+    files' times, w whether a pair is worked on (of an arrival: whether it
+    succeeds), n its failures, o the outcomes."""
+    kind = "STRUCT(event VARCHAR, ts BIGINT, image BIGINT, json BIGINT, attempts BIGINT)[]"
+    dead = {c: f"(a.{c} IS NOT NULL AND e.t - a.{c} >= {WAIT_US})" for c in "ij"}
+    now = {c: f"(CASE WHEN e.k = '{k}' THEN e.t WHEN NOT {dead[c]} THEN a.{c} END)" for c, k in (("i", "image"), ("j", "json"))}
+    paired, tried = f"({now['i']} IS NOT NULL AND {now['j']} IS NOT NULL)", "(e.k = 'attempt' AND a.w)"
+    failures = f"(a.n + CASE WHEN {tried} AND NOT e.w THEN 1 ELSE 0 END)"
+    done = f"({tried} AND (e.w OR {failures} > 2))"
+    one = lambda when, event, ts, image, json, attempts="0": f"CASE WHEN {when} THEN [{{'event': {event}, 'ts': {ts}, 'image': {image}, 'json': {json}, 'attempts': CAST({attempts} AS BIGINT)}}]::{kind} ELSE []::{kind} END"
+    outcomes = [
+        one(dead["i"], "'timeout'", f"a.i + {WAIT_US}", "a.i", "NULL"), one(dead["j"], "'timeout'", f"a.j + {WAIT_US}", "NULL", "a.j"),
+        one(done, "CASE WHEN e.w THEN 'archive' ELSE 'error' END", "e.t", "NULL", "NULL", f"{failures} + CASE WHEN e.w THEN 1 ELSE 0 END"), one(paired, "'pair'", "e.t", now["i"], now["j"]),
+    ]
+    state = lambda i, j, w, n, k, t, o: f"{{'i': CAST({i} AS BIGINT), 'j': CAST({j} AS BIGINT), 'w': {w}, 'n': CAST({n} AS BIGINT), 'k': {k}, 't': CAST({t} AS BIGINT), 'o': {o}}}"
+    begin, arrival = state("NULL", "NULL", "false", 0, "''", 0, f"[]::{kind}"), state("NULL", "NULL", "ok", 0, "kind", "t", f"[]::{kind}")
+    then = state(f"CASE WHEN NOT {paired} THEN {now['i']} END", f"CASE WHEN NOT {paired} THEN {now['j']} END", f"({paired} OR (a.w AND NOT {done}))", f"CASE WHEN {paired} OR {done} THEN 0 ELSE {failures} END", "''", 0, f"list_concat(a.o, {outcomes[0]}, {outcomes[1]}, {outcomes[2]}, {outcomes[3]})")
+    left = lambda c, image, json: one(f"s.{c} IS NOT NULL AND (s.{c} + {WAIT_US} + 999) // 1000 <= last // 1000", "'timeout'", f"s.{c} + {WAIT_US}", image, json)
+    return f"""WITH e AS (SELECT user_id AS stem, CASE event_type WHEN 'click' THEN 'image' WHEN 'signup' THEN 'json' ELSE 'attempt' END AS kind, epoch_us(CAST(ts AS TIMESTAMP)) AS t, event_type = 'view' AS ok FROM events),
+        l AS (SELECT stem, list({arrival} ORDER BY t, kind) AS l FROM e GROUP BY stem), f AS (SELECT stem, list_reduce(list_prepend({begin}, l), lambda a, e: {then}) AS s, (SELECT max(t) FROM e) AS last FROM l),
+        o AS (SELECT stem, unnest(list_concat(s.o, {left('i', 's.i', 'NULL')}, {left('j', 'NULL', 's.j')})) AS o FROM f)
+        SELECT stem, o.event AS event, make_timestamp(o.ts) AS ts, make_timestamp(o.image) AS image_ts, make_timestamp(o.json) AS json_ts, CAST(o.attempts AS INTEGER) AS attempts, CAST(make_timestamp(o.ts) AS DATE) AS day,
+            CASE WHEN o.event IN ('timeout', 'error') THEN 'error' ELSE 'archive' END AS sink FROM o"""
+
+
+@query(_pending_sql())
+def r2_r3_r7_pending_stream(spark, sf_dir):
+    """Pairs, timeouts, and what became of the pairs' attempts, from one stateful stream with two sinks."""
+    work = service.pending_files(file_arrivals(spark, sf_dir), WAIT_US / 1e6)
+    bad = F.col("event").isin("timeout", "error")
+    found = service.sink(work, "pending", {"archive": ~bad, "error": bad}, F.to_date("ts"))
+    both = found["archive"].withColumn("sink", F.lit("archive")).unionByName(found["error"].withColumn("sink", F.lit("error")))
+    return both.select("stem", "event", "ts", "image_ts", "json_ts", "attempts", "day", "sink")
+
+
+@query(requests.REQUESTS + f", l AS (SELECT request_id, line, n FROM requests) SELECT c.line, 'p' || n AS project_id, DATE '2024-01-01' + CAST(c.client % 7 AS INTEGER) AS day, code, c.cmd, c.job_id FROM (SELECT * FROM ({requests.CODES}) JOIN l USING (request_id)) c")
+def r8_s14_request_stream(spark, sf_dir):
+    """Request lines from a drop folder by project and day, parsed, checked against
+    the projects, and logged by day."""
+    folder = shared_path(spark, "drop")
+    r = v.requests(spark, sf_dir)
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("client") % 7).cast("int"))
+    r.select(F.col("line").alias("value"), F.col("n").alias("n"), day.alias("day")).write.partitionBy("n", "day").text(folder)
+    lines = service.read_drop_folder(spark, folder, "n long, day date")
+    parsed = lines.select("line", "n", "day", joblog.parsed_request(F.col("line")).alias("r")).select("line", "n", "day", "r.cmd", "r.job_id", "r.image_path")
+    checked = requests.checked_requests(parsed, v.projects(spark, sf_dir)).select("line", "project_id", "code", F.upper("cmd").alias("cmd"), "job_id", F.col("day").alias("_on"))
+    log = service.sink(checked, "requests", {"log": F.lit(True)}, F.col("_on"))["log"]
+    return log.select("line", "project_id", "day", "code", "cmd", "job_id")
+
+
 @query("SELECT CAST(job_id AS VARCHAR) AS job_id, project_id, pred, round(infer_ms, 3) AS score, date FROM jobs")
 def s6_log_round_trip(spark, sf_dir):
     folder = shared_path(spark, "job-log")

@@ -21,7 +21,7 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     if mode == "append":
         query = writer.format("parquet").outputMode("append").start(out)
     else:
-        query = writer.outputMode(mode).foreachBatch(lambda df, epoch: df.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(out)).start()
+        query = writer.outputMode(mode).foreachBatch(lambda df, epoch: df.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")).start()
     query.awaitTermination()
     schema = stream.schema if mode == "append" else stream.withColumn("epoch", F.lit(0).cast("int")).schema
     return spark.read.schema(schema).parquet(out)
@@ -34,11 +34,6 @@ def read_table(spark: SparkSession, path: str, files: int = 64) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def read_requests(spark: SparkSession, folder: str) -> DataFrame:
-    """A drop folder of JSON lines as a stream of lines."""
-    return spark.readStream.text(folder).withColumnRenamed("value", "line")
-
-
 def minute_monitor(jobs: DataFrame, late: str = "10 minutes", size: str = "1 minute", slide: str | None = None) -> DataFrame:
     """Throughput, yield and latency per project and window."""
     g = jobs.withWatermark("ts", late).groupBy(F.window("ts", size, slide), "project_id")
