@@ -16,6 +16,7 @@ from pyspark.sql.functions import udtf
 
 from inspectra.operators import ranks
 from inspectra.operators.profiles import resampled
+from inspectra.sources.folders import stored
 
 
 def per_image(rasters: DataFrame, function: Callable[[np.ndarray, int], list[tuple]], schema: str) -> DataFrame:
@@ -157,6 +158,83 @@ def templates(cells: DataFrame, essential: float = 0.5) -> tuple[DataFrame, Data
     return t, s
 
 
+def aligned_to(images: DataFrame, means: DataFrame, side: tuple[int, int], reach: int) -> DataFrame:
+    """images (cls, pixels: rows one after another) moved to where they correlate
+    best with their class's mean, at most ``reach`` pixels, their edges held; the
+    first place from the top left where several do as well. means: cls, mean; a
+    row per class, broadcast."""
+    height, width = side
+    size = 2 * reach + 1
+
+    @F.pandas_udf("array<double>")
+    def move(pixels: pd.Series, mean: pd.Series) -> pd.Series:
+        flat = np.stack(pixels.to_numpy()).reshape(-1, height, width)
+        held = np.pad(flat, ((0, 0), (reach, reach), (reach, reach)), mode="edge")
+        target = np.stack(mean.to_numpy()).reshape(-1, height * width)
+        target = target - target.mean(axis=1, keepdims=True)
+        spots = np.lib.stride_tricks.sliding_window_view(held, (height, width), axis=(1, 2)).reshape(len(flat), size * size, height * width)
+        centred = spots - spots.mean(axis=2, keepdims=True)
+        norm = np.sqrt((centred**2).sum(axis=2) * (target**2).sum(axis=1)[:, None])
+        fit = np.einsum("nsp,np->ns", centred, target) / np.where(norm > 1e-12, norm, np.inf)
+        return pd.Series(list(spots[np.arange(len(flat)), np.round(fit, 9).argmax(axis=1)]))
+
+    found = images.join(F.broadcast(means.select("cls", F.col("mean").alias("_mean"))), "cls")
+    return found.withColumn("pixels", move("pixels", "_mean")).drop("_mean")
+
+
+def class_moments(images: DataFrame) -> DataFrame:
+    """cls, n, mean and std: arrays over the pixels of each class's images. Each task
+    adds its images up before anything is shuffled, so that no class is gathered."""
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict = {}
+        for batch in batches:
+            for cls, rows in batch.groupby("cls")["pixels"]:
+                x = np.stack(rows.to_numpy())
+                n, mean = len(x), x.mean(axis=0)
+                m2 = ((x - mean) ** 2).sum(axis=0)
+                if cls in sums:
+                    old_n, old_mean, old_m2 = sums[cls]
+                    gap = mean - old_mean
+                    n, mean, m2 = n + old_n, old_mean + gap * n / (n + old_n), m2 + old_m2 + gap**2 * n * old_n / (n + old_n)
+                sums[cls] = (n, mean, m2)
+        yield pd.DataFrame([(cls, n, mean, m2) for cls, (n, mean, m2) in sums.items()], columns=["cls", "n", "mean", "m2"])
+
+    parts = images.select("cls", "pixels").mapInPandas(task, "cls int, n long, mean array<double>, m2 array<double>")
+    cells = parts.select("cls", "n", "m2", F.posexplode("mean").alias("k", "mean")).select("cls", "n", "k", "mean", F.get("m2", F.col("k")).alias("m2"))
+    per = cells.groupBy("cls", "k").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("m"), F.sum(F.col("m2") + F.col("n") * F.col("mean") * F.col("mean")).alias("s"))
+    std = F.sqrt(F.greatest(F.col("s") / F.col("n") - F.col("m") * F.col("m"), F.lit(0.0)))
+    whole = per.groupBy("cls").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("k", "m", std.alias("std")))).alias("_c"))
+    return whole.select("cls", "n", F.col("_c.m").alias("mean"), F.col("_c.std").alias("std"))
+
+
+def refined_templates(images: DataFrame, side: tuple[int, int], reach: int = 10, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Mean and deviation of each class's images after they are aligned to the mean
+    of the round before; and the images so aligned. A round is stored, so that
+    the next one doesn't align from the start."""
+    raw = images
+    moments = stored(class_moments(raw), "templates")
+    for k in range(rounds):
+        images = stored(aligned_to(raw, moments, side, reach), f"aligned-{k}")
+        moments = stored(class_moments(images), "templates")
+    return moments, images
+
+
+def foreground(images: DataFrame, moments: DataFrame, is_fg: Callable[[Column], Column], essential: float = 0.5, loose: float = 0.3, least: int = 50) -> DataFrame:
+    """Per class the share of its images in which a pixel is foreground, the mask of
+    shares over ``essential`` (over ``loose`` where that leaves fewer than ``least``
+    pixels), and the template's mean outside (255 if all is inside) and inside it
+    (0 if nothing is)."""
+    cells = images.select("cls", F.posexplode("pixels").alias("k", "v")).groupBy("cls", "k").agg(F.avg(is_fg(F.col("v")).cast("double")).alias("share"))
+    shares = cells.groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("k", "share"))).alias("_s")).select("cls", F.col("_s.share").alias("share"))
+    count = lambda limit: F.size(F.filter("share", lambda x: x > limit))
+    limit = F.when(count(essential) < least, loose).otherwise(essential)
+    rows = shares.withColumn("limit", limit).withColumn("mask", F.transform("share", lambda x: x > F.col("limit"))).join(moments, "cls")
+    both = F.zip_with("mask", "mean", lambda m, x: F.struct(m.alias("m"), x.alias("x")))
+    average = lambda keep, none: F.coalesce(F.try_divide(F.aggregate(F.filter(both, keep), F.lit(0.0), lambda a, p: a + p["x"]), F.size(F.filter(both, keep))), F.lit(none))
+    return rows.select("cls", "n", "mean", "std", "share", "limit", "mask", F.size(F.filter("mask", lambda m: m)).alias("fg_pixels"), average(lambda p: ~p["m"], 255.0).alias("bg_mean"), average(lambda p: p["m"], 0.0).alias("fg_mean"))
+
+
 def neighbours(cells: DataFrame, size: int, grow: bool) -> DataFrame:
     """Dilation or erosion of boolean cells (column on) by a square: cells
     shift to their neighbours, so that no window spans an image twice."""

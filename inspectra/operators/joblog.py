@@ -39,28 +39,91 @@ def running_latency(jobs: DataFrame, keep: float = EMA_KEEP, rest: float = EMA_R
     return last.join(starts, "project_id").groupBy("project_id").agg(F.sum(share * F.col("infer_ms")).alias("avg_ms"))
 
 
+#: Steps that a timing always has; others are detail.
+STEPS = ["infer", "post", "save", "read"]
+
+
+def merged_timing(steps: Column, wait: Column, total: Column) -> Column:
+    """A plugin's map of steps with any keys, the wait for the file and the total as
+    one map: known steps are 0 where missing, wait and total come first, other
+    keys are rounded to two places."""
+    known = F.map_from_arrays(F.array(*[F.lit(k) for k in ("wait_file", "total", *STEPS)]), F.array(F.round(wait, 2), F.round(total, 2), *[F.coalesce(F.try_element_at(steps, F.lit(k)), F.lit(0.0)) for k in STEPS]))
+    free = F.transform_values(F.map_filter(steps, lambda k, v: ~k.isin("wait_file", "total", *STEPS) & v.isNotNull()), lambda k, v: F.round(v, 2))
+    return F.map_concat(known, F.coalesce(free, F.create_map().cast("map<string,double>")))
+
+
+def timing_of_json(text: Column) -> Column:
+    """Any numeric keys of a JSON object; other keys and other texts give none."""
+    numbers = F.transform_values(F.from_json(text, "map<string,string>"), lambda k, v: v.try_cast("double"))
+    return F.coalesce(F.map_filter(numbers, lambda k, v: v.isNotNull()), F.create_map().cast("map<string,double>"))
+
+
+def timing_means(rows: DataFrame, timing: str) -> DataFrame:
+    """Mean milliseconds per project and key of the timing maps, whatever the keys are."""
+    pairs = rows.select("project_id", F.explode(timing).alias("step", "ms")).where("ms IS NOT NULL")
+    return pairs.groupBy("project_id", "step").agg(F.avg("ms").alias("mean_ms"), F.count("ms").alias("n"))
+
+
 def step_latency(jobs: DataFrame, steps: dict[str, str]) -> DataFrame:
     """Mean milliseconds per project and step; a null step isn't counted."""
     pairs = F.explode(F.create_map(*[c for k, v in steps.items() for c in (F.lit(k), F.col(v))])).alias("step", "ms")
     return jobs.select("project_id", pairs).where("ms IS NOT NULL").groupBy("project_id", "step").agg(F.avg("ms").alias("mean_ms"), F.count("ms").alias("n"))
 
 
+def last_marks(jobs: DataFrame, marks: DataFrame, columns: list[str]) -> DataFrame:
+    """Jobs with the last value of each column that was known at their time. marks:
+    project_id, ts and the columns, any of them null. Jobs and marks meet per
+    project and day, so that a busy project is spread; each day opens with what
+    was known before it. Of marks at one time the largest value holds."""
+    day, order = F.to_date("ts"), Window.partitionBy("project_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    own = marks.groupBy("project_id", "ts").agg(*[F.max(c).alias(c) for c in columns]).withColumn("day", day)
+    daily = own.groupBy("project_id", "day").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("ts"))).alias(c) for c in columns])
+    days = jobs.select("project_id", day.alias("day")).distinct().join(daily, ["project_id", "day"], "full")
+    opening = days.select("project_id", "day", *[F.last(c, ignorenulls=True).over(order).alias(f"_open_{c}") for c in columns])
+    rows = jobs.withColumns({"_job": F.lit(True), "day": day}).unionByName(own.withColumn("_job", F.lit(False)), allowMissingColumns=True)
+    so_far = Window.partitionBy("project_id", "day").orderBy("ts", "_job").rowsBetween(Window.unboundedPreceding, 0)
+    seen = rows.withColumns({c: F.last(c, ignorenulls=True).over(so_far) for c in columns}).where("_job")
+    out = seen.join(opening, ["project_id", "day"], "left")
+    return out.withColumns({c: F.coalesce(c, f"_open_{c}") for c in columns}).drop("_job", "day", *[f"_open_{c}" for c in columns])
+
+
 def as_of(jobs: DataFrame, pins: DataFrame, fallback: str = "none") -> DataFrame:
     """The version that was active at each job's time: the last pin of its
-    project not after it. Jobs and pins meet per project and day, so that a
-    busy project is spread; each day opens with the last pin before it."""
-    day = F.to_date("ts")
-    own = pins.select("project_id", F.col("updated_at").alias("ts"), F.struct("updated_at", "version").alias("pin"))
-    daily = own.groupBy("project_id", day.alias("day")).agg(F.max("pin").alias("pin"))
-    days = jobs.select("project_id", day.alias("day")).distinct().join(daily, ["project_id", "day"], "left")
-    missing = daily.join(days, ["project_id", "day"], "left_anti")
-    before = Window.partitionBy("project_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    opening = days.unionByName(missing).withColumn("open", F.last("pin", ignorenulls=True).over(before)).select("project_id", "day", "open")
-    marks = own.select("project_id", day.alias("day"), "ts", F.lit(0).alias("rank"), "pin", F.lit(None).cast("long").alias("job_id"))
-    both = marks.unionByName(jobs.select("project_id", day.alias("day"), "ts", F.lit(1).alias("rank"), F.lit(None).cast("struct<updated_at:timestamp,version:string>").alias("pin"), "job_id"))
-    so_far = Window.partitionBy("project_id", "day").orderBy("ts", "rank", "pin").rowsBetween(Window.unboundedPreceding, 0)
-    seen = both.withColumn("pin", F.last("pin", ignorenulls=True).over(so_far)).where("rank = 1")
-    return seen.join(opening, ["project_id", "day"], "left").select("job_id", "project_id", F.coalesce("pin.version", "open.version", F.lit(fallback)).alias("version"))
+    project not after it."""
+    seen = last_marks(jobs.select("job_id", "project_id", "ts"), pins.select("project_id", F.col("updated_at").alias("ts"), "version"), ["version"])
+    return seen.select("job_id", "project_id", F.coalesce("version", F.lit(fallback)).alias("version"))
+
+
+#: Files that make a version folder a model.
+MODEL_FILES = ["meta.json", "index.json"]
+
+
+def model_versions(listing: DataFrame) -> DataFrame:
+    """project_id, version, ts of the version folders, and whether they hold a model
+    file (from when the first one is there). listing: project_id, version, file, ts."""
+    is_model = F.col("file").isin(*MODEL_FILES) | F.col("file").endswith(".joblib")
+    return listing.groupBy("project_id", "version").agg(F.min("ts").alias("ts"), F.min(F.when(is_model, F.col("ts"))).alias("model_ts"))
+
+
+def active_version(jobs: DataFrame, pins: DataFrame, listing: DataFrame, fallback: str = "none") -> DataFrame:
+    """job_id, project_id, version: the last pin's version where there is a pin (none
+    if its folder doesn't exist), else the newest version, by name, whose folder
+    held a model file at the time."""
+    versions = model_versions(listing)
+    pinned = pins.select("project_id", F.col("updated_at").alias("ts"), "version").join(versions.select("project_id", "version", F.lit(True).alias("_there")), ["project_id", "version"], "left")
+    pin = pinned.select("project_id", "ts", F.struct("version", F.coalesce("_there", F.lit(False)).alias("there")).alias("pin"))
+    # of the versions in order of their model files those with a larger name than all before
+    before = F.max("version").over(Window.partitionBy("project_id").orderBy("model_ts", "version").rowsBetween(Window.unboundedPreceding, -1))
+    with_model = versions.where("model_ts IS NOT NULL").withColumn("_before", before)
+    newest = with_model.where("_before IS NULL OR version > _before").select("project_id", F.col("model_ts").alias("ts"), F.col("version").alias("newest"))
+    seen = last_marks(jobs.select("job_id", "project_id", "ts"), pin.unionByName(newest, allowMissingColumns=True), ["pin", "newest"])
+    version = F.when(F.col("pin").isNull(), F.col("newest")).when(F.col("pin.there"), F.col("pin.version"))
+    return seen.select("job_id", "project_id", F.coalesce(version, F.lit(fallback)).alias("version"))
+
+
+def latest_version(listing: DataFrame) -> DataFrame:
+    """The newest version of each project that holds a model file."""
+    return model_versions(listing).where("model_ts IS NOT NULL").groupBy("project_id").agg(F.max("version").alias("version"))
 
 
 def threshold(option: Column, project: Column, model: Column, default: float = 0.5) -> Column:

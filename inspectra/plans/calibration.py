@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from inspectra.operators import knn, scores
 from inspectra.plans import views as v
 from inspectra.plans.registry import query
-from inspectra.sources.folders import shared_path
+from inspectra.sources import files
+from inspectra.sources.folders import shared_path, stored
 
 NEAREST = """WITH d AS (SELECT q.query_id, q.cls, b.bank_id, list_distance(q.emb, b.emb) AS d FROM queries q JOIN bank b ON q.cls = b.cls AND q.query_id <> b.bank_id),
     n AS (SELECT query_id, cls, avg(d) AS d FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d) AS r FROM d) WHERE r <= %d GROUP BY ALL)"""
@@ -118,6 +120,26 @@ def w19_suspects(spark, sf_dir):
     return knn.with_rank(d, "cls", "d", "query_id", 5).select("cls", F.col("rank").cast("long").alias("rank"), "query_id", "d")
 
 
+@query(OKS + """, c AS (SELECT cls, count(*) AS n_ok, quantile_cont(d, 0.995) AS thr, avg(d) AS mean, max(d) AS most FROM n GROUP BY cls), p AS (SELECT cls, count(*) AS n_patches FROM bank GROUP BY cls),
+    s AS (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY round(d, 6) DESC, query_id) AS rank FROM n)
+    SELECT CAST(cls AS VARCHAR) AS cls, round(thr, 6) AS thr, n_ok, n_patches, round(mean, 6) AS score_mean, round(most, 6) AS score_max, (SELECT count(*) FROM bank) AS n_bank, rank, round(d, 6) AS score, CASE WHEN query_id % 100 = 0 THEN 'val' ELSE 'train' END AS split, query_id || '.png' AS path
+    FROM s JOIN c USING (cls) JOIN p USING (cls) WHERE rank <= 5""")
+def s9_training_report(spark, sf_dir):
+    """Written and read back: thresholds and statistics per class, with its suspects nested."""
+    folder = shared_path(spark, "report")
+    bank = v.bank(spark, sf_dir)
+    d = stored(patch_distances(spark, sf_dir), "distances")
+    stats = scores.ok_statistics(d, "cls", "d").select("cls", F.col("n").alias("n_ok"), F.col("mean").alias("score_mean"), F.col("most").alias("score_max"))
+    classes = stats.join(scores.quantile_threshold(d, "cls", "d", 0.995), "cls").join(bank.groupBy("cls").agg(F.count(F.lit(1)).alias("n_patches")), "cls")
+    top = knn.with_rank(d.withColumn("d", F.round("d", 6)), "cls", "d", "query_id", 5)
+    suspects = top.select("cls", F.col("d").alias("score"), F.when(F.col("query_id") % 100 == 0, "val").otherwise("train").alias("split"), F.concat("query_id", F.lit(".png")).alias("path"))
+    files.write_report(classes, suspects, bank.agg(F.count(F.lit(1)).alias("n_bank")), folder)
+    index, meta = files.read_report(spark, folder)
+    flat = index.withColumn("_one", F.lit(1)).join(F.broadcast(meta.withColumn("_one", F.lit(1))), "_one").select("*", F.explode("suspects").alias("s"))  # one row of meta
+    rank = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("s.score"), F.regexp_extract("s.path", r"^(\d+)", 1).cast("long")))
+    return flat.select("cls", *[F.round(c, 6).alias(c) for c in ("thr", "score_mean", "score_max")], "n_ok", "n_patches", "n_bank", rank.cast("long").alias("rank"), "s.score", "s.split", "s.path")
+
+
 @query("SELECT cls, count(*) AS n FROM bank GROUP BY cls HAVING count(*) >= 50")
 def p7_min_per_class(spark, sf_dir):
     return v.bank(spark, sf_dir).groupBy("cls").agg(F.count(F.lit(1)).alias("n")).where("n >= 50")

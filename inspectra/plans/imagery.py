@@ -92,6 +92,30 @@ def a15_templates(spark, sf_dir):
     return op.templates(cells)[1].select("cls", "fg_pixels", F.round("fg_mean", 6).alias("fg_mean"), F.round("bg_mean", 6).alias("bg_mean"))
 
 
+def _round_sql(k: int) -> str:
+    """The images (c0: raw) moved to fit the means of the round before, and their means."""
+    return f"""p{k} AS (SELECT image_id, cls, dy, dx, spots.y, spots.x, c0.v FROM spots JOIN c0 ON spots.sy = c0.y AND spots.sx = c0.x),
+    f{k} AS (SELECT image_id, dy, dx, round(coalesce(corr(p{k}.v, m{k - 1}.m), 0), 9) AS fit FROM p{k} JOIN m{k - 1} USING (cls, y, x) GROUP BY ALL),
+    b{k} AS (SELECT image_id, dy, dx FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY fit DESC, dy, dx) AS r FROM f{k}) WHERE r = 1),
+    c{k} AS (SELECT p{k}.* FROM p{k} JOIN b{k} USING (image_id, dy, dx)), m{k} AS (SELECT cls, y, x, avg(v) AS m, stddev_pop(v) AS sd FROM c{k} GROUP BY ALL)"""
+
+
+@query(f"""WITH c0 AS (SELECT h.image_id, e.label AS cls, h.y, h.x, h.v FROM heatmap h JOIN embeddings e ON h.image_id = e.vec_id), m0 AS (SELECT cls, y, x, avg(v) AS m FROM c0 GROUP BY ALL),
+    spots AS (SELECT a AS dy, b AS dx, c AS y, d AS x, least(7, greatest(0, c + a)) AS sy, least(7, greatest(0, d + b)) AS sx FROM range(-2, 3) t(a), range(-2, 3) u(b), range(8) v(c), range(8) w(d)),
+    {_round_sql(1)}, {_round_sql(2)}, s AS (SELECT cls, y, x, avg(CASE WHEN v > 0 THEN 1.0 ELSE 0.0 END) AS share FROM c2 GROUP BY ALL),
+    l AS (SELECT cls, CASE WHEN count(*) FILTER (share > 0.5) < 33 THEN 0.3::DOUBLE ELSE 0.5::DOUBLE END AS lim FROM s GROUP BY cls), k AS (SELECT cls, y, x, m, sd, share > lim AS fg, lim FROM s JOIN l USING (cls) JOIN m2 USING (cls, y, x))
+    SELECT cls, lim AS "limit", count(*) FILTER (fg) AS fg_pixels, round(coalesce(avg(m) FILTER (NOT fg), 255), 6) AS bg_mean, round(coalesce(avg(m) FILTER (fg), 0), 6) AS fg_mean, round(avg(sd), 6) AS mean_std, round(sum(m * (8 * y + x)), 6) AS mixed FROM k GROUP BY cls, lim""")
+def a15_refined_templates(spark, sf_dir):
+    """Templates after two rounds of alignment, and masks with the looser limit where they are small."""
+    pixels = F.transform("embedding", lambda x: x.cast("double"))
+    images = v.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.col("label").alias("cls"), pixels.alias("pixels"))
+    moments, aligned = op.refined_templates(images, (8, 8), 2)
+    t = op.foreground(aligned, moments, lambda x: x > 0, least=33)
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    mixed = total(F.transform("mean", lambda x, k: x * k))
+    return t.select("cls", "limit", F.col("fg_pixels").cast("long").alias("fg_pixels"), *[F.round(c, 6).alias(c) for c in ("bg_mean", "fg_mean")], F.round(total("std") / F.size("std"), 6).alias("mean_std"), F.round(mixed, 6).alias("mixed"))
+
+
 @query("""WITH m AS (SELECT a.image_id, a.v > 0 AS gt, b.v > 0 AS pred FROM heatmap a JOIN heatmap b ON b.image_id = a.image_id + 1 AND a.y = b.y AND a.x = b.x)
     SELECT image_id, round(CASE WHEN count(*) FILTER (gt OR pred) = 0 THEN 1.0 ELSE count(*) FILTER (gt AND pred) / count(*) FILTER (gt OR pred) END, 6) AS iou, round((2 * count(*) FILTER (gt AND pred) + 1) / (count(*) FILTER (gt) + count(*) FILTER (pred) + 1), 6) AS dice FROM m GROUP BY image_id""")
 def a20_j4_iou(spark, sf_dir):

@@ -34,6 +34,40 @@ def j10_active_version(spark, sf_dir):
     return op.as_of(v.jobs(spark, sf_dir), v.model_pins(spark, sf_dir))
 
 
+VERSIONS = "v AS (SELECT project_id, version, min(ts) AS ts, min(ts) FILTER (file IN ('meta.json', 'index.json') OR file LIKE '%.joblib') AS model_ts FROM model_files GROUP BY ALL)"
+
+
+@query(f"""WITH {VERSIONS}, p AS (SELECT m.project_id, updated_at, max({{'version': m.version, 'there': v.version IS NOT NULL}}) AS pin FROM model_pins m LEFT JOIN v ON m.project_id = v.project_id AND m.version = v.version GROUP BY ALL),
+    a AS (SELECT j.job_id, j.project_id, j.ts, p.pin FROM jobs j ASOF LEFT JOIN p ON j.project_id = p.project_id AND j.ts >= p.updated_at),
+    n AS (SELECT a.job_id, max(v.version) AS newest FROM a JOIN v ON a.project_id = v.project_id AND v.model_ts <= a.ts WHERE a.pin IS NULL GROUP BY a.job_id)
+    SELECT a.job_id, a.project_id, coalesce(CASE WHEN pin IS NULL THEN newest WHEN pin.there THEN pin.version END, 'none') AS version FROM a LEFT JOIN n USING (job_id)""")
+def j10_t3_active_model(spark, sf_dir):
+    """Pinned versions, or the newest one with a model file where nothing is pinned yet."""
+    return op.active_version(v.jobs(spark, sf_dir), v.model_pins(spark, sf_dir), v.model_files(spark, sf_dir))
+
+
+@query(f"WITH {VERSIONS} SELECT project_id, max(version) AS version FROM v WHERE model_ts IS NOT NULL GROUP BY project_id")
+def t3_latest_model(spark, sf_dir):
+    return op.latest_version(v.model_files(spark, sf_dir))
+
+
+@query("""WITH e AS (SELECT event_id, 'p' || (user_id % 8) AS project_id, value, event_type, props FROM events),
+    t AS (SELECT project_id, 'wait_file' AS step, round(value / 7, 2) AS ms FROM e UNION ALL SELECT project_id, 'total', round(value * 2, 2) FROM e UNION ALL SELECT project_id, 'infer', value FROM e
+        UNION ALL SELECT project_id, 'post', CASE WHEN event_id % 3 = 0 THEN value / 3 ELSE 0 END FROM e UNION ALL SELECT project_id, unnest(['save', 'read']), 0.0 FROM e
+        UNION ALL SELECT project_id, k, round(CAST(json_extract(props, '$.' || k) AS DOUBLE), 2) FROM (SELECT *, unnest(json_keys(props)) AS k FROM e)
+        UNION ALL SELECT project_id, 'stage_' || event_type, round(value / 5, 2) FROM e UNION ALL SELECT project_id, 'only_' || event_id, round(value, 2) FROM e WHERE event_id % 97 = 0)
+    SELECT project_id, step, round(avg(ms), 4) AS mean_ms, count(*) AS n FROM t WHERE ms IS NOT NULL GROUP BY ALL""")
+def a26_timing_maps(spark, sf_dir):
+    """Steps with any keys, some of them in one row only."""
+    e = v.table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("p"), F.col("user_id") % 8).alias("project_id"), "event_type", "value", "props")
+    own = F.map_from_arrays(
+        F.array(F.lit("infer"), F.lit("post"), F.concat(F.lit("stage_"), "event_type"), F.concat(F.lit("only_"), "event_id")),
+        F.array(F.col("value"), F.when(F.col("event_id") % 3 == 0, F.col("value") / 3), F.col("value") / 5, F.when(F.col("event_id") % 97 == 0, F.col("value"))),
+    )
+    merged = op.merged_timing(F.map_concat(own, op.timing_of_json(F.col("props"))), F.col("value") / 7, F.col("value") * 2)
+    return op.timing_means(e.select("project_id", merged.alias("timing")), "timing").withColumn("mean_ms", F.round("mean_ms", 4))
+
+
 @query("""SELECT j.job_id, j.project_id, coalesce(p.enabled, false) AS enabled, coalesce(nullif(p.thr_global, 0), 120.0) AS thr,
     CASE WHEN j.infer_ms > coalesce(nullif(p.thr_global, 0), 120.0) THEN 'NG' ELSE 'OK' END AS decision FROM jobs j LEFT JOIN projects p USING (project_id)""")
 def j11_p8_p9_project_threshold(spark, sf_dir):

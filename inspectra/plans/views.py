@@ -42,6 +42,13 @@ def model_pins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.concat(F.lit("p"), F.col("user_id") % 8).alias("project_id"), F.date_format("ts", "yyyyMMdd_HHmmss").alias("version"), F.col("ts").cast("timestamp").alias("updated_at"))
 
 
+def model_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of version folders: those of purchases, some of them gone, and of signups."""
+    e = table(spark, sf_dir, "events").where("event_type = 'signup' OR (event_type = 'purchase' AND event_id % 7 <> 0)")
+    name = F.element_at(F.array(*[F.lit(x) for x in ("meta.json", "index.json", "weights.joblib", "notes.txt", "readme.md")]), (F.col("event_id") % 5 + 1).cast("int"))
+    return e.select(F.concat(F.lit("p"), F.col("user_id") % 8).alias("project_id"), F.date_format("ts", "yyyyMMdd_HHmmss").alias("version"), name.alias("file"), F.col("ts").cast("timestamp").alias("ts"))
+
+
 def bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("bank_id"), F.col("label").alias("cls"), F.col("embedding").alias("emb"))
 
@@ -150,6 +157,7 @@ VIEWS = {
         value AS infer_ms, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, CAST(ts AS TIMESTAMP) AS ts, CAST(ts AS DATE) AS date FROM events""",
     "projects": "SELECT 'p' || n AS project_id, n % 5 <> 0 AS enabled, CASE WHEN n % 2 = 1 THEN 150.0::DOUBLE END AS thr_global FROM (SELECT DISTINCT user_id % 8 AS n FROM events)",
     "model_pins": "SELECT 'p' || (user_id % 8) AS project_id, strftime(ts, '%Y%m%d_%H%M%S') AS version, CAST(ts AS TIMESTAMP) AS updated_at FROM events WHERE event_type = 'purchase'",
+    "model_files": "SELECT 'p' || (user_id % 8) AS project_id, strftime(ts, '%Y%m%d_%H%M%S') AS version, ['meta.json', 'index.json', 'weights.joblib', 'notes.txt', 'readme.md'][event_id % 5 + 1] AS file, CAST(ts AS TIMESTAMP) AS ts FROM events WHERE event_type = 'signup' OR (event_type = 'purchase' AND event_id % 7 <> 0)",
     "bank": "SELECT vec_id AS bank_id, label AS cls, CAST(embedding AS DOUBLE[]) AS emb FROM embeddings",
     "queries": "SELECT vec_id AS query_id, label AS cls, CAST(embedding AS DOUBLE[]) AS emb FROM embeddings WHERE vec_id % 50 = 0",
     "patches": "SELECT vec_id // 8 AS image_id, vec_id % 8 AS patch_idx, first_value(label) OVER (PARTITION BY vec_id // 8 ORDER BY vec_id) AS cls, CAST(embedding AS DOUBLE[]) AS emb FROM embeddings",

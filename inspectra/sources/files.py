@@ -75,6 +75,31 @@ def write_suspects(rows: DataFrame, folder: str) -> None:
     rows.select("cls", F.concat_ws("\t", F.format_string("%.6f", "score"), "split", "path").alias("value")).write.mode("overwrite").partitionBy("cls").text(folder)
 
 
+REPORT = "cls string, thr double, n_ok long, n_patches long, score_mean double, score_max double, suspects array<struct<score:double,split:string,path:string>>"
+
+
+def write_report(classes: DataFrame, suspects: DataFrame, meta: DataFrame, folder: str) -> None:
+    """index: a row per class with its suspects, highest score first (suspects: cls,
+    score, split, path; a few per class); meta: one row."""
+    per = suspects.groupBy(F.col("cls").cast("string").alias("_cls")).agg(F.sort_array(F.collect_list(F.struct("score", "split", "path")), asc=False).alias("suspects"))
+    rows = classes.withColumn("cls", F.col("cls").cast("string")).join(per, F.col("cls") == F.col("_cls"), "left").drop("_cls")
+    names = [f.split()[0] for f in REPORT.split(", ")]
+    none = F.array().cast("array<struct<score:double,split:string,path:string>>")
+    rows.withColumn("suspects", F.coalesce("suspects", none)).select(names).write.mode("overwrite").option("ignoreNullFields", False).json(f"{folder}/index")
+    meta.write.mode("overwrite").json(f"{folder}/meta")
+
+
+def read_report(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The report's classes and its meta row. A line that isn't an object with just
+    the report's fields, or with a value of another type, is an error."""
+    names = sorted(f.split()[0] for f in REPORT.split(", "))
+    lines = spark.read.text(f"{folder}/index")
+    wrong = lines.where(~F.sort_array(F.json_object_keys("value")).eqNullSafe(F.array(*[F.lit(n) for n in names])))
+    if example := wrong.head(1):
+        raise ValueError(f"not a row of a report: {example[0].value[:200]}")
+    return spark.read.schema(REPORT).option("mode", "FAILFAST").json(f"{folder}/index"), spark.read.json(f"{folder}/meta")
+
+
 def result_text(pred: Column, prob_ok: Column) -> Column:
     return F.format_string("result=%s\nprob_OK=%.4f", pred, prob_ok)
 
