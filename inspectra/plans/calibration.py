@@ -29,6 +29,13 @@ def j5_mean_of_three(spark, sf_dir):
     return patch_distances(spark, sf_dir, 3).select("query_id", "cls", F.round("d", 6).alias("d"))
 
 
+@query(NEAREST % 3 + " SELECT query_id, cls, round(d, 6) AS d FROM n")
+def j5_j7_pruned_search(spark, sf_dir):
+    """The same distances, with shares of the bank skipped where they can't hold a nearer row."""
+    found = knn.PrunedSearch(v.queries(spark, sf_dir), v.bank(spark, sf_dir), 3, exclude_self=True, pivots=8).nearest()
+    return found.select("query_id", "cls", F.round("d", 6).alias("d"))
+
+
 @query("SELECT q.query_id, round(sqrt(greatest(min(pow(list_distance(q.emb, b.emb), 2)), 0) + 1e-12), 6) AS d FROM queries q JOIN bank b ON q.query_id <> b.bank_id GROUP BY q.query_id")
 def j6_global_bank(spark, sf_dir):
     q, b = v.queries(spark, sf_dir).withColumn("cls", F.lit(0)), v.bank(spark, sf_dir).withColumn("cls", F.lit(0))
