@@ -1,13 +1,13 @@
 """Chat formatting with schema fingerprints.
 
 Raw records come as JSON of several layouts. The nested field paths of a
-record (``schema_of_variant`` without its types, and without the paths that no
-mapping names, so that further fields change nothing) are hashed; the
-fingerprint selects a declarative mapping - a schema and one expression - that
-yields the canonical turns (conv_id, turn, role, text). Rows of a table take the
-mapping that the fingerprint of their schema selects, without passing through
-JSON. A record of unknown layout yields no turns and is reported by
-``unknown_layouts``.
+record, those that some mapping names, are hashed; further fields change
+nothing, whatever is in them. The fingerprint selects a declarative mapping - a
+schema and one expression - that yields the canonical turns (conv_id, turn,
+role, text). Rows of a table take the mapping that the fingerprint of their
+schema selects, without passing through JSON. A record of unknown layout (also
+one without a conv_id, or with a list or an object where a text is due) yields
+no turns and is counted by ``unknown_layouts``.
 
 The template writes one segment per turn; a formatted conversation is its
 segments joined in turn order. Control strings inside roles and texts get a
@@ -34,9 +34,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StructType
 
-#: Levels of unknown fields that a fingerprint leaves out.
-NESTED = 4
-
 TURN = "struct<conv_id: bigint, turn: bigint, role: string, text: string>"
 
 
@@ -73,43 +70,53 @@ LAYOUTS = [
 ]
 
 
-def shape(layout: Layout) -> str:
-    """The layout's paths in the form in which schema_of_variant nests them."""
-    tree: dict = {}
-    for path in layout.paths:
-        at = tree
-        for part in path.split("."):
-            at = at.setdefault(part, {})
+def _children(layouts: list[Layout]) -> dict[str, list[str]]:
+    """The fields that layouts name: each with those of its list's members."""
+    out: dict[str, set[str]] = {}
+    for path in (p for layout in layouts for p in layout.paths):
+        top, _, inner = path.partition(".")
+        out.setdefault(top.removesuffix("[]"), set()).update([inner] if inner else [])
+    return {k: sorted(v) for k, v in sorted(out.items())}
 
-    def show(node: dict) -> str:
-        return ", ".join(f"{k.removesuffix('[]')}: " + (f"ARRAY<{inner}>" if k.endswith("[]") else inner) for k, sub in sorted(node.items()) for inner in ["OBJECT<" + show(sub) + ">" if sub else "*"])
 
-    return f"OBJECT<{show(tree)}>"
+def _path(path: str, value: Column) -> Column:
+    """The path of a value that is there; lists and objects in place of a single
+    value are marked."""
+    kind = F.schema_of_variant(value)
+    return F.when(value.isNull(), None).when(kind.startswith("ARRAY"), path + "[]").when(kind.startswith("OBJECT"), path + "{}").otherwise(path)
 
 
-_TYPES = r"\b(STRING|BIGINT|DOUBLE|FLOAT|BOOLEAN|VOID|DECIMAL\(\d+,\d+\)|TIMESTAMP|TIMESTAMP_NTZ|DATE|BINARY|INT|SMALLINT|TINYINT)(?=[,>]|$)"
+def _member_path(name: str, inner: str) -> Callable[[Column], Column]:
+    return lambda member: _path(f"{name}[].{inner}", F.try_element_at(member, F.lit(inner)))
 
 
-def known_shape(said: Column, layouts: list[Layout] = LAYOUTS) -> Column:
-    """A nested schema as text, without types and without the fields that no
-    layout names. What is left of an unknown field's own fields goes with it."""
-    names = sorted({part.removesuffix("[]") for layout in layouts for path in layout.paths for part in path.split(".")})
-    out = F.regexp_replace(said, _TYPES, "*")
-    field = r"(?<=[<, ])(?!(?:" + "|".join(names) + r"):)(?:`[^`]*`|[^\s:<>,`]+): (?:\*|ARRAY<\*?>|OBJECT<[^<>]*>|ARRAY<OBJECT<[^<>]*>>|ARRAY<ARRAY<\*?>>)(?:, )?"
-    for _ in range(NESTED):
-        out = F.regexp_replace(out, field, "")
-    return F.regexp_replace(out, ", >", ">")
+def field_paths(record: Column, layouts: list[Layout] = LAYOUTS) -> Column:
+    """The nested field paths of a JSON record that some layout names, in order; null
+    if it isn't a JSON object. Whatever lies in other fields, at any depth, isn't
+    looked at."""
+    fields = F.try_variant_get(F.try_parse_json(record), "$", "map<string,variant>")
+    paths = []
+    for name, inner in _children(layouts).items():
+        value = F.try_element_at(fields, F.lit(name))
+        if not inner:
+            paths.append(F.array(_path(name, value)))
+            continue
+        members = F.try_variant_get(value, "$", "array<map<string,variant>>")
+        found = [F.array_distinct(F.transform(members, _member_path(name, k))) for k in inner]
+        paths.append(F.when(F.size(members) > 0, F.concat(*found)).otherwise(F.array(_path(name, value))))
+    return F.when(fields.isNotNull(), F.array_sort(F.array_compact(F.concat(*paths))))
 
 
 def fingerprint(record: Column, layouts: list[Layout] = LAYOUTS) -> Column:
-    """Hash of the nested field paths of a JSON record; null if it isn't JSON."""
-    return F.xxhash64(known_shape(F.schema_of_variant(F.try_parse_json(record)), layouts))
+    """Hash of the nested field paths of a JSON record; null if it isn't a JSON object."""
+    paths = field_paths(record, layouts)
+    return F.when(paths.isNotNull(), F.xxhash64(F.array_join(paths, "|")))
 
 
 def _marks(layout: Layout) -> list[str]:
-    """The shapes under which a layout is met: also with its lists empty."""
-    full = shape(layout)
-    return [full, re.sub(r"ARRAY<OBJECT<.*?>>", "ARRAY<*>", full)] if "ARRAY<" in full else [full]
+    """The paths under which a layout is met: also with its lists empty."""
+    full = "|".join(sorted(layout.paths))
+    return [full, "|".join(sorted({p.partition(".")[0] for p in layout.paths}))] if "[]." in full else [full]
 
 
 def canonical_turns(records: DataFrame, json_col: str = "record", layouts: list[Layout] = LAYOUTS) -> DataFrame:
@@ -132,10 +139,13 @@ def _paths(kind: DataType, before: str = "") -> set[str]:
 
 
 def table_turns(rows: DataFrame, layouts: list[Layout] = LAYOUTS) -> DataFrame:
-    """conv_id, turn, role, text of a table's rows, by the layout with the most
-    field paths of those whose paths the table has all."""
+    """conv_id, turn, role, text of a table's rows, by the layout that the fingerprint
+    of the table's field paths selects; where columns of several layouts clash,
+    of those whose paths the table has all the one with the most."""
     have = _paths(rows.schema)
-    fits = [layout for layout in layouts if set(layout.paths) <= have]
+    named = have & {p for layout in layouts for p in layout.paths}
+    by_mark = {_marks(layout)[0]: layout for layout in layouts}
+    fits = [by_mark["|".join(sorted(named))]] if "|".join(sorted(named)) in by_mark else [layout for layout in layouts if set(layout.paths) <= have]
     if not fits:
         raise ValueError(f"no layout has its paths among {sorted(have)}")
     layout = max(fits, key=lambda each: len(each.paths))
