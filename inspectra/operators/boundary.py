@@ -100,13 +100,29 @@ def dipoles(rows: DataFrame, pitch: int, weight: float = 0.03) -> DataFrame:
     return g.withColumn("level", F.when(F.col("score") >= 5.5, "NG").when(F.col("score") >= 4, "WARN").otherwise("OK"))
 
 
-def tooth_peaks(rows: DataFrame, pitch: int, value: str = "x") -> DataFrame:
+def tooth_peaks(rows: DataFrame, pitch: int, value: str = "x", skip_top: float = 0.0) -> DataFrame:
     """Each window's largest value, its y, its residual to the straight line
-    through the curve's peaks, and the difference to the peak before."""
-    p = windows(rows, pitch).groupBy(*CURVE, "tooth").agg(F.max(value).alias("peak"), F.max_by("y", F.struct(F.col(value), -F.col("y"))).alias("y"))
+    through the curve's peaks, and how far it lies from the peak before. Windows
+    with a centre in the first share of the rows are left out."""
+    height = F.max("y").over(curve(None)) + 1
+    near = windows(rows.withColumn("_top", F.floor(height * skip_top)), pitch).where(F.col("tooth") * pitch + max(1, pitch // 2) >= F.col("_top"))
+    p = near.groupBy(*CURVE, "tooth").agg(F.max(value).alias("peak"), F.max_by("y", F.struct(F.col(value), -F.col("y"))).alias("y"))
     fit = p.groupBy(*CURVE).agg(F.regr_slope("peak", "y").alias("slope"), F.regr_intercept("peak", "y").alias("intercept"))
     out = p.join(fit, CURVE).withColumn("residual", F.col("peak") - F.coalesce(F.col("intercept") + F.col("slope") * F.col("y"), F.col("peak")))
-    return out.withColumn("step", F.col("peak") - F.lag("peak").over(Window.partitionBy(*CURVE).orderBy("tooth"))).drop("slope", "intercept")
+    return out.withColumn("step", F.abs(F.col("peak") - F.lag("peak").over(Window.partitionBy(*CURVE).orderBy("tooth"))))
+
+
+def peak_maxima(peaks: DataFrame) -> DataFrame:
+    """Per curve: the largest step, the tooth where it ends (the first one), the largest residual."""
+    worst = F.max_by("tooth", F.struct(F.coalesce("step", F.lit(-1.0)), -F.col("tooth")))
+    return peaks.groupBy(*CURVE).agg(F.coalesce(F.max("step"), F.lit(0.0)).alias("max_step"), F.when(F.max("step").isNotNull(), worst).alias("at_tooth"), F.max(F.abs("residual")).alias("max_residual"))
+
+
+def against_peaks(rows: DataFrame, pitch: int, value: str = "x") -> DataFrame:
+    """Rows with r, their residual to the line through their curve's tooth peaks;
+    curves with fewer than two peaks have none."""
+    line = tooth_peaks(rows, pitch, value).groupBy(*CURVE).agg(F.first("slope").alias("_slope"), F.first("intercept").alias("_intercept")).where("_slope IS NOT NULL")
+    return rows.join(line, CURVE).withColumn("r", F.col(value) - (F.col("_intercept") + F.col("_slope") * F.col("y"))).drop("_slope", "_intercept")
 
 
 def largest_excursion(rows: DataFrame, depth: float) -> DataFrame:
@@ -188,15 +204,18 @@ def per_curve(rows: DataFrame, function, name: str, value: str = "x") -> DataFra
     return rows.select(*CURVE, "y", value).groupBy(*CURVE).applyInPandas(run, f"image_id long, side string, y int, {value} double, {name} double")
 
 
-def pitch_estimate(rows: DataFrame, low: int, high: int, value: str = "r") -> DataFrame:
+def pitch_estimate(rows: DataFrame, low: int, high: int, value: str = "r", fallback: int | None = None) -> DataFrame:
     """The lag with the largest autocorrelation about the mean; the smallest
-    where several."""
+    where several. A flat curve, or one shorter than ``low``, has the fall-back."""
     rows = rows.withColumn(value, F.col(value) - F.avg(value).over(Window.partitionBy(*CURVE)))
+    all_ = rows.groupBy(*CURVE).agg((F.max(F.abs(value)) <= 1e-8).alias("_flat"))
     lags = rows.select(*CURVE, (F.col("y")).alias("y1"), F.col(value).alias("a"), F.explode(F.sequence(F.lit(low), F.lit(high))).alias("lag"))
     other = rows.select(*CURVE, F.col("y").alias("y2"), F.col(value).alias("b"))
     moved = lags.withColumn("y2", (F.col("y1") + F.col("lag")).cast("int")).join(other, [*CURVE, "y2"])
     sums = moved.groupBy(*CURVE, "lag").agg(F.round(F.sum(F.col("a") * F.col("b")), 6).alias("c"))
-    return sums.groupBy(*CURVE).agg(F.max_by("lag", F.struct("c", -F.col("lag"))).alias("pitch"))
+    best = sums.groupBy(*CURVE).agg(F.max_by("lag", F.struct("c", -F.col("lag"))).alias("_best"))
+    pitch = F.when(~F.col("_flat"), F.col("_best"))
+    return all_.join(best, CURVE, "left").select(*CURVE, F.coalesce(pitch, F.lit(fallback).cast("int")).alias("pitch"))
 
 
 def strip_scores(rows: DataFrame, size: int, overlap: int, weight: float = 2.0) -> DataFrame:
@@ -227,7 +246,10 @@ def against_left(rows: DataFrame, offset: float) -> DataFrame:
     return right.select("image_id", "y", (F.col("x") - (F.col("intercept") + F.col("slope") * F.col("y") + offset)).alias("gap"))
 
 
-def ignored_top(rows: DataFrame, share: float) -> DataFrame:
-    """Residuals in the first share of a curve's rows become zero."""
+def ignored_top(rows: DataFrame, left: float = 0.0, right: float = 0.2, missing_right: bool = True) -> DataFrame:
+    """Residuals in the first share of a curve's rows, one share for each side,
+    become zero; so do, on the right, those away from the groove."""
     height = F.max("y").over(curve(None)) + 1
-    return rows.withColumn("r", F.when(F.col("y") < F.floor(height * share), 0.0).otherwise(F.col("r")))
+    share = F.when(F.col("side") == "L", left).otherwise(right)
+    zero = (F.col("y") < F.floor(height * share)) | (F.lit(missing_right) & (F.col("side") == "R") & (F.col("r") > 0))
+    return rows.withColumn("r", F.when(zero, 0.0).otherwise(F.col("r")))

@@ -138,6 +138,21 @@ def iou(pairs: DataFrame) -> DataFrame:
     return g.select("image_id", F.when(F.col("either") == 0, 1.0).otherwise(F.col("both") / F.col("either")).alias("iou"), ((2 * F.col("both") + 1) / (F.col("n_gt") + F.col("n_pred") + 1)).alias("dice"))
 
 
+def coverage_gate(pixels: DataFrame, least: float, limit: int = 127) -> DataFrame:
+    """Per image the share of pixels over a limit: the score, or 1 less it and NG
+    where it is below a minimum (0: no gate)."""
+    low = (F.lit(least) > 0) & (F.col("share") < least)
+    shares = pixels.groupBy("image_id").agg(F.avg((F.col("gray") > limit).cast("double")).alias("share"))
+    return shares.withColumns({"verdict": F.when(low, "NG").otherwise("OK"), "score": F.when(low, 1 - F.col("share")).otherwise(F.col("share"))})
+
+
+def less_row_median(pixels: DataFrame, value: str, along: str = "y") -> DataFrame:
+    """Pixels less the median of their row (along y) or column (along x)."""
+    line = ["image_id", along]
+    median = pixels.groupBy(*line).agg(F.percentile(value, F.lit(0.5)).alias("_median"))
+    return pixels.join(median, line).withColumn(value, F.col(value) - F.col("_median")).drop("_median")
+
+
 def otsu_threshold(pixels: DataFrame) -> DataFrame:
     """Per image, from its histogram; the first of the best bins."""
     h = pixels.groupBy("image_id", F.col("gray").alias("bin")).agg(F.count(F.lit(1)).alias("c"))

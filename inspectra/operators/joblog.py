@@ -177,6 +177,17 @@ def log_tail(jobs: DataFrame, n: int) -> DataFrame:
     return jobs.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).drop("_n")
 
 
+def entries_since(jobs: DataFrame, since: int) -> DataFrame:
+    """Entries of each project from the ``since``-th on (from 0, in order of arrival),
+    with their index and the next one to ask for. A busy project is numbered by
+    the day."""
+    one = jobs.withColumn("_one", F.lit(1))
+    numbered = ranks.running_sums(one, ["project_id"], F.unix_date(F.to_date("ts")), ["ts", "job_id"], "_one", "_n").drop("_one")
+    total = jobs.groupBy(F.col("project_id").alias("_p")).agg(F.count(F.lit(1)).alias("next_index"))
+    rows = numbered.withColumn("index", F.col("_n") - 1).drop("_n").where(F.col("index") >= since)
+    return rows.join(total, F.col("project_id").eqNullSafe(F.col("_p"))).drop("_p")
+
+
 def job_status(pred: Column, ms: Column, limit_ms: float) -> Column:
     return F.when(ms > limit_ms, "timeout").when(pred == "ERROR", "failed").otherwise("completed")
 
@@ -191,9 +202,13 @@ def backlog(jobs: DataFrame, most: int) -> DataFrame:
     return pending.select("project_id", "job_id", "pending", (F.col("pending") > most).alias("full"))
 
 
-def stable_files(polls: DataFrame, checks: int) -> DataFrame:
+def stable_files(polls: DataFrame, checks: int, deadline_s: float | None = None) -> DataFrame:
     """First time at which a file's size had been above 0 and equal to the
-    previous poll's ``checks`` times in a row."""
+    previous poll's ``checks`` times in a row; with a deadline only files that
+    are so before it has passed since their first poll."""
+    if deadline_s is not None:
+        first = polls.groupBy("path").agg(F.min("ts").alias("_first"))
+        polls = polls.join(first, "path").where(F.unix_micros("ts") - F.unix_micros("_first") < round(deadline_s * 1e6)).drop("_first")
     order = Window.partitionBy("path").orderBy("ts", "event_id")
     same = (F.col("size") > 0) & (F.col("size") == F.lag("size").over(order))
     rows = polls.withColumn("same", F.coalesce(same, F.lit(False)))

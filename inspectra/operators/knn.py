@@ -183,6 +183,13 @@ def projection(rows: DataFrame, column: str, size: int, seed: int = 42) -> DataF
     return rows.withColumn(column, project(column))
 
 
+def pooled(rows: DataFrame, group: str, vector: str) -> DataFrame:
+    """The mean vector of each group; sums leave each task per component."""
+    cells = rows.select(group, F.posexplode(vector).alias("_k", "_x")).groupBy(group, "_k").agg(F.avg(F.col("_x").cast("double")).alias("_m"))
+    whole = cells.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("_k", "_m"))).alias("_c"))
+    return whole.select(group, F.col("_c._m").alias(vector))
+
+
 def with_rank(rows: DataFrame, group: str, score: str, tie: str, k: int) -> DataFrame:
     """The k highest scores of each group."""
     order = Window.partitionBy(group).orderBy(F.desc(score), tie)

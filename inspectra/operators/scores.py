@@ -140,6 +140,19 @@ def weighted_draws(rows: DataFrame, key: str, label: str, draws: int, seed: int
     return placed.select("draw", label, "_place").join(numbered, [label, "_place"]).select("draw", label, key)
 
 
+def image_verdict(images: DataFrame, regions: DataFrame, count_unknown: bool = False) -> DataFrame:
+    """Per image, also those without regions: total, ng_count, unk_count, the largest
+    score and threshold of known regions, and NG where a region is (with
+    count_unknown also where one is unknown). regions: image_id, score, thr, decision."""
+    known = F.col("decision") != "UNKNOWN"
+    g = images.join(regions.select("image_id", "score", "thr", "decision"), "image_id", "left").groupBy("image_id").agg(
+        F.count("decision").alias("total"), F.count_if(F.col("decision") == "NG").alias("ng_count"), F.count_if(F.col("decision") == "UNKNOWN").alias("unk_count"),
+        F.coalesce(F.max(F.when(known, F.col("score"))), F.lit(0.0)).alias("score"), F.coalesce(F.max(F.when(known, F.col("thr"))), F.lit(0.0)).alias("threshold"),
+    )
+    faults = F.col("ng_count") + (F.col("unk_count") if count_unknown else F.lit(0))
+    return g.withColumn("verdict", F.when(faults > 0, "NG").otherwise("OK"))
+
+
 def confusion(rows: DataFrame) -> DataFrame:
     """Counts, accuracy, precision and recall of NG."""
     a, p = F.col("actual_ng"), F.col("predicted_ng")

@@ -240,20 +240,17 @@ def p10_p12_gates(spark, sf_dir):
     return two_scores(spark, sf_dir).select("sample_id", F.when(F.col("score") >= 1.0, "NG").otherwise("OK").alias("inclusive"), gates.alias("both_gates"))
 
 
-@query(SCORES2 + """, r AS (SELECT sample_id // 8 AS image_id, cls, score, CASE WHEN cls = 9 THEN 'UNKNOWN' WHEN score > 1.2 THEN 'NG' ELSE 'OK' END AS decision FROM s WHERE sample_id % 7 <> 0),
-    i AS (SELECT DISTINCT sample_id // 8 AS image_id FROM s)
-    SELECT i.image_id, count(r.decision) AS total, count(*) FILTER (decision = 'NG') AS ng_count, count(*) FILTER (decision = 'UNKNOWN') AS unk_count, round(coalesce(max(score) FILTER (decision <> 'UNKNOWN'), 0.0), 6) AS score,
-        CASE WHEN count(*) FILTER (decision = 'NG') > 0 THEN 'NG' ELSE 'OK' END AS verdict FROM i LEFT JOIN r USING (image_id) GROUP BY i.image_id""")
+@query(SCORES2 + """, r AS (SELECT sample_id // 8 AS image_id, cls, score, 1.2 + cls / 10.0::DOUBLE AS thr, CASE WHEN cls = 9 THEN 'UNKNOWN' WHEN score > 1.2 + cls / 10.0::DOUBLE THEN 'NG' ELSE 'OK' END AS decision FROM s),
+    g AS (SELECT image_id, count(*) AS total, count(*) FILTER (decision = 'NG') AS ng_count, count(*) FILTER (decision = 'UNKNOWN') AS unk_count, round(coalesce(max(score) FILTER (decision <> 'UNKNOWN'), 0.0), 6) AS score, round(coalesce(max(thr) FILTER (decision <> 'UNKNOWN'), 0.0), 6) AS threshold FROM r GROUP BY image_id)
+    SELECT *, CASE WHEN ng_count > 0 THEN 'NG' ELSE 'OK' END AS verdict, CASE WHEN ng_count + unk_count > 0 THEN 'NG' ELSE 'OK' END AS strict_verdict FROM g""")
 def a4_image_verdict(spark, sf_dir):
-    s = two_scores(spark, sf_dir).withColumn("image_id", F.floor(F.col("sample_id") / 8))
-    d = F.when(F.col("cls") == 9, "UNKNOWN").when(F.col("score") > 1.2, "NG").otherwise("OK")
-    r = s.where("sample_id % 7 <> 0").select("image_id", "score", d.alias("decision"))
-    g = s.select("image_id").distinct().join(r, "image_id", "left").groupBy("image_id")
-    return g.agg(
-        F.count("decision").alias("total"), F.count_if(F.col("decision") == "NG").alias("ng_count"), F.count_if(F.col("decision") == "UNKNOWN").alias("unk_count"),
-        F.round(F.coalesce(F.max(F.when(F.col("decision") != "UNKNOWN", F.col("score"))), F.lit(0.0)), 6).alias("score"),
-        F.when(F.count_if(F.col("decision") == "NG") > 0, "NG").otherwise("OK").alias("verdict"),
-    )
+    """Counts, the largest score and threshold, and the verdict, without and with unknown regions as faults."""
+    s = two_scores(spark, sf_dir).withColumns({"image_id": F.floor(F.col("sample_id") / 8), "thr": 1.2 + F.col("cls") / 10})
+    decided = s.withColumn("decision", F.when(F.col("cls") == 9, "UNKNOWN").when(F.col("score") > F.col("thr"), "NG").otherwise("OK"))
+    images = s.select("image_id").distinct()
+    plain, strict = scores.image_verdict(images, decided), scores.image_verdict(images, decided, count_unknown=True)
+    out = plain.join(strict.select("image_id", F.col("verdict").alias("strict_verdict")), "image_id")
+    return out.select("image_id", "total", "ng_count", "unk_count", F.round("score", 6).alias("score"), F.round("threshold", 6).alias("threshold"), "verdict", "strict_verdict")
 
 
 COLUMNS = knn.projection_matrix(64, 16).T.tolist()
@@ -274,6 +271,26 @@ def m24_pooled_patches(spark, sf_dir):
     return pooled.select("image_id", F.round(knn.dot(F.col("c.m"), F.col("c.m")), 6).alias("squared"), "n")
 
 
+@query(f"""WITH c AS (SELECT image_id, unnest(emb) AS e, generate_subscripts(emb, 1) AS dim FROM patches), a AS (SELECT image_id, dim, avg(e) AS m FROM c GROUP BY ALL), l AS (SELECT image_id, list(m ORDER BY dim) AS m FROM a GROUP BY image_id),
+    p AS (SELECT image_id, list_transform(CAST({COLUMNS} AS DOUBLE[][]), lambda k: list_dot_product(m, k)) AS z FROM l), n AS (SELECT image_id, z, greatest(sqrt(list_dot_product(z, z)), 1e-12) AS length FROM p)
+    SELECT image_id, dim, round(value / length, 6) AS value FROM (SELECT image_id, length, generate_subscripts(z, 1) - 1 AS dim, unnest(z) AS value FROM n)""")
+def m24_pooled_vectors(spark, sf_dir):
+    """A strip's patches as one vector: the mean, projected and normalised."""
+    pooled = knn.projection(knn.pooled(v.patches(spark, sf_dir), "image_id", "emb"), "emb", 16)
+    return pooled.select("image_id", F.posexplode("emb").alias("dim", "value")).select("image_id", F.col("dim").cast("long").alias("dim"), F.round("value", 6).alias("value"))
+
+
+@query(f"""WITH o AS (SELECT *, {digest_order('bank_id')} AS o FROM bank), r AS (SELECT *, count(*) OVER (PARTITION BY cls) AS n, row_number() OVER (PARTITION BY cls ORDER BY o, bank_id) AS r FROM o), s AS (SELECT * FROM r WHERE r <= greatest(5, least(25, n))),
+    d AS (SELECT a.cls, a.bank_id, a.n, min(list_distance(a.emb, b.emb)) AS d FROM s a JOIN s b ON a.cls = b.cls AND a.bank_id <> b.bank_id GROUP BY ALL)
+    SELECT cls, max(n) AS bank_before, count(*) AS bank_after, round(quantile_cont(d, 0.995), 6) AS thr, min(bank_id) AS first_id, CAST(sum(bank_id) AS BIGINT) AS ids FROM d GROUP BY cls""")
+def a17_shrunk_threshold(spark, sf_dir):
+    """A random part of each bank, and the threshold found anew from it."""
+    bank = stored(scores.shrink_bank(v.bank(spark, sf_dir), 25, 5), "shrunk")
+    thr = scores.quantile_threshold(knn.self_distances(bank.select("bank_id", "cls", "emb"), exclude_self=True), "cls", "d", 0.995)
+    sizes = bank.groupBy("cls").agg(F.max("bank_before").alias("bank_before"), F.count(F.lit(1)).alias("bank_after"), F.min("bank_id").alias("first_id"), F.sum("bank_id").alias("ids"))
+    return sizes.join(thr, "cls").select("cls", "bank_before", "bank_after", F.round("thr", 6).alias("thr"), "first_id", "ids")
+
+
 @query(ORDERED_TRUTH + f""", c AS (SELECT actual_ng, count(*) AS n, row_number() OVER (ORDER BY actual_ng) - 1 AS class, count(*) OVER () AS classes FROM truth GROUP BY actual_ng),
     r AS (SELECT actual_ng, sample_id, row_number() OVER (PARTITION BY actual_ng ORDER BY o, sample_id) - 1 AS place FROM t),
     d AS (SELECT range AS draw, {digest_order("range || ':1'")} / pow(2, 52) AS a, {digest_order("range || ':2'")} / pow(2, 52) AS b FROM range(20000))

@@ -124,10 +124,20 @@ def a20_j4_iou(spark, sf_dir):
     return op.iou(gt.join(pred, ["image_id", "y", "x"])).select("image_id", F.round("iou", 6).alias("iou"), F.round("dice", 6).alias("dice"))
 
 
-@query("SELECT image_id, round(avg(CASE WHEN gray > 127 THEN 1.0 ELSE 0.0 END), 6) AS share, CASE WHEN avg(CASE WHEN gray > 127 THEN 1.0 ELSE 0.0 END) < 0.45 THEN 'NG' ELSE 'OK' END AS verdict FROM pixels GROUP BY image_id")
+@query("""WITH s AS (SELECT image_id, avg(CASE WHEN gray > 127 THEN 1.0 ELSE 0.0 END) AS share FROM pixels GROUP BY image_id)
+    SELECT image_id, round(share, 6) AS share, CASE WHEN share < 0.45 THEN 'NG' ELSE 'OK' END AS verdict, round(CASE WHEN share < 0.45 THEN 1 - share ELSE share END, 6) AS score FROM s""")
 def a23_p14_coverage(spark, sf_dir):
-    share = F.avg((F.col("gray") > 127).cast("double"))
-    return v.pixels(spark, sf_dir).groupBy("image_id").agg(F.round(share, 6).alias("share"), F.when(share < 0.45, "NG").otherwise("OK").alias("verdict"))
+    c = op.coverage_gate(v.pixels(spark, sf_dir), 0.45)
+    return c.select("image_id", F.round("share", 6).alias("share"), "verdict", F.round("score", 6).alias("score"))
+
+
+@query("""WITH m AS (SELECT a.image_id, a.v > 0 AS gt, b.v > 0 AS pred FROM heatmap a JOIN heatmap b ON b.image_id = a.image_id + 1 AND a.y = b.y AND a.x = b.x),
+    i AS (SELECT image_id, CASE WHEN count(*) FILTER (gt OR pred) = 0 THEN 1.0 ELSE count(*) FILTER (gt AND pred) / count(*) FILTER (gt OR pred) END AS iou, (2 * count(*) FILTER (gt AND pred) + 1) / (count(*) FILTER (gt) + count(*) FILTER (pred) + 1) AS dice FROM m GROUP BY image_id)
+    SELECT count(*) AS images, round(avg(iou), 6) AS mean_iou, round(avg(dice), 6) AS mean_dice FROM i""")
+def a20_mean_iou(spark, sf_dir):
+    h = v.heatmap(spark, sf_dir)
+    gt, pred = h.select("image_id", "y", "x", (F.col("v") > 0).alias("gt")), h.select((F.col("image_id") - 1).alias("image_id"), "y", "x", (F.col("v") > 0).alias("pred"))
+    return op.iou(gt.join(pred, ["image_id", "y", "x"])).agg(F.count(F.lit(1)).alias("images"), F.round(F.avg("iou"), 6).alias("mean_iou"), F.round(F.avg("dice"), 6).alias("mean_dice"))
 
 
 @query("""WITH h AS (SELECT image_id, gray AS bin, count(*) AS c FROM pixels GROUP BY ALL), w AS (SELECT *, sum(c) OVER o AS low, sum(c * bin) OVER o AS mass, sum(c) OVER (PARTITION BY image_id) AS n, sum(c * bin) OVER (PARTITION BY image_id) AS total FROM h WINDOW o AS (PARTITION BY image_id ORDER BY bin)),
@@ -155,6 +165,11 @@ def w18_row_stretch(spark, sf_dir):
     return p.join(r, ["image_id", "y"]).select("image_id", "y", "x", F.round(op.scaled(F.col("gray"), F.col("lo"), F.greatest(F.col("hi"), F.col("lo") + 1e-6)), 12).alias("s"))
 
 
+@query("SELECT image_id, y, x, round(gray - median(gray) OVER (PARTITION BY image_id, y), 6) AS r FROM pixels")
+def w18_row_median(spark, sf_dir):
+    return op.less_row_median(v.pixels(spark, sf_dir), "gray").select("image_id", "y", "x", F.round("gray", 6).alias("r"))
+
+
 @query("SELECT image_id, 'L' AS side, y, max(x) AS x FROM heatmap WHERE x < 4 AND v > 0.1 GROUP BY ALL UNION ALL SELECT image_id, 'R', y, min(x) FROM heatmap WHERE x >= 4 AND v > 0.1 GROUP BY ALL")
 def i15_inner_boundary(spark, sf_dir):
     on = v.heatmap(spark, sf_dir).where("v > 0.1")
@@ -302,7 +317,7 @@ def x2_patch_embedding(spark, sf_dir):
         return [(k, row) for k, row in enumerate(p)]
 
     patches = op.per_image(rasters(spark, sf_dir), run, "patch_idx int, emb array<double>")
-    return knn.projection(patches, "emb", 16).select("image_id", "tile", "patch_idx", F.round(F.element_at("emb", 1), 9).alias("first"))
+    return knn.projection(patches, "emb", 16).select("image_id", "tile", "patch_idx", F.transform("emb", lambda x: F.round(x, 9)).alias("emb"))
 
 
 @query()

@@ -149,6 +149,18 @@ def w21_stable_files(spark, sf_dir):
     return op.stable_files(v.polls(spark, sf_dir), 2)
 
 
+@query("""WITH f AS (SELECT *, min(ts) OVER (PARTITION BY path) AS first FROM polls), p AS (SELECT * FROM f WHERE ts - first < INTERVAL 10 DAY), a AS (SELECT *, coalesce(size > 0 AND size = lag(size) OVER w, false) AS same FROM p WINDOW w AS (PARTITION BY path ORDER BY ts, event_id)),
+    b AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY path ORDER BY ts, event_id) AS island FROM a), c AS (SELECT *, sum(CASE WHEN same THEN 1 ELSE 0 END) OVER (PARTITION BY path, island ORDER BY ts, event_id) AS run FROM b)
+    SELECT path, min(ts) AS ready_at FROM c WHERE run >= 2 GROUP BY path""")
+def w21_ready_in_time(spark, sf_dir):
+    return op.stable_files(v.polls(spark, sf_dir), 2, 10 * 86_400)
+
+
+@query("SELECT job_id, project_id, ts, pred, n - 1 AS index, total AS next_index FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY ts, job_id) AS n, count(*) OVER (PARTITION BY project_id) AS total FROM jobs) WHERE n > 40")
+def w20_entries_since(spark, sf_dir):
+    return op.entries_since(v.jobs(spark, sf_dir), 40).select("job_id", "project_id", "ts", "pred", "index", "next_index")
+
+
 @query("SELECT project_id, max(version) AS version FROM model_pins GROUP BY project_id")
 def t3_latest_version(spark, sf_dir):
     return v.model_pins(spark, sf_dir).groupBy("project_id").agg(F.max("version").alias("version"))
