@@ -284,19 +284,77 @@ def row_stretched(gray: np.ndarray) -> np.ndarray:
 SLOT = (0.7, 0.3)
 
 
+def row_percentiles(image: np.ndarray, shares: tuple[float, ...]) -> list[np.ndarray]:
+    """Interpolated percentiles of each row, as columns; those of bytes from a
+    histogram of every row, without sorting."""
+    h, w = image.shape
+    if image.dtype != np.uint8:
+        return list(np.percentile(image, [100 * s for s in shares], axis=1)[..., None].astype(np.float32))
+    counts = np.bincount((np.arange(h, dtype=np.int32)[:, None] * 256 + image).ravel(), minlength=256 * h).reshape(h, 256).cumsum(axis=1)
+    ranked = lambda k: (counts > k).argmax(axis=1)[:, None]
+    places = [s * (w - 1) for s in shares]
+    return [(ranked(int(p)) + (ranked(int(np.ceil(p))) - ranked(int(p))) * (p - int(p))).astype(np.float32) for p in places]
+
+
+def percentile_of(image: np.ndarray, share: float) -> float:
+    """Interpolated percentile of all pixels, by selection."""
+    place = share * (image.size - 1)
+    low, high = int(place), int(np.ceil(place))
+    part = np.partition(image.ravel(), (low, high))
+    return float(part[low] + (part[high] - part[low]) * (place - low))
+
+
+def small_std(image: np.ndarray, size: int) -> np.ndarray:
+    """As local_std, for small squares in single precision: sums over rows and
+    columns by doubling."""
+    p = size // 2
+    padded = np.pad(image, ((p, size - 1 - p),) * 2, mode="reflect")
+
+    def sums(a: np.ndarray) -> np.ndarray:
+        """Of ``size`` neighbouring rows."""
+        out, done, step, power = None, 0, 1, a
+        while step <= size:
+            if size & step:
+                out = power[: len(a) - size + 1] if out is None else out + power[done : done + len(a) - size + 1]
+                done += step
+            step *= 2
+            if step <= size:
+                power = power[: -(step // 2)] + power[step // 2 :]
+        return out
+
+    def sums_along(a: np.ndarray) -> np.ndarray:
+        s2 = a[:, :-1] + a[:, 1:]
+        return (s2[:, :-3] + s2[:, 2:-1] + a[:, 4:]) if size == 5 else sums(a.T).T
+
+    middle = sums_along(sums(padded))
+    middle *= np.float32(1 / size**2)
+    out = sums_along(sums(padded * padded))
+    out *= np.float32(1 / size**2)
+    out -= middle * middle
+    return np.sqrt(np.maximum(out, 0, out=out), out=out)
+
+
+def column_medians(image: np.ndarray) -> np.ndarray:
+    by_column, half = np.ascontiguousarray(image.T), image.shape[0] // 2
+    if image.shape[0] % 2:
+        return np.partition(by_column, half, axis=1)[:, half]
+    part = np.partition(by_column, (half - 1, half), axis=1)
+    return (part[:, half - 1] + part[:, half]) / 2
+
+
 def slot_score(image: np.ndarray) -> tuple[np.ndarray, int]:
     """How much each pixel looks like a groove, dark and smooth, and the column
     of the groove's centre. Brightness is the largest channel, row by row from
     its 10th to its 90th percentile."""
-    bright = (image.max(axis=2) if image.ndim == 3 else image).astype(float)
-    low, high = np.percentile(bright, 10, axis=1, keepdims=True), np.percentile(bright, 90, axis=1, keepdims=True)
-    level = ((bright - low) / (high - low + 1e-6)).clip(0, 1)
-    texture = local_std(level, 5)
-    slot = SLOT[0] * (1 - level) + SLOT[1] * (1 - (texture / (np.percentile(texture, 99) + 1e-6)).clip(0, 1))
+    bright = image.max(axis=2) if image.ndim == 3 else image
+    low, high = row_percentiles(bright, (0.1, 0.9))
+    level = ((bright.astype(np.float32) - low) * (1 / (high - low + 1e-6))).clip(0, 1)
+    texture = small_std(level, 5)
+    slot = (SLOT[0] + SLOT[1]) - SLOT[0] * level - SLOT[1] * (texture * np.float32(1 / (percentile_of(texture, 0.99) + 1e-6))).clip(0, 1)
     size = min(21, image.shape[1] // 4 * 2 + 1)
     x = np.arange(size) - (size - 1) / 2
     weights = np.exp(-x * x / (2 * (0.3 * ((size - 1) / 2 - 1) + 0.8) ** 2))
-    return slot, int(np.argmin(np.convolve(np.median(level, axis=0), weights / weights.sum(), mode="same")))
+    return slot, int(np.argmin(np.convolve(column_medians(level), weights / weights.sum(), mode="same")))
 
 
 def left_boundary(image: np.ndarray, block: int = 8, threshold: float = 0.55, run: int = 3, envelope: int = 9, median: int = 5) -> np.ndarray:
