@@ -68,6 +68,13 @@ def valid_items(rows: DataFrame) -> DataFrame:
 SAFE_NAMES = {"/": "slash", "\\": "backslash", ":": "colon", "*": "asterisk", "?": "question", '"': "quote", "<": "lt", ">": "gt", "|": "pipe", ".": "dot", " ": "space", "\t": "tab"}
 
 
+def labelled_items(rows: DataFrame, labels: tuple[str, ...] = ("OK", "NG"), key: str = "label") -> DataFrame:
+    """Items with a size whose label, in upper case, is one of those given."""
+    i = F.col("item")
+    label = F.upper(F.coalesce(i[key], F.lit("")))
+    return rows.withColumn("label", label).where(label.isin(*labels) & (F.coalesce(i["w"], F.lit(0.0)) > 0) & (F.coalesce(i["h"], F.lit(0.0)) > 0))
+
+
 def safe_name(ch: Column) -> Column:
     """Class folder name of a character."""
     table = F.create_map(*[F.lit(x) for kv in SAFE_NAMES.items() for x in kv])
@@ -124,6 +131,23 @@ def join_images(annotations: DataFrame, images: DataFrame) -> DataFrame:
     return rows.join(full, "image_name", "left").join(base, "base", "left").withColumn("image_id", F.coalesce("by_name", "by_base")).drop("base", "by_name", "by_base")
 
 
+def annotation_images(annotations: DataFrame, images: DataFrame, root: str, extensions: list[str]) -> DataFrame:
+    """Annotations (path, image_path) with the image they belong to (image_id, path;
+    null if there is none): the named path if it is absolute, else under the
+    annotation's folder, else under the root; else the annotation's own stem with
+    each extension in turn, as it is and in upper case. An annotation has a few
+    candidate paths, and each is looked up; files of one stem never meet as pairs."""
+    parts = path_parts(F.col("path"))
+    folder, named = parts["parent"], F.coalesce("image_path", F.lit(""))
+    by_name = [F.when(named.startswith("/"), named), F.when(named != "", F.concat(folder, F.lit("/"), named)), F.when(named != "", F.concat(F.lit(f"{root}/"), named))]
+    by_stem = [F.concat(folder, F.lit("/"), parts["stem"], F.lit(e)) for ext in extensions for e in (f".{ext}", f".{ext.upper()}")]
+    candidates = F.posexplode(F.array(*by_name, *by_stem)).alias("_priority", "_candidate")
+    there = images.groupBy(F.col("path").alias("_candidate")).agg(F.min("image_id").alias("_image"))
+    rows = annotations.withColumn("_row", F.monotonically_increasing_id())
+    found = rows.select("_row", candidates).where("_candidate IS NOT NULL").join(there, "_candidate").groupBy("_row").agg(F.min_by("_image", "_priority").alias("image_id"))
+    return rows.join(found, "_row", "left").drop("_row")
+
+
 def first_candidate(rows: DataFrame, key: str, priority: str, tie: str) -> DataFrame:
     """Of each key's candidates the one with the least priority number."""
     order = Window.partitionBy(key).orderBy(priority, tie)

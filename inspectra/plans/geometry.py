@@ -149,6 +149,40 @@ def j2_polygon_images(spark, sf_dir):
     return a.select("annotation_id").join(op.first_candidate(c, "annotation_id", "priority", "image_id").select("annotation_id", "image_id"), "annotation_id", "left")
 
 
+EXTENSIONS = ["png", "jpg", "jpeg", "bmp", "tif", "tiff"]
+_SUFFIX = "['.png', '.JPG', '.jpeg', '.BMP', '.gif'][file_id % 5 + 1]"
+
+
+@query(PARTS + f""", a AS (SELECT file_id AS annotation_id, parent, parent || '/' || CASE stem WHEN '' THEN '.json' ELSE stem END AS own, CASE file_id % 4 WHEN 0 THEN '' WHEN 1 THEN stem || '.png' WHEN 2 THEN parent || '/' || stem || {_SUFFIX} ELSE '/gone/' || name END AS named FROM g),
+    i AS (SELECT '/data/' || parent || '/' || stem || {_SUFFIX} AS path, min(file_id) AS image_id FROM g WHERE file_id % 3 <> 0 GROUP BY 1),
+    c AS (SELECT annotation_id, CASE WHEN named LIKE '/%' THEN named END AS path, 0 AS p FROM a UNION ALL SELECT annotation_id, '/data/' || parent || '/' || named, 1 FROM a WHERE named <> '' UNION ALL SELECT annotation_id, '/data/' || named, 2 FROM a WHERE named <> ''
+        UNION ALL SELECT annotation_id, '/data/' || own || e, p FROM a, (VALUES ('.png', 3), ('.PNG', 4), ('.jpg', 5), ('.JPG', 6), ('.jpeg', 7), ('.JPEG', 8), ('.bmp', 9), ('.BMP', 10), ('.tif', 11), ('.TIF', 12), ('.tiff', 13), ('.TIFF', 14)) x(e, p))
+    SELECT a.annotation_id, (SELECT arg_min(image_id, p) FROM c JOIN i USING (path) WHERE c.annotation_id = a.annotation_id) AS image_id FROM a""")
+def j2_annotation_candidates(spark, sf_dir):
+    """Annotations named by their url's stem; images are there for two files of three."""
+    f = v.files(spark, sf_dir).withColumns(op.path_parts(F.col("path")))
+    suffix = F.element_at(F.array(*[F.lit(x) for x in (".png", ".JPG", ".jpeg", ".BMP", ".gif")]), (F.col("file_id") % 5 + 1).cast("int"))
+    image = F.concat("parent", F.lit("/"), "stem", suffix)
+    k = F.col("file_id") % 4
+    named = F.when(k == 0, "").when(k == 1, F.concat("stem", F.lit(".png"))).when(k == 2, image).otherwise(F.concat(F.lit("/gone/"), "name"))
+    a = f.select(F.col("file_id").alias("annotation_id"), F.concat(F.lit("/data/"), "parent", F.lit("/"), "stem", F.lit(".json")).alias("path"), named.alias("image_path"))
+    i = f.where("file_id % 3 <> 0").select(F.col("file_id").alias("image_id"), F.concat(F.lit("/data/"), image).alias("path"))
+    return op.annotation_images(a, i, "/data", EXTENSIONS).select("annotation_id", "image_id")
+
+
+@query("""SELECT image_name, label, count(*) AS n, CAST(sum(idx) AS BIGINT) AS idx FROM (SELECT image_id || '.png' AS image_name, upper(['ok', 'NG', 'Ok', 'other', ''][idx % 5 + 1]) AS label, idx FROM glyph_items WHERE idx % 9 <> 0)
+    WHERE label IN ('OK', 'NG') GROUP BY ALL""")
+def p6_labelled_items(spark, sf_dir):
+    """Items of annotations whose label is OK or NG, in any case."""
+    label = F.element_at(F.array(*[F.lit(x) for x in ("ok", "NG", "Ok", "other", "")]), F.col("idx") % 5 + 1)
+    w = F.when(F.col("idx") % 9 != 0, F.col("w")).otherwise(0.0)
+    item = F.struct("ch", "cx", "cy", w.alias("w"), "h", "idx", label.alias("label"))
+    packed = v.glyph_items(spark, sf_dir).groupBy("image_id", F.floor(F.col("idx") / 4000)).agg(F.collect_list(item).alias("items"))
+    texts = packed.select(F.to_json(F.struct(F.concat("image_id", F.lit(".png")).alias("image_name"), "items")).alias("json"))
+    rows = op.labelled_items(op.read_annotations(texts))
+    return rows.groupBy("image_name", "label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("item.idx").cast("long")).alias("idx"))
+
+
 @query("""SELECT g.ch, count(*) AS n, count(m.ch) AS known, CASE WHEN count(m.ch) = 0 THEN 'UNKNOWN' ELSE 'MODEL' END AS state FROM glyph_items g
     LEFT JOIN (SELECT ch FROM glyph_items GROUP BY ch HAVING count(*) >= 200) m USING (ch) GROUP BY g.ch""")
 def j3_model_of_class(spark, sf_dir):

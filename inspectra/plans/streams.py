@@ -154,3 +154,62 @@ def s9_s10_report_and_suspects(spark, sf_dir):
     files.write_suspects(rows, folder)
     read = spark.read.schema("value string, cls string").text(folder)
     return read.where(F.size(F.split("value", "\t")) == 3).groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT CAST(job_id AS VARCHAR) AS job_id, project_id, pred = 'OK' AS ok, pred, round(infer_ms, 3) AS score, round(infer_ms, 2) AS infer, round(infer_ms * 2, 2) AS total, round(k, 2) AS detail_k, CASE WHEN pred = 'NG' THEN 1 ELSE 0 END AS n_regions, CASE WHEN pred = 'NG' THEN job_id % 50 END AS x,
+    CASE WHEN pred = 'ERROR' THEN 'INFER_FAILED' END AS error_code, date FROM jobs""")
+def s6_nested_log(spark, sf_dir):
+    """Log lines with timings, regions and errors nested, written by day and read back."""
+    folder = shared_path(spark, "nested-log")
+    j = v.jobs(spark, sf_dir)
+    pred, ms = F.col("pred"), F.col("infer_ms")
+    timing = F.struct(F.round(ms, 2).alias("infer"), F.round(ms * 2, 2).alias("total"), F.map_filter(F.create_map(F.lit("k"), F.round("k", 2)), lambda k, x: x.isNotNull()).alias("detail"))
+    region = F.struct((F.col("job_id") % 50).cast("int").alias("x"), F.lit(1).alias("y"), F.lit(3).alias("w"), F.lit(4).alias("h"), ms.alias("score"), F.lit(12).alias("area_px"))
+    error = F.when(pred == "ERROR", F.struct(F.lit("INFER_FAILED").alias("code"), pred.alias("message")))
+    rows = j.select(F.col("job_id").cast("string").alias("job_id"), "project_id", (pred == "OK").alias("ok"), "pred", ms.alias("score"), timing.alias("timing_ms"), F.when(pred == "NG", F.array(region)).otherwise(F.array()).alias("regions"), error.alias("error"), "date")
+    files.append_log(rows, folder)
+    r = files.read_log(spark, folder)
+    return r.select(
+        "job_id", "project_id", "ok", "pred", F.round("score", 3).alias("score"), F.col("timing_ms.infer").alias("infer"), F.col("timing_ms.total").alias("total"), F.try_element_at("timing_ms.detail", F.lit("k")).alias("detail_k"),
+        F.size("regions").alias("n_regions"), F.get("regions", F.lit(0))["x"].cast("long").alias("x"), F.col("error.code").alias("error_code"), "date",
+    )
+
+
+@query("SELECT CAST(cls AS VARCHAR) AS cls, round(CAST(emb[1] AS DOUBLE), 6) AS score, CASE WHEN bank_id % 5 = 0 THEN 'val' ELSE 'train' END AS split, bank_id || '.png' AS path FROM bank")
+def s10_suspect_lists(spark, sf_dir):
+    """Every line of the lists, read back into its fields."""
+    folder = shared_path(spark, "suspect-lists")
+    split = F.when(F.col("bank_id") % 5 == 0, "val").otherwise("train")
+    files.write_suspects(v.bank(spark, sf_dir).select("cls", F.element_at("emb", 1).cast("double").alias("score"), split.alias("split"), F.concat("bank_id", F.lit(".png")).alias("path")), folder)
+    return files.read_suspects(spark, folder)
+
+
+@query("SELECT job_id, pred FROM jobs")
+def s13_sorted_results(spark, sf_dir):
+    """Results by verdict folder; each comes back from the folder of its verdict."""
+    folder = shared_path(spark, "sorted-results")
+    v.jobs(spark, sf_dir).select("job_id", "pred").write.partitionBy("pred").parquet(folder)
+    return spark.read.schema("job_id long, pred string").parquet(folder)
+
+
+@query("SELECT image_id || '.png' AS image, count(*) AS total, count(*) FILTER (idx % 13 = 0) AS ng, count(*) FILTER (idx % 29 = 1) AS unknown FROM glyph_items GROUP BY image_id")
+def s7_summary_csv(spark, sf_dir):
+    """A row per image: regions, faults and regions of unknown class."""
+    folder = shared_path(spark, "summary")
+    i = v.glyph_items(spark, sf_dir)
+    files.write_csv(i.groupBy(F.concat("image_id", F.lit(".png")).alias("image")).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("idx") % 13 == 0).alias("ng"), F.count_if(F.col("idx") % 29 == 1).alias("unknown")), folder)
+    return spark.read.option("header", True).schema("image string, total long, ng long, unknown long").csv(folder)
+
+
+@query("WITH n AS (SELECT cls, count(*) AS n FROM bank GROUP BY cls) SELECT CAST(cls AS INTEGER) AS cls, CASE WHEN cls % 3 = 0 THEN 'structural' ELSE 'patch' END AS algo_method, 3 AS k, CASE WHEN cls % 2 = 0 THEN 'topk' ELSE 'max' END AS score_mode, round(0.5 + n / 1000, 6) AS thr, n FROM n WHERE cls % 3 <> 0")
+def s8_model_parameters(spark, sf_dir):
+    """A class model's threshold, neighbours and mode beside its bank."""
+    folder = shared_path(spark, "model-parameters")
+    bank = v.bank(spark, sf_dir)
+    models = bank.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).withColumns({
+        "algo_method": F.when(F.col("cls") % 3 == 0, "structural").otherwise("patch"), "k": F.lit(3), "score_mode": F.when(F.col("cls") % 2 == 0, "topk").otherwise("max"), "thr": F.round(0.5 + F.col("n") / 1000, 6),
+    })
+    files.write_models(models, bank, folder)
+    read, rows = files.read_models(spark, folder, "patch")
+    counts = rows.groupBy("cls").agg(F.count(F.lit(1)).alias("rows"))
+    return read.join(counts, "cls").where(F.col("n") == F.col("rows")).select("cls", "algo_method", "k", "score_mode", "thr", "n")

@@ -75,6 +75,13 @@ def write_suspects(rows: DataFrame, folder: str) -> None:
     rows.select("cls", F.concat_ws("\t", F.format_string("%.6f", "score"), "split", "path").alias("value")).write.mode("overwrite").partitionBy("cls").text(folder)
 
 
+def read_suspects(spark: SparkSession, folder: str) -> DataFrame:
+    """cls, score, split, path of every line; a path may hold tabs."""
+    lines = spark.read.schema("value string, cls string").text(folder)
+    part = F.split("value", "\t", 3)
+    return lines.select("cls", part[0].cast("double").alias("score"), part[1].alias("split"), part[2].alias("path"))
+
+
 REPORT = "cls string, thr double, n_ok long, n_patches long, score_mean double, score_max double, suspects array<struct<score:double,split:string,path:string>>"
 
 

@@ -91,3 +91,22 @@ def test_templates_sharpen_by_alignment(spark):
             share = np.mean([x > 3.5 for x in want[r.cls][3]], axis=0)
             mask = share > limit
             assert r.limit == limit and r.fg_pixels == mask.sum() and np.isclose(r.fg_mean, want[r.cls][0][mask].mean()) and np.isclose(r.bg_mean, want[r.cls][0][~mask].mean())
+
+
+def test_images_of_annotations_by_priority(spark):
+    from inspectra.operators import geometry
+
+    there = ["/r/a/one.png", "/r/one.png", "/x/abs.bmp", "/r/a/two.JPG", "/r/a/two.bmp", "/r/sub/a.tif", "/r/a/sub/a.tif", "/r/a/two.jpg"]
+    images = spark.createDataFrame([(k, p) for k, p in enumerate(there)] + [(99, "/r/a/one.png")], "image_id long, path string")
+    cases = [("/r/a/q.json", "/x/abs.bmp", 2), ("/r/a/q.json", "one.png", 0), ("/r/b/q.json", "one.png", 1), ("/r/a/two.json", "/gone.png", 7), ("/r/a/two.json", None, 7), ("/r/a/q.json", "sub/a.tif", 6), ("/r/b/q.json", "sub/a.tif", 5), ("/r/a/none.json", "", None)]
+    df = spark.createDataFrame([(p, n) for p, n, _ in cases], "path string, image_path string")
+    got = geometry.annotation_images(df, images, "/r", ["png", "jpg", "jpeg", "bmp", "tif"]).collect()
+    assert sorted(((r.path, r.image_path, r.image_id) for r in got), key=repr) == sorted(cases, key=repr)
+
+
+def test_labels_in_any_case(spark):
+    from inspectra.operators import geometry
+
+    text = '{"items": [{"label": "ok", "w": 1, "h": 1}, {"label": "NG", "w": 1, "h": 0}, {"label": "x", "w": 1, "h": 1}, {"w": 2, "h": 2}, {"label": "Ng", "w": 2, "h": 2}]}'
+    rows = geometry.labelled_items(geometry.read_annotations(spark.createDataFrame([(text,)], "json string"))).collect()
+    assert [r.label for r in rows] == ["OK", "NG"]
