@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,3 +94,31 @@ def test_bitmaps_never_differ_more_than_sets():
         base = np.unique(base)
         apart = len(np.setxor1d(base, other))
         assert near.differing(near.bitmap(base), near.bitmap(other)) <= apart and near.differing(near.bitmap(base), near.bitmap(base)) == 0
+
+
+def test_recall_on_the_given_documents(spark):
+    """Every pair of different sets with a similarity of 0.8 or more, found by sizes and an index of all shingles, is linked."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    sets = {}
+    for r in rows:
+        sets.setdefault(frozenset(shingles(r.text)), r.doc_id)
+    index, pairs = {}, set()
+    for s, i in sorted(sets.items(), key=lambda x: (len(x[0]), x[1])):
+        shared = {}
+        for g in s:
+            for t in index.setdefault(g, []):
+                shared[t] = shared.get(t, 0) + 1
+            index[g].append(s)
+        pairs |= {(sets[t], i) for t, n in shared.items() if 5 * n >= 4 * (len(s) + len(t) - n)}
+    first = {r.doc_id: tuple(r.first) for r in near.group(spark.createDataFrame(rows)).collect()}
+    assert [p for p in pairs if first[p[0]] != first[p[1]]] == []
+
+
+def test_folds_lose_no_pair():
+    for n in (40, 700, 5000):
+        a = np.sort(np.array([R.getrandbits(64) for _ in range(n)], dtype=np.uint64))
+        b = np.sort(np.concatenate((a[: n * 9 // 10], np.array([R.getrandbits(64) for _ in range(n // 10)], dtype=np.uint64))))
+        folds = [near.folded(near.bitmap(x)) for x in (a, b)]
+        assert max(map(len, folds)) <= near.FOLD
+        assert near.differing(*folds) <= near.differing(near.bitmap(a), near.bitmap(b)) <= 2 * (n - n * 9 // 10)
+        assert near.may_differ(n, len(b), *folds)
