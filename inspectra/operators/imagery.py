@@ -1,7 +1,8 @@
 """Images as rows: maps over cells in SQL form, and helpers per image.
 
 A raster is one row (image_id, tile, h, w, data). Helpers get one image at a time
-inside mapInPandas; the bytes never pass a shuffle.
+inside mapInPandas; rasters are dealt out evenly over tasks first, which shuffles
+their bytes once.
 """
 
 from __future__ import annotations
