@@ -45,6 +45,7 @@ COVER = (1, 5, 11, 24, 25, 27)
 CHUNK_WORDS = 400_000
 TASK_ANCHORS = 1_000_000
 BROADCAST_BYTES = 32 << 20
+HELD_BYTES = 8 << 20
 
 _MULTIPLY = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9))
 
@@ -160,20 +161,72 @@ def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin[at], end[np.append(at[1:] - 1, len(begin) - 1)] if len(at) else end
 
 
+def merged_by_key(keys: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """keys: a row of numbers for each interval. The different ones in order, and
+    packed for each its intervals, joined where they touch (pairs of 32-bit
+    integers)."""
+    order = np.lexsort(keys.T[::-1])
+    keys, begin, end = keys[order], begin[order], end[order]
+    starts = groups(*keys.T)
+    names, which = keys[starts], np.repeat(np.arange(len(starts), dtype=np.int64) << 34, np.diff(np.append(starts, len(keys))))
+    a, b = merged(which + np.maximum(0, begin), which + end)
+    cuts = np.searchsorted(a, np.arange(len(names) + 1, dtype=np.int64) << 34)
+    pairs = (np.stack((a, b), axis=1) & ((1 << 34) - 1)).astype("<i4")
+    return names, np.array([pairs[i:j].tobytes() for i, j in zip(cuts, cuts[1:], strict=False)], dtype=object)
+
+
+def unpacked(spans: bytes | None) -> np.ndarray:
+    return np.frombuffer(spans or b"", dtype="<i4").reshape(-1, 2)
+
+
 def by_document(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
     """keys, spans (packed pairs of 32-bit integers) from rows with keys, begin
-    and end."""
+    and end. A task joins what it has of a key before the shuffle; after it rows
+    come in the order of keys, and those of one key are joined as they pass, so
+    that no more is held of it than its joined spans and ``HELD_BYTES``."""
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
         for batch in batches:
-            spans = []
-            for begin, end in zip(batch["begins"], batch["ends"], strict=True):
-                a, b = merged(np.maximum(0, begin), np.asarray(end))
-                spans.append(np.stack((a, b), axis=1).astype("<i4").tobytes())
-            yield batch[keys].assign(spans=spans)
+            held.append(batch)
+            size += len(batch)
+            if size >= TASK_ANCHORS:
+                yield packed(pd.concat(held))
+                held, size = [], 0
+        if held:
+            yield packed(pd.concat(held))
 
-    lists = rows.groupBy(*keys).agg(F.collect_list(F.struct("begin", "end")).alias("s")).select(*keys, F.col("s.begin").alias("begins"), F.col("s.end").alias("ends"))
-    return stored(lists.mapInPandas(join, ", ".join(f"{k} long" for k in keys) + ", spans binary"), name)
+    def packed(rows: pd.DataFrame) -> pd.DataFrame:
+        names, spans = merged_by_key(rows[keys].to_numpy(np.int64), rows["begin"].to_numpy(np.int64), rows["end"].to_numpy(np.int64))
+        return pd.DataFrame(names, columns=keys).assign(spans=spans)
+
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held, size, limit = None, [], 0, 0
+
+        def joined() -> bytes:
+            both = np.concatenate([unpacked(h) for h in held])
+            return np.stack(merged(both[:, 0], both[:, 1]), axis=1).tobytes() if len(held) > 1 else held[0]
+
+        for batch in batches:
+            done: list[tuple] = []
+            for *key, spans in zip(*(batch[k].tolist() for k in keys), batch["spans"], strict=True):
+                if key != now:
+                    if held:
+                        done.append((*now, joined()))
+                    now, held, size, limit = key, [], 0, HELD_BYTES
+                held.append(spans)
+                size += len(spans)
+                if size > limit:
+                    held = [joined()]
+                    size = len(held[0])
+                    limit = size + HELD_BYTES
+            yield pd.DataFrame(done, columns=[*keys, "spans"])
+        if held:
+            yield pd.DataFrame([(*now, joined())], columns=[*keys, "spans"])
+
+    kinds = ", ".join(f"{k} long" for k in keys) + ", spans binary"
+    lists = rows.select(*keys, "begin", "end").mapInPandas(join, kinds).repartition(*keys).sortWithinPartitions(*keys)
+    return stored(lists.mapInPandas(finish, kinds), name)
 
 
 def attach(docs: DataFrame, spans: DataFrame, keys: list[str], how: str) -> DataFrame:
@@ -182,20 +235,20 @@ def attach(docs: DataFrame, spans: DataFrame, keys: list[str], how: str) -> Data
     return docs.join(F.broadcast(spans) if small else spans, keys, how)
 
 
-def settle_windows(high: np.ndarray, low: np.ndarray, doc: np.ndarray, place: np.ndarray) -> pd.DataFrame:
+def settle_windows(high: np.ndarray, low: np.ndarray, doc: np.ndarray, mark: np.ndarray, place: np.ndarray) -> pd.DataFrame:
     """kind 0: of the smallest id that this task sees; 1: known to go."""
     order = np.lexsort((doc, low, high))
-    high, low, doc, place = high[order], low[order], doc[order], place[order]
+    high, low, doc, mark, place = high[order], low[order], doc[order], mark[order], place[order]
     starts = groups(high, low)
     least = np.repeat(doc[starts], np.diff(np.append(starts, len(doc))))
     gone = doc > least
-    open_ = pd.DataFrame({"high": high[~gone].view(np.int64), "low": low[~gone].view(np.int64), "doc_id": doc[~gone], "place": place[~gone], "run": np.int32(1), "kind": np.int8(0)})
-    doc, place = doc[gone], place[gone]
-    order = np.lexsort((place, doc))
-    doc, place = doc[order], place[order]
-    starts = groups(doc, place - np.arange(len(place)))
+    open_ = pd.DataFrame({"high": high[~gone].view(np.int64), "low": low[~gone].view(np.int64), "doc_id": doc[~gone], "mark": mark[~gone], "place": place[~gone].astype(np.int32), "run": np.int32(1), "kind": np.int8(0)})
+    doc, mark, place = doc[gone], mark[gone], place[gone]
+    order = np.lexsort((place, mark, doc))
+    doc, mark, place = doc[order], mark[order], place[order]
+    starts = groups(doc, mark, place - np.arange(len(place)))
     runs = np.diff(np.append(starts, len(place))).astype(np.int32)
-    known = pd.DataFrame({"high": np.int64(0), "low": np.int64(0), "doc_id": doc[starts], "place": place[starts], "run": runs, "kind": np.int8(1)})
+    known = pd.DataFrame({"high": np.int64(0), "low": np.int64(0), "doc_id": doc[starts], "mark": mark[starts], "place": place[starts].astype(np.int32), "run": runs, "kind": np.int8(1)})
     return pd.concat((open_, known))
 
 
@@ -207,13 +260,13 @@ def find_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             wanted = np.zeros(len(words) + 1, dtype=np.int64)
             begins = np.flatnonzero(at == 0)
             for first, size, spans in zip(begins, [len(s) for s in split], rows["spans"], strict=True):
-                span = np.minimum(np.frombuffer(spans, dtype="<i4").reshape(-1, 2), size) + first
+                span = np.minimum(unpacked(spans), size) + first
                 np.add.at(wanted, span[:, 0], 1)
                 np.add.at(wanted, span[:, 1], -1)
             pick = np.flatnonzero((np.cumsum(wanted[:-1]) > 0) & (left >= WINDOW))
             ids, mark = rows["doc_id"].to_numpy(np.int64), rows["mark"].to_numpy(np.int64)
             high, low = (window_hashes(word_hashes(words, seed), WINDOW)[pick] for seed in (1, 2))
-            held.append((high, low, ids[row[pick]], mark[row[pick]] << 32 | at[pick]))
+            held.append((high, low, ids[row[pick]], mark[row[pick]], at[pick]))
             if sum(len(h[0]) for h in held) >= TASK_ANCHORS:
                 yield settle_windows(*map(np.concatenate, zip(*held, strict=True)))
                 held = []
@@ -222,10 +275,10 @@ def find_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def with_marks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, mark (31 bits of the text's hash, to tell rows with one id
-    apart), text."""
+    """doc_id, mark (the text's hash of 64 bits, to tell rows with one id
+    apart; rows with equal texts lose the same words), text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)).alias("mark"), text.alias("text"))
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
 
 
 def removals(docs: DataFrame) -> DataFrame:
@@ -236,12 +289,11 @@ def removals(docs: DataFrame) -> DataFrame:
     met = anchors.where("kind <> 1").withColumns({"least": F.min("doc_id").over(same), "most": F.max("doc_id").over(same), "top": F.max("kind").over(same)})
     matched = met.where("kind = 0 AND (least <> most OR top = 2)").select("doc_id", "place").unionByName(anchors.where("kind = 1").select("doc_id", "place"))
     around = by_document(matched.select("doc_id", (F.col("place") - (PERIOD - 1)).alias("begin"), (F.col("place") + 1).alias("end")), ["doc_id"], "around-anchors")
-    windows = stored(attach(named, around, ["doc_id"], "inner").mapInPandas(find_windows, "high long, low long, doc_id long, place long, run int, kind byte"), "windows")
+    windows = stored(attach(named, around, ["doc_id"], "inner").mapInPandas(find_windows, "high long, low long, doc_id long, mark long, place int, run int, kind byte"), "windows")
     equal = Window.partitionBy("high", "low")
-    beaten = windows.where("kind = 0").withColumn("least", F.min("doc_id").over(equal)).where("doc_id > least").select("doc_id", "place", "run")
-    gone = beaten.unionByName(windows.where("kind = 1").select("doc_id", "place", "run"))
-    mark, at = F.shiftright("place", 32), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))
-    return by_document(gone.select("doc_id", mark.alias("mark"), at.alias("begin"), (at + F.col("run") + (WINDOW - 1)).alias("end")), ["doc_id", "mark"], "removals")
+    beaten = windows.where("kind = 0").withColumn("least", F.min("doc_id").over(equal)).where("doc_id > least").select("doc_id", "mark", "place", F.lit(1).alias("run"))
+    gone = beaten.unionByName(windows.where("kind = 1").select("doc_id", "mark", "place", "run"))
+    return by_document(gone.select("doc_id", "mark", F.col("place").alias("begin"), (F.col("place") + F.col("run") + (WINDOW - 1)).alias("end")), ["doc_id", "mark"], "removals")
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -256,7 +308,7 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 for text, spans in zip(part["text"], part["spans"], strict=True):
                     words = words_of(text)
                     total = len(words)
-                    for a, b in np.frombuffer(spans or b"", dtype="<i4").reshape(-1, 2)[::-1].tolist():
+                    for a, b in unpacked(spans)[::-1].tolist():
                         del words[a:b]
                     out.append((total, total - len(words), b" ".join(words).decode()))
                 yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "n_words": [o[0] for o in out], "n_removed": [o[1] for o in out], "kept_text": [o[2] for o in out]})
