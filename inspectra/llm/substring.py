@@ -179,11 +179,12 @@ def unpacked(spans: bytes | None) -> np.ndarray:
     return np.frombuffer(spans or b"", dtype="<i4").reshape(-1, 2)
 
 
-def by_document(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+def by_document(rows: DataFrame, keys: list[str], name: str, first: bool) -> DataFrame:
     """keys, spans (packed pairs of 32-bit integers) from rows with keys, begin
-    and end. A task joins what it has of a key before the shuffle; after it rows
-    come in the order of keys, and those of one key are joined as they pass, so
-    that no more is held of it than its joined spans and ``HELD_BYTES``."""
+    and end. Rows come in the order of keys, and those of one key are joined as
+    they pass, so that no more is held of it than its joined spans and
+    ``HELD_BYTES``. first: a task joins what it has of a key before the shuffle
+    too; that is of use where neighbours lie in one task."""
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
@@ -207,7 +208,7 @@ def by_document(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
             both = np.concatenate([unpacked(h) for h in held])
             return np.stack(merged(both[:, 0], both[:, 1]), axis=1).tobytes() if len(held) > 1 else held[0]
 
-        for batch in batches:
+        for batch in batches if first else map(packed, batches):
             done: list[tuple] = []
             for *key, spans in zip(*(batch[k].tolist() for k in keys), batch["spans"], strict=True):
                 if key != now:
@@ -225,7 +226,8 @@ def by_document(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
             yield pd.DataFrame([(*now, joined())], columns=[*keys, "spans"])
 
     kinds = ", ".join(f"{k} long" for k in keys) + ", spans binary"
-    lists = rows.select(*keys, "begin", "end").mapInPandas(join, kinds).repartition(*keys).sortWithinPartitions(*keys)
+    lists = rows.select(*keys, "begin", "end")
+    lists = (lists.mapInPandas(join, kinds) if first else lists).repartition(*keys).sortWithinPartitions(*keys)
     return stored(lists.mapInPandas(finish, kinds), name)
 
 
@@ -288,12 +290,12 @@ def removals(docs: DataFrame) -> DataFrame:
     same = Window.partitionBy("anchor")
     met = anchors.where("kind <> 1").withColumns({"least": F.min("doc_id").over(same), "most": F.max("doc_id").over(same), "top": F.max("kind").over(same)})
     matched = met.where("kind = 0 AND (least <> most OR top = 2)").select("doc_id", "place").unionByName(anchors.where("kind = 1").select("doc_id", "place"))
-    around = by_document(matched.select("doc_id", (F.col("place") - (PERIOD - 1)).alias("begin"), (F.col("place") + 1).alias("end")), ["doc_id"], "around-anchors")
+    around = by_document(matched.select("doc_id", (F.col("place") - (PERIOD - 1)).alias("begin"), (F.col("place") + 1).alias("end")), ["doc_id"], "around-anchors", True)
     windows = stored(attach(named, around, ["doc_id"], "inner").mapInPandas(find_windows, "high long, low long, doc_id long, mark long, place int, run int, kind byte"), "windows")
     equal = Window.partitionBy("high", "low")
     beaten = windows.where("kind = 0").withColumn("least", F.min("doc_id").over(equal)).where("doc_id > least").select("doc_id", "mark", "place", F.lit(1).alias("run"))
     gone = beaten.unionByName(windows.where("kind = 1").select("doc_id", "mark", "place", "run"))
-    return by_document(gone.select("doc_id", "mark", F.col("place").alias("begin"), (F.col("place") + F.col("run") + (WINDOW - 1)).alias("end")), ["doc_id", "mark"], "removals")
+    return by_document(gone.select("doc_id", "mark", F.col("place").alias("begin"), (F.col("place") + F.col("run") + (WINDOW - 1)).alias("end")), ["doc_id", "mark"], "removals", False)
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
