@@ -20,6 +20,12 @@ def residuals(spark, sf_dir):
     return op.residuals(v.signal(spark, sf_dir))
 
 
+def steady_round(column, digits):
+    """Half away from zero, after what sums in another order change is rounded off: a
+    half that a double only comes near is still one."""
+    return F.round(F.round(column, digits + 5), digits)
+
+
 @query("""WITH g AS (SELECT image_id, side, y, CASE WHEN y % 4 <> 1 AND y % 7 <> 0 THEN x END AS x FROM signal),
     a AS (SELECT *, last_value(x IGNORE NULLS) OVER b AS v0, last_value(CASE WHEN x IS NOT NULL THEN y END IGNORE NULLS) OVER b AS y0, first_value(x IGNORE NULLS) OVER f AS v1, first_value(CASE WHEN x IS NOT NULL THEN y END IGNORE NULLS) OVER f AS y1
         FROM g WINDOW b AS (PARTITION BY image_id, side ORDER BY y ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY image_id, side ORDER BY y ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
@@ -68,13 +74,13 @@ PEAKS = TEETH + """, p AS (SELECT image_id, side, tooth, max(x) AS peak, arg_max
 @query(PEAKS + " SELECT image_id, side, tooth, round(peak, 6) AS peak, CAST(y AS INTEGER) AS y, round(residual, 4) AS residual, round(step, 6) AS step FROM k")
 def w11_tooth_peaks(spark, sf_dir):
     t = op.tooth_peaks(v.signal(spark, sf_dir), PITCH)
-    return t.select("image_id", "side", "tooth", F.round("peak", 6).alias("peak"), "y", F.round("residual", 4).alias("residual"), F.round("step", 6).alias("step"))
+    return t.select("image_id", "side", "tooth", F.round("peak", 6).alias("peak"), "y", steady_round("residual", 4).alias("residual"), F.round("step", 6).alias("step"))
 
 
 @query(PEAKS + " SELECT image_id, side, round(coalesce(max(step), 0), 6) AS max_step, first(tooth ORDER BY step DESC, tooth) FILTER (step IS NOT NULL) AS at_tooth, round(max(abs(residual)), 4) AS max_residual FROM k GROUP BY ALL")
 def w11_peak_maxima(spark, sf_dir):
     m = op.peak_maxima(op.tooth_peaks(v.signal(spark, sf_dir), PITCH))
-    return m.select("image_id", "side", F.round("max_step", 6).alias("max_step"), "at_tooth", F.round("max_residual", 4).alias("max_residual"))
+    return m.select("image_id", "side", F.round("max_step", 6).alias("max_step"), "at_tooth", steady_round("max_residual", 4).alias("max_residual"))
 
 
 def _excursions(source: str, depth: int) -> str:
@@ -86,13 +92,13 @@ def _excursions(source: str, depth: int) -> str:
 
 @query(RESIDUAL + ", " + _excursions("r", 15))
 def w12_largest_excursion(spark, sf_dir):
-    return op.largest_excursion(residuals(spark, sf_dir), 15).withColumn("area", F.round("area", 4))
+    return op.largest_excursion(residuals(spark, sf_dir), 15).withColumn("area", steady_round("area", 4))
 
 
 @query(PEAKS + ", o AS (SELECT s.image_id, s.side, s.y, x - (b + a * s.y) AS r FROM signal s JOIN f ON s.image_id = f.image_id AND s.side = f.side), " + _excursions("o", 15))
 def w12_excursion_from_peaks(spark, sf_dir):
     """From the line through the tooth peaks."""
-    return op.largest_excursion(op.against_peaks(v.signal(spark, sf_dir), PITCH), 15).withColumn("area", F.round("area", 4))
+    return op.largest_excursion(op.against_peaks(v.signal(spark, sf_dir), PITCH), 15).withColumn("area", steady_round("area", 4))
 
 
 @query(RESIDUAL + """, q AS (SELECT image_id, side, y, CASE WHEN image_id % 5 = 0 THEN 3.5 ELSE r END AS r FROM r), z AS (SELECT image_id, side, y, r - avg(r) OVER (PARTITION BY image_id, side) AS r FROM q), l AS (SELECT image_id, side, lag, round(sum(a.r * b.r), 6) AS c FROM (SELECT *, unnest(range(5, 16)) AS lag FROM z) a JOIN z b USING (image_id, side) WHERE b.y = a.y + a.lag GROUP BY ALL),
