@@ -194,12 +194,12 @@ def i12_column_mean(spark, sf_dir):
 @query("""WITH r AS (SELECT image_id, points[3][1] - points[1][1] AS pw, points[3][2] - points[1][2] AS ph, w, h, points[1][1] AS x0, points[1][2] AS y0 FROM polygons WHERE len(points) >= 3 AND lower(trim(label)) = 'panel')
     SELECT image_id, greatest(0, least(x0 + pw, w) - x0) * greatest(0, least(y0 + ph, h) - y0) AS area FROM r""")
 def i16_polygon_area(spark, sf_dir):
-    """Pixels of the scan-line filled mask of each panel."""
-    p = v.polygons(spark, sf_dir).where((F.size("points") >= 3) & (F.lower(F.trim("label")) == "panel"))
+    """Pixels of the scan-line filled mask of each panel; no mask is as large as its image."""
+    p = v.spread(v.polygons(spark, sf_dir).where((F.size("points") >= 3) & (F.lower(F.trim("label")) == "panel")))
 
     def run(batches):
         for batch in batches:
-            area = [int(im.polygon_mask([[list(c) for c in p]], h, w).sum()) for p, h, w in zip(batch["points"], batch["h"], batch["w"], strict=True)]
+            area = [im.polygon_area(np.stack(p).astype(float), h, w) for p, h, w in zip(batch["points"], batch["h"], batch["w"], strict=True)]
             yield batch[["image_id"]].assign(area=area)
 
     return p.mapInPandas(run, "image_id long, area long")

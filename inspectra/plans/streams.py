@@ -8,7 +8,7 @@ from inspectra.plans import views as v
 from inspectra.plans.registry import query
 from inspectra.sources import files
 from inspectra.sources.folders import shared_path
-from inspectra.operators import joblog
+from inspectra.operators import geometry, joblog
 from inspectra.plans import joblog as requests
 from inspectra.streaming import service
 from inspectra.streaming import streams as op
@@ -135,9 +135,9 @@ def s12_result_text(spark, sf_dir):
 @query("SELECT image_id, count(*) AS n, CAST(sum(idx) AS BIGINT) AS idx, min(ch) AS first_ch, max(ch) AS last_ch, count(DISTINCT ch) AS kinds, sum(cx) AS cx FROM glyph_items GROUP BY image_id")
 def s7_csv_round_trip(spark, sf_dir):
     folder = shared_path(spark, "details")
-    files.write_csv(v.glyph_items(spark, sf_dir).select("image_id", "idx", F.base64(F.col("ch").cast("binary")).alias("ch"), "cx"), folder)
+    files.write_csv(v.glyph_items(spark, sf_dir).select("image_id", "idx", F.base64(F.col("ch").cast("binary")).alias("ch"), "cx"), folder, "gzip")
     read = spark.read.option("header", True).schema("image_id long, idx int, ch string, cx double").csv(folder).withColumn("ch", F.unbase64("ch").cast("string"))
-    return read.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("idx").cast("long")).alias("idx"), F.min("ch").alias("first_ch"), F.max("ch").alias("last_ch"), F.count_distinct("ch").alias("kinds"), F.sum("cx").alias("cx"))
+    return geometry.character_totals(read, "image_id", ["idx", "cx"])
 
 
 @query("SELECT pred, count(*) AS n FROM jobs GROUP BY pred")

@@ -66,8 +66,8 @@ def read_models(spark: SparkSession, folder: str, method: str) -> tuple[DataFram
     return models, spark.read.parquet(f"{folder}/bank").join(models.select("cls"), "cls", "left_semi")
 
 
-def write_csv(rows: DataFrame, folder: str) -> None:
-    rows.write.mode("overwrite").option("header", True).csv(folder)
+def write_csv(rows: DataFrame, folder: str, compression: str = "none") -> None:
+    rows.write.mode("overwrite").option("header", True).option("compression", compression).csv(folder)
 
 
 def write_suspects(rows: DataFrame, folder: str) -> None:
