@@ -20,20 +20,26 @@ from inspectra.operators.profiles import resampled
 from inspectra.sources.folders import stored
 
 
+#: Rasters of which a task holds the rows at once.
+SLICE = 64
+
+
 def per_image(rasters: DataFrame, function: Callable[[np.ndarray, int], list[tuple]], schema: str) -> DataFrame:
     """image_id, tile, and the columns of ``schema`` from the rows that a
     function makes of each raster and of a seed for it. Rasters are dealt out
-    evenly first, as a few large files would leave most tasks without any."""
+    evenly first, as a few large files would leave most tasks without any. Rows
+    leave the task for every ``SLICE`` rasters, however large its batches are."""
     keys = ["image_id", "tile"]
     names = keys + [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for image, tile, h, w, data in batch[[*keys, "h", "w", "data"]].itertuples(index=False, name=None):
-                made = function(np.frombuffer(data, dtype=np.uint8).reshape(h, w), image << 20 | tile)
-                rows += [(image, tile, *r) for r in made]
-            yield pd.DataFrame(rows, columns=names)
+            for at in range(0, len(batch), SLICE):
+                rows = []
+                for image, tile, h, w, data in batch[[*keys, "h", "w", "data"]].iloc[at : at + SLICE].itertuples(index=False, name=None):
+                    made = function(np.frombuffer(data, dtype=np.uint8).reshape(h, w), image << 20 | tile)
+                    rows += [(image, tile, *r) for r in made]
+                yield pd.DataFrame(rows, columns=names)
 
     tasks = max(4 * rasters.sparkSession.sparkContext.defaultParallelism, rasters.rdd.getNumPartitions())
     return rasters.repartition(tasks).mapInPandas(run, f"image_id long, tile int, {schema}")
