@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from inspectra.sources.folders import stored
 
 SHARE_ROWS = 20_000
-BLOCK = 1024
+#: Distances that a task holds at once.
+BLOCK = 1 << 20
 
 
 def nearest(queries: DataFrame, bank: DataFrame, k: int = 1, exclude_self: bool = False, share_rows: int = SHARE_ROWS) -> DataFrame:
@@ -47,9 +48,13 @@ def best_of_shares(k: int, exclude_self: bool) -> Callable[[pd.DataFrame, pd.Dat
             return pd.DataFrame({"cls": [], "query_id": [], "found": []})
         x, y = np.stack(left["emb"]).astype(np.float64), np.stack(right["b_emb"]).astype(np.float64)
         ids, norms, out = right["bank_id"].to_numpy(), (y * y).sum(axis=1), []
-        for at in range(0, len(x), BLOCK):
-            part, own = x[at : at + BLOCK], left["query_id"].to_numpy()[at : at + BLOCK]
-            d2 = (part * part).sum(axis=1)[:, None] + norms[None, :] - 2 * part @ y.T
+        step = max(1, BLOCK // len(y))
+        for at in range(0, len(x), step):
+            part, own = x[at : at + step], left["query_id"].to_numpy()[at : at + step]
+            d2 = part @ y.T
+            d2 *= -2
+            d2 += (part * part).sum(axis=1)[:, None]
+            d2 += norms
             if exclude_self:
                 d2[own[:, None] == ids[None, :]] = np.inf
             near = np.argpartition(d2, min(k, len(ids)) - 1, axis=1)[:, :k]
