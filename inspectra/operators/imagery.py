@@ -82,27 +82,39 @@ def difference_maps(pair_rows: DataFrame, shape: tuple[int, int, int]) -> DataFr
     return pair_rows.withColumn("map", line(rows, lambda y: line(columns, lambda x: place(y, x))))
 
 
-def region_cells(pair_rows: DataFrame) -> DataFrame:
-    """image_id, y, x, v: a pair's map (rows) or curve (one row for all) laid over
-    the area x0, y0, x1, y1 of both strips. Maps are stretched to the area, curves
-    are drawn from end to end along it: across where the strips lie above each
-    other, else down."""
+def region_lines(pair_rows: DataFrame) -> DataFrame:
+    """image_id, y, x0, line: a pair's map (rows) or curve (one row for all) laid over
+    the area x0, y0, x1, y1 of both strips, an array for each of its lines. Maps are
+    stretched to the area, curves are drawn from end to end along it: across where
+    the strips lie above each other, else down."""
     w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     rows = pair_rows.where((w > 0) & (h > 0))
+    down = F.explode(F.sequence(F.lit(0), h - 1)).alias("_y")
     if "map" in pair_rows.columns:
         wide = rows.withColumn("map", F.transform("map", lambda r: stretched(r, w)))
-        tall = wide.select("image_id", "x0", "y0", h.alias("_h"), F.size("map").alias("_n"), "map", F.explode(F.sequence(F.lit(0), h - 1)).alias("_y"))
+        tall = wide.select("image_id", "x0", "y0", h.alias("_h"), F.size("map").alias("_n"), "map", down)
         place = (F.col("_y") + 0.5) * F.col("_n") / F.col("_h") - 0.5
         low = F.floor(place).cast("int")
         row = lambda k: F.get("map", F.greatest(F.lit(0), F.least(k, F.col("_n") - 1)))
-        lines = tall.select("image_id", "x0", (F.col("y0") + F.col("_y")).alias("y"), (place - low).alias("_t"), row(low).alias("_a"), row(low + 1).alias("_b"))
-        cells = lines.select("image_id", "x0", "y", F.posexplode(F.zip_with("_a", "_b", lambda p, q: p + (q - p) * F.col("_t"))).alias("_x", "v"))
-        return cells.select("image_id", "y", (F.col("x0") + F.col("_x")).alias("x"), "v")
+        both = tall.select("image_id", "x0", (F.col("y0") + F.col("_y")).alias("y"), (place - low).alias("_t"), row(low).alias("_a"), row(low + 1).alias("_b"))
+        return both.select("image_id", "y", "x0", F.zip_with("_a", "_b", lambda p, q: p + (q - p) * F.col("_t")).alias("line"))
     along = F.when(F.col("vertical"), w).otherwise(h)
-    drawn = rows.withColumn("curve", resampled("curve", along)).select("image_id", "x0", "y0", "vertical", F.when(F.col("vertical"), h).otherwise(w).alias("_across"), F.posexplode("curve").alias("_i", "v"))
-    cells = drawn.select("image_id", "x0", "y0", "vertical", "_i", "v", F.explode(F.sequence(F.lit(0), F.col("_across") - 1)).alias("_j"))
-    pick = lambda a, b: F.when(F.col("vertical"), F.col(a)).otherwise(F.col(b))
-    return cells.select("image_id", (F.col("y0") + pick("_j", "_i")).alias("y"), (F.col("x0") + pick("_i", "_j")).alias("x"), "v")
+    drawn = rows.withColumn("curve", resampled("curve", along)).select("image_id", "x0", "y0", "vertical", w.alias("_w"), "curve", down)
+    line = F.when(F.col("vertical"), F.col("curve")).otherwise(F.array_repeat(F.get("curve", F.col("_y")), F.col("_w")))
+    return drawn.select("image_id", (F.col("y0") + F.col("_y")).alias("y"), "x0", line.alias("line"))
+
+
+def mean_lines(lines: DataFrame) -> DataFrame:
+    """Per image and y one line from the least x0: at each x the mean of the lines that
+    cover it, null where none does. A line is one row, not one per cell, so that
+    what a task holds stays a small multiple of its input."""
+    whole = lines.groupBy("image_id", "y").agg(F.min("x0").alias("x0"), F.max(F.col("x0") + F.size("line")).alias("_end"), F.collect_list(F.struct("x0", "line")).alias("_lines"))
+
+    def mean(x: Column) -> Column:
+        at = F.filter(F.transform("_lines", lambda r: F.when(x >= r["x0"], F.get(r["line"], (x - r["x0"]).cast("int")))), lambda value: value.isNotNull())
+        return F.when(F.size(at) > 0, F.aggregate(at, F.lit(0.0), lambda s, value: s + value) / F.size(at))
+
+    return whole.select("image_id", "y", "x0", F.transform(F.sequence("x0", F.col("_end") - 1), mean).alias("line"))
 
 
 def weighted_curves(pair_rows: DataFrame) -> DataFrame:
@@ -114,11 +126,12 @@ def weighted_curves(pair_rows: DataFrame) -> DataFrame:
 
 def difference_heat(pair_rows: DataFrame) -> DataFrame:
     """Heat of neighbouring strips' differences: the mean over all pairs that
-    cover a cell, over the image's largest. Sums and counts leave each task per
-    cell, the maximum per image; no image is one task's work."""
-    means = region_cells(pair_rows).groupBy("image_id", "y", "x").agg(F.avg("v").alias("v"))
-    most = means.groupBy("image_id").agg(F.max("v").alias("_most"))
-    return means.join(most, "image_id").select("image_id", "y", "x", F.when(F.col("_most") > 0, F.col("v") / F.col("_most")).otherwise(F.col("v")).alias("v"))
+    cover a cell, over the image's largest. Lines meet per image and y, maxima leave
+    each task per image; no image is one task's work."""
+    means = mean_lines(region_lines(pair_rows))
+    most = means.groupBy("image_id").agg(F.max(F.array_max("line")).alias("_most"))
+    cells = means.join(most, "image_id").select("image_id", "y", "x0", "_most", F.posexplode("line").alias("_x", "v")).where("v IS NOT NULL")
+    return cells.select("image_id", "y", (F.col("x0") + F.col("_x")).alias("x"), F.when(F.col("_most") > 0, F.col("v") / F.col("_most")).otherwise(F.col("v")).alias("v"))
 
 
 def map_score(cells: DataFrame, q: float | None = 0.999) -> DataFrame:

@@ -53,3 +53,30 @@ def test_rows_leave_a_task_in_slices(spark):
 
     texts = spark.createDataFrame([(7, "abab c\U0001f600"), (8, "")], "image_id long, text string")
     assert {(r.cls, tuple(r.idx)) for r in geometry.places_by_character(texts, "image_id", "text").collect()} == {("a", (0, 2)), ("b", (1, 3)), (" ", (4,)), ("c", (5,)), ("\U0001f600", (6,))}
+
+
+def test_heat_of_curves_that_overlap_in_part(spark):
+    from inspectra.operators import imagery
+
+    rows = [(1, 0, 0, 3, 2, True, [1.0, 2.0, 3.0]), (1, 4, 1, 6, 2, True, [6.0, 6.0]), (1, 2, 1, 4, 2, False, [4.0])]
+    pairs = spark.createDataFrame(rows, "image_id long, x0 int, y0 int, x1 int, y1 int, vertical boolean, curve array<double>")
+    got = {(r.y, r.x): round(r.v * 6, 9) for r in imagery.difference_heat(pairs).collect()}
+    assert got == {(0, 0): 1, (0, 1): 2, (0, 2): 3, (1, 0): 1, (1, 1): 2, (1, 2): 3.5, (1, 3): 4, (1, 4): 6, (1, 5): 6}
+
+
+def test_distances_are_held_in_bounded_blocks(spark):
+    import numpy as np
+    import pandas as pd
+
+    from inspectra.operators import knn
+
+    y = np.random.default_rng(1).normal(size=(300, 4))
+    left = pd.DataFrame({"cls": 0, "query_id": range(300), "emb": list(y)})
+    right = pd.DataFrame({"bank_id": range(300), "b_emb": list(y)})
+    found, block = [], knn.BLOCK
+    try:
+        for knn.BLOCK in (block, 700, 1):
+            found.append([[p["id"] for p in r] for r in knn.best_of_shares(1, True)(left, right)["found"]])
+    finally:
+        knn.BLOCK = block
+    assert found[0] == found[1] == found[2] and block <= 1 << 20
