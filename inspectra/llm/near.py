@@ -1,11 +1,17 @@
-"""Near-deduplication by exact similarity of word shingles.
+"""SimHash near-deduplication, settled by exact similarity of word shingles.
 
 Two documents are near copies when the sets of their five-word shingles have a
-Jaccard similarity of ``SIMILARITY`` or more. The prefixes miss no pair: of sets that
-similar, sorted by one order for all, each one's first few shingles (its
-prefix: a fifth of them and one) hold one of the other's. Shingles are sorted
-by their hash, but such as a part of the documents shows to be common come
-last. That decides how many rows meet, never what is found.
+Jaccard similarity of ``SIMILARITY`` or more. SimHash comes first: sets whose
+fingerprints differ in at most ``COVERED`` bits meet at op9's anchor points, and
+what these link is settled by the texts' own sets.
+
+A similarity of 0.8 differs in 9.7 bits on average, more than anchor points can
+cover. The pairs that SimHash leaves in different groups are therefore completed
+by prefixes, which miss none: of sets that similar, sorted by one order for all,
+each one's first few shingles (its prefix: a fifth of them and one) hold one of
+the other's. Shingles are sorted by their hash, but such as a part of the
+documents shows to be common come last. That decides how many rows meet, never
+what is found.
 
 Rows that meet at a shingle are compared by size, by a parity word (each
 shingle flips one of 64 bits; as many bits as differ, shingles differ at least)
@@ -16,8 +22,9 @@ given documents at 0.1 none of 48 pairs, 35 of them large, is lost). What is
 left is settled by the texts' own sets, so every link is true.
 
 What is left is then tested by bitmaps of parity bits, which lose no pair
-either, before texts meet: first one pair of each node, which gathers large
-groups of copies, and then the pairs that lie between components.
+either, before texts meet: after SimHash's pairs first one pair of each node,
+which gathers large groups of copies, and then the pairs that lie between
+components.
 
 A shingle with more than ``CROWD`` rows has them first compared with the least
 of its rows; only what this leaves in different components is compared pair by
@@ -45,6 +52,8 @@ from inspectra.llm.common import BROADCAST_BYTES, bytes_of, stored, stored_in_sm
 SHINGLE = 5
 #: As a fraction: compared in whole numbers.
 SIMILARITY = (4, 5)
+#: Differing bits of the fingerprints that anchor points bring together; op9's take no more.
+COVERED = 5
 LARGE, BITS = 128, 24
 CROWD = 16
 #: The logarithm of a bitmap's most bits.
@@ -274,6 +283,17 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     return stored_in_small_batches(both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), "links", SLICE)
 
 
+def covered(nodes: DataFrame) -> DataFrame:
+    """u > v: the pairs that SimHash names. Nodes with equal fingerprints are
+    paired with the least of them, and those with the forests that leave the
+    anchor points."""
+    least = stored(nodes.groupBy("fp").agg(F.min("node").alias("least")), "fingerprints")
+    at_end = lambda end: least.select(F.col("fp").alias(end), F.col("least").alias("node_" + end))
+    links = stored(simhash.links(least.select("fp"), COVERED), "anchored")
+    ends = links.join(at_end("u"), "u").join(at_end("v"), "v").select(F.greatest("node_u", "node_v").alias("u"), F.least("node_u", "node_v").alias("v"))
+    return ends.unionByName(nodes.select("fp", "node").join(least, "fp").where("node > least").select(F.col("node").alias("u"), F.col("least").alias("v")))
+
+
 def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """The pairs whose ends are in different components."""
     root = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias("root_" + end))
@@ -340,8 +360,10 @@ def group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd:
     reached = nodes.select(F.explode("prefix").alias("shingle"), "node", "size", "parity", "fp")
     found = stored(meetings(reached, crowd, buffer).groupBy("u", "v").agg(F.max("n").alias("n")), "met")
     met = found.where("n IS NULL").select("u", "v")
-    first = verified(met.groupBy("u").agg(F.min("v").alias("v")), nodes, texts)  # one for each node: gathers large groups
-    links = first.unionByName(verified(apart(met, simhash.components(first)), nodes, texts))
+    links = verified(covered(nodes), nodes, texts)
+    left = stored(apart(met, simhash.components(links)), "left")
+    links = links.unionByName(verified(left.groupBy("u").agg(F.min("v").alias("v")), nodes, texts))  # one for each node: gathers large groups
+    links = links.unionByName(verified(apart(left, simhash.components(links)), nodes, texts))
     roots = simhash.components(links)
     sizes = found.where("n IS NOT NULL").select(F.col("u").alias("shingle"), F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
     small = bytes_of(sizes, F.lit(64)) <= BROADCAST_BYTES

@@ -122,3 +122,29 @@ def test_folds_lose_no_pair():
         assert max(map(len, folds)) <= near.FOLD
         assert near.differing(*folds) <= near.differing(near.bitmap(a), near.bitmap(b)) <= 2 * (n - n * 9 // 10)
         assert near.may_differ(n, len(b), *folds)
+
+
+def test_simhash_comes_first(spark):
+    """The pairs of anchor points connect what chains of at most 5 bits connect, and nothing else."""
+    docs = spark.createDataFrame(near_copies(), "doc_id long, text string").repartition(3)
+    texts = docs.selectExpr("doc_id", "xxhash64(coalesce(text, '')) text_hash", "coalesce(text, '') text")
+    nodes = near.stored(near.signatures(texts).dropDuplicates(["node"]), "nodes")
+    fps = {r.node: r.fp for r in nodes.collect()}
+    pairs = [tuple(r) for r in near.covered(nodes).collect()]
+    root = {n: n for n in fps}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for u, v in pairs:
+        assert u > v
+        root[find(u)] = find(v)
+    bits = lambda u, v: int(np.bitwise_count(np.uint64(fps[u] & (1 << 64) - 1) ^ np.uint64(fps[v] & (1 << 64) - 1)))
+    close = [(u, v) for u, v in combinations(sorted(fps), 2) if bits(u, v) <= near.COVERED]
+    assert len(close) > 10 and all(find(u) == find(v) for u, v in close)
+    root = {n: n for n in fps}
+    for u, v in close:
+        root[find(u)] = find(v)
+    assert all(find(u) == find(v) for u, v in pairs)
