@@ -44,3 +44,26 @@ def test_joined_intervals_by_key():
         pairs = substring.unpacked(packed).tolist()
         assert {p for a, b in pairs for p in range(a, b)} == want
         assert all(b < c for (_, b), (c, _) in zip(pairs, pairs[1:], strict=False))
+
+
+def test_rows_between_steps_do_not_grow_with_tasks(spark, monkeypatch):
+    """Intervals leave a task by document and zone: as many rows with 40 tasks as with 2, and far fewer than windows."""
+    monkeypatch.setattr(substring, "TASK_ANCHORS", 1)
+    rng = random.Random(5)
+    passages = [[f"w{rng.randrange(5000)}" for _ in range(400)] for _ in range(3)]
+    rows = [(k, " ".join([f"d{k}", *passages[k % 3]])) for k in range(24)]
+    docs = substring.with_marks(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").repartition(24, "doc_id")
+    spans = np.array([[0, 500]], dtype="<i4").tobytes()
+    kinds = "high long, low long, doc_id long, mark long, place int, run int, kind byte"
+    windows = substring.stored(docs.selectExpr("*", f"unhex('{spans.hex()}') spans").mapInPandas(substring.find_windows, kinds), "windows")
+    monkeypatch.setattr(substring, "TASK_ANCHORS", 1_000_000)
+    made = []
+    for tasks in ("2", "40"):
+        with_conf = {"spark.sql.shuffle.partitions": tasks, "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+        before = {k: spark.conf.get(k) for k in with_conf}
+        for k, v in with_conf.items():
+            spark.conf.set(k, v)
+        made.append(substring.joined_by_zone(substring.beaten(windows), ["doc_id", "mark"]).count())
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert made[0] == made[1] and 21 <= made[0] < 21 * 351 / 8
