@@ -16,7 +16,8 @@ decoder) is read from a path given as a parameter. Encoding a text:
 The tokens that end at a node come from an automaton over all tokens. Sorted
 words are the trie in depth-first order: only the states on the path to the
 current node are held. What is known of the pieces between white space stays
-in dictionaries of bounded size.
+in dictionaries of bounded size, and is forgotten when a task ends: a worker that
+Spark keeps for later steps holds the tables of the vocabulary alone.
 
 Decoding joins token strings by one space, as the library does for a file
 without a decoder.
@@ -40,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD_END = "</w>"
-KNOWN_CHUNKS = 250_000
+KNOWN_CHUNKS = 100_000
 ROWS_OUT = 256
 
 #: White space, and what a word is, as the vocabulary file defines it.
@@ -81,10 +82,14 @@ class Encoder:
                 else:
                     self.inner[s] = i
         self.longest = max(map(len, [*self.inner, *self.final]))
-        self.apart: dict[int, bool] = {}
+        self.forget()
+        self.build()
+
+    def forget(self) -> None:
+        """Only the special tokens stay known."""
         self.known: dict[str, tuple[bytes, bytes]] = {s: (struct.pack("<I", i), s.encode()) for s, i in self.special.items()}
         self.older: dict[str, tuple[bytes, bytes]] = {}
-        self.build()
+        self.apart: dict[int, bool] = {}
 
     def _symbols(self, token: str) -> list[int]:
         end = WORD_END if token.endswith(WORD_END) and token != WORD_END else ""
@@ -137,7 +142,9 @@ class Encoder:
         """Have (ids, decoded) of each chunk in ``known``. Two generations: what
         the older one still knows moves to the younger when it is met again."""
         if len(self.known) > KNOWN_CHUNKS:
-            self.known, self.older = {s: (struct.pack("<I", i), s.encode()) for s, i in self.special.items()}, self.known
+            older, apart = self.known, self.apart
+            self.forget()
+            self.older, self.apart = older, apart
         new = chunks - self.known.keys()
         for c in new & self.older.keys():
             self.known[c] = self.older[c]
@@ -259,16 +266,24 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids (binary, little-endian unsigned 32-bit), decoded (string)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = encoder(path)
+def encoded_batches(batches: Iterator[pd.DataFrame], path: str) -> Iterator[pd.DataFrame]:
+    """What one task makes of its rows."""
+    known = encoder(path)
+    try:
         for batch in batches:
             for k in range(0, len(batch), ROWS_OUT):
                 part = batch.iloc[k : k + ROWS_OUT]
                 pairs = known.encode_batch(part["text"].tolist())
                 yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "ids": [p[0] for p in pairs], "decoded": [p[1].decode() for p in pairs]})
+    finally:
+        known.forget()
+
+
+def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids (binary, little-endian unsigned 32-bit), decoded (string)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return encoded_batches(batches, path)
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInPandas(run, "doc_id long, ids binary, decoded string")
