@@ -88,6 +88,8 @@ class Subwords:
         self.begins[[i for b, i in ranks.items() if b.startswith(b" ")]] = True
         self.begins[self.size] = True
         self.dtype = np.dtype("<u2" if self.size < 1 << 16 else "<u4")
+        self.bits = (self.size + 1).bit_length()
+        self.per_key = 64 // self.bits
 
     def of(self, word: bytes) -> list[int]:
         return self.encode(" " + word.decode())
@@ -119,6 +121,15 @@ class Subwords:
         raw, cuts = ids.astype(self.dtype).tobytes(), (begins * self.dtype.itemsize).tolist()
         return [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)], strict=True)], begins
 
+    def packed(self, ids: np.ndarray, begins: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """The first ids of words, ``per_key`` at most, as one number each."""
+        keys, last = np.zeros(len(begins), np.uint64), len(ids) - 1
+        for k in range(self.per_key):
+            part = ids.take(np.minimum(begins + k, last)).astype(np.uint64) + np.uint64(1)
+            part *= number > k
+            keys |= part << np.uint64(k * self.bits)
+        return keys
+
     def word(self, key: bytes) -> str:
         return b"".join([self.bytes_of[i] for i in np.frombuffer(key, self.dtype).tolist()])[1:].decode()
 
@@ -132,6 +143,34 @@ def subwords(path: str, pattern: str) -> Subwords:
     return _subwords[path]
 
 
+@dataclass
+class WordLogs:
+    """A number for each of many words: keys (words of few ids, packed) with
+    values, and the words of more ids by their ids as bytes."""
+
+    keys: np.ndarray
+    values: np.ndarray
+    longer: dict[bytes, float]
+
+    @classmethod
+    def of(cls, encode: Subwords, words: list[bytes], values: np.ndarray) -> WordLogs:
+        ids, number = encode.spell(words)
+        begins = np.cumsum(number) - number
+        few = number <= encode.per_key
+        longer = {ids[begins[i] : begins[i] + number[i]].astype(encode.dtype).tobytes(): float(values[i]) for i in np.flatnonzero(~few).tolist()}
+        return cls(encode.packed(ids, begins[few], number[few]), values[few], longer)
+
+    def find(self, encode: Subwords, ids: np.ndarray, index: pd.Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of ids laid end to end: each word's value (not a number where it has
+        none), where it begins, how many ids it has. index: that of the keys."""
+        begins = np.flatnonzero(encode.begins.take(ids))
+        number = np.diff(np.append(begins, len(ids)))
+        found = np.append(self.values, np.nan).take(index.get_indexer(pd.Index(encode.packed(ids, begins, number))), mode="wrap")
+        for i in np.flatnonzero(number > encode.per_key).tolist():
+            found[i] = self.longer.get(ids[begins[i] : begins[i] + number[i]].astype(encode.dtype).tobytes(), np.nan)
+        return found, begins, number
+
+
 @dataclass
 class Laid:
     """ids and sizes of documents laid end to end, each closed by the end id;
@@ -322,17 +361,18 @@ def two(m: np.ndarray) -> np.ndarray:
     return m.reshape(-1, m.shape[-1])
 
 
-def attend(w: dict[str, np.ndarray], slots: np.ndarray) -> tuple[np.ndarray, ...]:
+def attend(w: dict[str, np.ndarray], slots: np.ndarray, first: int = 0) -> tuple[np.ndarray, ...]:
     """Batched masked attention over windows of slots: embeddings, queries,
-    weights with their sums, context. The weights aren't divided by their sums."""
+    weights with their sums, context. The weights aren't divided by their sums.
+    Only places from ``first`` on attend."""
     x = w["slot"].take(slots, axis=0)
     x += w["place"]
-    q = (two(x) @ (w["query"] * _SCALE)).reshape(x.shape)
+    q = (two(x[:, first:]) @ (w["query"] * _SCALE)).reshape(len(x), -1, WIDTH)
     a = q @ x.transpose(0, 2, 1)
     if a.max(initial=0) > 40:
         np.minimum(a, 40, out=a)
     np.exp(a, out=a)
-    a *= _CAUSAL
+    a *= _CAUSAL[first:]
     total = a @ np.ones((WINDOW, 1), np.float32)
     c = a @ x
     c /= total
@@ -342,12 +382,19 @@ def attend(w: dict[str, np.ndarray], slots: np.ndarray) -> tuple[np.ndarray, ...
 def hidden(w: dict[str, np.ndarray], x: np.ndarray, c: np.ndarray) -> np.ndarray:
     h = x @ w["direct"]
     h += c @ w["mixed"]
-    return np.tanh(h, out=h)
+    h += h  # tanh as 1 - 2 / (exp(2 h) + 1), which numpy is faster at
+    if h.max(initial=0) > 80:
+        np.minimum(h, 80, out=h)
+    np.exp(h, out=h)
+    h += 1
+    np.divide(2, h, out=h)
+    return np.subtract(1, h, out=h)
 
 
-def log_probabilities(w: dict[str, np.ndarray], t: Tables, h: np.ndarray, context: np.ndarray, group: np.ndarray, back: dict | None = None) -> np.ndarray:
+def log_probabilities(w: dict[str, np.ndarray], t: Tables, h: np.ndarray, context: np.ndarray, group: np.ndarray, back: dict | None = None, unused: np.ndarray | None = None) -> np.ndarray:
     """Natural logarithms for the groups that come next. With ``back``, also the
-    gradients of their negative sum: in back by weight, for h as "hidden"."""
+    gradients of their negative sum without rows that are unused: in back by
+    weight, for h as "hidden"."""
     z = h @ w["to_group"]
     z += w["group_bias"]
     z += t.group.take(context, axis=0)
@@ -360,7 +407,9 @@ def log_probabilities(w: dict[str, np.ndarray], t: Tables, h: np.ndarray, contex
     if back is not None:
         z /= total
         z.ravel()[cells] -= 1
-        back["to_group"], back["group_bias"], back["hidden"] = h.T @ z, z.sum(axis=0), z @ w["to_group"].T
+        if unused is not None:
+            z[unused] = 0
+        back["to_group"], back["group_bias"], back["hidden"] = h.T @ z, np.ones(len(z), np.float32) @ z, z @ w["to_group"].T
     return at - np.log(total[:, 0])
 
 
@@ -368,12 +417,11 @@ def gradients(w: dict[str, np.ndarray], t: Tables, before: np.ndarray, context:
     """Of the mean negative log-probability of the groups at used places, for
     windows of slots; "slot": a pair of slots and their gradients."""
     x, q, a, total, c = attend(w, before)
-    at = np.flatnonzero(used.ravel())
+    unused = np.flatnonzero(~used.ravel())
     h = hidden(w, two(x), two(c))
     d: dict = {}
-    log_probabilities(w, t, h.take(at, axis=0), context.ravel().take(at), group.ravel().take(at), d)
-    dpre = np.zeros_like(h)
-    dpre[at] = d.pop("hidden")
+    log_probabilities(w, t, h, context.ravel(), group.ravel(), d, unused)
+    dpre = d.pop("hidden")
     h *= h
     dpre *= np.subtract(1, h, out=h)
     d["direct"], d["mixed"] = two(x).T @ dpre, two(c).T @ dpre
@@ -394,7 +442,7 @@ def gradients(w: dict[str, np.ndarray], t: Tables, before: np.ndarray, context:
     order = np.argsort(flat.astype(np.uint16) if flat.max(initial=0) < 1 << 16 else flat, kind="stable")
     flat = flat[order]
     starts = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, np.int64)
-    n = np.float32(1 / max(1, len(at)))
+    n = np.float32(1 / max(1, used.size - len(unused)))
     return {k: g * n for k, g in d.items()} | {"slot": (flat[starts], np.add.reduceat(dx.take(order, axis=0), starts, axis=0) * n)}
 
 
@@ -458,12 +506,14 @@ def score_sequences(w: dict[str, np.ndarray], t: Tables, ids: np.ndarray, sizes:
     """log10 of each document's probability; every id is scored once."""
     slots, context, group, out = t.prepare(ids, sizes)
     all_ = Windows(slots, sizes, int(t.slot[-1]))
-    for k in range(0, len(all_.start), BLOCK):
-        before, place, used = all_.take(slice(k, k + BLOCK))
-        mark = np.flatnonzero(used.ravel())
-        x, _, _, _, c = attend(w, before)
-        h, at = hidden(w, two(x).take(mark, axis=0), two(c).take(mark, axis=0)), place.ravel().take(mark)
-        out[at] += log_probabilities(w, t, h, context.take(at), group.take(at))
+    for chosen, first in ((all_.turn == 0, 0), (all_.turn > 0, OVERLAP)):  # later windows are scored from the overlap on
+        windows = np.flatnonzero(chosen)
+        for k in range(0, len(windows), BLOCK):
+            before, place, used = all_.take(windows[k : k + BLOCK])
+            mark = np.flatnonzero(used[:, first:])
+            x, _, _, _, c = attend(w, before, first)
+            h, at = hidden(w, two(x[:, first:]).take(mark, axis=0), two(c).take(mark, axis=0)), place[:, first:].ravel().take(mark)
+            out[at] += log_probabilities(w, t, h, context.take(at), group.take(at))
     return np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=out, minlength=len(sizes)) / np.log(10)
 
 
@@ -697,25 +747,23 @@ def score(docs: DataFrame, model: Trained, id_col: str = "doc_id", text_col: str
     laid = laid.where("row IS NOT NULL").select("ids", "row", "doc_id", "held_out")
     sw = subwords(path, pattern)
     frequent = frequent_words(model.counts)
-    ids, sizes = sw.spell(list(frequent))
-    raw, cuts = ids.astype(sw.dtype).tobytes(), (np.append(0, np.cumsum(sizes)) * sw.dtype.itemsize).tolist()
-    logs = {raw[a:b]: float(np.log10(n + 1)) for a, b, n in zip(cuts, cuts[1:], frequent.values(), strict=False)}
+    known = WordLogs.of(sw, list(frequent), np.log10(np.fromiter(frequent.values(), np.float64) + 1))
     ends = model.counts.where("word = ''").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    sent = spark.sparkContext.broadcast(pickle.dumps((model.tables, model.weights, logs, float(np.log10(ends + 1)), ends > 0)))
+    sent = spark.sparkContext.broadcast(pickle.dumps((model.tables, model.weights, known, float(np.log10(ends + 1)), ends > 0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, w, frequent, end_log, end_known = pickle.loads(sent.value)
+        t, w, known, end_log, end_known = pickle.loads(sent.value)
         sw = subwords(path, pattern)
-        frequent[np.array([sw.size], sw.dtype).tobytes()] = end_log
+        index = pd.Index(known.keys)
         for flat, sizes, part in documents_of(batches, sw.dtype):
             scores = score_sequences(w, t, flat, sizes)
-            keys, begins = sw.words(flat)
-            logs = np.array([frequent.get(k, np.nan) for k in keys])
+            logs, begins, number = known.find(sw, flat, index)
+            logs[flat.take(begins) == sw.size] = end_log
             doc = np.searchsorted(np.cumsum(sizes), begins, side="right")
             unknown = np.isnan(logs)
             rare: list[list[str]] = [[] for _ in sizes]
             for i in np.flatnonzero(unknown).tolist():
-                rare[doc[i]].append(sw.word(keys[i]))
+                rare[doc[i]].append(sw.word(flat[begins[i] : begins[i] + number[i]].astype(sw.dtype).tobytes()))
             per = lambda values: np.bincount(doc, values, minlength=len(sizes))
             yield pa.RecordBatch.from_arrays(
                 [

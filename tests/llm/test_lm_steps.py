@@ -1,0 +1,36 @@
+"""Steps of op10 that leave out what isn't asked for."""
+
+import numpy as np
+import pandas as pd
+import public_tokenizers
+
+from inspectra.llm import lm
+
+
+def test_places_of_the_overlap_need_not_attend():
+    w = lm.new_weights(seed=3)
+    slots = np.random.default_rng(1).integers(0, lm.UNITS, (5, lm.WINDOW))
+    whole, later = lm.attend(w, slots), lm.attend(w, slots, lm.OVERLAP)
+    assert later[2].shape == (5, lm.WINDOW - lm.OVERLAP, lm.WINDOW)
+    for k in (1, 2, 3, 4):
+        assert np.allclose(whole[k][:, lm.OVERLAP :], later[k], atol=1e-6)
+
+
+def test_word_logs_by_packed_ids():
+    sw = lm.subwords(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    words = ["the", "a", "uncharacteristically", "qzxv" * 9, "wörter", "x1y2z3"] * 3 + ["other", "qzxw" * 9]
+    listed = [w.encode() for w in dict.fromkeys(words) if w not in ("other", "qzxw" * 9)]
+    logs = lm.WordLogs.of(sw, listed, np.arange(1.0, len(listed) + 1))
+    assert logs.longer and len(logs.keys) > 2
+    ids, sizes = sw.spell([w.encode() for w in words])
+    ids = np.append(ids, sw.size)
+    found, begins, number = logs.find(sw, ids, pd.Index(logs.keys))
+    assert found[:18].tolist() == [listed.index(w.encode()) + 1.0 for w in words[:18]]
+    assert np.isnan(found[18:]).all() and number.tolist() == [*sizes.tolist(), 1]
+
+
+def test_hidden_layer_is_the_hyperbolic_tangent():
+    rng = np.random.default_rng(5)
+    x = (rng.standard_normal((50, lm.WIDTH)) * 40).astype(np.float32)
+    w = lm.new_weights(seed=2)
+    assert np.allclose(lm.hidden(w, x, x), np.tanh(x @ w["direct"] + x @ w["mixed"]), atol=1e-5)
