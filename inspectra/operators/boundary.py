@@ -107,9 +107,14 @@ def tooth_peaks(rows: DataFrame, pitch: int, value: str = "x", skip_top: float =
     height = F.max("y").over(curve(None)) + 1
     near = windows(rows.withColumn("_top", F.floor(height * skip_top)), pitch).where(F.col("tooth") * pitch + max(1, pitch // 2) >= F.col("_top"))
     p = near.groupBy(*CURVE, "tooth").agg(F.max(value).alias("peak"), F.max_by("y", F.struct(F.col(value), -F.col("y"))).alias("y"))
-    fit = p.groupBy(*CURVE).agg(F.regr_slope("peak", "y").alias("slope"), F.regr_intercept("peak", "y").alias("intercept"))
-    out = p.join(fit, CURVE).withColumn("residual", F.col("peak") - F.coalesce(F.col("intercept") + F.col("slope") * F.col("y"), F.col("peak")))
-    return out.withColumn("step", F.abs(F.col("peak") - F.lag("peak").over(Window.partitionBy(*CURVE).orderBy("tooth"))))
+    # summed in the order of the teeth: one curve has one line, to the last digit
+    order = Window.partitionBy(*CURVE).orderBy("tooth")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    at = F.when(F.col("peak").isNotNull(), F.col("y"))
+    out = p.withColumn("slope", F.covar_pop(at, "peak").over(whole) / F.nullif(F.covar_pop(at, at).over(whole), F.lit(0.0)))
+    out = out.withColumn("intercept", F.avg("peak").over(whole) - F.col("slope") * F.avg(at).over(whole))
+    out = out.withColumn("residual", F.col("peak") - F.coalesce(F.col("intercept") + F.col("slope") * F.col("y"), F.col("peak")))
+    return out.withColumn("step", F.abs(F.col("peak") - F.lag("peak").over(order)))
 
 
 def peak_maxima(peaks: DataFrame) -> DataFrame:

@@ -26,6 +26,11 @@ def steady_round(column, digits):
     return F.round(F.round(column, digits + 5), digits)
 
 
+def scaled_round(column, digits):
+    """Half away from zero, of the scaled number as the SQL rounds it."""
+    return F.round(F.col(column) * 10.0**digits) / 10.0**digits
+
+
 @query("""WITH g AS (SELECT image_id, side, y, CASE WHEN y % 4 <> 1 AND y % 7 <> 0 THEN x END AS x FROM signal),
     a AS (SELECT *, last_value(x IGNORE NULLS) OVER b AS v0, last_value(CASE WHEN x IS NOT NULL THEN y END IGNORE NULLS) OVER b AS y0, first_value(x IGNORE NULLS) OVER f AS v1, first_value(CASE WHEN x IS NOT NULL THEN y END IGNORE NULLS) OVER f AS y1
         FROM g WINDOW b AS (PARTITION BY image_id, side ORDER BY y ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY image_id, side ORDER BY y ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
@@ -74,13 +79,13 @@ PEAKS = TEETH + """, p AS (SELECT image_id, side, tooth, max(x) AS peak, arg_max
 @query(PEAKS + " SELECT image_id, side, tooth, round(peak, 6) AS peak, CAST(y AS INTEGER) AS y, round(residual, 4) AS residual, round(step, 6) AS step FROM k")
 def w11_tooth_peaks(spark, sf_dir):
     t = op.tooth_peaks(v.signal(spark, sf_dir), PITCH)
-    return t.select("image_id", "side", "tooth", F.round("peak", 6).alias("peak"), "y", steady_round("residual", 4).alias("residual"), F.round("step", 6).alias("step"))
+    return t.select("image_id", "side", "tooth", F.round("peak", 6).alias("peak"), "y", scaled_round("residual", 4).alias("residual"), F.round("step", 6).alias("step"))
 
 
 @query(PEAKS + " SELECT image_id, side, round(coalesce(max(step), 0), 6) AS max_step, first(tooth ORDER BY step DESC, tooth) FILTER (step IS NOT NULL) AS at_tooth, round(max(abs(residual)), 4) AS max_residual FROM k GROUP BY ALL")
 def w11_peak_maxima(spark, sf_dir):
     m = op.peak_maxima(op.tooth_peaks(v.signal(spark, sf_dir), PITCH))
-    return m.select("image_id", "side", F.round("max_step", 6).alias("max_step"), "at_tooth", steady_round("max_residual", 4).alias("max_residual"))
+    return m.select("image_id", "side", F.round("max_step", 6).alias("max_step"), "at_tooth", scaled_round("max_residual", 4).alias("max_residual"))
 
 
 def _excursions(source: str, depth: int) -> str:
