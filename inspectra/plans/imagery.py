@@ -248,13 +248,14 @@ def i5_i6_structure(spark, sf_dir):
 
 @query()
 def i10_i13_i14_boundaries(spark, sf_dir):
-    def run(gray, seed):
-        m = im.metal_score(gray)
-        limits = im.side_thresholds(m)
-        left, right = (int(im.hysteresis(m >= limits[s][1], m >= limits[s][0], s).sum()) for s in "LR")
-        return [(float(m.mean()), left, right, float(im.left_boundary(gray).mean()), float(im.column_profile(gray).mean()))]
-
-    return op.per_image(rasters(spark, sf_dir), run, "metal double, left_pixels int, right_pixels int, boundary double, profile_mean double")
+    def run(stack):
+        m, n = im.metal_score(stack), len(stack)
+        limits = {side: [x[:, None, None] for x in pair] for side, pair in im.side_thresholds(m).items()}
+        left, right = (im.hysteresis(m >= limits[s][1], m >= limits[s][0], s).sum(axis=(1, 2)) for s in "LR")
+        means = m.reshape(n, -1).mean(axis=1), left, right, im.left_boundaries(stack).mean(axis=1), im.column_profile(stack).mean(axis=1)
+        return list(zip(*(x.tolist() for x in means), strict=True))
+
+    return op.per_stack(rasters(spark, sf_dir), run, "metal double, left_pixels int, right_pixels int, boundary double, profile_mean double")
 
 
 @query()
