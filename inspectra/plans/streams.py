@@ -136,7 +136,7 @@ def s12_result_text(spark, sf_dir):
 def s7_csv_round_trip(spark, sf_dir):
     folder = shared_path(spark, "details")
     files.write_csv(v.glyph_items(spark, sf_dir).select("image_id", "idx", F.base64(F.col("ch").cast("binary")).alias("ch"), "cx"), folder, "gzip")
-    read = spark.read.option("header", True).schema("image_id long, idx int, ch string, cx double").csv(folder).withColumn("ch", F.unbase64("ch").cast("string"))
+    read = files.read_csv(spark, folder, "image_id long, idx int, ch string, cx double").withColumn("ch", F.unbase64("ch").cast("string"))
     return geometry.character_totals(read, "image_id", ["idx", "cx"])
 
 

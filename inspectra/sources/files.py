@@ -70,6 +70,12 @@ def write_csv(rows: DataFrame, folder: str, compression: str = "none") -> None:
     rows.write.mode("overwrite").option("header", True).option("compression", compression).csv(folder)
 
 
+def read_csv(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """What write_csv wrote compressed. A file, which is one task's work then anyway, is
+    parsed as one stream, not line by line; values may hold line breaks."""
+    return spark.read.option("header", True).option("multiLine", True).schema(schema).csv(folder)
+
+
 def write_suspects(rows: DataFrame, folder: str) -> None:
     """Tab-separated lines, one folder per class."""
     rows.select("cls", F.concat_ws("\t", F.format_string("%.6f", "score"), "split", "path").alias("value")).write.mode("overwrite").partitionBy("cls").text(folder)

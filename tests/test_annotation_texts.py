@@ -39,3 +39,12 @@ def test_texts_hold_at_most_so_many_items_and_only_wanted_keys_are_read(spark, o
         assert (r.item.label == "L") == (r.item.idx % 5 == 0)
         got.setdefault(int(r.image_name[:-4]), {})[r.item.idx] = r.item.ch
     assert {k: "".join(v[i] for i in sorted(v)) for k, v in got.items()} == {k: t for k, t in TEXTS if t}
+
+
+def test_csv_values_may_hold_line_breaks(spark, tmp_path):
+    from inspectra.sources import files
+
+    rows = [(1, 'a\nb,"c"', 1.5), (2, "\r\n", None), (3, None, 2.0), (4, "plain", -1.0)]
+    files.write_csv(spark.createDataFrame(rows, "id long, s string, v double").repartition(3), f"{tmp_path}/c", "gzip")
+    got = {r.id: (r.s, r.v) for r in files.read_csv(spark, f"{tmp_path}/c", "id long, s string, v double").collect()}
+    assert set(got) == {1, 2, 3, 4} and got[1] == ('a\nb,"c"', 1.5) and got[3] == (None, 2.0) and got[4] == ("plain", -1.0) and got[2][1] is None
